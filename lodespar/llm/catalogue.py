@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespar.llm import license_scan, mixing, order_minhash, sharding
+from lodespar.llm import license_scan, minhash, mixing, order_minhash, sharding
 from lodespar.llm._shared import documents
 
 #: Source weights, in the order of the sources, repeating.
@@ -18,6 +18,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(documents(spark, sf_dir), WEIGHTS, most=3))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(documents(spark, sf_dir))
 
@@ -32,6 +36,6 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mix, op7_order_minhash, op9_license_scan, op10_stratified_shards)
+    f.__name__: f for f in (op1_source_mix, op3_minhash_near_dedup, op7_order_minhash, op9_license_scan, op10_stratified_shards)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespar.llm import license_scan, minhash, mixing, order_minhash, sharding
+from lodespar.llm import license_scan, minhash, mixing, order_minhash, packing, sharding, substrings
 from lodespar.llm._shared import documents
 
 #: Source weights, in the order of the sources, repeating.
@@ -22,6 +22,20 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(documents(spark, sf_dir))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizer_path()))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(documents(spark, sf_dir))
 
@@ -36,6 +50,6 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mix, op3_minhash_near_dedup, op7_order_minhash, op9_license_scan, op10_stratified_shards)
+    f.__name__: f for f in (op1_source_mix, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op7_order_minhash, op9_license_scan, op10_stratified_shards)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespar.llm import license_scan, minhash, mixing, order_minhash, packing, sharding, substrings
+from lodespar.llm import audio, license_scan, minhash, mixing, order_minhash, packing, quality, sharding, substrings
 from lodespar.llm._shared import documents
 
 #: Source weights, in the order of the sources, repeating.
@@ -18,6 +18,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(documents(spark, sf_dir), WEIGHTS, most=3))
 
 
+def op2_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.summary(audio.audio_columns(documents(spark, sf_dir), keep_media=False))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -40,6 +44,10 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(documents(spark, sf_dir)))
 
@@ -50,6 +58,17 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mix, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op7_order_minhash, op9_license_scan, op10_stratified_shards)
+    f.__name__: f
+    for f in (
+        op1_source_mix,
+        op2_audio_columns,
+        op3_minhash_near_dedup,
+        op4_substring_dedup,
+        op5_best_fit_packing,
+        op7_order_minhash,
+        op8_quality_classifier,
+        op9_license_scan,
+        op10_stratified_shards,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}

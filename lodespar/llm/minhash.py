@@ -178,18 +178,25 @@ def _confirm(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _reach(table: pa.Table) -> pa.RecordBatch:
     """Runs of ``g``: which node may be linked to which other component, by size and estimate; the
-    smaller component's node is tied to the larger component."""
-    g, node, comp, n, of = (table[c].to_numpy() for c in ("g", "node", "component", "n_shingles", "members"))
+    smaller component's node is tied to the larger component. A pair speaks in the first band that
+    it shares, in the group of its two blocks."""
+    g, node, comp, n, of, band, block, i, j = (table[c].to_numpy() for c in ("g", "node", "component", "n_shingles", "members", "band", "block", "i", "j"))
     sig = table["sig"].combine_chunks().flatten().to_numpy().view(U).reshape(-1, LONGS)
+    keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     found = []
     cut = borders(g)
     for lo, hi in zip(cut[:-1], cut[1:]):
-        c, m, k = comp[lo:hi], n[lo:hi], of[lo:hi]
+        c, m, k, at = comp[lo:hi], n[lo:hi], of[lo:hi], block[lo:hi]
         larger = (k[None, :] > k[:, None]) | ((k[None, :] == k[:, None]) & (c[None, :] > c[:, None]))
         may = larger & (c[None, :] != c[:, None]) & (100 * np.minimum(m[None, :], m[:, None]) >= PERCENT * np.maximum(m[None, :], m[:, None]))
+        if i[lo] != j[lo]:
+            may &= at[None, :] != at[:, None]
         if may.any():
             x, y = np.nonzero(may & (_estimates(sig[lo:hi]) >= LEAST))
-            found.append(np.unique(np.stack([node[lo:hi][x], c[y]], 1), axis=0))
+            for part in range(0, len(x), _STEP):
+                a, b = x[part : part + _STEP], y[part : part + _STEP]
+                new = ~(keys[lo + a, : band[lo]] == keys[lo + b, : band[lo]]).any(1)
+                found.append(np.unique(np.stack([node[lo + a[new]], comp[lo + b[new]]], 1), axis=0))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "target"])
 
@@ -208,10 +215,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     real = signed.where("doc_id is not null and digest is not null")
     nodes = real.groupBy("digest").agg(F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("_s"), F.min("doc_id").alias("node"))
     nodes = materialize(nodes.select("digest", "node", "_s.n_shingles", "_s.sig", "_s.bands"), "near-nodes")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "lead")
     members = materialize(keys.join(materialize(shared, "near-shared"), "key"), "near-members")
-    sigs = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sig"), "near-sigs")
+    sigs = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sig", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys")), "near-sigs")
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(materialize(sigs.select(F.col("node").alias("doc_id")).distinct(), "near-need"), "doc_id", "left_semi")
     sets = materialize(sets.mapInArrow(_sets, "node long, set binary"), "near-sets")
 
@@ -232,9 +239,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sized = held.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     held = materialize(held.join(sized, "component"), "near-held")
     mixed = members.join(held.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z"), F.count(F.lit(1)).alias("_n")).where("_a <> _z")
-    left = members.select("key", "node").join(materialize(mixed.select("key", _blocks(F.col("_n")).alias("_of")), "near-mixed"), "key")
+    left = members.select("key", "band", "node").join(materialize(mixed.select("key", _blocks(F.col("_n")).alias("_of")), "near-mixed"), "key")
     both = F.explode(F.expr("transform(sequence(0, _of - 1), j -> struct(least(_b, j) as i, greatest(_b, j) as j))"))
-    left = left.withColumn("_b", _block_of("node", F.col("_of"))).select(both.alias("_p"), "key", "node").select(F.xxhash64("key", "_p.i", "_p.j").alias("g"), "node").join(held, "node")
+    left = left.withColumn("_b", _block_of("node", F.col("_of"))).select(both.alias("_p"), "key", "band", "node", F.col("_b").alias("block"))
+    left = left.select(F.xxhash64("key", "_p.i", "_p.j").alias("g"), "band", "node", "block", "_p.i", "_p.j").join(held, "node")
     ties = materialize(over_runs(left, "g", [], _reach, "node long, target long").distinct(), "near-ties")
     ties = ties.join(ties.groupBy("target").agg(_blocks(F.count(F.lit(1))).alias("_ones")), "target").join(sized.select(F.col("component").alias("target"), _blocks(F.col("members")).alias("_zeros")), "target")
     ties = materialize(ties, "near-ties")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespar.llm import audio, license_scan, minhash, mixing, order_minhash, packing, quality, sharding, substrings
+from lodespar.llm import audio, license_scan, lm, minhash, mixing, order_minhash, packing, quality, sharding, substrings
 from lodespar.llm._shared import documents
 
 #: Source weights, in the order of the sources, repeating.
@@ -40,6 +40,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op6_ngram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(documents(spark, sf_dir))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_minhash_near_dedup,
         op4_substring_dedup,
         op5_best_fit_packing,
+        op6_ngram_trie_scores,
         op7_order_minhash,
         op8_quality_classifier,
         op9_license_scan,

@@ -5,9 +5,8 @@ window also starts in a document of smaller doc_id; windows that overlap or touc
 intervals, and their words go.
 
 The hashes are far too many to be rows of a shuffle. A task packs those of a run of documents into
-one binary per hash range, as ``(doc ids, windows of each, hashes)`` with every hash once for each
-distinct window of a document; a hash that several documents of the run share is sent for the first
-of them only, as the others are known to be repeats. A reducer counts one hash range (a bounded number of windows,
+one binary per hash range, sorted hashes as differences and the document of each. A hash that several
+documents of the run share is sent for the first of them only, as the others are known to be repeats. A reducer counts one hash range (a bounded number of windows,
 however common some are) and answers each document with the hashes it must remove. Answers are as
 many as there are removed windows. Texts meet their answers in one join.
 
@@ -25,51 +24,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespar.llm._grouped import over_runs
+from lodespar.llm._grouped import borders, over_runs
 from lodespar.llm._shared import materialize
-from lodespar.llm._words import U, Words, by_text, slices, texts, windows
+from lodespar.llm._words import U, Words, slices, texts, windows
 
 WINDOW = 13
 #: Bytes of text for a hash range, and windows that a task holds before it sends them.
-RANGE_BYTES, HELD = 16 << 20, 2 << 20
+RANGE_BYTES, HELD = 6 << 20, 1 << 20
 LAST = (1 << 63) - 1
 
 
-def _distinct(h: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of each distinct window of each text."""
-    text = by_text(per)
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return h[keep], text[keep]
+def _pack(h: np.ndarray, doc: np.ndarray) -> bytes:
+    """Sorted hashes as differences of fewest bytes, and the document of each by its place in a list."""
+    ids, place = np.unique(doc, return_inverse=True)
+    steps = np.diff(h, prepend=h[:1])
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    small = np.uint16 if len(ids) < 1 << 16 else np.uint32
+    head = np.array([len(ids), len(h), width, int(h[0])], U)
+    return head.tobytes() + ids.tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + place.astype(small).tobytes()
+
+
+def _unpack(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    m, n, width, first = (int(x) for x in np.frombuffer(blob, U, 4))
+    ids = np.frombuffer(blob, np.int64, m, 32)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, 32 + 8 * m).reshape(n, width)
+    place = np.frombuffer(blob, np.uint16 if m < 1 << 16 else np.uint32, n, 32 + 8 * m + n * width)
+    return U(first) + np.cumsum(wide.view("<u8").ravel(), dtype=U), ids[place]
 
 
 def _ask(ranges: int, window: int):
-    """Binaries of windows by hash range, and answers that a task knows by itself (range -1)."""
+    """Rows (part, doc, blob): packed windows of a hash range, or (with a doc) an answer that a task
+    knows by itself."""
 
     def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         h, doc = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        held.clear()
         # By hash, then document: the first of each hash is asked about, the others are repeats.
-        order = np.lexsort((doc, h))
+        order = np.argsort(h)
         h, doc = h[order], doc[order]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        owner = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-        again = ~first & (doc != doc[owner])
-        if again.any():
-            yield _answers(h[again], doc[again])
+        same = h[1:] == h[:-1]
+        several = np.zeros(len(h), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        some = np.flatnonzero(several)
+        doc[some] = doc[some][np.lexsort((doc[some], h[some]))]
+        first = np.append(True, ~same)
+        new = np.append(True, ~same | (doc[1:] != doc[:-1]))
+        late = np.flatnonzero(new & ~first)
+        if len(late):
+            yield _answers(h[late], doc[late], (h[late[0]] >> U(32)).astype(np.int64) % ranges)
         h, doc = h[first], doc[first]
-        part = (h >> U(32)) % U(ranges)
-        order = np.lexsort((doc, part))
-        h, doc, part = h[order], doc[order], part[order]
-        cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-        blobs = []
-        for lo, hi in zip(cut[:-1], cut[1:]):
-            ids, counts = np.unique(doc[lo:hi], return_counts=True)
-            blobs.append(np.int64(len(ids)).tobytes() + ids.tobytes() + counts.astype(np.int32).tobytes() + h[lo:hi].tobytes())
-        n = len(blobs)
-        yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int64)), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary())], ["part", "doc", "blob"])
+        part = (((h >> U(32)) * U(ranges)) >> U(32)).astype(np.int64)
+        cut = borders(part)
+        blobs = [_pack(h[lo:hi], doc[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["part", "doc", "blob"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -78,44 +87,40 @@ def _ask(ranges: int, window: int):
             for i, j, data, offsets in slices(texts(batch.column(1))):
                 words = Words(data, offsets)
                 h, _, per = windows(words.hashes(), words.first, window)
-                h, text = _distinct(h, per)
                 if len(h):
-                    held.append((h, ids[i:j][text]))
+                    held.append((h, np.repeat(ids[i:j], per)))
                     n += len(h)
                 if n >= HELD:
                     yield from send(held)
-                    held, n = [], 0
+                    n = 0
         if held:
             yield from send(held)
 
     return work
 
 
-def _answers(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+def _answers(h: np.ndarray, doc: np.ndarray, part: int = 0) -> pa.RecordBatch:
     order = np.argsort(doc, kind="stable")
     h, doc = h[order], doc[order]
-    cut = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]]) if len(doc) else np.zeros(1, int)
+    cut = borders(doc)
     n = len(cut) - 1
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, -1)), pa.array(doc[cut[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["part", "doc", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int64)), pa.array(doc[cut[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["part", "doc", "blob"])
 
 
 def _count(table: pa.Table) -> pa.RecordBatch:
     """Whole hash ranges: documents whose windows an earlier document has."""
-    hashes, docs = [], []
-    for blob in table["blob"].to_pylist():
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        ids = np.frombuffer(blob, np.int64, n, 8)
-        counts = np.frombuffer(blob, np.int32, n, 8 + 8 * n)
-        docs.append(np.repeat(ids, counts))
-        hashes.append(np.frombuffer(blob, U, -1, 8 + 12 * n))
-    h, doc = np.concatenate(hashes), np.concatenate(docs)
-    hashes = docs = None
-    order = np.argsort(h, kind="stable")
+    known = table.filter(table["doc"].is_valid()).combine_chunks()
+    blobs = table["blob"].filter(table["doc"].is_null())
+    if not len(blobs):
+        return known.to_batches()[0]
+    h, doc = (np.concatenate(x) for x in zip(*(_unpack(b.as_buffer()) for b in blobs)))
+    order = np.argsort(h)
     h, doc = h[order], doc[order]
-    starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+    starts = borders(h)[:-1]
     least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
     late = doc > least
-    return _answers(h[late], doc[late])
+    found = _answers(h[late], doc[late])
+    return pa.Table.from_batches([*known.to_batches(), found]).combine_chunks().to_batches()[0] if len(known) or len(found) else found
 
 
 def _covered(at: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -166,9 +171,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    asked = materialize(rows.mapInArrow(_ask(ranges, window), "part long, doc long, blob binary"), "sub-asked")
-    counted = over_runs(asked.where("part >= 0"), "part", [], _count, "part long, doc long, blob binary")
-    answers = asked.where("part < 0").unionByName(counted)
+    asked = rows.mapInArrow(_ask(ranges, window), "part long, doc long, blob binary")
+    answers = over_runs(asked, "part", [], _count, "part long, doc long, blob binary")
     return answers.groupBy("doc").agg(F.collect_list("blob").alias("gone"))
 
 

@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,35 +35,67 @@ from pyspark.sql import functions as F
 from lodespar.llm._shared import bucket_bits, materialize, running, seeded_hash
 
 CAPACITY, END = 4096, 1
-#: Ids of a worker's most recent words are kept for at most so many words.
+#: Words whose ids a worker keeps, in each of two generations.
 CACHE = 1 << 18
-_BREAK = re.compile(r"[ \n\t\r]+")
+#: Words that are letters, then marks: two pre-tokens, each a word of the vocabulary's own spelling.
+_PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> list[str]:
+    """How byte-level vocabularies spell the 256 bytes: printable ones as themselves, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+_SPELT = {b: letter for b, letter in enumerate(_byte_letters())}
+
+
+class _Known(dict):
+    """Ids of words as bytes; a word that is not there is looked up in the generation before, or made."""
+
+    def __init__(self, make: Callable[[str], bytes], before: dict[str, bytes]):
+        self.make, self.before = make, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer that drops white space and never joins across it.
+    """Ids of texts by a tokenizer that lower-cases, drops white space and never joins across it.
 
-    Words repeat far more often than texts do, so ids are looked up by word, and only words that are
-    not in the bounded cache are encoded, all of a batch at once.
+    Words repeat far more often than texts do, so ids are looked up by word. A plain new word goes
+    straight to the tokenizer's model, any other through all of the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [_BREAK.split(t) for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHE:
-            known = self.known = {}
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 4096):
-            for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        for words in split:
-            yield np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.known = _Known(self.make, {})
+
+    def make(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        if plain:
+            ids = []
+            for part in plain.groups():
+                if part:
+                    part = part.lower() if part.isascii() else part.lower().encode().decode("latin-1").translate(_SPELT)
+                    ids += [t.id for t in self.model.tokenize(part)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def ids(self, text: str) -> np.ndarray:
+        if len(self.known) > CACHE:
+            self.known = _Known(self.make, dict(self.known))
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
@@ -75,8 +108,8 @@ def _pieces(path: str, capacity: int, with_ids: bool):
             while lo < len(column):
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (2 << 20), "right")))
                 owner, piece, start, length, crc, kept = [], [], [], [], [], []
-                for k, own in enumerate(tokens.ids([t or "" for t in column.slice(lo, hi - lo).to_pylist()])):
-                    own = np.concatenate([own, end])
+                for k, text in enumerate(column.slice(lo, hi - lo).to_pylist()):
+                    own = np.concatenate([tokens.ids(text or ""), end])
                     for p, at in enumerate(range(0, len(own), capacity)):
                         part = own[at : at + capacity]
                         owner.append(lo + k)

@@ -1,10 +1,72 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Each stage is ``(spark, docs, sf_dir) -> DataFrame``. Its result is written as Parquet and reread as
+the next stage's documents; all but the last return the columns of ``documents``.
+
+1. quality: documents that the classifier rejects go.
+2. near_dedup: of each group of near-duplicates, the document of least id stays.
+3. substring_dedup: word windows that an earlier document has are cut out.
+4. mix: sources are brought to their target weights; documents are dropped or repeated.
+5. pack: documents become token pieces in sequences of 4096.
+
+Stages drop the scratch tables of the stage before, whose result has been written by then.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodespar.llm import minhash, mixing, packing, substrings
+from lodespar.llm import quality as classifier
+from lodespar.llm._shared import documents, forget, new_path, scoped
+from lodespar.llm.catalogue import WEIGHTS, tokenizer_path
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """``n_chars`` as it is now."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    with scoped("stage-quality"):
+        return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget(spark, "stage-quality")
+    with scoped("stage-near"):
+        return minhash.drop_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget(spark, "stage-near")
+    with scoped("stage-substring"):
+        return _measured(substrings.remove_repeats(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget(spark, "stage-substring")
+    with scoped("stage-mix"):
+        return mixing.mix_documents(docs, WEIGHTS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget(spark, "stage-mix")
+    with scoped("stage-pack"):
+        return packing.pack(packing.pieces(docs, tokenizer_path()))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix", mix), ("pack", pack)]
+
+#: The classifier is no SQL; tests hold each stage against a brute-force version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"corpus-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

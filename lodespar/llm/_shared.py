@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,8 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodespar/{spark.sparkContext.applicationId}"
 
 
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
+
+@contextmanager
+def scoped(name: str):
+    """Tables written inside have ``name`` before their labels, for ``forget``."""
+    token = _SCOPE.set(f"{name}-")
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_SCOPE.get()}{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -44,8 +59,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, *labels: str) -> None:
-    """Delete what ``materialize`` and the operators wrote under these labels (all, if none is given).
+def forget(spark: SparkSession, *scopes: str) -> None:
+    """Delete what was written in these scopes.
 
     Only the caller knows when no DataFrame over them will be read again; a pipeline calls this
     once a stage's result has been written.
@@ -57,7 +72,7 @@ def forget(spark: SparkSession, *labels: str) -> None:
         return
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if not labels or any(name.startswith(f"{label}-") for label in labels):
+        if any(name.startswith(f"{scope}-") for scope in scopes):
             fs.delete(status.getPath(), True)
 
 

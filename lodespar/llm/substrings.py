@@ -136,7 +136,7 @@ def _remove(window: int, digest: bool):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, gone = texts(batch.column("text")), batch.column("gone")
+            column, gone, there = texts(batch.column("text")), batch.column("gone"), batch.column("text").is_valid().to_pylist()
             for i, j, data, offsets in slices(column):
                 words = Words(data, offsets)
                 asked = [x for x in gone.slice(i, j - i)]
@@ -157,7 +157,7 @@ def _remove(window: int, digest: bool):
                         text = b" ".join([raw[a:b] for a, b in zip(words.start[keep].tolist(), words.end[keep].tolist())])
                         kept.append(hashlib.sha256(text).hexdigest() if digest else text)
                     else:
-                        kept.append(None)
+                        kept.append(raw[offsets[k] : offsets[k + 1]] if there[i + k] else None)
                 rest = [batch.column(c).slice(i, j - i) for c in batch.schema.names if c not in ("text", "gone")]
                 names = [c for c in batch.schema.names if c not in ("text", "gone")]
                 out = pa.array(kept, pa.string() if digest else pa.binary())
@@ -191,8 +191,9 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``; texts that lose words become their kept words joined by a space, other
     texts stay as they are. Rows that lose all their words go."""
-    rows = _joined(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"), window)
-    rows = rows.select("_row", F.col("text").cast("binary").alias("text"), "gone")
-    kind = docs.schema.simpleString()
-    out = rows.mapInArrow(_remove(window, False), f"_row {kind}, n_words long, n_removed long, kept binary").where("n_removed = 0 or n_removed < n_words")
-    return out.select(*[(F.coalesce(F.col("kept").cast("string"), F.col("_row.text")) if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    rows = _joined(docs.select("text", "doc_id", *[F.col(c).alias(n) for c, n in names.items()]), window)
+    rows = rows.select(F.col("text").cast("binary").alias("text"), "gone", *names.values())
+    kinds = "".join(f"{names[f.name]} {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    out = rows.mapInArrow(_remove(window, False), f"{kinds}n_words long, n_removed long, kept binary").where("n_removed = 0 or n_removed < n_words")
+    return out.select(*[(F.col("kept").cast("string") if c == "text" else F.col(names[c])).alias(c) for c in docs.columns])

@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.where("node <> lead").select("lead", "node").distinct()
     pairs = pairs.join(sigs.select("node", F.col("sig").alias("y")), "node").join(sigs.select(F.col("node").alias("lead"), F.col("sig").alias("x")), "lead")
     pairs = materialize(pairs.where(estimate(F.col("x"), F.col("y")) >= LEAST).select("lead", "node"), "near-pairs")
-    per = pairs.groupBy("lead").agg(_blocks(F.count(F.lit(1))).alias("_of"))
+    per = materialize(pairs.groupBy("lead").agg(_blocks(F.count(F.lit(1))).alias("_of")), "near-leads")
     ones = pairs.join(per, "lead").select("lead", _block_of("node", F.col("_of")).alias("_b"), "node")
     g = F.xxhash64("lead", "_b").alias("g")
     rows = ones.select(g, "node", F.lit(1).alias("role")).unionByName(ones.select("lead", "_b").distinct().select(g, F.col("lead").alias("node"), F.lit(0).alias("role")))

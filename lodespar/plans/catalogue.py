@@ -1,7 +1,481 @@
-"""Every query of the library by name, with its SQL for the oracle."""
+"""Every query of the library by name, with its SQL for the oracle.
+
+The test tables hold no job posts, so each operator runs on an analogue. Orders stand for postings: the
+order key is the id, the month (or year) of the order its thread, a line's brands its skills, the price
+its pay, the status its arrangement. Documents with their labels stand for scored texts, pages for
+HTML, conversations for threads of comments.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodespar.functions import claims as C
+from lodespar.functions import skills as S
+from lodespar.functions import text as T
+from lodespar.functions.extraction import extraction, is_confident
+from lodespar.functions.vocabulary import DISPLAY, SYNONYMS
+from lodespar.operators import sampling, scoring, serve
+from lodespar.sources import logs, threads
+
 FLAGSHIP = "a4_trends_share"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def postings(spark: SparkSession, sf_dir: str, bucket: str = "yyyy-MM") -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    brands = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("skills"))
+    pay = F.floor("o_totalprice").cast("long")
+    return table(spark, sf_dir, "orders").join(brands, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.col("o_orderkey").alias("comment_id"),
+        F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("company"),
+        F.lit(None).cast("string").alias("location"),
+        F.when(F.col("o_orderstatus") == "F", "remote").when(F.col("o_orderstatus") == "O", "hybrid").otherwise("onsite").alias("remote"),
+        pay.alias("salary_min"),
+        F.when(~F.col("o_orderpriority").startswith("1"), pay + 1000).alias("salary_max"),
+        F.lit("year").alias("salary_period"),
+        F.col("o_orderpriority").alias("seniority"),
+        "skills",
+        F.date_format("o_orderdate", bucket).alias("thread_month"),
+    )
+
+
+def p_sql(bucket: str = "%Y-%m") -> str:
+    return f"""p AS (
+  SELECT o_orderkey AS comment_id, 'customer ' || o_custkey AS company, CAST(NULL AS VARCHAR) AS location,
+    CASE o_orderstatus WHEN 'F' THEN 'remote' WHEN 'O' THEN 'hybrid' ELSE 'onsite' END AS remote,
+    CAST(floor(o_totalprice) AS BIGINT) AS salary_min,
+    CASE WHEN NOT starts_with(o_orderpriority, '1') THEN CAST(floor(o_totalprice) AS BIGINT) + 1000 END AS salary_max,
+    'year' AS salary_period, o_orderpriority AS seniority, skills, strftime(o_orderdate, '{bucket}') AS thread_month
+  FROM orders LEFT JOIN (SELECT l_orderkey, list_sort(list(DISTINCT p_brand)) AS skills
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
+def _plain(df: DataFrame, *lists: str) -> DataFrame:
+    """Lists as text, so that any engine compares them alike."""
+    return df.withColumns({c: F.array_join(c, ",") for c in lists})
+
+
+WANTED = ["Brand#11", "Brand#23"]
+MINE = ["Brand#2", "Brand#11", "Brand#12", "Brand#17", "Brand#23"]
+_MINE = "[" + ", ".join(f"'{b}'" for b in MINE) + "]"
+_JOBS = "comment_id, company, location, remote, salary_min, salary_max, salary_period, seniority, array_to_string(skills, ',') AS skills, thread_month"
+
+
+@query(f"WITH {p_sql()} SELECT count(*) AS postings FROM p")
+def a1_health_count(spark, sf_dir):
+    return serve.health(postings(spark, sf_dir))
+
+
+@query(f"""WITH {p_sql('%Y')} SELECT {_JOBS} FROM p WHERE thread_month = (SELECT max(thread_month) FROM p)
+  AND list_contains(skills, 'Brand#11') AND remote = 'hybrid' AND salary_min >= 20000
+  ORDER BY p.salary_max DESC NULLS LAST, comment_id LIMIT 50""")
+def p2_jobs_latest(spark, sf_dir):
+    return _plain(serve.jobs(postings(spark, sf_dir, "yyyy"), skill="Brand#11", remote="hybrid", min_salary=20000), "skills")
+
+
+@query(f"WITH {p_sql()} SELECT {_JOBS} FROM p WHERE thread_month = '1997-03' ORDER BY p.salary_max DESC NULLS LAST, comment_id LIMIT 50")
+def p3_jobs_month(spark, sf_dir):
+    return _plain(serve.jobs(postings(spark, sf_dir), month="1997-03"), "skills")
+
+
+_TRENDS = """t AS (SELECT thread_month, count(*) AS total FROM p GROUP BY 1),
+c AS (SELECT thread_month, skill, count(*) AS postings FROM (SELECT thread_month, unnest(skills) AS skill FROM p)
+  WHERE skill IN ('Brand#11', 'Brand#23') GROUP BY 1, 2),
+r AS (SELECT c.*, round(postings / total, 4) AS share, dense_rank() OVER (ORDER BY c.thread_month DESC) AS k FROM c JOIN t USING (thread_month))"""
+
+
+@query(f"WITH {p_sql()}, {_TRENDS} SELECT thread_month, skill, postings, share FROM r WHERE k <= 24")
+def a4_trends_share(spark, sf_dir):
+    return serve.trends(postings(spark, sf_dir), WANTED, 24)
+
+
+@query(f"""WITH {p_sql('%Y')}, {_TRENDS}, g AS (SELECT * FROM (SELECT DISTINCT thread_month FROM r), (SELECT DISTINCT skill FROM r))
+SELECT g.thread_month, g.skill, coalesce(share, 0.0) AS share FROM g LEFT JOIN r USING (thread_month, skill)""")
+def j16_trend_grid(spark, sf_dir):
+    return serve.trend_grid(serve.trends(postings(spark, sf_dir, "yyyy"), WANTED, 120))
+
+
+@query(f"WITH {p_sql()} SELECT comment_id, thread_month, count(*) OVER (PARTITION BY thread_month) AS n FROM p")
+def w1_window_total(spark, sf_dir):
+    return postings(spark, sf_dir).select("comment_id", "thread_month", F.count(F.lit(1)).over(Window.partitionBy("thread_month")).alias("n"))
+
+
+@query(f"WITH {p_sql()} SELECT thread_month, skill, count(*) AS n FROM (SELECT thread_month, unnest(skills) AS skill FROM p) GROUP BY 1, 2 ORDER BY n DESC, thread_month, skill LIMIT 20")
+def a5_topk_explode(spark, sf_dir):
+    return serve.top_skills(postings(spark, sf_dir))
+
+
+_IDF = "w AS (SELECT skill, ln((n + 1) / (c + 1)) + 1 AS weight FROM (SELECT unnest(skills) AS skill, count(*) AS c FROM {0} GROUP BY 1), (SELECT count(*) AS n FROM {0}))"
+
+
+@query(f"WITH {p_sql()}, {_IDF.format('p')} SELECT skill, round(weight, 9) AS weight FROM w")
+def a26_idf(spark, sf_dir):
+    return serve.idf(postings(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
+
+
+_MATCH = f"""l AS (SELECT * FROM p WHERE thread_month = (SELECT max(thread_month) FROM p)), {_IDF.format('l')},
+e AS (SELECT comment_id, company, salary_min, salary_max, list_sort(list_intersect(skills, {_MINE})) AS matched,
+  list_sort(list_filter(skills, lambda x: NOT list_contains({_MINE}, x))) AS missing, unnest(skills) AS skill FROM l),
+m AS (SELECT comment_id, any_value(company) AS company, any_value(salary_min) AS salary_min, any_value(salary_max) AS salary_max,
+  any_value(matched) AS matched, any_value(missing) AS missing, sum(CASE WHEN list_contains(matched, skill) THEN weight ELSE 0 END) / sum(weight) AS score
+  FROM e JOIN w USING (skill) WHERE len(matched) >= 2 GROUP BY 1)"""
+
+
+@query(f"""WITH {p_sql('%Y')}, {_MATCH} SELECT comment_id, company, round(score, 6) AS score, array_to_string(matched, ',') AS matched,
+array_to_string(missing, ',') AS missing, salary_min, salary_max FROM m ORDER BY round(score, 9) DESC, comment_id LIMIT 10""")
+def t2_match_rank(spark, sf_dir):
+    latest = serve.in_latest_month(postings(spark, sf_dir, "yyyy"))
+    return _plain(serve.match(latest, MINE, canonical=False), "matched", "missing").withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {p_sql()}, x AS (SELECT comment_id, coalesce(skills, []) AS skills FROM p)
+SELECT comment_id, array_to_string(list_sort(list_intersect(skills, {_MINE})), ',') AS matched,
+array_to_string(list_sort(list_filter(skills, lambda x: NOT list_contains({_MINE}, x))), ',') AS missing,
+CASE WHEN len(skills) = 0 THEN 0.0 ELSE len(list_intersect(skills, {_MINE})) / len(skills) END AS p,
+CASE WHEN len(skills) = 0 THEN 0.0 ELSE len(list_intersect(skills, {_MINE})) / 5 END AS r,
+CASE WHEN len(skills) = 0 THEN 0.0 ELSE 2 * len(list_intersect(skills, {_MINE})) / (len(skills) + 5) END AS f1 FROM x""")
+def u1_matched_gap_sets(spark, sf_dir):
+    rows = postings(spark, sf_dir).withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
+    matched, missing = serve.overlap(F.col("skills"), MINE)
+    s = scoring.set_scores(F.col("skills"), F.array(*map(F.lit, MINE)), canonical=False)
+    return _plain(rows.select("comment_id", matched.alias("matched"), missing.alias("missing"), s.alias("s")).select("comment_id", "matched", "missing", "s.*"), "matched", "missing")
+
+
+@query("SELECT avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS precision FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10)")
+def a28_precision_at_k(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return serve.precision_at_k(orders, orders.where("o_orderstatus = 'F'"), [F.desc("o_totalprice"), "o_orderkey"], 10, "o_orderkey")
+
+
+@query("""SELECT p_partkey + c * 100000000 AS p_partkey, p_brand FROM part, (SELECT unnest(range(3)) AS c)""")
+def j7_replicate(spark, sf_dir):
+    return serve.replicated(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), 3, "p_partkey")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size = 10 AND contains(lower(concat_ws(chr(31), p_name, p_brand, p_type)), 'ring')")
+def p13_search(spark, sf_dir):
+    return serve.searched(table(spark, sf_dir, "part"), "RING", ["p_name", "p_brand", "p_type"], p_size=10).select("p_partkey", "p_name")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a predicted quality by length, and the label where there is one."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.withColumn("predicted", F.when(F.col("n_chars") > 400, 1).when(F.col("n_chars") > 100, 0)).withColumn("outcome", scoring.outcome(F.col("predicted"), F.col("quality"), text=False))
+
+
+_SCORED = """s AS (SELECT *, CASE WHEN quality IS NULL AND predicted IS NULL THEN 'abstained' WHEN quality IS NULL THEN 'hallucinated'
+  WHEN predicted IS NULL THEN 'missed' WHEN predicted = quality THEN 'extracted' ELSE 'wrong' END AS outcome
+  FROM (SELECT d.*, quality, toxic, CASE WHEN n_chars > 400 THEN 1 WHEN n_chars > 100 THEN 0 END AS predicted FROM documents d LEFT JOIN labels USING (doc_id)))"""
+
+
+@query(f"WITH {_SCORED} SELECT count(*) AS total_posts, count(quality) AS quality, count(toxic) AS toxic, count(predicted) AS predicted, count(text) AS text FROM s")
+def a9_nonnull_counts(spark, sf_dir):
+    from lodespar.plans.ingest import counts
+
+    return counts(_scored(spark, sf_dir), ["quality", "toxic", "predicted", "text"])
+
+
+@query(f"WITH {_SCORED} SELECT lang, outcome, count(*) AS n FROM s GROUP BY 1, 2")
+def a10_outcomes(spark, sf_dir):
+    return _scored(spark, sf_dir).groupBy("lang", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WILSON = """CASE WHEN attempts = 0 THEN {0}.0 ELSE {1}({0}.0, ((p + 1.96 * 1.96 / (2 * attempts)) {2} 1.96 * sqrt(p * (1 - p) / attempts + 1.96 * 1.96 / (4 * attempts * attempts))) / (1 + 1.96 * 1.96 / attempts)) END"""
+
+
+@query(f"""WITH {_SCORED}, c AS (SELECT lang, count(*) AS n, count_if(outcome = 'extracted') AS extracted, count_if(outcome = 'hallucinated') AS h,
+  count_if(outcome IN ('extracted', 'wrong', 'hallucinated')) AS attempts FROM s GROUP BY 1), q AS (SELECT *, extracted / attempts AS p FROM c)
+SELECT lang, n, round(attempts / n, 9) AS coverage, round(coalesce(p, 0), 9) AS precision, round(h / n, 9) AS hallucination_rate,
+round({_WILSON.format(0, 'greatest', '-')}, 9) AS precision_low, round({_WILSON.format(1, 'least', '+')}, 9) AS precision_high FROM q""")
+def a11_wilson(spark, sf_dir):
+    r = scoring.nullable_report(_scored(spark, sf_dir), "outcome", ["lang"])
+    return r.select("lang", "n", *[F.round(c, 9).alias(c) for c in ("coverage", "precision", "hallucination_rate", "precision_low", "precision_high")])
+
+
+@query(f"""WITH {_SCORED}, c AS (SELECT lang, count(*) AS n, count_if(outcome IN ('extracted', 'abstained')) AS extracted FROM s GROUP BY 1),
+q AS (SELECT lang, n, n AS attempts, extracted / n AS p FROM c)
+SELECT lang, round(p, 9) AS accuracy, round({_WILSON.format(0, 'greatest', '-')}, 9) AS accuracy_low, round({_WILSON.format(1, 'least', '+')}, 9) AS accuracy_high FROM q""")
+def a33_derived_accuracy(spark, sf_dir):
+    r = scoring.derived_accuracy(scoring.nullable_report(_scored(spark, sf_dir), "outcome", ["lang"]))
+    return r.select("lang", *[F.round(c, 9).alias(c) for c in ("accuracy", "accuracy_low", "accuracy_high")])
+
+
+@query(f"WITH {_SCORED} SELECT coalesce(CAST(quality AS VARCHAR), 'None') AS truth, coalesce(CAST(predicted AS VARCHAR), 'None') AS predicted, count(*) AS n FROM s GROUP BY 1, 2")
+def a15_confusion(spark, sf_dir):
+    return scoring.confusion(_scored(spark, sf_dir), "quality", "predicted")
+
+
+@query(f"""WITH {_SCORED}, m AS (SELECT coalesce(CAST(quality AS VARCHAR), 'None') AS truth, coalesce(CAST(predicted AS VARCHAR), 'None') AS predicted FROM s)
+SELECT truth, round(avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END), 4) AS recall FROM m GROUP BY 1""")
+def a15_recall(spark, sf_dir):
+    return scoring.class_recall(scoring.confusion(_scored(spark, sf_dir), "quality", "predicted"))
+
+
+@query(f"""WITH {_SCORED}, m AS (SELECT coalesce(CAST(quality AS VARCHAR), 'None') AS truth, coalesce(CAST(predicted AS VARCHAR), 'None') AS predicted FROM s)
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM m""")
+def a15_accuracy(spark, sf_dir):
+    return scoring.accuracy(scoring.confusion(_scored(spark, sf_dir), "quality", "predicted")).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(f"""WITH {p_sql()}, x AS (SELECT thread_month, coalesce(skills, []) AS skills FROM p), f AS (SELECT thread_month,
+  CASE WHEN len(skills) = 0 THEN 0.0 ELSE 2 * len(list_intersect(skills, {_MINE})) / (len(skills) + 5) END AS f1 FROM x)
+SELECT thread_month, count(*) AS n, round(avg(f1), 9) AS macro_f1 FROM f GROUP BY 1""")
+def a17_slice_f1(spark, sf_dir):
+    rows = postings(spark, sf_dir)
+    rows = rows.withColumn("s", scoring.set_scores(F.coalesce("skills", F.array().cast("array<string>")), F.array(*map(F.lit, MINE)), canonical=False))
+    return scoring.set_report(rows, "s", ["thread_month"]).select("thread_month", "n", F.round("macro_f1", 9).alias("macro_f1"))
+
+
+_RANKED = "e AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)"
+
+
+@query(f"WITH {_RANKED} SELECT event_type, len(v) AS n, round((v[(len(v) + 1) // 2] + v[(len(v) + 2) // 2]) / 2, 9) AS p50, v[CAST(floor(len(v) * 0.95) AS BIGINT)] AS p95 FROM e")
+def a18_p50_p95(spark, sf_dir):
+    return scoring.latencies(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", "n", F.round("p50", 9).alias("p50"), "p95")
+
+
+@query(f"WITH {_RANKED} SELECT event_type, v[CAST(ceil(len(v) * 0.95) AS BIGINT)] AS p95_nearest FROM e")
+def a19_p95_nearest(spark, sf_dir):
+    return scoring.latencies(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", "p95_nearest")
+
+
+@query("""WITH j AS (SELECT lang, quality, toxic, n_chars > 400 AS a, n_chars > 1500 AS b FROM documents JOIN labels USING (doc_id))
+SELECT lang, CAST(count_if(a <> (quality = 1)) AS BIGINT) AS A, CAST(count_if(b <> (quality = 1)) AS BIGINT) AS B FROM j GROUP BY 1""")
+def a23_disagreements(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    both = F.array(*[F.struct(F.lit(c).alias("config"), ((F.col("n_chars") > cut) != (F.col("quality") == 1)).cast("int").alias("off")) for c, cut in (("A", 400), ("B", 1500))])
+    return rows.select("lang", F.explode(both).alias("x")).select("lang", "x.*").groupBy("lang").pivot("config", ["A", "B"]).agg(F.sum("off"))
+
+
+@query("""SELECT lang, 'mean_chars' AS field, round(avg(n_chars), 6) AS score FROM documents GROUP BY 1
+UNION ALL SELECT lang, 'n' AS field, CAST(count(*) AS DOUBLE) AS score FROM documents GROUP BY 1""")
+def s28_unpivot_scores(spark, sf_dir):
+    wide = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+    return scoring.unpivoted(wide, ["lang"], {"n": "n", "mean_chars": "mean_chars"})
+
+
+_HEADER = r"regexp_extract(text, '(?m)^[^\S\n]*(\S[^\n]*?)[^\S\n]*$', 1)"
+_STRATUM = f"""CASE WHEN len(string_split({_HEADER}, '|')) > 2 THEN 'pipe' ELSE 'prose' END || '/' ||
+CASE WHEN contains(text, 'token') THEN 'has_salary' ELSE 'no_salary' END || '/' || CASE WHEN length(text) > 1200 THEN 'long' ELSE 'short' END"""
+
+
+def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("stratum", T.stratum(F.col("text"), F.col("text").contains("token")))
+
+
+@query(f"SELECT {_STRATUM} AS stratum, count(*) AS n FROM documents GROUP BY 1")
+def f28_strata(spark, sf_dir):
+    return _strata(spark, sf_dir).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT CASE WHEN len(string_split({_HEADER}, '|')) > 2 THEN 'pipe' WHEN length(text) > 1200 THEN 'long_prose' ELSE 'prose' END AS slice, count(*) AS n FROM documents GROUP BY 1")
+def f29_slices(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(T.slice_name(F.col("text")).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_PICK = "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('20260801:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 20"
+
+
+@query(_PICK)
+def w4_stratified_pick(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return sampling.pick(docs, dict.fromkeys(("de", "en", "es", "fr"), 20), "doc_id", "lang").select("doc_id", "lang")
+
+
+@query("""SELECT item_id, CASE WHEN row_number() OVER (ORDER BY md5('20260802:' || item_id), item_id) <= round_even((SELECT count(*) FROM benchmark) * (2 / 3), 0) THEN 'dev' ELSE 'held-out' END AS split FROM benchmark""")
+def w5_split(spark, sf_dir):
+    return sampling.split(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "split")
+
+
+@query(f"""WITH c AS (SELECT lang AS value, count(*) AS attempts FROM ({_PICK}) GROUP BY 1), q AS (SELECT *, round_even(attempts * 0.8, 0) / attempts AS p FROM c)
+SELECT value, attempts AS n, round((({_WILSON.format(1, 'least', '+')}) - ({_WILSON.format(0, 'greatest', '-')})) / 2, 9) AS margin FROM q""")
+def a30_slice_power(spark, sf_dir):
+    return sampling.slice_power(w4_stratified_pick(spark, sf_dir), ["lang"]).select("value", "n", F.round("margin", 9).alias("margin"))
+
+
+def _entities_sql() -> str:
+    out = r"regexp_replace(replace(html, '<p>', chr(10) || chr(10)), '<[^>]+>', '', 'g')"
+    for entity, plain in T.ENTITIES.items():
+        out = f"replace({out}, '{entity}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+@query(rf"SELECT page_id, md5(regexp_replace(regexp_replace({_entities_sql()}, '^\s+', ''), '\s+$', '')) AS hash FROM pages")
+def f1_html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_to_text(F.col("html"))).alias("hash"))
+
+
+@query("""WITH x AS (SELECT p_partkey, lower(trim(p_name)) AS a, lower(trim(p_type)) AS b FROM part),
+g AS (SELECT *, [substr(a, i, 2) FOR i IN range(1, length(a))] AS ga, [substr(b, i, 2) FOR i IN range(1, length(b))] AS gb FROM x),
+s AS (SELECT *, list_sum([least(len(list_filter(ga, lambda y: y = z)), len(list_filter(gb, lambda y: y = z))) FOR z IN list_distinct(ga)]) AS shared FROM g)
+SELECT p_partkey, CASE WHEN a = b THEN 1.0 WHEN length(a) < 2 OR length(b) < 2 THEN 0.0 ELSE round(2.0 * shared / (len(ga) + len(gb)), 9) END AS dice FROM s""")
+def f24_dice(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(T.dice(F.col("p_name"), F.col("p_type")), 9).alias("dice"))
+
+
+@query(r"SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), '(^|[^\w.+#])(gear)($|[^\w+#])') OR regexp_matches(lower(p_type), '(^|[^\w.+#])(gear)($|[^\w+#])')")
+def f30_boundary_match(spark, sf_dir):
+    hit = F.lower(F.concat_ws("\n", "p_name", "p_type")).rlike(S.vocabulary_pattern("gear"))
+    return table(spark, sf_dir, "part").where(hit).select("p_partkey")
+
+
+_WORDS = "CASE (p_partkey % 5) WHEN 0 THEN ['K8s', ' postgres ', 'Python'] WHEN 1 THEN ['golang', 'go', 'TS'] WHEN 2 THEN [lower(p_brand)] WHEN 3 THEN ['rails', 'JS', 'js'] ELSE [] END"
+_CASES = lambda t, x: f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in t.items()) + f" ELSE {x} END"
+
+
+@query(f"""WITH w AS (SELECT p_partkey, list_sort(list_distinct([{_CASES(SYNONYMS, 'lower(trim(s))')} FOR s IN {_WORDS}])) AS c FROM part)
+SELECT p_partkey, array_to_string(c, ',') AS canonical, array_to_string([{_CASES(DISPLAY, 's')} FOR s IN c], ',') AS shown FROM w""")
+def f18_normalize(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    lists = [["K8s", " postgres ", "Python"], ["golang", "go", "TS"], None, ["rails", "JS", "js"]]
+    skills = F.when(k == 2, F.array(F.lower("p_brand")))
+    for i, x in enumerate(lists):
+        if x:
+            skills = skills.when(k == i, F.array(*map(F.lit, x)))
+    rows = table(spark, sf_dir, "part").withColumn("skills", skills)
+    return _plain(rows.select("p_partkey", S.canonical(F.col("skills")).alias("canonical"), S.displayed(F.col("skills")).alias("shown")), "canonical", "shown")
+
+
+@query("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 12 WHEN '3' THEN 2080 END AS annual FROM orders")
+def f20_annualise(spark, sf_dir):
+    first = F.substring("o_orderpriority", 1, 1)
+    period = F.when(first == "1", "year").when(first == "2", "month").when(first == "3", "hour").when(first == "4", "week")
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.to_annual(F.floor("o_totalprice").cast("long"), period).alias("annual"))
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS hash FROM conversations")
+def s7_flatten_thread(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    nested = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("comments"))
+    return nested.select("conv_id", F.explode("comments").alias("c")).select("conv_id", "c.turn", "c.role", F.md5("c.text").alias("hash"))
+
+
+_MONTHS = "(list_position(['january','february','march','april','may','june','july','august','september','october','november','december'], lower(regexp_extract(t, '\\(([A-Za-z]+)\\s+(\\d{4})\\)', 1))))"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, 'Who is hiring? (' || strftime(o_orderdate, '%B %Y') || ')' AS t FROM orders)
+SELECT o_orderkey, regexp_extract(t, '\\((\\w+)\\s+(\\d{{4}})\\)', 2) || '-' || lpad(CAST({_MONTHS} AS VARCHAR), 2, '0') || '-01' AS thread_date FROM x""")
+def f2_thread_date(spark, sf_dir):
+    title = F.concat(F.lit("Who is hiring? ("), F.date_format("o_orderdate", "MMMM yyyy"), F.lit(")"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.thread_date(title).cast("string").alias("thread_date"))
+
+
+@query("SELECT w.position, w.item_id, md5(text) AS hash FROM (VALUES (0, 7), (1, 3), (2, -1)) w(position, item_id) LEFT JOIN benchmark b ON b.item_id = w.item_id")
+def j1_lookup_ordered(spark, sf_dir):
+    return threads.lookup(table(spark, sf_dir, "benchmark"), [7, 3, -1], "item_id").select("position", "item_id", F.md5("text").alias("hash"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def j3_semi(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def j9_anti(spark, sf_dir):
+    return logs.remaining(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS only_a,
+(SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS only_b, CAST(0 AS BIGINT) AS repeated""")
+def j8_set_equality(spark, sf_dir):
+    return logs.same_ids(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def w3_latest_per_key(spark, sf_dir):
+    return threads.latest_per_key(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "value")
+
+
+@query("""WITH o AS (SELECT strftime(ts, '%Y-%m-%d') AS date, CAST(user_id AS VARCHAR) AS thread_id, count(*) AS n FROM events GROUP BY 1, 2),
+u AS (SELECT * FROM o WHERE user_id_is_even(thread_id)) SELECT 1""".replace("user_id_is_even(thread_id)", "CAST(thread_id AS BIGINT) % 2 = 0").replace("SELECT 1", "SELECT date, thread_id, CASE WHEN CAST(thread_id AS BIGINT) % 2 = 0 THEN n + 1000 ELSE n END AS n FROM o"))
+def s18_history_upsert(spark, sf_dir):
+    old = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("user_id").cast("string").alias("thread_id")).agg(F.count(F.lit(1)).alias("n"))
+    new = old.where(F.col("thread_id").cast("long") % 2 == 0).withColumn("n", F.col("n") + 1000)
+    return logs.upserted(old, new)
+
+
+@query("""WITH o AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC) AS r FROM o) WHERE r = 1""")
+def a32_latest_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("thread_id"), F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    return logs.latest_totals(rows, ["n"])
+
+
+@query("SELECT lang AS stratum, count(*) AS total, CAST(count_if(quality IS NOT NULL) AS BIGINT) AS done FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def a25_progress(spark, sf_dir):
+    sample = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("comment_id"), F.col("lang").alias("stratum"))
+    return logs.progress(sample, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("comment_id")))
+
+
+@query("""WITH b AS (SELECT doc_id, [x[1] FOR x IN [['p', contains(text, '|')::VARCHAR], ['n', contains(text, '!!')::VARCHAR]] IF x[2] = 'true'] AS m FROM documents)
+SELECT k.bucket, k.shape, count(b.doc_id) AS n FROM (VALUES ('p', 'bars'), ('n', 'shouting'), ('z', 'never')) k(bucket, shape) LEFT JOIN b ON list_contains(b.m, k.bucket) GROUP BY 1, 2""")
+def a24_tally(spark, sf_dir):
+    text = F.col("text")
+    marks = F.filter(F.array(F.when(text.contains("|"), F.lit("p")), F.when(text.contains("!!"), F.lit("n"))), lambda x: x.isNotNull())
+    rows = table(spark, sf_dir, "documents").select("doc_id", marks.alias("buckets"))
+    return logs.tally(rows, {"p": "bars", "n": "shouting", "z": "never"})
+
+
+@query("SELECT item_id, substr(sha256(text), 1, 8) AS hash FROM benchmark")
+def f31_sha_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.short_hash(F.col("text")).alias("hash"))
+
+
+@query("SELECT event_id, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Toronto', '%Y-%m-%d') AS run_date FROM events")
+def f32_toronto_date(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.run_date(F.col("ts")).alias("run_date"))
+
+
+_DIGITS = "regexp_replace(v, '\\D', '', 'g')"
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, lower(text) AS h, CASE turn % 3 WHEN 0 THEN substr(text, 3, 12) WHEN 1 THEN '12,000' ELSE 'no such thing' END AS v FROM conversations),
+y AS (SELECT *, trim(lower(v)) AS n, regexp_replace(v, '\D', '', 'g') AS d, regexp_replace(h, '[,\s]', '', 'g') AS c FROM x)
+SELECT conv_id, turn, n = '' OR contains(h, n) OR (length(d) >= 2 AND contains(c, d)) OR (length(d) >= 2 AND ends_with(d, '000') AND contains(c, regexp_replace(d, '000$', '') || 'k')) AS grounded FROM y""")
+def f35_verify_claim(spark, sf_dir):
+    k = F.col("turn") % 3
+    value = F.when(k == 0, F.substring("text", 3, 12)).when(k == 1, "12,000").otherwise("no such thing")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.verify_claim(value, F.col("text"))["grounded"].alias("grounded"))
+
+
+@query("""SELECT l_returnflag, CAST(sum(CAST(floor(l_quantity) AS BIGINT) * 10 - CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS input, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS output,
+round((sum(CAST(floor(l_quantity) AS BIGINT) * 9) * 3.0 + sum(CAST(floor(l_quantity) AS BIGINT)) * 15.0 + sum(CAST(floor(l_quantity) AS BIGINT)) * 0.3) / 1000000, 9) AS cost_usd FROM lineitem GROUP BY 1""")
+def a22_cost(spark, sf_dir):
+    q = F.floor("l_quantity").cast("long")
+    usage = table(spark, sf_dir, "lineitem").select("l_returnflag", (q * 10).alias("input_tokens"), q.alias("output_tokens"), q.alias("cache_read"), F.lit(0).cast("long").alias("cache_write"))
+    spent = scoring.cost(scoring.tokens(usage, ["l_returnflag"]), {"input": 3.0, "output": 15.0, "cache_read": 0.3, "cache_write": 0.0})
+    return spent.select("l_returnflag", "input", "output", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+@query()
+def f17_extract(spark, sf_dir):
+    """All fields of the rules' extraction over whole documents (Arrow-batched; no SQL form)."""
+    return table(spark, sf_dir, "documents").select("doc_id", extraction(F.col("text")).alias("e")).select("doc_id", "e.company", "e.location", "e.remote", "e.salary_min", "e.salary_max", F.array_join("e.skills", ",").alias("skills"), "e.seniority", "e.visa_sponsor", is_confident(F.col("e.confidence")).alias("confident"))
+
+
+@query()
+def x5_claims(spark, sf_dir):
+    """Claims of made-up summaries of orders, checked against the orders (offset logic; no SQL form)."""
+    rows = postings(spark, sf_dir, "yyyy").groupBy("thread_month", "seniority").agg(F.slice(F.sort_array(F.collect_list(F.struct("salary_min", "salary_max", "skills"))), 1, 3).alias("rows"), F.max("salary_min").alias("top"))
+    said = rows.withColumn("summary", F.concat(F.lit("About 3 roles pay up to $"), F.format_number("top", 0), F.lit(" and ask for Python")))
+    return C.claims(said, "summary", "rows").select("thread_month", "seniority", "kind", "text", "grounded")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodespar.functions import skills as S
 from lodespar.functions.text import same_location
 
-Z = 1.96
+Z = 1.959963984540054
 OUTCOMES = ["abstained", "hallucinated", "missed", "extracted", "wrong"]
 FIELDS = ["company", "salary", "location", "skills", "remote", "seniority"]
 USABLE, WEAK = 0.15, 0.25

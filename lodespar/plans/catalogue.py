@@ -200,7 +200,7 @@ def a10_outcomes(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("lang", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-_WILSON = """CASE WHEN attempts = 0 THEN {0}.0 ELSE {1}({0}.0, ((p + 1.96 * 1.96 / (2 * attempts)) {2} 1.96 * sqrt(p * (1 - p) / attempts + 1.96 * 1.96 / (4 * attempts * attempts))) / (1 + 1.96 * 1.96 / attempts)) END"""
+_WILSON = """CASE WHEN attempts = 0 THEN {0}.0 ELSE {1}({0}.0, ((p + 1.959963984540054 * 1.959963984540054 / (2 * attempts)) {2} 1.959963984540054 * sqrt(p * (1 - p) / attempts + 1.959963984540054 * 1.959963984540054 / (4 * attempts * attempts))) / (1 + 1.959963984540054 * 1.959963984540054 / attempts)) END"""
 
 
 @query(f"""WITH {_SCORED}, c AS (SELECT lang, count(*) AS n, count_if(outcome = 'extracted') AS extracted, count_if(outcome = 'hallucinated') AS h,

@@ -76,4 +76,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_stratified_shards,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_KEYED = "CASE WHEN source IS NULL THEN '1' ELSE '0' || source END"
+_SHUFFLE = "CAST('0x' || substr(md5('17' || chr(31) || doc_id), 1, 15) AS BIGINT)"
+
+
+def _op1_sql() -> str:
+    return f"""WITH d AS (SELECT doc_id, {_KEYED} AS k, len({_WORDS}) AS size, {_SHUFFLE} AS h FROM documents),
+s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, [{', '.join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY k) - 1) % {len(WEIGHTS)} + 1] AS w FROM d GROUP BY k),
+l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER b, 0) AS DOUBLE) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level
+  FROM s WINDOW b AS (ORDER BY source_size * 3 / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT k, source_size, least(CAST(source_size * 3 AS DOUBLE), max(level) OVER () * w) AS target FROM l),
+q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
+x AS (SELECT d.*, source_size, target, quota, CAST(coalesce(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM d JOIN q USING (k))
+SELECT doc_id, size, source_size, target, {' + '.join(f'greatest(0, least(size, quota - {e} * source_size - a))' for e in range(3))} AS taken FROM x"""
+
+
+_OP3_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id"""
+
+_OP4_SQL = f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM w)),
+m AS (SELECT x, min(doc_id) AS first FROM v GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS i FROM v JOIN m USING (x) WHERE first < doc_id),
+e AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM w),
+k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS kept, count(*) AS n FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+
+def _op9_sql() -> str:
+    sets = {name: license_scan.template_bigrams(t) for name, t in sorted(license_scan.TEMPLATES.items())}
+    limits = {name: license_scan.bounds(len(s), license_scan.THRESHOLD) for name, s in sets.items()}
+    quoted = lambda items: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+    rows = ", ".join(f"('{n}', {quoted(s)}, {limits[n][0]}, {limits[n][1]})" for n, s in sets.items())
+    low, most = min(a for a, _ in limits.values()), max(b for _, b in limits.values())
+    token = r"[\p{L}\p{N}]+"
+    return f"""WITH t(license, s, low, most) AS (VALUES {rows}),
+u AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, false AS whole FROM documents UNION ALL SELECT doc_id, text, true FROM documents WHERE contains(text, chr(10))),
+w AS (SELECT row_number() OVER () AS id, doc_id, whole, regexp_extract_all(lower(unit), '{token}') AS w FROM u),
+g AS (SELECT id, doc_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS s FROM w WHERE len(w) - 1 >= {low} AND (NOT whole OR len(w) - 1 <= {most})),
+h AS (SELECT id, doc_id, license, len(list_intersect(g.s, t.s)) * 2.0::DOUBLE / (len(g.s) + len(t.s)) AS dice FROM g JOIN t ON len(g.s) BETWEEN low AND most),
+b AS (SELECT id, doc_id, license, dice FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dice DESC, license) AS r FROM h WHERE dice >= {license_scan.THRESHOLD}) WHERE r = 1),
+a AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses, max(dice) AS best FROM b GROUP BY 1)
+SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, coalesce(n, 0) AS n_hits, coalesce(licenses, '') AS licenses, coalesce(best, 0.0) AS best_dice
+FROM documents LEFT JOIN a USING (doc_id)"""
+
+
+_OP10_SQL = f"""WITH c AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+d AS (SELECT doc_id, {_KEYED} AS k, strlen(coalesce(text, '')) AS bytes, {_SHUFFLE} AS h,
+  xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM documents, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY h, doc_id) - 1 AS r, count(*) OVER (PARTITION BY k) AS n, count(*) OVER () AS total FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (r + 0.5::DOUBLE) / n, k, r) - 1 AS pos FROM r)
+SELECT doc_id, bytes + 16 AS size, crc AS text_crc32, 'rows' AS law, CAST(pos * 40 // total AS INTEGER) AS shard, CAST(pos - (pos * 40 // total * total + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
+
+#: The others: 2 (WAV, CRC-32), 5 (a tokenizer), 6 (a trie), 7 (hashes of k-mers) and 8 (a fitted model)
+#: have no SQL form; tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_source_mix": _op1_sql(),
+    "op3_minhash_near_dedup": _OP3_SQL,
+    "op4_substring_dedup": _OP4_SQL,
+    "op9_license_scan": _op9_sql(),
+    "op10_stratified_shards": _OP10_SQL,
+}

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespar.llm._shared import WORD, bucket_bits, materialize, running, seeded_hash, source_key
@@ -32,13 +32,14 @@ from lodespar.llm._shared import WORD, bucket_bits, materialize, running, seeded
 GOLDEN, TURN, CELLS = 1640531527, 1 << 32, 4096
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, _k (source key), size in words, _h (the shuffle)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return materialize(
-        docs.select("doc_id", source_key().alias("_k"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), seeded_hash(seed, F.col("doc_id"), F.crc32(text.cast("binary"))).alias("_h")),
-        "mix-sizes",
-    )
+    """doc_id, _k (source key), size in words, _h (the shuffle), _t (the text's hash)."""
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    return materialize(docs.select("doc_id", source_key().alias("_k"), size.alias("size"), seeded_hash(seed, F.col("doc_id")).alias("_h"), _text_hash().alias("_t")), "mix-sizes")
 
 
 def targets(rows: DataFrame, weights: list[int], most: int) -> DataFrame:
@@ -79,7 +80,7 @@ def schedule(sources: DataFrame, n_slots: int, block_words: int) -> DataFrame:
 def mix(docs: DataFrame, weights: list[int], most: int = 3, block_words: int = 2048, seed: int = 17) -> DataFrame:
     """The mixture, a row for each stretch of a document in a slot.
 
-    slot, epoch, doc_id, source key ``_k``, ``_h`` and ``_rank`` (which row of the input), size,
+    slot, epoch, doc_id, source key ``_k``, text hash ``_t`` and ``_rank`` (which row of the input), size,
     source_size, target, first_word, n_words. A document that is in no slot has one row without
     slot, with n_words 0.
     """
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, weights: list[int], most: int = 3, block_words: int = 2
     sources = targets(rows, weights, most)
     slots = schedule(sources, math.ceil(words / block_words), block_words)
     bits = bucket_bits(n)
-    line = running(rows.withColumn("_b", F.shiftright("_h", 60 - bits)), ["_k"], "_b", [F.col("_h"), F.col("doc_id"), F.col("size")], "_rank", "size", "_start")
+    line = running(rows.withColumn("_b", F.shiftright("_h", 60 - bits)), ["_k"], "_b", [F.col("_h"), F.col("doc_id"), F.col("_t")], "_rank", "size", "_start")
     line = line.drop("_b").join(sources.drop("_lo", "_hi"), "_k")
     # A document's copies: one for each epoch in which the target reaches it.
     epochs = F.expr(f"filter(transform(sequence(0, {most - 1}), e -> named_struct('e', e, 'a', e * source_size + _start)), x -> x.a < quota and size > 0)")
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, weights: list[int], most: int = 3, block_words: int = 2
     blocks = copies.withColumn("rank", F.explode_outer(F.expr(f"sequence(_a div {block_words}, (_z - 1) div {block_words})")))
     parts = blocks.join(slots, ["_k", "rank"], "left")
     low, high = F.greatest("_a", F.col("rank") * block_words), F.least("_z", (F.col("rank") + 1) * block_words)
-    return parts.select("slot", "epoch", "doc_id", "_k", "_h", "_rank", "size", "source_size", "target", (low - F.col("_a")).alias("first_word"), F.coalesce(F.when(F.col("slot").isNotNull(), high - low), F.lit(0)).alias("n_words"))
+    return parts.select("slot", "epoch", "doc_id", "_k", "_t", "_rank", "size", "source_size", "target", (low - F.col("_a")).alias("first_word"), F.coalesce(F.when(F.col("slot").isNotNull(), high - low), F.lit(0)).alias("n_words"))
 
 
 def taken(parts: DataFrame) -> DataFrame:
@@ -111,9 +112,8 @@ def mix_documents(docs: DataFrame, weights: list[int], most: int = 3, block_word
     id and text share the copies that the mixture gives them evenly.
     """
     parts = mix(docs, weights, most, block_words, seed)
-    copies = parts.groupBy("_k", "_rank", "_h", "epoch", "size").agg(F.sum("n_words").alias("_t")).withColumn("_one", F.when((F.col("size") == 0) | (F.col("_t") * 2 >= F.col("size")), 1).otherwise(0))
-    copies = copies.groupBy("_h").agg(F.sum("_one").alias("_c"), F.count_distinct("_k", "_rank").alias("_m"))
-    copies = materialize(copies.select("_h", F.expr("(_c + _m div 2) div _m").cast("int").alias("_copies")).where("_copies > 0"), "mix-copies")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_h", seeded_hash(seed, F.col("doc_id"), F.crc32(text.cast("binary"))))
-    return keyed.join(copies, "_h").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+    copies = parts.groupBy("_k", "_rank", "doc_id", "_t", "epoch", "size").agg(F.sum("n_words").alias("_words")).withColumn("_one", F.when((F.col("size") == 0) | (F.col("_words") * 2 >= F.col("size")), 1).otherwise(0))
+    copies = copies.groupBy(F.xxhash64("doc_id", "_t").alias("_row")).agg(F.sum("_one").alias("_c"), F.count_distinct("_k", "_rank").alias("_m"))
+    copies = materialize(copies.select("_row", F.expr("(_c + _m div 2) div _m").cast("int").alias("_copies")).where("_copies > 0"), "mix-copies")
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), _text_hash()))
+    return keyed.join(copies, "_row").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)

@@ -31,13 +31,13 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
             source_key().alias("_k"),
             F.octet_length(text).cast("long").alias("_bytes"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-        ).withColumn("_h", seeded_hash(seed, F.col("doc_id"), F.col("text_crc32"))),
+        ).withColumn("_h", seeded_hash(seed, F.col("doc_id"))),
         "shard-rows",
     )
     totals = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_of"))
     n = rows.count()
     bits = bucket_bits(n)
-    order = [F.col("_h"), F.col("doc_id"), F.col("_bytes")]
+    order = [F.col("_h"), F.col("doc_id"), F.col("text_crc32"), F.col("_bytes")]
     ranked = running(rows.withColumn("_b", F.shiftright("_h", 60 - bits)), ["_k"], "_b", order, "_rank")
     placed = ranked.join(materialize(totals, "shard-totals"), "_k").withColumn("_place", (F.col("_rank") + F.lit(0.5)) / F.col("_of"))
     placed = materialize(placed.withColumn("_b", F.floor(F.col("_place") * (1 << bits))), "shard-places")

@@ -76,6 +76,12 @@ def forget(spark: SparkSession, *scopes: str) -> None:
             fs.delete(status.getPath(), True)
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

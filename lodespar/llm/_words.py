@@ -6,8 +6,9 @@ bytes, so any string, however long or odd, goes through unchanged.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,27 @@ U = np.uint64
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker is reused, and what it keeps counts against its
+    executor while other stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over a task's batches, then ``release``."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)

@@ -1,16 +1,17 @@
 """Language-model scoring by an Elias-Fano n-gram trie.
 
-Order 3. Words are numbered by the order of their 64-bit hashes. The trie's levels are cut into shards,
-files in the shared folder that workers map into memory:
+Order 3. Words are numbered by the order of their 64-bit hashes. The trie's levels are cut into a few
+files in the shared folder, which workers map into memory:
 
 - words: hash ranges, the sorted hashes of a range as an Elias-Fano sequence, with their counts;
-- pairs and triples: ranges of the pair (u, v). A shard has its first words u, monotone pointers to
+- pairs and triples: ranges of the pair (u, v). A file has its first words u, monotone pointers to
   their pairs, the second words (each range continuing after the last, so that all are one monotone
   sequence), pointers from pairs to their third words, and those. Beside each pair and triple stands
   its quantised discounted probability, beside each context the quantised weight it leaves to the
   shorter context.
 
-A query narrows to the context's range by the pointers, then looks its word up relative to it.
+A query narrows to the context's range by the pointers, then looks its word up relative to it. Queries
+are made many at once, sorted, one file after the other.
 
     p(w | u v) = a(u v w) + b(u v) * (a(v w) + b(v) * p(w)),   a = (c - D) / c(context),
     b(context) = 1 - sum of its a,   p(w) = (c + 1) / (N + V + 1)
@@ -20,10 +21,11 @@ sums to one over the known words and one unknown word. The end of a text is a to
 
 Counting: the tokens of a pass over the training texts are counted in a worker by runs of texts and
 sent as packed blobs, one for each shard: sorted keys as differences of fewest bytes, and the counts
-above one. A reducer merges the blobs of a shard and writes its file. Shards hold about as many tokens
-each, whatever the words: their bounds are quantiles of a sample of pairs, drawn by hash in proportion
-to the number of shards. Texts are passed over four times (words, pairs, triples, scores) and never
-shuffled. Files are replaced whole, so a task can run again anywhere.
+above one. A reducer merges the blobs of a shard and leaves its pruned counts; then ``GROUP`` shards at
+a time become one file of the trie. Shards hold about as many tokens each, whatever the words: their
+bounds are quantiles of a sample of pairs, drawn by hash in proportion to the number of shards. Texts
+are passed over four times (words, pairs, triples, scores) and never shuffled. Files are replaced
+whole, so a task can run again anywhere.
 
 Nulls: a null text is one end token; a null doc_id hashes as the empty text. Repeated rows count each.
 Without training rows every token is unknown.
@@ -41,13 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._grouped import borders, over_runs
-from lodespar.llm._shared import materialize, new_path
-from lodespar.llm._words import U, Words, mix, slices, texts
+from lodespar.llm._shared import delete, new_path
+from lodespar.llm._words import U, Words, mix, slices, texts, tidy
 from lodespar.llm.elias_fano import EliasFano, encode, read_arrays, write_arrays
 
 DISCOUNT, LEAST_COUNT = 0.75, 2
 #: Bytes of text for a shard, tokens that a worker counts at once, sampled pairs for a shard.
 SHARD_BYTES, HELD, SAMPLE = 8 << 20, 1 << 20, 200
+#: Shards that make one file.
+GROUP = 32
 FOLDS, HELD_OUT = 7, 2
 END = U(0x656E64206F662074)
 #: Quantised log10: 16 bits over twelve decades.
@@ -118,31 +122,31 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
 
 @dataclass
 class Trie:
-    """Where the levels are and how to number their contents; small: a few numbers a shard."""
+    """Where the files are and how to number their contents; small: a few numbers a shard."""
 
     root: str
-    ranges: int
+    shards: int
+    #: Number of the first word of each file, and of all words.
     word_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     n_words: int = 0
     n_tokens: int = 0
-    #: Least pair key u * n_words + v of each shard, and the number of its first pair.
+    #: Least pair key u * n_words + v of each shard; every GROUP-th is a file's.
     bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, U))
-    #: What is left by words whose pairs lie in several shards.
+    #: What is left by words whose pairs lie in several files.
     split: dict[int, float] = field(default_factory=dict)
 
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: unknown) and count of each of the sorted hashes."""
         out, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        part = _range_of(h, self.ranges)
+        part = _range_of(h, self.shards).astype(np.int64) // GROUP
         cut = borders(part)
         for lo, hi in zip(cut[:-1], cut[1:]):
-            r = int(part[lo])
-            if self.word_starts[r] == self.word_starts[r + 1]:
-                continue
-            arrays = read_arrays(f"{self.root}/words-{r}")
-            at = EliasFano(arrays, "hash").find(h[lo:hi])
-            out[lo:hi] = np.where(at >= 0, at + self.word_starts[r], -1)
-            count[lo:hi] = np.where(at >= 0, arrays["count"][np.maximum(at, 0)], 0)
+            g = int(part[lo])
+            if g + 1 < len(self.word_starts) and self.word_starts[g] < self.word_starts[g + 1]:
+                arrays = read_arrays(f"{self.root}/words/{g}")
+                at = sequence(f"{self.root}/words/{g}", "hash").find(h[lo:hi])
+                out[lo:hi] = np.where(at >= 0, at + self.word_starts[g], -1)
+                count[lo:hi] = np.where(at >= 0, arrays["count"][np.maximum(at, 0)], 0)
         return out, count
 
     def text_ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,38 +157,48 @@ class Trie:
     def key(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return u.astype(U) * U(self.n_words) + v.astype(U)
 
-    def shards(self, keys: np.ndarray) -> np.ndarray:
+    def words_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys // U(self.n_words)).astype(np.int64), (keys % U(self.n_words)).astype(np.int64)
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, keys, "right") - 1
 
+    @property
+    def files(self) -> int:
+        return -(-len(self.bounds) // GROUP)
 
-@dataclass
-class Shard:
-    arrays: dict[str, np.ndarray]
-
-    def __post_init__(self):
-        a = self.arrays
-        self.u, self.u_to, self.v = EliasFano(a, "u"), EliasFano(a, "u_to"), EliasFano(a, "v")
-        self.third = "w.head" in a
-        if self.third:
-            self.v_to, self.w = EliasFano(a, "v_to"), EliasFano(a, "w")
-
-    @staticmethod
-    def relative(pointers: EliasFano, words: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Index of ``word`` in the range of ``context`` (an index), -1 if it is not there."""
-        ctx, back = np.unique(context, return_inverse=True)
-        lo, hi = pointers.access(ctx), pointers.access(ctx + 1)
-        before = np.where(lo > 0, words.access(np.maximum(lo.astype(np.int64) - 1, 0)), U(0))
-        at = words.find(word.astype(U) + before[back] + U(1))
-        return np.where((at >= lo[back].astype(np.int64)) & (at < hi[back].astype(np.int64)), at, -1)
-
-    def pair(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of u, index of the pair), -1 where missing."""
-        first = self.u.find(u)
-        out = np.full(len(u), -1, np.int64)
-        some = first >= 0
-        if some.any():
-            out[some] = self.relative(self.u_to, self.v, first[some], v[some])
-        return first, out
+
+_SEQUENCES: dict[tuple[str, str], EliasFano] = {}
+
+
+def sequence(path: str, name: str) -> EliasFano:
+    """A worker's sequences, made once."""
+    if (path, name) not in _SEQUENCES:
+        _SEQUENCES[path, name] = EliasFano(read_arrays(path), name)
+    return _SEQUENCES[path, name]
+
+
+def relative(pointers: EliasFano, words: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Index of ``word`` in the range of ``context`` (an index), -1 if it is not there."""
+    ctx, back = np.unique(context, return_inverse=True)
+    lo, hi = pointers.access(ctx), pointers.access(ctx + 1)
+    before = np.where(lo > 0, words.access(np.maximum(lo.astype(np.int64) - 1, 0)), U(0)) if len(words) else np.zeros(len(lo), U)
+    at = words.find(word.astype(U) + before[back] + U(1))
+    return np.where((at >= lo[back].astype(np.int64)) & (at < hi[back].astype(np.int64)), at, -1)
+
+
+def find_pair(path: str, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of u, index of the pair) in a file, -1 where missing."""
+    first = sequence(path, "u").find(u)
+    out = np.full(len(u), -1, np.int64)
+    some = first >= 0
+    if some.any():
+        out[some] = relative(sequence(path, "u_to"), sequence(path, "v"), first[some], v[some])
+    return first, out
+
+
+def find_triple(path: str, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return relative(sequence(path, "v_to"), sequence(path, "w"), pair, w)
 
 
 def chain(starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -196,15 +210,6 @@ def chain(starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids.astype(U) + U(1) + np.repeat(base, last + 1 - starts)
 
 
-_SHARDS: dict[str, Shard] = {}
-
-
-def _shard(path: str) -> Shard:
-    if path not in _SHARDS:
-        _SHARDS[path] = Shard(read_arrays(path))
-    return _SHARDS[path]
-
-
 def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
@@ -255,19 +260,61 @@ def _count_words(ranges: int, sample: int):
     return work
 
 
-def _write_words(root: str):
+def _keep_words(root: str):
+    """A shard's words to a file; its numbers, and the sampled pairs as they came."""
+
     def work(table: pa.Table) -> pa.RecordBatch:
         part, blobs, out = table["part"].to_numpy(), table["blob"].to_pylist(), []
         cut = borders(part)
         for lo, hi in zip(cut[:-1], cut[1:]):
+            if part[lo] < 0:
+                out += [(-1, 0, 0, b) for b in blobs[lo:hi]]
+                continue
             keys, counts = merge(blobs[lo:hi])
-            write_arrays(f"{root}/words-{part[lo]}", encode(keys, "hash") | {"count": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64)})
-            out.append((int(part[lo]), len(keys), int(counts.sum())))
-        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], ["part", "n", "total"])
+            write_arrays(f"{root}/counts/words-{part[lo]}", {"key": keys, "count": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64)})
+            out.append((int(part[lo]), len(keys), int(counts.sum()), None))
+        part, n, total, blob = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(blob, pa.binary())], ["part", "n", "total", "blob"])
 
     return work
 
 
+def _shards_of(root: str, level: str, file: int, shards: int) -> list[tuple[int, dict[str, np.ndarray]]]:
+    """The shards of a file that have anything, in order."""
+    found = []
+    for part in range(file * GROUP, min((file + 1) * GROUP, shards)):
+        try:
+            found.append((part, read_arrays(f"{root}/counts/{level}-{part}")))
+        except FileNotFoundError:
+            continue
+    return found
+
+
+def _per_file(spark, files: int, make, schema: str) -> DataFrame:
+    """``make(file)`` -> rows, one task for each file of the trie."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                rows = make(file)
+                kinds = [pa.float64() if c.split()[1] == "double" else pa.int64() for c in schema.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    return spark.range(0, files, 1, files).mapInArrow(work, schema)
+
+
+def _join_words(root: str, shards: int):
+    def make(file: int) -> list[tuple]:
+        parts = [a for _, a in _shards_of(root, "words", file, shards)]
+        keys = np.concatenate([a["key"] for a in parts]) if parts else np.zeros(0, U)
+        counts = np.concatenate([a["count"] for a in parts]) if parts else np.zeros(0, np.uint32)
+        write_arrays(f"{root}/words/{file}", encode(keys, "hash") | {"count": counts})
+        return [(file, len(keys))]
+
+    return make
+
+
 def _count_pairs(trie: Trie):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, first in _training(batches):
@@ -276,63 +323,70 @@ def _count_pairs(trie: Trie):
             if not len(at):
                 continue
             keys, counts = counted(trie.key(ids[at], ids[at + 1]))
-            part = trie.shards(keys)
+            part = trie.shard(keys)
             cut = borders(part)
             yield _blobs([(int(part[lo]), pack(keys[lo:hi], counts[lo:hi])) for lo, hi in zip(cut[:-1], cut[1:])])
 
     return work
 
 
-def _word_counts(trie: Trie, ids: np.ndarray) -> np.ndarray:
-    """Counts of sorted word numbers."""
-    out = np.zeros(len(ids), np.int64)
-    part = np.searchsorted(trie.word_starts, ids, "right") - 1
-    cut = borders(part)
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        r = int(part[lo])
-        out[lo:hi] = read_arrays(f"{trie.root}/words-{r}")["count"][ids[lo:hi] - trie.word_starts[r]]
-    return out
-
-
-def _write_pairs(trie: Trie):
+def _keep_pruned(root: str, level: str):
     def work(table: pa.Table) -> pa.RecordBatch:
-        part, blobs, out = table["part"].to_numpy(), table["blob"].to_pylist(), []
+        part, blobs = table["part"].to_numpy(), table["blob"].to_pylist()
         cut = borders(part)
         for lo, hi in zip(cut[:-1], cut[1:]):
             keys, counts = merge(blobs[lo:hi])
             keep = counts >= LEAST_COUNT
-            keys, counts = keys[keep], counts[keep]
-            u, v = (keys // U(trie.n_words)).astype(np.int64), (keys % U(trie.n_words)).astype(np.int64)
-            starts = borders(u)[:-1]
-            firsts = u[starts]
-            of = _word_counts(trie, firsts)
-            size = np.diff(np.append(starts, len(u)))
-            kept = np.add.reduceat(counts - DISCOUNT, starts) if len(u) else np.zeros(0)
-            arrays = encode(firsts, "u") | encode(np.append(starts, len(u)), "u_to") | encode(chain(starts, v) if len(u) else v, "v")
-            arrays |= {"pair": quantise((counts - DISCOUNT) / np.repeat(of, size)), "left_u": quantise(1 - kept / of), "count": counts.astype(np.int64)}
-            write_arrays(f"{trie.root}/pairs-{part[lo]}", arrays)
-            ends = [(int(firsts[i]), float(kept[i]), int(of[i])) for i in ({0, len(firsts) - 1} if len(firsts) else ())]
-            out += [(int(part[lo]), *e) for e in ends]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.int64())], ["part", "word", "kept", "total"])
+            write_arrays(f"{root}/counts/{level}-{part[lo]}", {"key": keys[keep], "count": counts[keep].astype(np.uint32 if counts.max() < 1 << 32 else np.int64)})
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(part))], ["part"])
 
     return work
 
 
-def _pairs_of(trie: Trie, keys: np.ndarray, u: np.ndarray, v: np.ndarray, level: str) -> Iterator[tuple[slice, int, Shard]]:
-    """Slices of the sorted pair keys by shard."""
-    part = trie.shards(keys)
+def _word_counts(trie: Trie, ids: np.ndarray) -> np.ndarray:
+    """Counts of sorted word numbers."""
+    out = np.zeros(len(ids), np.int64)
+    part = np.searchsorted(trie.word_starts, ids, "right") - 1
     cut = borders(part)
     for lo, hi in zip(cut[:-1], cut[1:]):
-        path = f"{trie.root}/{level}-{part[lo]}"
-        try:
-            shard = _shard(path)
-        except FileNotFoundError:
-            continue
-        yield slice(lo, hi), int(part[lo]), shard
+        g = int(part[lo])
+        out[lo:hi] = read_arrays(f"{trie.root}/words/{g}")["count"][ids[lo:hi] - trie.word_starts[g]]
+    return out
+
+
+def _join_pairs(trie: Trie):
+    def make(file: int) -> list[tuple]:
+        """A file's pairs; what its first and last word keep, as their pairs may go on elsewhere."""
+        parts = _shards_of(trie.root, "pairs", file, len(trie.bounds))
+        sizes = np.zeros(GROUP + 1, np.int64)
+        for part, a in parts:
+            sizes[part - file * GROUP + 1] = len(a["key"])
+        keys = np.concatenate([a["key"] for _, a in parts]) if parts else np.zeros(0, U)
+        counts = np.concatenate([a["count"] for _, a in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        u, v = trie.words_of(keys)
+        starts = borders(u)[:-1]
+        firsts, to = u[starts], np.append(starts, len(u))
+        of = _word_counts(trie, firsts)
+        kept = np.add.reduceat(counts - DISCOUNT, starts) if len(u) else np.zeros(0)
+        arrays = encode(firsts, "u") | encode(to, "u_to") | encode(chain(starts, v) if len(v) else v, "v")
+        arrays |= {"pair": quantise((counts - DISCOUNT) / np.repeat(of, np.diff(to))), "left_u": quantise(1 - kept / np.maximum(of, 1)), "count": counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64), "shards": np.cumsum(sizes)}
+        write_arrays(f"{trie.root}/pairs/{file}", arrays)
+        return [(file, int(firsts[i]), float(kept[i]), int(of[i])) for i in sorted({0, len(firsts) - 1})] if len(firsts) else []
+
+    return make
+
+
+def _files_of(trie: Trie, keys: np.ndarray) -> Iterator[tuple[slice, int]]:
+    """Slices of the sorted pair keys by file."""
+    file = trie.shard(keys) // GROUP
+    cut = borders(file)
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        yield slice(lo, hi), int(file[lo])
 
 
 def _count_triples(trie: Trie):
-    """Triples whose two pairs were kept: (shard of the first pair, its index there, third word)."""
+    """Triples whose two pairs were kept, as (index of the first pair in its file, third word), by the
+    first pair's shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, first in _training(batches):
@@ -341,10 +395,12 @@ def _count_triples(trie: Trie):
             if not len(at):
                 continue
             keys, back = np.unique(trie.key(ids[at], ids[at + 1]), return_inverse=True)
-            u, v = (keys // U(trie.n_words)).astype(np.int64), (keys % U(trie.n_words)).astype(np.int64)
+            u, v = trie.words_of(keys)
             place, index = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
-            for some, part, shard in _pairs_of(trie, keys, u, v, "pairs"):
-                place[some], index[some] = part, shard.pair(u[some], v[some])[1]
+            for some, file in _files_of(trie, keys):
+                path = f"{trie.root}/pairs/{file}"
+                index[some] = find_pair(path, u[some], v[some])[1]
+                place[some] = file * GROUP + np.searchsorted(read_arrays(path)["shards"], index[some], "right") - 1
             of = np.full(len(h), -1, np.int64)
             of[at] = back
             start = _inside(first, len(h), 3)
@@ -364,28 +420,24 @@ def _count_triples(trie: Trie):
     return work
 
 
-def _write_triples(trie: Trie):
-    def work(table: pa.Table) -> pa.RecordBatch:
-        part, blobs = table["part"].to_numpy(), table["blob"].to_pylist()
-        cut = borders(part)
-        for lo, hi in zip(cut[:-1], cut[1:]):
-            old = read_arrays(f"{trie.root}/pairs-{part[lo]}")
-            of = old["count"]
-            keys, counts = merge(blobs[lo:hi])
-            keep = counts >= LEAST_COUNT
-            keys, counts = keys[keep], counts[keep]
-            index, w = (keys // U(trie.n_words)).astype(np.int64), (keys % U(trie.n_words)).astype(np.int64)
-            to = np.searchsorted(index, np.arange(len(of) + 1))
-            kept = np.bincount(index, counts - DISCOUNT, len(of))
-            arrays = {k: a for k, a in old.items() if k != "count"} | {"left_v": quantise(1 - kept / of), "triple": quantise((counts - DISCOUNT) / of[index])}
-            arrays |= encode(to, "v_to") | encode(chain(borders(index)[:-1], w) if len(index) else w, "w")
-            write_arrays(f"{trie.root}/trie-{part[lo]}", arrays)
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(part))], ["part"])
+def _join_triples(trie: Trie):
+    def make(file: int) -> list[tuple]:
+        old = read_arrays(f"{trie.root}/pairs/{file}")
+        of = old["count"].astype(np.int64)
+        parts = [a for _, a in _shards_of(trie.root, "triples", file, len(trie.bounds))]
+        keys = np.concatenate([a["key"] for a in parts]) if parts else np.zeros(0, U)
+        counts = np.concatenate([a["count"] for a in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        index, w = trie.words_of(keys)
+        kept = np.bincount(index, counts - DISCOUNT, len(of)) if len(of) else np.zeros(0)
+        arrays = {k: a for k, a in old.items() if k not in ("count", "shards")} | {"left_v": quantise(1 - kept / of), "triple": quantise((counts - DISCOUNT) / of[index])}
+        arrays |= encode(np.searchsorted(index, np.arange(len(of) + 1)), "v_to") | encode(chain(borders(index)[:-1], w) if len(w) else w, "w")
+        write_arrays(f"{trie.root}/trie/{file}", arrays)
+        return [(file, len(keys))]
 
-    return work
+    return make
 
 
-def _score(trie: Trie, full: set[int]):
+def _score(trie: Trie):
     base_of = np.log10(trie.n_tokens + trie.n_words + 1)
 
     def one(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -405,15 +457,16 @@ def _score(trie: Trie, full: set[int]):
             shard_keys = trie.key(u, np.minimum(v, trie.n_words - 1))
             a2, b2, place, index = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
             left = np.ones(len(keys))
-            for some, part, shard in _pairs_of(trie, shard_keys, u, v, "pairs"):
-                shard = _shard(f"{trie.root}/trie-{part}") if part in full else shard
-                i, j = shard.pair(u[some], v[some])
+            for some, file in _files_of(trie, shard_keys):
+                path = f"{trie.root}/trie/{file}"
+                arrays = read_arrays(path)
+                i, j = find_pair(path, u[some], v[some])
                 j = np.where(v[some] < unknown, j, -1)
-                a2[some] = np.where(j >= 0, restore(shard.arrays["pair"][np.maximum(j, 0)]) if len(shard.arrays["pair"]) else 0.0, 0.0)
-                left[some] = np.where(i >= 0, restore(shard.arrays["left_u"][np.maximum(i, 0)]) if len(shard.arrays["left_u"]) else 1.0, 1.0)
-                if shard.third:
-                    b2[some] = np.where(j >= 0, restore(shard.arrays["left_v"][np.maximum(j, 0)]), 1.0)
-                place[some], index[some] = part, j
+                place[some], index[some] = file, j
+                if len(arrays["pair"]):
+                    a2[some] = np.where(j >= 0, restore(arrays["pair"][np.maximum(j, 0)]), 0.0)
+                    b2[some] = np.where(j >= 0, restore(arrays["left_v"][np.maximum(j, 0)]), 1.0)
+                    left[some] = np.where(i >= 0, restore(arrays["left_u"][np.maximum(i, 0)]), 1.0)
             for word, value in trie.split.items():
                 lo, hi = np.searchsorted(u, [word, word + 1])
                 left[lo:hi] = value
@@ -430,13 +483,13 @@ def _score(trie: Trie, full: set[int]):
             cut = borders(place[pair[order]])
             for lo, hi in zip(cut[:-1], cut[1:]):
                 mine = order[lo:hi]
+                path = f"{trie.root}/trie/{place[pair[mine[0]]]}"
                 mine = mine[w[mine] >= 0]
-                shard = _shard(f"{trie.root}/trie-{place[pair[order[lo]]]}") if int(place[pair[order[lo]]]) in full else None
-                if shard is None or not len(mine) or not len(shard.w):
+                if not len(mine) or not len(sequence(path, "w")):
                     continue
                 triples, again = np.unique(index[pair[mine]].astype(U) * U(trie.n_words) + w[mine].astype(U), return_inverse=True)
-                found = shard.relative(shard.v_to, shard.w, (triples // U(trie.n_words)).astype(np.int64), (triples % U(trie.n_words)).astype(np.int64))
-                value = np.where(found >= 0, restore(shard.arrays["triple"][np.maximum(found, 0)]), 0.0)
+                found = find_triple(path, *trie.words_of(triples))
+                value = np.where(found >= 0, restore(read_arrays(path)["triple"][np.maximum(found, 0)]), 0.0)
                 a3[mine] = value[again]
             p[start + 2] = a3 + b2[pair] * p[start + 2]
         sums = lambda x: np.add.reduceat(x, first[:-1])
@@ -456,46 +509,46 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def train(docs: DataFrame) -> tuple[Trie, set[int]]:
-    """The trie of the training rows of ``docs``, and which of its shards have triples."""
+def train(docs: DataFrame) -> Trie:
+    """The trie of the training rows of ``docs``."""
     spark, rows = docs.sparkSession, _rows(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     trie = Trie(new_path(spark, "lm"), shards)
     # About a token for six bytes; SAMPLE pairs for each shard.
     sample = int((1 << 64) * min(1.0, SAMPLE * shards * 6 / max(size, 1)))
-    words = materialize(rows.mapInArrow(_count_words(shards, sample), "part long, blob binary"), "lm-words")
-    told = over_runs(words.where("part >= 0"), "part", [], _write_words(trie.root), "part long, n long, total long").collect()  # three numbers a shard
-    sizes = np.zeros(shards, np.int64)
-    for r in told:
-        sizes[r["part"]] = r["n"]
-    trie.word_starts = np.concatenate([[0], np.cumsum(sizes)])
-    trie.n_words, trie.n_tokens = int(trie.word_starts[-1]), sum(r["total"] for r in told)
+    blobs = rows.mapInArrow(tidy(_count_words(shards, sample)), "part long, blob binary")
+    told = over_runs(blobs, "part", [], _keep_words(trie.root), "part long, n long, total long, blob binary").collect()  # three numbers and SAMPLE pairs a shard
+    trie.n_tokens = sum(r["total"] for r in told)
+    files = -(-shards // GROUP)
+    sizes = dict(map(tuple, _per_file(spark, files, _join_words(trie.root, shards), "file long, n long").collect()))
+    trie.word_starts = np.concatenate([[0], np.cumsum([sizes[f] for f in range(files)])])
+    trie.n_words = int(trie.word_starts[-1])
     if not trie.n_words:
-        return trie, set()
-    drawn = [r["blob"] for r in words.where("part < 0").select("blob").collect()]  # about SAMPLE pairs a shard
-    pairs = np.frombuffer(b"".join(drawn), U).reshape(-1, 2)
+        return trie
+    pairs = np.frombuffer(b"".join(r["blob"] for r in told if r["part"] < 0), U).reshape(-1, 2)
     u, v = trie.text_ids(pairs[:, 0])[0], trie.text_ids(pairs[:, 1])[0]
     keys = np.sort(trie.key(u, v))
     cuts = keys[(np.arange(1, shards) * len(keys)) // shards] if len(keys) else np.zeros(0, U)
     trie.bounds = np.unique(np.concatenate([np.zeros(1, U), cuts]))
-    blobs = materialize(rows.mapInArrow(_count_pairs(trie), "part long, blob binary"), "lm-pairs")
-    ends = over_runs(blobs, "part", [], _write_pairs(trie), "part long, word long, kept double, total long").collect()  # two words a shard
+    over_runs(rows.mapInArrow(tidy(_count_pairs(trie)), "part long, blob binary"), "part", [], _keep_pruned(trie.root, "pairs"), "part long").collect()  # a number a shard
+    ends = _per_file(spark, trie.files, _join_pairs(trie), "file long, word long, kept double, total long").collect()  # two words a file
     parts: dict[int, dict[int, float]] = {}
     totals = {}
     for r in ends:
-        parts.setdefault(r["word"], {})[r["part"]] = r["kept"]
+        parts.setdefault(r["word"], {})[r["file"]] = r["kept"]
         totals[r["word"]] = r["total"]
     trie.split = {w: 1 - sum(k.values()) / totals[w] for w, k in parts.items() if len(k) > 1}
-    blobs = materialize(rows.mapInArrow(_count_triples(trie), "part long, blob binary"), "lm-triples")
-    full = over_runs(blobs, "part", [], _write_triples(trie), "part long").collect()  # a number a shard
-    return trie, {r["part"] for r in full}
+    over_runs(rows.mapInArrow(tidy(_count_triples(trie)), "part long, blob binary"), "part", [], _keep_pruned(trie.root, "triples"), "part long").collect()
+    _per_file(spark, trie.files, _join_triples(trie), "file long, n long").collect()
+    delete(spark, f"{trie.root}/counts", f"{trie.root}/pairs")
+    return trie
 
 
-def score(docs: DataFrame, trie: Trie, full: set[int]) -> DataFrame:
-    return _rows(docs).mapInArrow(_score(trie, full), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def score(docs: DataFrame, trie: Trie) -> DataFrame:
+    return _rows(docs).mapInArrow(tidy(_score(trie)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    return score(docs, *train(docs))
+    return score(docs, train(docs))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._shared import bucket_bits, materialize, running, seeded_hash
+from lodespar.llm._words import tidy
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker keeps, in each of two generations.
@@ -132,7 +133,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer_path, capacity, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return rows.mapInArrow(tidy(_pieces(tokenizer_path, capacity, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

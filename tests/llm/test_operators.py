@@ -238,7 +238,7 @@ def test_language_model_scores(docs, none):
 
 
 def test_language_model_in_many_shards(docs, monkeypatch):
-    monkeypatch.setattr(lm, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 600)
     want = brute.language_model(DOCS)
     for r in lm.score_corpus(docs).collect():
         assert r.score == pytest.approx(want[r.doc_id][5], rel=5e-3, abs=5e-3)

@@ -222,3 +222,20 @@ def report_table(rows: list[dict], columns: list[str]) -> str:
     cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]
     return "\n".join(lines + ["| " + " | ".join(cell(r.get(c)) for c in columns) + " |" for r in rows])
+
+
+def comparison(scores_of: DataFrame, key: str = "config", field: str = "field", value: str = "score", fields: list[str] | None = None) -> DataFrame:
+    """One row for each key, a column for each field."""
+    return scores_of.groupBy(key).pivot(field, fields).agg(F.first(value))
+
+
+def trajectories(rows: DataFrame, by: list[str]) -> DataFrame:
+    """What runs did: steps, model calls, tool calls, failed verifications, errors."""
+    t = F.col("trace")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(t["steps"]).alias("steps"), F.sum(t["model_calls"]).alias("model_calls"), F.sum(F.size(t["tool_calls"])).alias("tool_calls"), F.sum(t["verify_failures"]).alias("verify_failures"), F.count(t["error"]).alias("errors"))
+
+
+def frontier(runs: DataFrame) -> DataFrame:
+    """The run log as a table of quality and speed, newest last."""
+    s = F.col("scores")
+    return runs.select("ts", "config", "split", "n", F.round(s["company_precision"], 4).alias("company_precision"), F.round(s["salary_precision"], 4).alias("salary_precision"), F.round(s["location_precision"], 4).alias("location_precision"), F.round(s["skills_f1"], 4).alias("skills_f1"), "p50_ms", "p95_ms").orderBy("ts")

@@ -479,3 +479,152 @@ def x5_claims(spark, sf_dir):
     rows = postings(spark, sf_dir, "yyyy").groupBy("thread_month", "seniority").agg(F.slice(F.sort_array(F.collect_list(F.struct("salary_min", "salary_max", "skills"))), 1, 3).alias("rows"), F.max("salary_min").alias("top"))
     said = rows.withColumn("summary", F.concat(F.lit("About 3 roles pay up to $"), F.format_number("top", 0), F.lit(" and ask for Python")))
     return C.claims(said, "summary", "rows").select("thread_month", "seniority", "kind", "text", "grounded")
+
+
+@query(f"WITH {p_sql()} SELECT thread_month, count(*) AS n FROM p GROUP BY 1")
+def a3_postings_per_month(spark, sf_dir):
+    return postings(spark, sf_dir).groupBy("thread_month").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {p_sql('%Y')} SELECT comment_id FROM p WHERE thread_month = (SELECT max(thread_month) FROM p)")
+def a2_latest_only(spark, sf_dir):
+    return serve.in_latest_month(postings(spark, sf_dir, "yyyy")).select("comment_id")
+
+
+@query(f"WITH {p_sql()} SELECT count(DISTINCT thread_month) AS threads FROM p")
+def a7_distinct_threads(spark, sf_dir):
+    return postings(spark, sf_dir).agg(F.count_distinct("thread_month").alias("threads"))
+
+
+@query("SELECT o_orderpriority AS salary_period, count(*) AS n FROM orders WHERE NOT starts_with(o_orderpriority, '5') GROUP BY 1")
+def a8_period_histogram(spark, sf_dir):
+    from lodespar.plans.ingest import periods
+
+    return periods(table(spark, sf_dir, "orders").select(F.when(~F.col("o_orderpriority").startswith("5"), F.col("o_orderpriority")).alias("salary_period")))
+
+
+@query("""WITH c AS (SELECT n_chars > 300 AS company, contains(text, '|') AS salary, n_chars > 50 AS skills, contains(text, '!!') AS remote, contains(text, '@') AS seniority FROM documents),
+s AS (SELECT count(*) AS total, count_if(salary AND skills) AS a, count_if(company) AS b, count_if(salary) AS c, count_if(skills) AS d, count_if(remote) AS e, count_if(seniority) AS f FROM c)
+SELECT unnest(['all of them', 'company', 'salary', 'skills', 'remote', 'seniority']) AS field, CAST(unnest([a, b, c, d, e, f]) AS BIGINT) AS hits, total FROM s""")
+def a6_coverage(spark, sf_dir):
+    from lodespar.plans.ingest import coverage
+
+    text, n = F.col("text"), F.col("n_chars")
+    confidence = F.struct((n > 300).alias("company"), text.contains("|").alias("salary"), (n > 50).alias("skills"), text.contains("!!").alias("remote"), text.contains("@").alias("seniority"))
+    rows = table(spark, sf_dir, "documents").select(confidence.alias("confidence"))
+    return coverage(rows.withColumn("confident", is_confident(F.col("confidence"))))
+
+
+@query(f"""WITH {p_sql()}, x AS (SELECT coalesce(skills, []) AS skills FROM p), f AS (SELECT
+  CASE WHEN len(skills) = 0 THEN 0.0 ELSE len(list_intersect(skills, {_MINE})) / len(skills) END AS p,
+  CASE WHEN len(skills) = 0 THEN 0.0 ELSE len(list_intersect(skills, {_MINE})) / 5 END AS r,
+  CASE WHEN len(skills) = 0 THEN 0.0 ELSE 2 * len(list_intersect(skills, {_MINE})) / (len(skills) + 5) END AS f1 FROM x)
+SELECT count(*) AS n, round(avg(f1), 9) AS macro_f1, round(avg(p), 9) AS macro_precision, round(avg(r), 9) AS macro_recall FROM f""")
+def a14_macro_scores(spark, sf_dir):
+    rows = postings(spark, sf_dir).withColumn("s", scoring.set_scores(F.coalesce("skills", F.array().cast("array<string>")), F.array(*map(F.lit, MINE)), canonical=False))
+    return scoring.set_report(rows, "s").select("n", *[F.round(c, 9).alias(c) for c in ("macro_f1", "macro_precision", "macro_recall")])
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as predictions of themselves, with some fields left out, changed or made up."""
+    k = F.col("comment_id") % 7
+    rows = postings(spark, sf_dir).withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
+    known = lambda c, off: F.when(k != off, F.col(c))
+    label = F.struct(known("company", 1).alias("company"), F.when(k != 2, F.lit("Berlin, Germany")).alias("location"), "remote", known("salary_min", 3).alias("salary_min"), known("salary_min", 3).alias("salary_max"), F.lit("year").alias("salary_period"), "seniority", "skills")
+    guess = F.struct(known("company", 4).alias("company"), F.when(k == 5, "Berlin").when(k != 6, "Berlin, Germany").alias("location"), F.when(k == 1, F.lit(None)).otherwise(F.col("remote")).alias("remote"), known("salary_min", 5).alias("salary_min"), F.when(k == 4, F.col("salary_min") + 1).otherwise(F.col("salary_min")).alias("salary_max"), F.lit("year").alias("salary_period"), F.lit("1-URGENT").alias("seniority"), F.slice("skills", 1, 3).alias("skills"))
+    return scoring.judged(rows.select("comment_id", label.alias("label"), guess.alias("prediction")))
+
+
+_JUDGED = f"""x AS (SELECT comment_id % 7 AS k, * REPLACE (coalesce(skills, []) AS skills) FROM p), j AS (SELECT k, remote, seniority, skills,
+  CASE WHEN k = 1 THEN 'hallucinated' WHEN k = 4 THEN 'missed' ELSE 'extracted' END AS company,
+  CASE WHEN k = 2 THEN 'hallucinated' WHEN k = 6 THEN 'missed' WHEN k = 5 THEN 'wrong' ELSE 'extracted' END AS location,
+  CASE WHEN k = 3 THEN 'hallucinated' WHEN k = 5 THEN 'missed' WHEN k = 4 THEN 'wrong' ELSE 'extracted' END AS salary,
+  CASE WHEN len(skills) = 0 THEN 1.0 ELSE 2 * least(3, len(skills)) / (least(3, len(skills)) + len(skills)) END AS f1 FROM x)"""
+
+
+@query(f"""WITH {p_sql()}, {_JUDGED} SELECT count(*) AS n, CAST(count_if(company = 'extracted') AS BIGINT) AS company_extracted, CAST(count_if(company = 'hallucinated') AS BIGINT) AS company_hallucinated,
+CAST(count_if(salary = 'wrong') AS BIGINT) AS salary_wrong, CAST(count_if(location = 'missed') AS BIGINT) AS location_missed, round(avg(f1), 9) AS skills_f1,
+round(avg(CASE WHEN k = 1 THEN 0.0 ELSE 1.0 END), 9) AS remote_accuracy, round(avg(CASE WHEN seniority = '1-URGENT' THEN 1.0 ELSE 0.0 END), 9) AS seniority_accuracy,
+round(count_if(salary = 'extracted') / count_if(salary IN ('extracted', 'wrong', 'hallucinated')), 9) AS salary_precision FROM j""")
+def a16_scores_block(spark, sf_dir):
+    wide = scoring.scores(_judged(spark, sf_dir))
+    return wide.select("n", "company_extracted", "company_hallucinated", "salary_wrong", "location_missed", *[F.round(c, 9).alias(c) for c in ("skills_f1", "remote_accuracy", "seniority_accuracy", "salary_precision")])
+
+
+@query(f"""WITH {p_sql()}, {_JUDGED} SELECT unnest(['company', 'salary', 'location', 'skills', 'remote', 'seniority']) AS field, CAST(unnest([count_if(company <> 'extracted'), count_if(salary <> 'extracted'),
+count_if(location <> 'extracted'), count_if(f1 < 1), count_if(k = 1), count_if(seniority <> '1-URGENT')]) AS BIGINT) AS X FROM j""")
+def a23_field_disagreements(spark, sf_dir):
+    return scoring.disagreements(_judged(spark, sf_dir).withColumn("config", F.lit("X")), ["X"])
+
+
+@query("""SELECT lang AS config, CAST(max(CASE WHEN f = 'mean' THEN v END) AS DOUBLE) AS mean, CAST(max(CASE WHEN f = 'n' THEN v END) AS DOUBLE) AS n FROM
+(SELECT lang, 'mean' AS f, round(avg(n_chars), 6) AS v FROM documents GROUP BY 1 UNION ALL SELECT lang, 'n', count(*) FROM documents GROUP BY 1) GROUP BY 1""")
+def j15_comparison(spark, sf_dir):
+    long = s28_unpivot_scores(spark, sf_dir).withColumnRenamed("lang", "config").withColumn("field", F.regexp_replace("field", "_chars", ""))
+    return scoring.comparison(long, fields=["mean", "n"])
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def j10_drafts_to_review(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return logs.drafts_to_review(table(spark, sf_dir, "documents").where("lang = 'en'"), labels, labels.where("quality = 0"), "doc_id").select("doc_id")
+
+
+@query("""WITH u AS (SELECT l_returnflag AS config, CAST(floor(l_quantity) AS BIGINT) AS q, l_linenumber AS n FROM lineitem)
+SELECT config, CAST(sum(CASE WHEN n <> 7 AND q >= 5 THEN q - 5 ELSE 0 END) AS BIGINT) AS input, CAST(sum(CASE WHEN n <> 7 AND q >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS output, count(*) AS responses, bool_or(n = 7 OR q < 5) AS usage_missing FROM u GROUP BY 1""")
+def a21_token_sums(spark, sf_dir):
+    q = F.floor("l_quantity").cast("long")
+    usage = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("config"), F.when(F.col("l_linenumber") != 7, q).alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.lit(5).cast("long").alias("cache_read"), F.lit(0).cast("long").alias("cache_write"))
+    return scoring.tokens(usage, ["config"]).select("config", "input", "output", "responses", "usage_missing")
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice) / nullif(count_if(l_quantity > 25), 0), 6) AS per_post FROM lineitem GROUP BY 1")
+def a36_cost_per_post(spark, sf_dir):
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum("l_extendedprice").alias("c"), F.count_if(F.col("l_quantity") > 25).alias("n"))
+    return sums.select("l_returnflag", F.round(scoring.cost_per_post(F.col("c"), F.col("n")), 6).alias("per_post"))
+
+
+@query("""SELECT conv_id, count(*) AS n_claims, CAST(count_if(NOT contains(text, 'a')) AS BIGINT) AS n_ungrounded, bool_and(contains(text, 'a')) AS grounded FROM conversations GROUP BY 1""")
+def a35_all_grounded(spark, sf_dir):
+    return C.summary_grounded(table(spark, sf_dir, "conversations").withColumn("grounded", F.col("text").contains("a")), ["conv_id"])
+
+
+@query("""SELECT conv_id, turn, role, CAST(position - 1 AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position FROM conversations) WHERE position <= 2""")
+def t7_first_posts(spark, sf_dir):
+    nested = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("thread_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "conv_id"))).alias("comments"))
+    posts = threads.posts(nested.withColumn("thread_date", F.lit("2026-07-01")))
+    return threads.first_posts(posts, 2).select("conv_id", "turn", "role", "position")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 100000 THEN 'USD ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || '-' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT) + 1)
+WHEN o_orderstatus = 'F' THEN 'USD ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || '+' ELSE 'USD up to ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT) + 1) END AS pay FROM orders""")
+def f41_salary_text(spark, sf_dir):
+    low = F.floor("o_totalprice").cast("long")
+    first, last = F.when(F.col("o_orderstatus") == "F", low), F.when((F.col("o_orderstatus") != "F") | (F.col("o_totalprice") > 100000), low + 1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.salary_text(first, last, F.lit(None).cast("string")).alias("pay"))
+
+
+@query("SELECT lang, CASE WHEN m <= 0.15 THEN 'usable' WHEN m <= 0.25 THEN 'weak' ELSE 'too small' END AS verdict FROM (SELECT lang, 10.0 / count(*) AS m FROM documents GROUP BY 1)")
+def f45_verdict(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg((10.0 / F.count(F.lit(1))).alias("m")).select("lang", scoring.verdict(F.col("m")).alias("verdict"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, ['K8s', 'cobol', ' Rust ', '', 'py'][p_partkey % 5 + 1] AS term FROM part)
+SELECT p_partkey, term IN ('K8s', ' Rust ', 'py') AS known, CASE term WHEN 'K8s' THEN 'kubernetes' WHEN ' Rust ' THEN 'rust' WHEN 'py' THEN 'python' END AS canonical FROM t""")
+def f36_canonical_skill(spark, sf_dir):
+    terms = F.array(*map(F.lit, ["K8s", "cobol", " Rust ", "", "py"]))
+    found = S.canonical_skill(F.get(terms, (F.col("p_partkey") % 5).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("s")).select("p_partkey", "s.*")
+
+
+@query()
+def x3_split_roles(spark, sf_dir):
+    """Role chunks of documents (marker offsets; no SQL form)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.roles(F.col("text"))).alias("n", "chunk")).select("doc_id", "n", F.md5("chunk").alias("hash"))
+
+
+@query()
+def x4_salary_candidates(spark, sf_dir):
+    """Salary-like strings of orders written as prose, with their surroundings (offsets; no SQL form)."""
+    said = F.concat(F.lit("We pay $"), F.format_number("o_totalprice", 0), F.lit(" or more, up to $"), F.format_number(F.col("o_totalprice") * 2, 0))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(C.candidates(said)).alias("c")).select("o_orderkey", "c.*")

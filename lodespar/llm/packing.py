@@ -28,12 +28,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._shared import bucket_bits, materialize, running, seeded_hash
-from lodespar.llm._words import tidy
+from lodespar.llm._words import Words, slices, texts, tidy
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker keeps, in each of two generations.
@@ -92,32 +91,42 @@ class WordTokens:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, each with ``END``, and where each begins (and the last ends)."""
         if len(self.known) > CACHE:
             self.known = _Known(self.make, dict(self.known))
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
+        words, raw = Words(data, offsets), data.tobytes()
+        # Each distinct word of the slice is looked up once.
+        _, at, word = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        found = [self.known[raw[a:b].decode("utf-8", "replace")] for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
+        every = np.frombuffer(b"".join(found), np.uint32)
+        size = np.array([len(x) for x in found], np.int64) // 4
+        begin, size = (np.cumsum(size) - size)[word], size[word]
+        before = np.concatenate([[0], np.cumsum(size)])
+        first = before[words.first] + np.arange(len(offsets))
+        out = np.full(first[-1], END, np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[first[1:] - 1] = False
+        out[inner] = every[np.arange(before[-1]) + np.repeat(begin - before[:-1], size)]
+        return out, first
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(path)
-        end = np.array([END], np.uint32)
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            sizes, lo = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy()), 0
-            while lo < len(column):
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (2 << 20), "right")))
+            ids = batch.column(0)
+            for lo, hi, data, offsets in slices(texts(batch.column(1))):
+                every, first = tokens.ids(data, offsets)
                 owner, piece, start, length, crc, kept = [], [], [], [], [], []
-                for k, text in enumerate(column.slice(lo, hi - lo).to_pylist()):
-                    own = np.concatenate([tokens.ids(text or ""), end])
-                    for p, at in enumerate(range(0, len(own), capacity)):
-                        part = own[at : at + capacity]
+                for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                    for p, at in enumerate(range(a, b, capacity)):
+                        part = every[at : min(at + capacity, b)]
                         owner.append(lo + k)
                         piece.append(p)
-                        start.append(at)
+                        start.append(at - a)
                         length.append(len(part))
-                        crc.append(zlib.crc32(part.astype("<u4").tobytes()))
+                        crc.append(zlib.crc32(part.astype("<u4", copy=False)))
                         if with_ids:
                             kept.append(part)
                 cols = [ids.take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
@@ -125,14 +134,13 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                 if with_ids:
                     cols, names = [*cols, pa.array(kept, pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
-                lo = hi
 
     return work
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(tidy(_pieces(tokenizer_path, capacity, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 

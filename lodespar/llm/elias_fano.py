@@ -106,16 +106,25 @@ def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     return {f"{name}.head": np.array([n, low_bits, top], U), f"{name}.low": low, f"{name}.high": high, f"{name}.ones": ones.astype(np.uint32 if n < 1 << 32 else np.int64)}
 
 
+_BYTES = U(0x0101010101010101)
+#: Position of the k-th set bit of a byte, flat: 8 for each byte.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for byte in range(256) for k in range(8)], np.int64)
+
+
 def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Position of the set bit of each word that has ``rank`` set bits below it."""
-    at, rank = np.zeros(len(word), np.int64), rank.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word & U((1 << width) - 1)).astype(np.int64)
-        up = rank >= low
-        rank -= np.where(up, low, 0)
-        at += np.where(up, width, 0)
-        word = np.where(up, word >> U(width), word)
-    return at
+    """Position of the set bit of each word that has ``rank`` set bits below it.
+
+    Counts of set bits up to each byte stand in the bytes of one word; those not above the rank are
+    counted in parallel, which gives the byte; a table gives the bit.
+    """
+    rank = rank.astype(U)
+    s = word - ((word >> _ONE) & U(0x5555555555555555))
+    s = (s & U(0x3333333333333333)) + ((s >> U(2)) & U(0x3333333333333333))
+    s = ((s + (s >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    passed = np.bitwise_count(((rank * _BYTES) | (_BYTES << U(7))) - s & (_BYTES << U(7))).astype(U) << U(3)
+    below = ((s << U(8)) >> passed) & U(0xFF)
+    byte = (word >> passed) & U(0xFF)
+    return passed.astype(np.int64) + _IN_BYTE[((byte << U(3)) + (rank - below)).astype(np.int64)]
 
 
 class EliasFano:
@@ -142,14 +151,27 @@ class EliasFano:
         pos = word * 64 + _select(self.high[word], i - self.ones[word].astype(np.int64))
         return ((pos - i).astype(U) << U(self.low_bits)) | self._low(i)
 
-    def _below(self, h: np.ndarray) -> np.ndarray:
-        """How many numbers have high bits below ``h``."""
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of the numbers whose high bits are ``h``."""
         if self._zeros is None:
             self._zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
-        k = np.maximum(h.astype(np.int64) - 1, 0)
+        h = h.astype(np.int64)
+        k = np.maximum(h - 1, 0)
         word = np.searchsorted(self._zeros, k, "right") - 1
         pos = word * 64 + _select(~self.high[word], k - self._zeros[word])
-        return np.where(h == 0, 0, pos - k)
+        at = np.where(h == 0, 0, pos + 1)
+        lo = at - h
+        # Ones from here to the next zero; where the word ends first, the next zero is sought.
+        word, off = at >> 6, at & 63
+        rest = ~(self.high[np.minimum(word, len(self.high) - 1)] >> off.astype(U))
+        run = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        hi = lo + run
+        over = np.flatnonzero(run >= 64 - off)
+        if len(over):
+            k = h[over]
+            word = np.searchsorted(self._zeros, k, "right") - 1
+            hi[over] = word * 64 + _select(~self.high[word], k - self._zeros[word]) - k
+        return lo, hi
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each number (of a sequence without repeats), -1 where it is missing."""
@@ -159,7 +181,7 @@ class EliasFano:
             return out
         todo = np.flatnonzero(x <= U(self.top))
         h = x[todo] >> U(self.low_bits)
-        lo, hi, want = self._below(h), self._below(h + _ONE), x[todo] & U((1 << self.low_bits) - 1)
+        (lo, hi), want = self._bucket(h), x[todo] & U((1 << self.low_bits) - 1)
         while len(todo):
             live = lo < hi
             todo, lo, hi, want = todo[live], lo[live], hi[live], want[live]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespar.functions import skills as S
@@ -149,23 +149,29 @@ def disagreements(rows: DataFrame, configs: list[str] | None = None) -> DataFram
     return long.groupBy("field").pivot("config", configs).agg(F.sum("off"))
 
 
-def latencies(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """n, p50, p95 (the element before rank 0.95 n, rounded down) and p95_nearest (nearest rank).
+def latencies(df: DataFrame, column: str, by: list[str] | None = None, cells: int = 256) -> DataFrame:
+    """n, p50, p95 (the element before rank 0.95 n, rounded down) and p95_nearest (nearest rank), exact.
 
-    A value's rank comes from counts of distinct values, so no list of all values is gathered.
+    Approximate quantiles cut each group into cells; counts by cell tell which cells hold the wanted
+    ranks, and only the distinct values of those cells are ordered. No task sees a whole group.
     """
-    from pyspark.sql import Window
-
     by = by or []
-    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c")).where(F.col(column).isNotNull())
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("_to", F.sum("_c").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
-    at = lambda rank: F.min(F.when(F.col("_to") >= rank, F.col(column)))  # noqa: E731  (rank from 1)
-    down = F.floor(F.col("_n") * 0.95)
-    # Rank 0 is the last element of the sorted list, as an index of -1 is.
-    down = F.when(down < 1, F.col("_n")).otherwise(down)
-    middle = (at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor((F.col("_n") + 2) / 2))) / 2
-    return ranked.groupBy(*by).agg(F.max("_n").alias("n"), middle.alias("p50"), at(down).alias("p95"), at(F.ceil(F.col("_n") * 0.95)).alias("p95_nearest"))
+    some = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
+    cuts = some.groupBy(*by).agg(F.percentile_approx("_v", [i / cells for i in range(1, cells)], 40 * cells).alias("_cuts"))
+    rows = some.join(cuts, by) if by else some.crossJoin(F.broadcast(cuts))
+    counts = rows.withColumn("_cell", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).groupBy(*by, "_cell", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    per = counts.groupBy(*by, "_cell").agg(F.sum("_c").alias("_of"))  # at most ``cells`` rows a group
+    per = per.withColumn("_to", F.sum("_of").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_of").over(group))
+    # Ranks from 1. Rank 0 is the last element, as an index of -1 is.
+    down = F.when(F.floor(F.col("n") * 0.95) < 1, F.col("n")).otherwise(F.floor(F.col("n") * 0.95))
+    ranks = {"_a": F.floor((F.col("n") + 1) / 2), "_b": F.floor((F.col("n") + 2) / 2), "p95": down, "p95_nearest": F.ceil(F.col("n") * 0.95)}
+    per = per.withColumns(ranks).withColumn("_from", F.col("_to") - F.col("_of"))
+    wanted = per.where(reduce(lambda x, y: x | y, [(F.col(r) > F.col("_from")) & (F.col(r) <= F.col("_to")) for r in ranks]))
+    inside = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = counts.join(wanted, [*by, "_cell"]).withColumn("_hi", F.col("_from") + F.sum("_c").over(inside))
+    at = lambda r: F.min(F.when((F.col(r) <= F.col("_hi")) & (F.col(r) > F.col("_hi") - F.col("_c")), F.col("_v")))
+    return found.groupBy(*by).agg(F.max("n").alias("n"), ((at("_a") + at("_b")) / 2).alias("p50"), at("p95").alias("p95"), at("p95_nearest").alias("p95_nearest"))
 
 
 def unpivoted(wide: DataFrame, keys: list[str], fields: dict[str, str], name: str = "field", value: str = "score") -> DataFrame:

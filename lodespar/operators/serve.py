@@ -54,15 +54,18 @@ def jobs(postings: DataFrame, month: str | None = None, skill: str | None = None
 
 def trends(postings: DataFrame, skills: list[str], limit_months: int = 24) -> DataFrame:
     """thread_month, skill, postings, share: how many of a month's postings name each skill, for the
-    last months in which any does. Counting follows the filter, so only asked-for skills shuffle."""
+    last months in which any does."""
     _within("limit_months", limit_months, 1, 120)
-    wanted = [s.strip() for s in skills if s.strip()]
+    wanted = list(dict.fromkeys(s.strip() for s in skills if s.strip()))
     if not wanted:
         raise ValueError("no skills given")
-    totals = postings.groupBy("thread_month").agg(F.count(F.lit(1)).alias("_total"))
-    named = postings.select("thread_month", F.explode("skills").alias("skill")).where(F.col("skill").isin(wanted))
-    counts = named.groupBy("thread_month", "skill").agg(F.count(F.lit(1)).alias("postings")).join(totals, "thread_month", "left")
-    share = F.coalesce(F.round(F.try_divide(F.col("postings"), F.col("_total")), 4), F.lit(0.0))
+    # One pass: a month's total and its count of each asked-for skill. Nothing is exploded before the
+    # aggregation, whose shuffle carries a row for each month and task.
+    times = lambda s: F.when(F.array_contains("skills", s), F.size(F.filter("skills", lambda x: x == s))).otherwise(0)
+    wide = postings.groupBy("thread_month").agg(F.count(F.lit(1)).alias("_total"), *[F.sum(times(s)).alias(f"_{i}") for i, s in enumerate(wanted)])
+    points = F.explode(F.array(*[F.struct(F.lit(s).alias("skill"), F.col(f"_{i}").alias("postings")) for i, s in enumerate(wanted)]))
+    counts = wide.select("thread_month", "_total", points.alias("x")).select("thread_month", "_total", "x.*").where("postings > 0")
+    share = F.round(F.col("postings") / F.col("_total"), 4)
     recent = F.dense_rank().over(Window.orderBy(F.desc("thread_month")))
     return counts.withColumn("share", share).withColumn("_rank", recent).where(F.col("_rank") <= limit_months).select("thread_month", "skill", "postings", "share").orderBy("thread_month", "skill")
 

@@ -63,7 +63,7 @@ def labelled(df: DataFrame, splits: DataFrame, split: str | None = None) -> Data
         raise ValueError("completed labels and frozen ids differ")
     if split not in (None, "all"):
         splits = splits.where(F.col("split") == ("tune" if split == "dev" else split))
-        complete = complete.join(F.broadcast(splits.select("comment_id")), "comment_id", "left_semi")
+        complete = complete.join(splits.select("comment_id"), "comment_id", "left_semi")
     return complete
 
 
@@ -91,7 +91,7 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("date", "thread_id")) -> DataFrame:
     """``old`` without the keys of ``new``, and ``new``, sorted by key as strings."""
-    return old.join(F.broadcast(new.select(*key).distinct()), list(key), "left_anti").unionByName(new).orderBy(*[F.col(k).cast("string") for k in key])
+    return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new).orderBy(*[F.col(k).cast("string") for k in key])
 
 
 def update_history(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:

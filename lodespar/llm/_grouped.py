@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodespar.llm._words import tidy
+from lodespar.llm._words import bounded
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -48,4 +48,4 @@ def over_runs(df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table]
         for table in runs(batches, key):
             yield fn(table.combine_chunks())
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(tidy(work), schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(bounded(work), schema)

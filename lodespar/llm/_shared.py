@@ -8,6 +8,8 @@ broadcast it only when it really is under ``spark.sql.autoBroadcastJoinThreshold
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -31,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
-        base = "file://" + tempfile.mkdtemp(prefix="lodespar-")
+        folder = tempfile.mkdtemp(prefix="lodespar-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lodespar/{spark.sparkContext.applicationId}"
 

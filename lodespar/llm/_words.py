@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once (a longer single text makes a slice of its own).
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Bytes of an Arrow batch.
+BATCH, _BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -33,8 +36,15 @@ def release() -> None:
         trim(0)
 
 
-def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``work`` over a task's batches, then ``release``."""
+def bounded(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over a task's batches, then ``release``.
+
+    Called where a plan is made, it also lowers the session's bound on an Arrow batch to ``BATCH`` bytes:
+    the batch is held by the JVM and by the worker, whatever the texts' length.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and int(session.conf.get(_BATCH_SETTING).rstrip("b")) > BATCH:
+        session.conf.set(_BATCH_SETTING, str(BATCH))
 
     def run(batches: Iterator) -> Iterator:
         try:

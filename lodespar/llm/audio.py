@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespar.llm._words import texts, tidy
+from lodespar.llm._words import texts, bounded
 
 PAD = 64
 RATE, UP, DOWN, TAPS = 16_000, 5, 8, 16
@@ -180,7 +180,7 @@ def audio_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     """The media and features of every text. Without ``keep_media``, ``media`` has only the stored
     form's length (8 bytes, little-endian) and SHA-256."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(tidy(_columns(keep_media)), SCHEMA)
+    return rows.mapInArrow(bounded(_columns(keep_media)), SCHEMA)
 
 
 def summary(audio: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from lodespar.llm._grouped import borders, over_runs
 from lodespar.llm._shared import delete, new_path
-from lodespar.llm._words import U, Words, mix, slices, texts, tidy
+from lodespar.llm._words import U, Words, mix, slices, texts, bounded
 from lodespar.llm.elias_fano import EliasFano, encode, read_arrays, write_arrays
 
 DISCOUNT, LEAST_COUNT = 0.75, 2
@@ -517,7 +517,7 @@ def train(docs: DataFrame) -> Trie:
     trie = Trie(new_path(spark, "lm"), shards)
     # About a token for six bytes; SAMPLE pairs for each shard.
     sample = int((1 << 64) * min(1.0, SAMPLE * shards * 6 / max(size, 1)))
-    blobs = rows.mapInArrow(tidy(_count_words(shards, sample)), "part long, blob binary")
+    blobs = rows.mapInArrow(bounded(_count_words(shards, sample)), "part long, blob binary")
     told = over_runs(blobs, "part", [], _keep_words(trie.root), "part long, n long, total long, blob binary").collect()  # three numbers and SAMPLE pairs a shard
     trie.n_tokens = sum(r["total"] for r in told)
     files = -(-shards // GROUP)
@@ -531,7 +531,7 @@ def train(docs: DataFrame) -> Trie:
     keys = np.sort(trie.key(u, v))
     cuts = keys[(np.arange(1, shards) * len(keys)) // shards] if len(keys) else np.zeros(0, U)
     trie.bounds = np.unique(np.concatenate([np.zeros(1, U), cuts]))
-    over_runs(rows.mapInArrow(tidy(_count_pairs(trie)), "part long, blob binary"), "part", [], _keep_pruned(trie.root, "pairs"), "part long").collect()  # a number a shard
+    over_runs(rows.mapInArrow(bounded(_count_pairs(trie)), "part long, blob binary"), "part", [], _keep_pruned(trie.root, "pairs"), "part long").collect()  # a number a shard
     ends = _per_file(spark, trie.files, _join_pairs(trie), "file long, word long, kept double, total long").collect()  # two words a file
     parts: dict[int, dict[int, float]] = {}
     totals = {}
@@ -539,14 +539,14 @@ def train(docs: DataFrame) -> Trie:
         parts.setdefault(r["word"], {})[r["file"]] = r["kept"]
         totals[r["word"]] = r["total"]
     trie.split = {w: 1 - sum(k.values()) / totals[w] for w, k in parts.items() if len(k) > 1}
-    over_runs(rows.mapInArrow(tidy(_count_triples(trie)), "part long, blob binary"), "part", [], _keep_pruned(trie.root, "triples"), "part long").collect()
+    over_runs(rows.mapInArrow(bounded(_count_triples(trie)), "part long, blob binary"), "part", [], _keep_pruned(trie.root, "triples"), "part long").collect()
     _per_file(spark, trie.files, _join_triples(trie), "file long, n long").collect()
     delete(spark, f"{trie.root}/counts", f"{trie.root}/pairs")
     return trie
 
 
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
-    return _rows(docs).mapInArrow(tidy(_score(trie)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _rows(docs).mapInArrow(bounded(_score(trie)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:

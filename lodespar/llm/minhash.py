@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodespar.llm._grouped import borders, over_runs
 from lodespar.llm._shared import materialize
-from lodespar.llm._words import U, Words, mix, slices, texts, windows, tidy
+from lodespar.llm._words import U, Words, mix, slices, texts, windows, bounded
 from lodespar.llm.components import components
 
 SHINGLE = 5
@@ -211,7 +211,7 @@ def _block_of(node, blocks):
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of ``docs``."""
-    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_sign), "doc_id long, n_shingles long, digest binary, sig array<long>, bands array<long>"), "near-signed")
+    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(bounded(_sign), "doc_id long, n_shingles long, digest binary, sig array<long>, bands array<long>"), "near-signed")
     real = signed.where("doc_id is not null and digest is not null")
     nodes = real.groupBy("digest").agg(F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("_s"), F.min("doc_id").alias("node"))
     nodes = materialize(nodes.select("digest", "node", "_s.n_shingles", "_s.sig", "_s.bands"), "near-nodes")
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(keys.join(materialize(shared, "near-shared"), "key"), "near-members")
     sigs = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sig", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys")), "near-sigs")
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(materialize(sigs.select(F.col("node").alias("doc_id")).distinct(), "near-need"), "doc_id", "left_semi")
-    sets = materialize(sets.mapInArrow(tidy(_sets), "node long, set binary"), "near-sets")
+    sets = materialize(sets.mapInArrow(bounded(_sets), "node long, set binary"), "near-sets")
 
     # Stars: every member of a band with its least node.
     pairs = members.where("node <> lead").select("lead", "node").distinct()

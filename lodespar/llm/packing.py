@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._shared import bucket_bits, materialize, running, seeded_hash
-from lodespar.llm._words import Words, slices, texts, tidy
+from lodespar.llm._words import SLICE, Words, bounded, slices, texts
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker keeps, in each of two generations.
-CACHE = 1 << 18
+CACHE = 1 << 17
 #: Words that are letters, then marks: two pre-tokens, each a word of the vocabulary's own spelling.
+_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-/:-@\[-`{-~]*)")
 
 
@@ -91,11 +93,35 @@ class WordTokens:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
+    @staticmethod
+    def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+        """Words in lower case (of A to Z), marks at their ends as words of their own: the tokenizer
+        lower-cases and cuts between a letter or digit and marks, so the ids are the same, and there
+        are fewer distinct words. Not where a special token could stand or come about."""
+        if b"<|" in data.tobytes():
+            return Words(data, offsets)
+        words = Words(data, offsets, lower=True)
+        low, cut, live = words.data, words.end.copy(), np.ones(len(words.end), bool)
+        for _ in range(3):
+            live &= (cut - words.start > 1) & _MARK[low[np.maximum(cut - 1, 0)]]
+            cut -= live
+        last, before = low[cut - 1], low[np.maximum(cut - 2, words.start)]
+        letter = _ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+        tail = (cut < words.end) & letter
+        at = np.cumsum(1 + tail) - (1 + tail)
+        words.first = np.append(at, len(tail) + tail.sum())[words.first]
+        start, end = (np.zeros(len(tail) + int(tail.sum()), np.int64) for _ in range(2))
+        start[at], end[at] = words.start, np.where(tail, cut, words.end)
+        start[at[tail] + 1], end[at[tail] + 1] = cut[tail], words.end[tail]
+        words.start, words.end = start, end
+        return words
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, each with ``END``, and where each begins (and the last ends)."""
         if len(self.known) > CACHE:
             self.known = _Known(self.make, dict(self.known))
-        words, raw = Words(data, offsets), data.tobytes()
+        words = self.words(data, offsets)
+        raw = words.data.tobytes()
         # Each distinct word of the slice is looked up once.
         _, at, word = np.unique(words.hashes(), return_index=True, return_inverse=True)
         found = [self.known[raw[a:b].decode("utf-8", "replace")] for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
@@ -116,7 +142,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
         tokens = WordTokens(path)
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, data, offsets in slices(texts(batch.column(1))):
+            for lo, hi, data, offsets in slices(texts(batch.column(1)), 2 * SLICE):
                 every, first = tokens.ids(data, offsets)
                 owner, piece, start, length, crc, kept = [], [], [], [], [], []
                 for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
@@ -141,7 +167,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(tidy(_pieces(tokenizer_path, capacity, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return rows.mapInArrow(bounded(_pieces(tokenizer_path, capacity, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._shared import materialize, seeded_hash
-from lodespar.llm._words import Words, by_text, slices, texts, windows, tidy
+from lodespar.llm._words import Words, by_text, slices, texts, windows, bounded
 
 MOST_ROWS, ACCEPT = 20_000, 0.7
 BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, RIDGE = 48, 8, 6, 200, 60, 0.08, 3.0
@@ -212,7 +212,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, held_out (crc32 of the id as text mod 4 is 2; null as the empty text), x."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return materialize(rows.mapInArrow(tidy(_measure), "doc_id long, held_out boolean, x array<float>"), "quality-x")
+    return materialize(rows.mapInArrow(bounded(_measure), "doc_id long, held_out boolean, x array<float>"), "quality-x")
 
 
 def train(x: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, seed: int = 17) -> Model:
@@ -231,7 +231,7 @@ def scored(x: DataFrame, model: Model) -> DataFrame:
             score = model.score(values) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return x.mapInArrow(tidy(work), "doc_id long, held_out boolean, score double, predicted int")
+    return x.mapInArrow(bounded(work), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodespar.llm._grouped import borders, over_runs
 from lodespar.llm._shared import materialize
-from lodespar.llm._words import SLICE, U, Words, mix, slices, texts, windows, tidy
+from lodespar.llm._words import SLICE, U, Words, mix, slices, texts, windows, bounded
 
 WINDOW = 13
 #: Bytes of text for a hash range and for a bucket of answered documents, and windows that a task holds
@@ -202,7 +202,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ranges, buckets = max(1, -(-size // RANGE_BYTES)), max(1, -(-size // BUCKET_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = "part long, bucket long, blob binary"
-    answers = over_runs(rows.mapInArrow(tidy(_ask(ranges, buckets, window)), schema), "part", [], _count(buckets), schema)
+    answers = over_runs(rows.mapInArrow(bounded(_ask(ranges, buckets, window)), schema), "part", [], _count(buckets), schema)
     return over_runs(answers, "bucket", [], _gather, "doc long, gone binary")
 
 
@@ -223,13 +223,13 @@ def _joined(docs: DataFrame, columns: list[str], window: int) -> DataFrame:
     """The columns, binary ``text`` squeezed, and ``gone`` of each row."""
     gone = materialize(repeated(docs, window), "sub-gone")
     rows = docs.select(*columns, F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_key"))
-    return rows.mapInArrow(tidy(_squeeze), rows.schema).join(gone.withColumnRenamed("doc", "_key"), "_key", "left").drop("_key")
+    return rows.mapInArrow(bounded(_squeeze), rows.schema).join(gone.withColumnRenamed("doc", "_key"), "_key", "left").drop("_key")
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of the kept words joined by a space."""
     rows = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], window)
-    return rows.mapInArrow(tidy(_remove(window, True)), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", "kept_sha256")
+    return rows.mapInArrow(bounded(_remove(window, True)), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -238,5 +238,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
     rows = _joined(docs.select("text", "doc_id", *[F.col(c).alias(n) for c, n in names.items()]), list(names.values()), window)
     kinds = "".join(f"{names[f.name]} {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
-    out = rows.mapInArrow(tidy(_remove(window, False)), f"{kinds}n_words long, n_removed long, kept binary").where("n_removed = 0 or n_removed < n_words")
+    out = rows.mapInArrow(bounded(_remove(window, False)), f"{kinds}n_words long, n_removed long, kept binary").where("n_removed = 0 or n_removed < n_words")
     return out.select(*[(F.col("kept").cast("string") if c == "text" else F.col(names[c])).alias(c) for c in docs.columns])

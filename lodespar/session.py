@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """The session, with this package on the path of its Python workers, wherever the driver was started.
+    Machines that do not share the package's folder need it installed or sent with ``--py-files``."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    return spark
+
 
 def session(name: str = "lodespar", **settings: str) -> SparkSession:
     """The session of this process, made if there is none. ``settings`` have ``_`` for ``.``."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
-    return builder.getOrCreate()
+    return reachable(builder.getOrCreate())
 
 
 def reset() -> None:

@@ -19,6 +19,7 @@ from lodespar.functions import text as T
 from lodespar.functions.extraction import extraction, is_confident
 from lodespar.functions.vocabulary import DISPLAY, SYNONYMS
 from lodespar.operators import sampling, scoring, serve
+from lodespar.session import spread
 from lodespar.sources import logs, threads
 
 FLAGSHIP = "a4_trends_share"
@@ -470,7 +471,8 @@ def a22_cost(spark, sf_dir):
 @query()
 def f17_extract(spark, sf_dir):
     """All fields of the rules' extraction over whole documents (Arrow-batched; no SQL form)."""
-    return table(spark, sf_dir, "documents").select("doc_id", extraction(F.col("text")).alias("e")).select("doc_id", "e.company", "e.location", "e.remote", "e.salary_min", "e.salary_max", F.array_join("e.skills", ",").alias("skills"), "e.seniority", "e.visa_sponsor", is_confident(F.col("e.confidence")).alias("confident"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", extraction(F.col("text")).alias("e")).select("doc_id", "e.company", "e.location", "e.remote", "e.salary_min", "e.salary_max", F.array_join("e.skills", ",").alias("skills"), "e.seniority", "e.visa_sponsor", is_confident(F.col("e.confidence")).alias("confident"))
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,6 +19,14 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan that comes in fewer splits than there are cores, dealt over all of them before heavy
+    per-row work. Larger scans stay as they are, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if splits >= cores else scan.repartition(cores)
+
+
 def session(name: str = "lodespar", **settings: str) -> SparkSession:
     """The session of this process, made if there is none. ``settings`` have ``_`` for ``.``."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")

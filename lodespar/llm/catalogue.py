@@ -41,7 +41,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_corpus(documents(spark, sf_dir))
+    return lm.score_corpus(documents(spark, sf_dir), least=1)
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ import numpy as np
 
 U = np.uint64
 _ONE = U(1)
+#: Numbers encoded at once.
+_BLOCK = 1 << 19
 
 
 def _filesystem(uri: str):
@@ -79,6 +81,12 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     return _OPEN[uri]
 
 
+def close_arrays(*uris: str) -> None:
+    """Forget mapped files that are not read again."""
+    for uri in uris:
+        _OPEN.pop(uri, None)
+
+
 def _or_into(words: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
     """``words[at] |= bits`` for sorted ``at``."""
     if len(at):
@@ -88,20 +96,22 @@ def _or_into(words: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
 
 def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     """Arrays of a sorted sequence of unsigned longs, named ``name`` and a suffix."""
-    v, n = values.astype(U), len(values)
+    v, n = values.astype(U, copy=False), len(values)
     top = int(v[-1]) if n else 0
     low_bits = max(0, (max(1, top // max(n, 1))).bit_length() - 1)
     low = np.zeros(-(-n * low_bits // 64) + 1, U)
-    i = np.arange(n, dtype=U)
-    if low_bits:
-        part, pos = v & U((1 << low_bits) - 1), i * U(low_bits)
-        word, off = (pos >> U(6)).astype(np.int64), pos & U(63)
-        _or_into(low, word, part << off)
-        over = off + U(low_bits) > 64
-        _or_into(low, word[over] + 1, part[over] >> (U(64) - off[over]))
     high = np.zeros((n + (top >> low_bits) + 2) // 64 + 1, U)
-    pos = (v >> U(low_bits)) + i
-    _or_into(high, (pos >> U(6)).astype(np.int64), _ONE << (pos & U(63)))
+    for at in range(0, n, _BLOCK):
+        x = v[at : at + _BLOCK]
+        i = np.arange(at, at + len(x), dtype=U)
+        if low_bits:
+            part, pos = x & U((1 << low_bits) - 1), i * U(low_bits)
+            word, off = (pos >> U(6)).astype(np.int64), pos & U(63)
+            _or_into(low, word, part << off)
+            over = off + U(low_bits) > 64
+            _or_into(low, word[over] + 1, part[over] >> (U(64) - off[over]))
+        pos = (x >> U(low_bits)) + i
+        _or_into(high, (pos >> U(6)).astype(np.int64), _ONE << (pos & U(63)))
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)[:-1]])
     return {f"{name}.head": np.array([n, low_bits, top], U), f"{name}.low": low, f"{name}.high": high, f"{name}.ones": ones.astype(np.uint32 if n < 1 << 32 else np.int64)}
 

@@ -16,12 +16,13 @@ are made many at once, sorted, one file after the other.
     p(w | u v) = a(u v w) + b(u v) * (a(v w) + b(v) * p(w)),   a = (c - D) / c(context),
     b(context) = 1 - sum of its a,   p(w) = (c + 1) / (N + V + 1)
 
-Pairs and triples seen once are not kept (``LEAST_COUNT``, at every size); their mass goes to b. So p
-sums to one over the known words and one unknown word. The end of a text is a token.
+Pairs and triples of fewer than ``least`` occurrences are not kept; their mass goes to b. The query op6 keeps
+all (``least=1``), ``LEAST_COUNT`` is what callers get who do not say. Either way p sums to one over the known
+words and one unknown word. The end of a text is a token.
 
 Counting: the tokens of a pass over the training texts are counted in a worker by runs of texts and
 sent as packed blobs, one for each shard: sorted keys as differences of fewest bytes, and the counts
-above one. A reducer merges the blobs of a shard and leaves its pruned counts; then ``GROUP`` shards at
+above one. A reducer merges the blobs of a shard and leaves the counts that are kept; then ``GROUP`` shards at
 a time become one file of the trie. Shards hold about as many tokens each, whatever the words: their
 bounds are quantiles of a sample of pairs, drawn by hash in proportion to the number of shards. Texts
 are passed over four times (words, pairs, triples, scores) and never shuffled. Files are replaced
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from lodespar.llm._grouped import borders, over_runs
 from lodespar.llm._shared import delete, new_path
 from lodespar.llm._words import U, Words, mix, slices, texts, bounded
-from lodespar.llm.elias_fano import EliasFano, encode, read_arrays, write_arrays
+from lodespar.llm.elias_fano import EliasFano, close_arrays, encode, read_arrays, write_arrays
 
 DISCOUNT, LEAST_COUNT = 0.75, 2
 #: Bytes of text for a shard, tokens that a worker counts at once, sampled pairs for a shard.
@@ -201,13 +202,23 @@ def find_triple(path: str, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
     return relative(sequence(path, "v_to"), sequence(path, "w"), pair, w)
 
 
-def chain(starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+class Chain:
     """Ids that rise within each range, as one rising sequence: each range goes on after the last
-    number of the one before."""
-    last = np.append(starts[1:], len(ids)) - 1
-    steps = ids[last].astype(U) + U(1)
-    base = np.concatenate([np.zeros(1, U), np.cumsum(steps)[:-1]])
-    return ids.astype(U) + U(1) + np.repeat(base, last + 1 - starts)
+    number of the one before. Filled shard by shard; a range may go on in the next shard."""
+
+    def __init__(self, n: int):
+        self.values, self.n, self.context, self.base = np.zeros(n, U), 0, -1, U(0)
+
+    def add(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Where the ranges (runs of ``context``) of these ids begin."""
+        cut = borders(context)
+        starts, last = cut[:-1], cut[1:] - 1
+        base = np.concatenate([np.zeros(1, U), np.cumsum(ids[last].astype(U) + U(1))[:-1]])
+        if self.n:
+            base += self.base if context[0] == self.context else self.values[self.n - 1]
+        self.values[self.n : self.n + len(ids)] = ids.astype(U) + U(1) + np.repeat(base, np.diff(cut))
+        self.n, self.context, self.base = self.n + len(ids), int(context[-1]), base[-1]
+        return starts
 
 
 def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -301,7 +312,7 @@ def _per_file(spark, files: int, make, schema: str) -> DataFrame:
                 kinds = [pa.float64() if c.split()[1] == "double" else pa.int64() for c in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return spark.range(0, files, 1, files).mapInArrow(work, schema)
+    return spark.range(0, files, 1, files).mapInArrow(bounded(work), schema)
 
 
 def _join_words(root: str, shards: int):
@@ -330,19 +341,29 @@ def _count_pairs(trie: Trie):
     return work
 
 
-def _keep_pruned(root: str, level: str):
+def _keep_counts(root: str, level: str, least: int):
     def work(table: pa.Table) -> pa.RecordBatch:
         part, blobs = table["part"].to_numpy(), table["blob"].to_pylist()
         cut = borders(part)
         for lo, hi in zip(cut[:-1], cut[1:]):
             keys, counts = merge(blobs[lo:hi])
-            keep = counts >= LEAST_COUNT
-            write_arrays(f"{root}/counts/{level}-{part[lo]}", {"key": keys[keep], "count": counts[keep].astype(np.uint32 if counts.max() < 1 << 32 else np.int64)})
+            keep = counts >= least
+            keys, counts = keys[keep], counts[keep]
+            more = np.flatnonzero(counts > 1)
+            write_arrays(f"{root}/counts/{level}-{part[lo]}", encode(keys, "key") | {"more": more.astype(np.uint32), "above": counts[more]})
         return pa.RecordBatch.from_arrays([pa.array(np.unique(part))], ["part"])
 
     return work
 
 
+def _counts_of(arrays: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's keys and counts as ``_keep_counts`` left them."""
+    keys = EliasFano(arrays, "key")
+    counts = np.ones(len(keys), np.int64)
+    counts[arrays["more"]] = arrays["above"]
+    return keys.access(np.arange(len(keys))), counts
+
+
 def _word_counts(trie: Trie, ids: np.ndarray) -> np.ndarray:
     """Counts of sorted word numbers."""
     out = np.zeros(len(ids), np.int64)
@@ -360,17 +381,29 @@ def _join_pairs(trie: Trie):
         parts = _shards_of(trie.root, "pairs", file, len(trie.bounds))
         sizes = np.zeros(GROUP + 1, np.int64)
         for part, a in parts:
-            sizes[part - file * GROUP + 1] = len(a["key"])
-        keys = np.concatenate([a["key"] for _, a in parts]) if parts else np.zeros(0, U)
-        counts = np.concatenate([a["count"] for _, a in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        u, v = trie.words_of(keys)
-        starts = borders(u)[:-1]
-        firsts, to = u[starts], np.append(starts, len(u))
-        of = _word_counts(trie, firsts)
-        kept = np.add.reduceat(counts - DISCOUNT, starts) if len(u) else np.zeros(0)
-        arrays = encode(firsts, "u") | encode(to, "u_to") | encode(chain(starts, v) if len(v) else v, "v")
-        arrays |= {"pair": quantise((counts - DISCOUNT) / np.repeat(of, np.diff(to))), "left_u": quantise(1 - kept / np.maximum(of, 1)), "count": counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64), "shards": np.cumsum(sizes)}
+            sizes[part - file * GROUP + 1] = a["key.head"][0]
+        ends, link = np.cumsum(sizes), Chain(int(sizes.sum()))
+        pair, all_counts = np.zeros(ends[-1], np.uint16), np.zeros(ends[-1], np.uint32 if all(a["above"].max(initial=0) < 1 << 32 for _, a in parts) else np.int64)
+        words, begins, sums, totals = [], [], [], []
+        for part, a in parts:
+            at, (keys, counts) = ends[part - file * GROUP], _counts_of(a)
+            if not len(keys):
+                continue
+            u, v = trie.words_of(keys)
+            starts = link.add(u, v)
+            of = _word_counts(trie, u[starts])
+            pair[at : at + len(u)] = quantise((counts - DISCOUNT) / np.repeat(of, np.diff(starts, append=len(u))))
+            all_counts[at : at + len(u)] = counts
+            words.append(u[starts]), begins.append(starts + at), sums.append(np.add.reduceat(counts - DISCOUNT, starts)), totals.append(of)
+        words, begins, sums, totals = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, begins, sums, totals))
+        # A word whose pairs lie in two shards stands here twice.
+        once = borders(words)[:-1]
+        firsts, to, of = words[once], np.append(begins[once], ends[-1]), totals[once]
+        kept = np.add.reduceat(sums, once) if len(once) else np.zeros(0)
+        arrays = encode(firsts, "u") | encode(to, "u_to") | encode(link.values, "v")
+        arrays |= {"pair": pair, "left_u": quantise(1 - kept / np.maximum(of, 1)), "count": all_counts, "shards": ends}
         write_arrays(f"{trie.root}/pairs/{file}", arrays)
+        close_arrays(*(f"{trie.root}/counts/pairs-{part}" for part, _ in parts))
         return [(file, int(firsts[i]), float(kept[i]), int(of[i])) for i in sorted({0, len(firsts) - 1})] if len(firsts) else []
 
     return make
@@ -423,16 +456,25 @@ def _count_triples(trie: Trie):
 def _join_triples(trie: Trie):
     def make(file: int) -> list[tuple]:
         old = read_arrays(f"{trie.root}/pairs/{file}")
-        of = old["count"].astype(np.int64)
-        parts = [a for _, a in _shards_of(trie.root, "triples", file, len(trie.bounds))]
-        keys = np.concatenate([a["key"] for a in parts]) if parts else np.zeros(0, U)
-        counts = np.concatenate([a["count"] for a in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        index, w = trie.words_of(keys)
-        kept = np.bincount(index, counts - DISCOUNT, len(of)) if len(of) else np.zeros(0)
-        arrays = {k: a for k, a in old.items() if k not in ("count", "shards")} | {"left_v": quantise(1 - kept / of), "triple": quantise((counts - DISCOUNT) / of[index])}
-        arrays |= encode(np.searchsorted(index, np.arange(len(of) + 1)), "v_to") | encode(chain(borders(index)[:-1], w) if len(w) else w, "w")
+        of = old["count"]
+        parts = _shards_of(trie.root, "triples", file, len(trie.bounds))
+        n, at = sum(int(a["key.head"][0]) for _, a in parts), 0
+        link, triple, kept, sizes = Chain(n), np.zeros(n, np.uint16), np.zeros(len(of)), np.zeros(len(of), np.int64)
+        for _, a in parts:
+            keys, counts = _counts_of(a)
+            if not len(keys):
+                continue
+            index, w = trie.words_of(keys)
+            starts = link.add(index, w)
+            triple[at : at + len(w)] = quantise((counts - DISCOUNT) / of[index])
+            kept[index[starts]] = np.add.reduceat(counts - DISCOUNT, starts)
+            sizes[index[starts]] = np.diff(starts, append=len(w))
+            at += len(w)
+        arrays = {k: a for k, a in old.items() if k not in ("count", "shards")} | {"left_v": quantise(1 - kept / of), "triple": triple}
+        arrays |= encode(np.concatenate([[0], np.cumsum(sizes)]), "v_to") | encode(link.values, "w")
         write_arrays(f"{trie.root}/trie/{file}", arrays)
-        return [(file, len(keys))]
+        close_arrays(f"{trie.root}/pairs/{file}", *(f"{trie.root}/counts/triples-{part}" for part, _ in parts))
+        return [(file, n)]
 
     return make
 
@@ -509,8 +551,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def train(docs: DataFrame) -> Trie:
-    """The trie of the training rows of ``docs``."""
+def train(docs: DataFrame, least: int = LEAST_COUNT) -> Trie:
+    """The trie of the training rows of ``docs``: pairs and triples of ``least`` occurrences at least."""
     spark, rows = docs.sparkSession, _rows(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
@@ -531,15 +573,16 @@ def train(docs: DataFrame) -> Trie:
     keys = np.sort(trie.key(u, v))
     cuts = keys[(np.arange(1, shards) * len(keys)) // shards] if len(keys) else np.zeros(0, U)
     trie.bounds = np.unique(np.concatenate([np.zeros(1, U), cuts]))
-    over_runs(rows.mapInArrow(bounded(_count_pairs(trie)), "part long, blob binary"), "part", [], _keep_pruned(trie.root, "pairs"), "part long").collect()  # a number a shard
+    over_runs(rows.mapInArrow(bounded(_count_pairs(trie)), "part long, blob binary"), "part", [], _keep_counts(trie.root, "pairs", least), "part long").collect()  # a number a shard
     ends = _per_file(spark, trie.files, _join_pairs(trie), "file long, word long, kept double, total long").collect()  # two words a file
+    delete(spark, f"{trie.root}/counts")
     parts: dict[int, dict[int, float]] = {}
     totals = {}
     for r in ends:
         parts.setdefault(r["word"], {})[r["file"]] = r["kept"]
         totals[r["word"]] = r["total"]
     trie.split = {w: 1 - sum(k.values()) / totals[w] for w, k in parts.items() if len(k) > 1}
-    over_runs(rows.mapInArrow(bounded(_count_triples(trie)), "part long, blob binary"), "part", [], _keep_pruned(trie.root, "triples"), "part long").collect()
+    over_runs(rows.mapInArrow(bounded(_count_triples(trie)), "part long, blob binary"), "part", [], _keep_counts(trie.root, "triples", least), "part long").collect()
     _per_file(spark, trie.files, _join_triples(trie), "file long, n long").collect()
     delete(spark, f"{trie.root}/counts", f"{trie.root}/pairs")
     return trie
@@ -549,6 +592,6 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     return _rows(docs).mapInArrow(bounded(_score(trie)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_corpus(docs: DataFrame) -> DataFrame:
+def score_corpus(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    return score(docs, train(docs))
+    return score(docs, train(docs, least))

@@ -247,6 +247,17 @@ def test_language_model_in_many_shards(docs, monkeypatch):
         assert r.score == pytest.approx(want[r.doc_id][5], rel=5e-3, abs=5e-3)
 
 
+@pytest.mark.parametrize("shard_bytes", [lm.SHARD_BYTES, 600])
+def test_language_model_query_keeps_what_occurs_once(spark, docs, monkeypatch, shard_bytes):
+    """The query as registered: pairs and triples of one training text count."""
+    monkeypatch.setattr(lm, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(catalogue, "documents", lambda *_: docs)
+    want, pruned = brute.language_model(DOCS, least=1), brute.language_model(DOCS)
+    for r in catalogue.op6_ngram_trie_scores(spark, "").collect():
+        assert r.score == pytest.approx(want[r.doc_id][5], rel=5e-3, abs=5e-3)
+    assert sum(abs(want[d][5] - pruned[d][5]) > 0.1 * abs(pruned[d][5]) for d in want) > 10
+
+
 def test_elias_fano_round_trip(tmp_path):
     r = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 0), (7, 9), (1000, 1 << 40), (5000, (1 << 64) - 1), (3000, 3100)):

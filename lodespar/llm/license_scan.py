@@ -6,6 +6,15 @@ words of letters and digits; the sets of their word bigrams are compared. For a
 two sets can only reach it if the smaller has at least t / (2 - t) times the elements of the larger:
 those bounds prune units before they are normalised, and templates before they are compared.
 
+Line breaks and surrounding prose do not hide a notice: windows of words over the whole normalised text
+are compared too. A window begins and ends at a bigram of the template, as others only lower the
+coefficient; for templates of up to ``EXACT`` bigrams every such window within the size bounds counts, for
+longer ones those at every (n / ``GRID``)-th such bigram, so of a copy up to 2 / ``GRID`` of n may be left out
+at its ends. Lines that are hits are taken out of the text first (a foreign word stands for each), and a text
+that is a hit as a whole is done, so windows add only what lines do not show: one hit a template, line -2.
+Before, a text is asked for words one of which every window that reaches the threshold has, and
+for the least number of a template's bigrams; neither drops a match.
+
 The whole scan is a projection: no row is exploded, joined or shuffled, and the templates (a short
 fixed list) are literals in the plan.
 
@@ -16,6 +25,7 @@ and cost one word count. Repeated rows give repeated results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +33,10 @@ from pyspark.sql import functions as F
 from lodespar.llm._shared import let
 
 THRESHOLD = 0.8
+#: Windows: largest template compared at every place, and how many places a longer one is compared at.
+EXACT, GRID = 64, 40
+#: Stands for a line that is a hit already.
+_GONE = "\n0gone0\n"
 
 #: Licence notices as published by their stewards.
 TEMPLATES = {
@@ -57,12 +71,68 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return least, most
 
 
+def all_bigrams(text: Column) -> Column:
+    """The word bigrams of a text in order, repeats too."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 0)
+    pair = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return let(words, lambda w: F.when(F.size(w) >= 2, pair(w)).otherwise(F.array().cast("array<string>")))
+
+
 def bigrams(unit: Column) -> Column:
     words = F.regexp_extract_all(F.lower(unit), F.lit(_TOKEN), 0)
     pair = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
     return let(words, lambda w: F.when(F.size(w) >= 2, F.array_distinct(pair(w))).otherwise(F.array().cast("array<string>")))
 
 
+def needed_words(bigrams: list[str], threshold: float) -> set[str]:
+    """Words one of which stands in every window that reaches the threshold: fewer of the template's
+    bigrams than such a window shares are without them."""
+    left, found = [set(b.split()) for b in bigrams], set()
+    least = bounds(len(bigrams), threshold)[0]
+    while len(left) >= least:
+        count = Counter(w for b in left for w in b)
+        word = max(sorted(count), key=lambda w: count[w] * (len(w) > 4) + len(w) / 100)
+        found.add(word)
+        left = [b for b in left if word not in b]
+    return found
+
+
+def window_hits(text: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
+    """array<struct<line int, license string, dice double>>: each template's likest window of words, if it
+    reaches the threshold. Line is -2."""
+    sets = {name: template_bigrams(t) for name, t in sorted(templates.items())}
+    needed = sorted(set().union(*(needed_words(s, threshold) for s in sets.values())))
+    none = F.array().cast("array<struct<line:int,license:string,dice:double>>")
+
+    def against(name: str, b: Column) -> Column:
+        n, (least, most) = len(sets[name]), bounds(len(sets[name]), threshold)
+        own = F.split(F.lit("\n".join(sets[name])), "\n")
+        step = 1 if n <= EXACT else max(1, n // GRID)
+
+        def best(at: Column) -> Column:
+            ends = F.filter(at, lambda x, i: (i % step == 0) | (i == F.size(at) - 1)) if step > 1 else at
+
+            def from_start(p: Column) -> Column:
+                def dice(q: Column) -> Column:
+                    window = F.array_distinct(F.slice(b, p + 1, q - p + 1))
+                    return let(window, lambda w: F.when(F.size(w).between(least, most), F.size(F.array_intersect(w, own)) * 2.0 / (F.size(w) + n)).otherwise(0.0))
+
+                # Fewer places than the least bigrams cannot hold a match.
+                return F.coalesce(F.array_max(F.transform(F.filter(ends, lambda q: q - p + 1 >= least), dice)), F.lit(0.0))
+
+            return F.array_max(F.transform(ends, from_start))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: F.array_contains(own, F.get(b, i)))
+        enough = (F.size(b) >= least) & (F.size(F.array_intersect(b, own)) >= least)
+        return F.when(enough, let(places, best)).otherwise(0.0)
+
+    def all_of(b: Column) -> Column:
+        found = F.array(*[F.struct(F.lit(-2).alias("line"), F.lit(name).alias("license"), against(name, b).alias("dice")) for name in sets])
+        return F.filter(found, lambda x: x["dice"] >= threshold)
+
+    return F.when(F.lower(text).rlike("|".join(needed)), let(all_bigrams(text), all_of)).otherwise(none)
+
+
 def hits(text: Column, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> Column:
     """array<struct<line int, license string, dice double>>: the likest template of each unit that
     reaches the threshold (ties: the first name). Line -1 is the whole text."""
@@ -94,8 +164,16 @@ def hits(text: Column, templates: dict[str, str] | None = None, threshold: float
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with ``license_hits``."""
-    return docs.withColumn("license_hits", hits(F.col("text"), templates, threshold))
+    """The rows with ``license_hits``: those of units, then those of windows."""
+    text, notices = F.coalesce("text", F.lit("")), templates or TEMPLATES
+
+    def with_windows(units: Column) -> Column:
+        gone = F.transform(units, lambda h: h["line"])
+        lines = F.transform(F.split(text, "\n"), lambda line, i: F.when(F.array_contains(gone, i), F.lit(_GONE)).otherwise(line))
+        rest = F.when(F.size(units) > 0, F.array_join(lines, "\n")).otherwise(text)
+        return F.when(F.array_contains(gone, -1), units).otherwise(F.concat(units, window_hits(rest, notices, threshold)))
+
+    return docs.withColumn("license_hits", let(hits(F.col("text"), notices, threshold), with_windows))
 
 
 def summary(scanned: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import sys
+import textwrap
 import zlib
 from pathlib import Path
 
@@ -387,6 +388,17 @@ def test_license_scan(spark, none):
     assert license_scan.summary(license_scan.scan(none)).count() == 0
 
 
+def test_license_notices_across_lines_and_within_prose(spark):
+    t = license_scan.TEMPLATES
+    wrap = lambda name, width=60: "\n * ".join(textwrap.wrap(t[name], width))
+    long = "some words about other things " * 60
+    rows = {1: ("MIT-grant", wrap("MIT-grant")), 2: ("GPL-3.0-header", wrap("GPL-3.0-header", 70)), 3: ("BSD-clause", wrap("BSD-clause")), 4: ("MIT", "Thanks for reading this short page. Released under the MIT License.")}
+    df = spark.createDataFrame([(i, f"{long}\n{x} {long}\n{long}") for i, (_, x) in rows.items()] + [(9, long + "licensed work, version of the license " * 9)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.summary(license_scan.scan(df)).collect()}
+    assert {i: got[i].licenses for i in rows} == {i: name for i, (name, _) in rows.items()} and got[9].n_hits == 0
+    assert all(got[i].n_hits == 1 and got[i].best_dice > 0.9 for i in rows)
+
+
 def test_shards_hold_the_mixture(docs, none):
     rows = sharding.interleave(docs, 4).collect()
     texts = dict(DOCS)

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,9 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+#: Whole licence texts (the folder ``licenses``, with no one's copyright line); compared by windows only.
+FULL_TEXTS = {p.stem: re.sub(r"(?m)^Copyright \(c\).*$", "", p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
 _TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -109,18 +113,21 @@ def window_hits(text: Column, templates: dict[str, str], threshold: float = THRE
         own = F.split(F.lit("\n".join(sets[name])), "\n")
         step = 1 if n <= EXACT else max(1, n // GRID)
 
+        # At least ``least`` places lie in a window that matches, and less than half of it are repeats.
+        near = lambda at, k, j: F.get(at, j) - F.get(at, k) < 2 * most
+
         def best(at: Column) -> Column:
-            ends = F.filter(at, lambda x, i: (i % step == 0) | (i == F.size(at) - 1)) if step > 1 else at
+            marks = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda k: (k % step == 0) | (k == F.size(at) - 1))
+            starts = F.filter(marks, lambda k: near(at, k, k + least - 1))
 
-            def from_start(p: Column) -> Column:
-                def dice(q: Column) -> Column:
-                    window = F.array_distinct(F.slice(b, p + 1, q - p + 1))
+            def from_start(k: Column) -> Column:
+                def dice(j: Column) -> Column:
+                    window = F.array_distinct(F.slice(b, F.get(at, k) + 1, F.get(at, j) - F.get(at, k) + 1))
                     return let(window, lambda w: F.when(F.size(w).between(least, most), F.size(F.array_intersect(w, own)) * 2.0 / (F.size(w) + n)).otherwise(0.0))
 
-                # Fewer places than the least bigrams cannot hold a match.
-                return F.coalesce(F.array_max(F.transform(F.filter(ends, lambda q: q - p + 1 >= least), dice)), F.lit(0.0))
+                return F.coalesce(F.array_max(F.transform(F.filter(marks, lambda j: (j >= k + least - 1) & near(at, k, j)), dice)), F.lit(0.0))
 
-            return F.array_max(F.transform(ends, from_start))
+            return F.coalesce(F.array_max(F.transform(starts, from_start)), F.lit(0.0))
 
         places = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: F.array_contains(own, F.get(b, i)))
         enough = (F.size(b) >= least) & (F.size(F.array_intersect(b, own)) >= least)
@@ -130,7 +137,7 @@ def window_hits(text: Column, templates: dict[str, str], threshold: float = THRE
         found = F.array(*[F.struct(F.lit(-2).alias("line"), F.lit(name).alias("license"), against(name, b).alias("dice")) for name in sets])
         return F.filter(found, lambda x: x["dice"] >= threshold)
 
-    return F.when(F.lower(text).rlike("|".join(needed)), let(all_bigrams(text), all_of)).otherwise(none)
+    return F.when(F.lower(text).rlike(f"(?<![a-z])(?:{'|'.join(needed)})"), let(all_bigrams(text), all_of)).otherwise(none)
 
 
 def hits(text: Column, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> Column:
@@ -164,7 +171,8 @@ def hits(text: Column, templates: dict[str, str] | None = None, threshold: float
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with ``license_hits``: those of units, then those of windows."""
+    """The rows with ``license_hits``: those of units, then those of windows. Whole licence texts are looked
+    for in the whole text, beside whatever notices are in it; not if ``templates`` are given."""
     text, notices = F.coalesce("text", F.lit("")), templates or TEMPLATES
 
     def with_windows(units: Column) -> Column:
@@ -173,7 +181,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         rest = F.when(F.size(units) > 0, F.array_join(lines, "\n")).otherwise(text)
         return F.when(F.array_contains(gone, -1), units).otherwise(F.concat(units, window_hits(rest, notices, threshold)))
 
-    return docs.withColumn("license_hits", let(hits(F.col("text"), notices, threshold), with_windows))
+    found = let(hits(F.col("text"), notices, threshold), with_windows)
+    full = FULL_TEXTS if templates is None else {}
+    return docs.withColumn("license_hits", F.concat(found, window_hits(text, {f"{n}-text": t for n, t in full.items()}, threshold)) if full else found)
 
 
 def summary(scanned: DataFrame) -> DataFrame:

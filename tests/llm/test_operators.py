@@ -399,6 +399,15 @@ def test_license_notices_across_lines_and_within_prose(spark):
     assert all(got[i].n_hits == 1 and got[i].best_dice > 0.9 for i in rows)
 
 
+def test_whole_license_texts(spark):
+    rows = [(i, n, f"A page of prose.\n\n{t}\nMore prose.") for i, (n, t) in enumerate(sorted(license_scan.FULL_TEXTS.items()))]
+    mit = license_scan.FULL_TEXTS["MIT"]
+    rows.append((99, "MIT", "Copyright (c) 2020 Someone Else\n\n" + " ".join(mit.split())))
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r for r in license_scan.summary(license_scan.scan(df)).collect()}
+    assert len(rows) == 10 and all(f"{n}-text" in got[i].licenses.split(",") and got[i].best_dice > 0.95 for i, n, _ in rows)
+
+
 def test_shards_hold_the_mixture(docs, none):
     rows = sharding.interleave(docs, 4).collect()
     texts = dict(DOCS)

@@ -1,10 +1,11 @@
-"""Best-fit packing of token pieces into sequences, bulk-synchronous.
-
-Texts become ids and end in ``END``; only texts longer than a sequence are cut. Pieces are sorted by
-length, longest first, and gaps by size. In each superstep the longest pieces not yet placed seek
-their successor among the gaps (the least gap that holds them); where many pieces want the same
-gaps, or many gaps suit, the pieces' rank in their length decides; the gaps that were used shrink, and
-those without a gap open new sequences.
+"""Best-fit-decreasing packing of token pieces into sequences: a sweep over lengths on the driver.
+
+Texts become ids and end in ``END``; only texts longer than a sequence are cut. Longest first, the
+pieces of a length go to the least gap that holds them, or open new sequences. The method's dealt
+rounds (range-sorted pieces and gaps, distributed successor sweeps, conflicts by rank) are not here: one
+sequential loop on the driver replaces them, because its state is bounded by the length classes (at
+most ``capacity``, 4096) however large the corpus, and needs no rounds of shuffles. Only tokenising,
+the counts and the pieces' ranks are distributed.
 
 Lengths are whole numbers up to the capacity, so all pieces of a length are one class and all
 sequences filled alike are one run. The sweep over classes and runs needs only how many pieces each

@@ -37,7 +37,7 @@ def tokenizer_path() -> str:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizer_path()))
+    return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizer_path())).drop("row")
 
 
 def op6_ngram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

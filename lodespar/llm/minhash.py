@@ -18,7 +18,11 @@ Full sets are made only for nodes that share a band, in a second pass over the t
 shuffle is a signature a document, 64 keys a node, and the sets of colliding nodes.
 
 Nulls: a row without doc_id is linked with nothing and kept. A null or blank text has no shingles
-and is linked with nothing. Rows of equal doc_id are one document. Other columns are ignored.
+and is linked with nothing. Very long texts are handled one at a time, their sets whole. Rows of equal
+doc_id are one document: ``near_duplicates`` puts them in one component, whatever their texts, with a row
+of the result for each. ``drop_near_duplicates`` decides on texts instead, so that no text is lost because
+another row has its doc_id. An empty table gives an empty result. Other columns, whatever their names, are
+ignored or passed on.
 """
 
 from __future__ import annotations
@@ -45,7 +49,8 @@ PERCENT = 75
 #: Standard deviation of the estimate at the threshold, and so the least estimate that is confirmed.
 _P = 2.0**-B + (1 - 2.0**-B) * PERCENT / 100
 LEAST = PERCENT / 100 - 6 * (_P * (1 - _P) / MINIMA) ** 0.5 / (1 - 2.0**-B)
-BLOCK = 512
+#: Nodes of a block whose signatures are compared; nodes and shingles of a block whose sets are.
+BLOCK, FULL_BLOCK, FULL_SHINGLES = 512, 128, 1 << 21
 _FACTORS = (mix(np.arange(1, MINIMA + 1, dtype=U)) | U(1)).astype(np.uint32)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=U) * U(0xA24BAED4963EE407))
 _STEP = 1 << 14
@@ -97,7 +102,7 @@ def pack(least: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, column = batch.column(0), texts(batch.column(1))
+        ids, column, hashes = batch.column(0), texts(batch.column(1)), batch.column(2)
         for i, j, data, offsets in slices(column):
             size, digest, least = np.zeros(j - i, np.int64), [], np.zeros((j - i, MINIMA), np.uint32)
             for k, s in enumerate(shingle_sets(data, offsets)):
@@ -107,7 +112,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest.append(both.tobytes() if len(s) else None)
             keys, packed = band_keys(least).view(np.int64), pack(least).view(np.int64)
             lists = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size), pa.array(digest, pa.binary()), lists(packed), lists(keys)], ["doc_id", "n_shingles", "digest", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), hashes.slice(i, j - i), pa.array(size), pa.array(digest, pa.binary()), lists(packed), lists(keys)], ["doc_id", "_t", "n_shingles", "digest", "sig", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,28 +210,44 @@ def _blocks(count) -> F.Column:
     return F.ceil(count / BLOCK).cast("int")
 
 
+def _full_blocks(nodes, shingles) -> F.Column:
+    """Blocks that hold a bounded number of nodes and, but for single large ones, of bytes."""
+    return F.greatest(F.ceil(nodes / FULL_BLOCK), F.ceil(shingles / FULL_SHINGLES)).cast("int")
+
+
 def _block_of(node, blocks):
     return F.pmod(F.xxhash64(node), blocks).cast("int")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row per row of ``docs``."""
-    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(bounded(_sign), "doc_id long, n_shingles long, digest binary, sig array<long>, bands array<long>"), "near-signed")
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text as bytes, and the text's hash: what tells the rows of one doc_id apart."""
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_t"))
+
+
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with their digests; nodes (one for each set: digest, node, and its least row's doc_id and ``_t``);
+    links between nodes (a, b); and the components of those."""
+    signed = materialize(_texts(docs).mapInArrow(bounded(_sign), "doc_id long, _t long, n_shingles long, digest binary, sig array<long>, bands array<long>"), "near-signed")
     real = signed.where("doc_id is not null and digest is not null")
-    nodes = real.groupBy("digest").agg(F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("_s"), F.min("doc_id").alias("node"))
-    nodes = materialize(nodes.select("digest", "node", "_s.n_shingles", "_s.sig", "_s.bands"), "near-nodes")
+    nodes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "_t")).alias("_f"), F.min_by(F.struct("n_shingles", "sig", "bands"), F.struct("doc_id", "_t")).alias("_s"))
+    # The number of a node is fixed by the table that it is written to.
+    nodes = materialize(nodes.select("digest", F.monotonically_increasing_id().alias("node"), "_f.doc_id", "_f._t", "_s.n_shingles", "_s.sig", "_s.bands"), "near-nodes")
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "lead")
     members = materialize(keys.join(materialize(shared, "near-shared"), "key"), "near-members")
-    sigs = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sig", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys")), "near-sigs")
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(materialize(sigs.select(F.col("node").alias("doc_id")).distinct(), "near-need"), "doc_id", "left_semi")
+    sigs = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "_t", "n_shingles", "sig", F.col("bands").alias("keys")), "near-sigs")
+    # One row stands for a node; rows that repeat it whole are made one before their sets.
+    need = materialize(sigs.select("doc_id", "_t", "node"), "near-need")
+    sets = _texts(docs).join(need, ["doc_id", "_t"]).dropDuplicates(["node"]).select("node", "text")
     sets = materialize(sets.mapInArrow(bounded(_sets), "node long, set binary"), "near-sets")
+    sigs = sigs.drop("doc_id", "_t")
 
     # Stars: every member of a band with its least node.
     pairs = members.where("node <> lead").select("lead", "node").distinct()
-    pairs = pairs.join(sigs.select("node", F.col("sig").alias("y")), "node").join(sigs.select(F.col("node").alias("lead"), F.col("sig").alias("x")), "lead")
-    pairs = materialize(pairs.where(estimate(F.col("x"), F.col("y")) >= LEAST).select("lead", "node"), "near-pairs")
-    per = materialize(pairs.groupBy("lead").agg(_blocks(F.count(F.lit(1))).alias("_of")), "near-leads")
+    pairs = pairs.join(sigs.select("node", "n_shingles", F.col("sig").alias("y")), "node").join(sigs.select(F.col("node").alias("lead"), F.col("sig").alias("x")), "lead")
+    pairs = materialize(pairs.where(estimate(F.col("x"), F.col("y")) >= LEAST).select("lead", "node", "n_shingles"), "near-pairs")
+    per = materialize(pairs.groupBy("lead").agg(_full_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("_of")), "near-leads")
     ones = pairs.join(per, "lead").select("lead", _block_of("node", F.col("_of")).alias("_b"), "node")
     g = F.xxhash64("lead", "_b").alias("g")
     rows = ones.select(g, "node", F.lit(1).alias("role")).unionByName(ones.select("lead", "_b").distinct().select(g, F.col("lead").alias("node"), F.lit(0).alias("role")))
@@ -236,15 +257,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # What the stars leave: bands with several components.
     labelled = lambda df: df.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     held = materialize(labelled(sigs), "near-held")
-    sized = held.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    held = materialize(held.join(sized, "component"), "near-held")
+    sized = held.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("_all"))
+    held = materialize(held.join(sized.drop("_all"), "component"), "near-held")
     mixed = members.join(held.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z"), F.count(F.lit(1)).alias("_n")).where("_a <> _z")
     left = members.select("key", "band", "node").join(materialize(mixed.select("key", _blocks(F.col("_n")).alias("_of")), "near-mixed"), "key")
     both = F.explode(F.expr("transform(sequence(0, _of - 1), j -> struct(least(_b, j) as i, greatest(_b, j) as j))"))
     left = left.withColumn("_b", _block_of("node", F.col("_of"))).select(both.alias("_p"), "key", "band", "node", F.col("_b").alias("block"))
     left = left.select(F.xxhash64("key", "_p.i", "_p.j").alias("g"), "band", "node", "block", "_p.i", "_p.j").join(held, "node")
     ties = materialize(over_runs(left, "g", [], _reach, "node long, target long").distinct(), "near-ties")
-    ties = ties.join(ties.groupBy("target").agg(_blocks(F.count(F.lit(1))).alias("_ones")), "target").join(sized.select(F.col("component").alias("target"), _blocks(F.col("members")).alias("_zeros")), "target")
+    ties = ties.join(sigs.select("node", "n_shingles"), "node")
+    ones = ties.groupBy("target").agg(_full_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("_ones"))
+    ties = ties.drop("n_shingles").join(ones, "target").join(sized.select(F.col("component").alias("target"), _full_blocks(F.col("members"), F.col("_all")).alias("_zeros")), "target")
     ties = materialize(ties, "near-ties")
     ones = ties.select("target", "node", _block_of("node", F.col("_ones")).alias("_i"), F.explode(F.expr("sequence(0, _zeros - 1)")).alias("_j"), F.lit(1).alias("role"))
     zeros = held.select(F.col("component").alias("target"), "node").join(ties.select("target", "_ones", "_zeros").distinct(), "target")
@@ -252,15 +275,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _confirm(ones.unionByName(zeros).select(F.xxhash64("target", "_i", "_j").alias("g"), "node", "role"), sets)
     more = materialize(more, "near-links")
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        links = links.unionByName(more)
+        labels = components(links)
+
+    return signed, nodes, links, labels
+
 
-    named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("_c"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component_id", F.coalesce("_c", "doc_id"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row per row of ``docs``."""
+    signed, nodes, links, labels = _groups(docs)
+    of = signed.where("doc_id is not null and digest is not null").select("doc_id", "digest")
+    several = of.groupBy("doc_id").agg(F.min("digest").alias("_a"), F.max("digest").alias("_z")).where("_a <> _z").select("doc_id")
+    several = materialize(several, "near-several")
+    if several.limit(1).count():
+        # Ids that rows of several texts have: their nodes belong together.
+        own = of.join(several, "doc_id").distinct().join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
+        tied = own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+        labels = components(links.unionByName(tied.where("a <> b")))
+    named = nodes.select("digest", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("_c"))
+    named = materialize(named.join(least, "component").select("digest", "_c"), "near-named")
+    out = signed.select("doc_id", "n_shingles", "digest").withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))).join(named, "digest", "left").withColumn("component_id", F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component (one of equal rows may
-    stand for all: rows of one doc_id are one document)."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(materialize(gone, "near-gone"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicate texts, the row of least doc_id (ties: of least text hash); of rows
+    equal in doc_id and text, one. Rows without doc_id, or whose text has no words, all stay."""
+    signed, nodes, _, labels = _groups(docs)
+    named = nodes.select("node", "digest", "doc_id", "_t").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "_t")).alias("_f"))
+    named = materialize(named.join(first, "component").select("digest", "_f"), "near-named")
+    real = signed.where("doc_id is not null and digest is not null").select("doc_id", "_t", "digest")
+    # Each distinct row once: whether it goes, or stays but stands there several times.
+    rows = real.groupBy("doc_id", "_t").agg(F.first("digest").alias("digest"), F.count(F.lit(1)).alias("_n")).join(named, "digest")
+    rows = rows.withColumn("_stays", F.struct("doc_id", "_t") == F.col("_f")).where("_n > 1 or not _stays")
+    marked = materialize(rows.select("doc_id", "_t", "_stays"), "near-marked")
+    # The caller's columns in one, whatever their names.
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("_t"))
+    rest = keyed.join(marked, ["doc_id", "_t"], "left_anti").select("_row.*")
+    if not marked.where("_stays").limit(1).count():
+        return rest
+    again = keyed.join(marked.where("_stays"), ["doc_id", "_t"]).groupBy("doc_id", "_t").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return rest.unionByName(again.select("_row.*"))

@@ -30,6 +30,8 @@ from lodespar.llm._shared import WORD, bucket_bits, materialize, running, seeded
 
 #: frac(n * GOLDEN / 2**32) is the golden-ratio sequence (its mirror image), in exact integers.
 GOLDEN, TURN, CELLS = 1640531527, 1 << 32, 4096
+#: Copies of a row that one task writes after another.
+RUN = 1000
 
 
 def _text_hash() -> Column:
@@ -108,12 +110,20 @@ def taken(parts: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, weights: list[int], most: int = 3, block_words: int = 2048, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes at least half of its words.
 
-    Documents without words weigh nothing in a mixture of words and are kept once. Rows equal in
-    id and text share the copies that the mixture gives them evenly.
+    Documents without words weigh nothing in a mixture of words and are kept once. Of rows equal in id and
+    text, one stands for all: it is written as often as the mixture takes them together.
     """
     parts = mix(docs, weights, most, block_words, seed)
     copies = parts.groupBy("_k", "_rank", "doc_id", "_t", "epoch", "size").agg(F.sum("n_words").alias("_words")).withColumn("_one", F.when((F.col("size") == 0) | (F.col("_words") * 2 >= F.col("size")), 1).otherwise(0))
-    copies = copies.groupBy(F.xxhash64("doc_id", "_t").alias("_row")).agg(F.sum("_one").alias("_c"), F.count_distinct("_k", "_rank").alias("_m"))
-    copies = materialize(copies.select("_row", F.expr("(_c + _m div 2) div _m").cast("int").alias("_copies")).where("_copies > 0"), "mix-copies")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), _text_hash()))
-    return keyed.join(copies, "_row").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+    copies = copies.groupBy(F.xxhash64("doc_id", "_t").alias("_row")).agg(F.sum("_one").alias("_copies"), F.count_distinct("_k", "_rank").alias("_m"))
+    copies = materialize(copies.where("_copies > 0"), "mix-copies")
+    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.xxhash64(F.col("doc_id"), _text_hash()).alias("_row"))
+    one = keyed.join(copies.where("_m = 1").drop("_m"), "_row").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select("_all.*")
+    again = copies.where("_m > 1").drop("_m")
+    if not again.limit(1).count():
+        return one
+    # Many equal rows may be written many times: in runs of a bounded length, dealt anew.
+    several = keyed.join(again, "_row").groupBy("_row", "_copies").agg(F.min_by("_all", F.xxhash64(F.to_json("_all"))).alias("_all"))
+    several = several.withColumn("_run", F.explode(F.expr(f"sequence(0, (_copies - 1) div {RUN})"))).repartition("_row", "_run")
+    several = several.withColumn("_copy", F.explode(F.expr(f"sequence(1, least({RUN}, _copies - _run * {RUN}))")))
+    return one.unionByName(several.select("_all.*"))

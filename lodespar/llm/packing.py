@@ -15,8 +15,10 @@ the same offset on. Every piece finds its stretch by its rank, which is counted
 so a length that a third of all pieces share is spread like any other. The result equals sequential
 best-fit decreasing.
 
-Nulls: a null text is empty: one piece with the end token. Repeated rows are packed each. Very long
-texts are tokenised whole. Other columns are ignored.
+Nulls: a null text is empty: one piece with the end token; a null doc_id stays null, and ``row`` tells its
+pieces apart. Repeated rows, and rows of one doc_id, are packed each, with a ``row`` of their own. Very long
+texts are tokenised whole. Pieces of equal length are interchangeable; a seeded hash orders them. An empty
+table gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -142,7 +144,6 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(path)
         for batch in batches:
-            ids = batch.column(0)
             for lo, hi, data, offsets in slices(texts(batch.column(1)), 2 * SLICE):
                 every, first = tokens.ids(data, offsets)
                 owner, piece, start, length, crc, kept = [], [], [], [], [], []
@@ -156,19 +157,21 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                         crc.append(zlib.crc32(part.astype("<u4", copy=False)))
                         if with_ids:
                             kept.append(part)
-                cols = [ids.take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                cols = [batch.column(c).take(pa.array(owner, pa.int64())) for c in (0, 2)]
+                cols += [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    cols, names = [*cols, pa.array(kept, pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))], [*names, "ids"]
+                    cols, names = [*cols, pa.array(kept, pa.list_(pa.uint32())).cast(pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return work
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(bounded(_pieces(tokenizer_path, capacity, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    """doc_id, row (a number that the pieces of a row of ``docs`` share), piece, start, length, ids_crc32 and,
+    if asked for, ids. To be written before it is used twice, which fixes the rows' numbers."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(bounded(_pieces(tokenizer_path, capacity, with_ids)), "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -199,15 +202,20 @@ def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, i
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, seed: int = 17) -> DataFrame:
-    """The pieces (a table with doc_id, piece, length, ids_crc32) with sequence_id and offset."""
+    """The pieces with sequence_id and offset. Only ids and lengths are sorted; other columns of the pieces
+    (their token ids) meet their places in one join."""
     cut = materialize(cut, "pack-pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    narrow = cut.select("doc_id", "row", "piece", "start", "length", "ids_crc32")
+    counts = {r["length"]: r["n"] for r in narrow.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     spark = cut.sparkSession
     stretches = spark.createDataFrame(sweep(counts, capacity), "length long, _r0 long, _n long, _first long, _from long, _each long")
     bits = bucket_bits(sum(counts.values()))
-    hashed = cut.withColumn("_h", seeded_hash(seed, F.col("doc_id"), F.col("piece"), F.col("ids_crc32")))
-    ranked = running(hashed.withColumn("_b", F.shiftright("_h", 60 - bits)), ["length"], "_b", [F.col("_h"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "_rank")
+    hashed = narrow.withColumn("_h", seeded_hash(seed, F.col("doc_id"), F.col("row"), F.col("piece")))
+    ranked = running(hashed.withColumn("_b", F.shiftright("_h", 60 - bits)), ["length"], "_b", [F.col("_h"), F.col("row"), F.col("piece")], "_rank")
     placed = ranked.join(materialize(stretches, "pack-stretches"), "length").where("_rank >= _r0 and _rank < _r0 + _n")
     at = F.col("_rank") - F.col("_r0")
     placed = placed.withColumn("sequence_id", F.col("_first") + F.expr("(_rank - _r0) div _each"))
-    return placed.withColumn("offset", F.col("_from") + at % F.col("_each") * F.col("length")).select(*cut.columns, "sequence_id", "offset")
+    placed = placed.withColumn("offset", F.col("_from") + at % F.col("_each") * F.col("length"))
+    if set(cut.columns) == set(narrow.columns):
+        return placed.select(*cut.columns, "sequence_id", "offset")
+    return cut.join(placed.select("row", "piece", "sequence_id", "offset"), ["row", "piece"]).select(*cut.columns, "sequence_id", "offset")

@@ -6,32 +6,36 @@ learnt by cyclic boosting: round after round, every feature in turn gets a tree
 on its bins, fitted to the current gradient and added at a small rate; then the pairs likewise. A score
 is a sum of looked-up cells through the logistic function.
 
-The features are counts over a text's bytes and words, computed in one pass over all texts and kept as
-a table; labels, language, source and id are never among them. The model is fitted on the driver, on at
-most ``MOST_ROWS`` labelled rows, those of least seeded hash of doc_id; its size is fixed by the number
-of features, and scoring is a projection over the feature table.
-
-Nulls: a null text is empty. Empty texts are scored like any other. Rows without a label, or with a null
-one, teach nothing; several labels of a document count by their maximum. Without both classes among
-the labels, every score is the (smoothed) share of label 1. Repeated rows are scored each.
+The features are counts over a text's bytes and words; labels, language, source and id are never among
+them. The model is fitted on the driver, on at most ``MOST_ROWS`` labelled rows, those of least seeded hash
+of doc_id; its size is fixed by the number of features. Only the texts of those rows are looked up for it.
+Scoring is a column over the scan: features, bins and sums of a batch of texts at once, no shuffle and no
+table between.
+
+Nulls: a null text is empty, a null doc_id is held out or not as the empty text is. Empty texts are scored
+like any other, very long ones whole. Rows without a label, or with a null one, teach nothing; several
+labels of a document count by their maximum, and ties in the seeded hash go by doc_id and text. Without
+both classes among the labels, every score is the (smoothed) share of label 1. Repeated rows are scored
+each, rows of one doc_id by their own texts. An empty table gives an empty result. Other columns, whatever
+their names, are ignored, or passed on by ``keep_good``.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._shared import materialize, seeded_hash
 from lodespar.llm._words import Words, by_text, slices, texts, windows, bounded
 
 MOST_ROWS, ACCEPT = 20_000, 0.7
+FOLDS, HELD_OUT = 4, 2
 BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, RIDGE = 48, 8, 6, 200, 60, 0.08, 3.0
 FEATURES = ["words", "word_length", "letters", "upper", "digits", "marks", "odd_marks", "bars", "shouts", "lines", "above_ascii", "entropy", "distinct", "again", "commonest", "repeated_threes", "short_words", "sentence_ends", "odd_ends"]
 
@@ -81,13 +85,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ], 1)
 
 
+def measure(column: pa.Array) -> np.ndarray:
+    """(texts, features), a slice at a time."""
+    found = [features(data, offsets).astype(np.float32) for _, _, data, offsets in slices(texts(column))]
+    return np.concatenate(found) if found else np.zeros((0, len(FEATURES)), np.float32)
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, offsets in slices(texts(batch.column(1))):
-            x = features(data, offsets).astype(np.float32)
-            held = np.array([zlib.crc32(b"" if v is None else str(v).encode()) % 4 == 2 for v in batch.column(0).slice(i, j - i).to_pylist()])
-            lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(held), lists], ["doc_id", "held_out", "x"])
+        x = measure(batch.column("text"))
+        lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("quality"), lists], ["quality", "x"])
 
 
 @dataclass
@@ -209,39 +217,39 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out (crc32 of the id as text mod 4 is 2; null as the empty text), x."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return materialize(rows.mapInArrow(bounded(_measure), "doc_id long, held_out boolean, x array<float>"), "quality-x")
+def held_out() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def train(x: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, seed: int = 17) -> Model:
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = x.where("not held_out").join(known, "doc_id").withColumn("_h", seeded_hash(seed, F.col("doc_id")))
-    taken = rows.orderBy("_h", "doc_id").limit(most_rows).select("x", "quality").toPandas()
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, seed: int = 17) -> Model:
+    """The model of the labelled rows of ``docs`` that are not held out, of at most ``most_rows`` of them."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    here = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"))
+    by_hash = [seeded_hash(seed, F.col("doc_id")), F.col("doc_id")]
+    chosen = materialize(known.join(here, "doc_id", "left_semi").orderBy(*by_hash).limit(most_rows), "quality-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(chosen, "doc_id")
+    rows = rows.orderBy(*by_hash, F.xxhash64("text")).limit(most_rows).select("quality", "text")
+    taken = rows.mapInArrow(bounded(_measure), f"quality {chosen.schema['quality'].dataType.simpleString()}, x array<float>").toPandas()
     return fit(np.array(taken["x"].tolist(), np.float32).reshape(len(taken), len(FEATURES)), taken["quality"].to_numpy(np.float64))
 
 
-def scored(x: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+def score(text: Column, model: Model) -> Column:
+    """Scores of texts, 0 to 1."""
+    bounded(iter)  # a batch of long texts is bounded as elsewhere
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-            score = model.score(values) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+    @F.arrow_udf("double")
+    def scores(column: pa.Array) -> pa.Array:
+        return pa.array(model.score(measure(column)))
 
-    return x.mapInArrow(bounded(work), "doc_id long, held_out boolean, score double, predicted int")
+    return scores(text.cast("binary"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    x = measured(docs)
-    return scored(x, train(x, labels))
+    """doc_id, held_out, score, predicted."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), score(F.col("text"), train(docs, labels)).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are accepted. Rows of one doc_id but different texts are told apart
-    by rejecting only documents all of whose rows are rejected."""
-    bad = classify(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("_p")).where("_p = 0").select("doc_id")
-    bad = materialize(bad, "quality-bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are accepted, each by its own text."""
+    return docs.where(score(F.col("text"), train(docs, labels)) >= ACCEPT)

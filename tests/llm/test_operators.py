@@ -142,6 +142,44 @@ def test_null_ids_are_kept(spark):
     assert lm.score_corpus(rows).count() == 3
 
 
+def test_rows_of_one_id_are_one_document_but_no_text_is_lost(spark):
+    a, b = prose(120), prose(140)
+    near = b.split()
+    near[70] = "other"
+    rows = [(3, a), (5, a), (5, b), (7, " ".join(near)), (9, prose(50)), (9, prose(50)), (None, a), (None, a), (11, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _t int")
+    got = minhash.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (3, 3), (5, 3), (5, 3), (7, 3), (9, 9), (9, 9), (11, 11)]
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    # One row of each group of texts: (3, a) for a, (5, b) for b and its near copy.
+    assert sorted(r._t for r in kept.collect()) == [0, 2, 4, 5, 6, 7, 8]
+    twice = minhash.drop_near_duplicates(df.unionByName(df.where("doc_id is not null"))).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in twice) == sorted((rows[i][0] or 0, rows[i][1]) for i in [0, 2, 4, 5, 6, 7, 8, 8])
+
+
+def test_quality_decides_by_row(spark, monkeypatch):
+    class Longer:
+        def score(self, x):
+            return (x[:, 0] > np.log1p(3.5)).astype(float)  # words
+
+    monkeypatch.setattr(quality, "train", lambda *_: Longer())
+    df = spark.createDataFrame([(5, "one two three four", 1), (5, "one", 2), (None, "a b c d e", 3), (None, None, 4)], "doc_id long, text string, score int")
+    assert sorted(r.score for r in quality.keep_good(df, df).collect()) == [1, 3]
+
+
+def test_equal_rows_share_their_copies(spark, monkeypatch):
+    rows = [(1, "a b c d", "s", 7)] * 3 + [(i, prose(20), "s", i) for i in range(10, 30)] + [(i, prose(40), "t", i) for i in range(40, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int")
+    for run in (1000, 1):
+        monkeypatch.setattr(mixing, "RUN", run)
+        for weights in ([5, 2], [1, 9]):
+            parts = mixing.mix(df, weights).where("doc_id = 1").groupBy("_rank", "epoch").agg(F.sum("n_words").alias("n"))
+            want = parts.where("n >= 2").count()
+            out = mixing.mix_documents(df, weights)
+            assert out.columns == df.columns and out.where("doc_id = 1 and _copies = 7").count() == want
+
+
 def test_pack_of_hashes_and_estimates():
     a = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 4000, dtype=np.uint64))
     b = np.concatenate([a[:3000], a[3000:] ^ np.uint64(1 << 40)])
@@ -200,6 +238,8 @@ def test_pieces_are_the_tokenizers(docs, none):
         assert ends[-1] <= 64 and [o for o, _ in sorted(parts)] == [0, *ends[:-1]]
     assert len(sequences) == brute.best_fit_decreasing([r.length for r in rows], 64)
     assert packing.pack(packing.pieces(none, catalogue.tokenizer_path())).count() == 0
+    again = packing.pack(packing.pieces(docs, catalogue.tokenizer_path(), 64, with_ids=True), 64)
+    assert again.count() == len(rows) and all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in again.collect())
 
 
 @pytest.mark.parametrize("text", ["a<|endoftext|>b", "don't it's'll", "İstanbul ǅ", "À b́", " x y\x1cz\x0bq\x85", "ÀÉÎ,.!", "ß ẞ Straße", "''s", "naïve—yes", "12ab34", "ａｂｃ", "क़", "\x00", "x'"])

@@ -3,6 +3,7 @@ import sys
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -74,7 +75,15 @@ def test_packing_holds_every_token(steps):
         ends[r.sequence_id] = ends.get(r.sequence_id, 0) + r.length
     assert max(ends.values()) <= 4096 and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
     assert {r.doc_id for r in rows} == set(texts(steps["mix"]))
-    assert all(r.length <= 4096 and 0 <= r.ids_crc32 <= 0xFFFFFFFF for r in rows) and zlib.crc32(b"") == 0
+    assert all(r.length == len(r.ids) <= 4096 and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    # Copies of a document are told apart, and each is whole.
+    copies = {}
+    for r in rows:
+        copies.setdefault((r.doc_id, r.row), []).append(r)
+    assert len(copies) == steps["mix"].count()
+    for parts in copies.values():
+        parts.sort(key=lambda r: r.piece)
+        assert [r.piece for r in parts] == list(range(len(parts))) and [r.start for r in parts] == [4096 * p for p in range(len(parts))]
 
 
 def test_run_is_its_stages(spark, sf, steps):

@@ -54,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     forget(spark, "stage-mix")
     with scoped("stage-pack"):
-        return packing.pack(packing.pieces(docs, tokenizer_path()))
+        return packing.pack(packing.pieces(docs, tokenizer_path(), with_ids=True))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix", mix), ("pack", pack)]

@@ -112,21 +112,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 
 
 def _op9_sql() -> str:
-    sets = {name: license_scan.template_bigrams(t) for name, t in sorted(license_scan.TEMPLATES.items())}
-    limits = {name: license_scan.bounds(len(s), license_scan.THRESHOLD) for name, s in sets.items()}
-    quoted = lambda items: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
-    rows = ", ".join(f"('{n}', {quoted(s)}, {limits[n][0]}, {limits[n][1]})" for n, s in sets.items())
-    low, most = min(a for a, _ in limits.values()), max(b for _, b in limits.values())
-    token = r"[\p{L}\p{N}]+"
-    return f"""WITH t(license, s, low, most) AS (VALUES {rows}),
-u AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, false AS whole FROM documents UNION ALL SELECT doc_id, text, true FROM documents WHERE contains(text, chr(10))),
-w AS (SELECT row_number() OVER () AS id, doc_id, whole, regexp_extract_all(lower(unit), '{token}') AS w FROM u),
-g AS (SELECT id, doc_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS s FROM w WHERE len(w) - 1 >= {low} AND (NOT whole OR len(w) - 1 <= {most})),
-h AS (SELECT id, doc_id, license, len(list_intersect(g.s, t.s)) * 2.0::DOUBLE / (len(g.s) + len(t.s)) AS dice FROM g JOIN t ON len(g.s) BETWEEN low AND most),
-b AS (SELECT id, doc_id, license, dice FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dice DESC, license) AS r FROM h WHERE dice >= {license_scan.THRESHOLD}) WHERE r = 1),
-a AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses, max(dice) AS best FROM b GROUP BY 1)
-SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, coalesce(n, 0) AS n_hits, coalesce(licenses, '') AS licenses, coalesce(best, 0.0) AS best_dice
-FROM documents LEFT JOIN a USING (doc_id)"""
+    of = license_scan.prepared(license_scan.TEMPLATES)
+    templates = ", ".join(f"({k}, '{t.name}', {len(t.bigrams)}, {t.least}, {t.most}, {t.span}, {t.seed})" for k, t in enumerate(of))
+    bigrams = ", ".join(f"({k}, '{b}')" for k, t in enumerate(of) for b in t.bigrams)
+    return f"""WITH t(k, license, n, least, most, span, seed) AS (VALUES {templates}), tb(k, b) AS (VALUES {bigrams}),
+d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(regexp_replace(replace(lower(coalesce(text, '')), 'licence', 'license'), '(?:{license_scan.VERBS})([^\\p{{L}}\\p{{N}}]+under)', 'licensed\\1', 'g'), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+p AS (SELECT id, i, w[i + 1] || ' ' || w[i + 2] AS b FROM (SELECT id, w, unnest(range(0, len(w) - 1)) AS i FROM d)),
+a AS (SELECT id, k, i, b FROM p JOIN tb USING (b)),
+g AS (SELECT id, k FROM a JOIN t USING (k) GROUP BY id, k, least HAVING count(DISTINCT b) >= least),
+o AS (SELECT id, k, i, i - row_number() OVER (PARTITION BY id, k ORDER BY i) AS run FROM a SEMI JOIN g USING (id, k)),
+s AS (SELECT id, k, min(i) AS s FROM o JOIN t USING (k) GROUP BY id, k, run, seed HAVING count(*) >= seed),
+v AS (SELECT id, i, b, coalesce(lag(i) OVER (PARTITION BY id, b ORDER BY i), -1) AS before FROM p SEMI JOIN g USING (id)),
+x AS (SELECT id, k, s, i, before < s AS new, before < s AND o.i IS NOT NULL AS own FROM s JOIN t USING (k) JOIN v USING (id) LEFT JOIN o USING (id, k, i) WHERE i BETWEEN s AND s + span - 1),
+c AS (SELECT id, k, s, i, sum(new::INT) OVER f AS w, sum(own::INT) OVER f AS c FROM x WINDOW f AS (PARTITION BY id, k, s ORDER BY i)),
+h AS (SELECT id, k, license, n, s, i - s + 2 AS words, c * 2.0::DOUBLE / (w + n) AS dice FROM c JOIN t USING (k) WHERE w BETWEEN least AND most AND c * 2.0::DOUBLE / (w + n) >= {license_scan.THRESHOLD}),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY dice DESC, s, words) = 1),
+r AS (SELECT * FROM b h WHERE NOT EXISTS (SELECT 1 FROM b g WHERE g.id = h.id AND (g.dice, g.n, -g.k) > (h.dice, h.n, -h.k) AND (least(g.s + g.words, h.s + h.words) - greatest(g.s, h.s)) * 2 >= h.words)),
+q AS (SELECT id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses, max(dice) AS best, first(s ORDER BY dice DESC, s, words DESC) AS s, first(words ORDER BY dice DESC, s, words DESC) AS words FROM r GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_hits, coalesce(licenses, '') AS licenses, coalesce(best, 0.0) AS best_dice, CAST(s AS BIGINT) AS first_word, CAST(words AS BIGINT) AS hit_words FROM d LEFT JOIN q USING (id)"""
 
 
 _OP10_SQL = f"""WITH c AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),

@@ -1,32 +1,34 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-A unit of text is a line, or a whole text of several lines that has no more bigrams, repeats
-counted, than a template of the list can match. Units and templates are lower-cased and cut into
-words of letters and digits; the sets of their word bigrams are compared. For a threshold t,
-two sets can only reach it if the smaller has at least t / (2 - t) times the elements of the larger:
-those bounds prune units before they are normalised, and templates before they are compared.
-
-Line breaks and surrounding prose do not hide a notice: windows of words over the whole normalised text
-are compared too. A window begins and ends at a bigram of the template, as others only lower the
-coefficient; for templates of up to ``EXACT`` bigrams every such window within the size bounds counts, for
-longer ones those at every (n / ``GRID``)-th such bigram, so of a copy up to 2 / ``GRID`` of n may be left out
-at its ends. Lines that are hits are taken out of the text first (a foreign word stands for each), and a text
-that is a hit as a whole is done, so windows add only what lines do not show: one hit a template, line -2.
-Before, a text is asked for words one of which every window that reaches the threshold has, and
-for the least number of a template's bigrams; neither drops a match.
-
-The whole scan is a projection: no row is exploded, joined or shuffled, and the templates (a short
-fixed list) are literals in the plan.
-
-Nulls: a null or blank text has no units and no hits. Very long lines fall outside the size bounds
-and cost one word count. Repeated rows give repeated results.
+Texts and templates are lower-cased, spelt alike ("licence", "released under") and cut into words of letters
+and digits, so that line breaks, comment marks and quotes are nothing. A template is a set of n word bigrams.
+It is compared with windows of a text: of a window with w distinct bigrams, c of them the template's, the
+coefficient is 2c / (w + n). For a threshold t it can only be reached if the smaller set has at least
+t / (2 - t) times the elements of the larger. Those size bounds prune
+
+- templates: a text with fewer of a template's distinct bigrams than the least is not compared with it;
+- windows: w lies within both bounds, and a window has at most twice as many places as the template.
+
+Windows begin where a run of the template's bigrams begins (for templates of more than ``EXACT`` bigrams, a run
+of at least ``SEED``) and end anywhere. A best window always begins and ends with a run, as a foreign bigram at
+its end only lowers the coefficient and one more of the template's raises it; so up to ``EXACT`` bigrams no
+window is left out. A hit is a template's likest window that reaches the threshold (ties: the first, then the
+shortest). Of two hits, the less likely one (ties: the smaller, then the later in name) goes if the other covers
+at least half of its words: versions and wordings of one licence do not all count for the same lines.
+
+The whole scan is a chain of projections: no row is exploded, joined or shuffled, and the templates (a short
+fixed list) are literals in the plan, looked up as hash sets.
+
+Nulls: a null or blank text has no hits; so has a text of a single word. Long texts are scanned whole. Repeated
+rows give repeated results, null ids are as any other. An empty table gives an empty result. The caller's
+columns are kept, whatever their names, but for one named ``license_hits``, which the scan's takes the place of.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,36 +36,67 @@ from pyspark.sql import functions as F
 from lodespar.llm._shared import let
 
 THRESHOLD = 0.8
-#: Windows: largest template compared at every place, and how many places a longer one is compared at.
-EXACT, GRID = 64, 40
-#: Stands for a line that is a hit already.
-_GONE = "\n0gone0\n"
-
-#: Licence notices as published by their stewards.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+#: Largest template whose windows begin at any of its bigrams; the run that windows of larger ones begin with.
+EXACT, SEED = 64, 4
+
+_TOKEN = r"[\p{L}\p{N}]+"
+#: Other words for "licensed", before "under".
+VERBS = "released|distributed|published|available"
+
+#: How licences are named in notices ("Licensed under ...").
+NAMES = {
+    "AGPL-3.0": ["the GNU Affero General Public License, version 3", "the GNU AGPL v3"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache 2.0 License"],
+    "BSD-2-Clause": ["the BSD 2-Clause License", "the Simplified BSD License"],
+    "BSD-3-Clause": ["the BSD 3-Clause License", "the New BSD License"],
+    "CC0-1.0": ["CC0 1.0 Universal"],
+    "EPL-2.0": ["the Eclipse Public License 2.0"],
+    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU GPL v2"],
+    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU GPL v3"],
+    "ISC": ["the ISC License"],
+    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "the GNU LGPL v2.1"],
+    "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "the GNU LGPL v3"],
+    "MIT": ["the MIT License"],
+    "MPL-2.0": ["the Mozilla Public License, version 2.0"],
+}
+#: Creative Commons licences by their parts.
+_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+for _code in ("BY", "BY-NC", "BY-NC-ND", "BY-NC-SA", "BY-ND", "BY-SA"):
+    NAMES[f"CC-{_code}-4.0"] = [f"CC {_code} 4.0", f"a Creative Commons {'-'.join(_PARTS[p] for p in _code.split('-'))} 4.0 International License"]
+
+#: The GNU licences' own notice, by the licence's name, version and what it covers.
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_COVERED = {"AGPL-3.0": ("program", "Affero General Public License", "3"), "GPL-2.0": ("program", "General Public License", "2"), "GPL-3.0": ("program", "General Public License", "3"), "LGPL-2.1": ("library", "Lesser General Public License", "2.1"), "LGPL-3.0": ("library", "Lesser General Public License", "3")}
+#: Headers and opening sentences as published by the licences' stewards.
+HEADERS = {
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "BSD-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MIT": "Released under the MIT License.",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+} | {f"{name}-header": _GNU.format(*of) for name, of in _COVERED.items()}
+#: Whole licence texts (the folder ``licenses``, with no one's copyright line).
+FULL_TEXTS = {f"{p.stem}-text": re.sub(r"(?m)^Copyright \(c\).*$", "", p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+#: The two-clause licence is the other without its third clause.
+FULL_TEXTS["BSD-2-Clause-text"] = re.sub(r"(?s)\n3\. .*?\n\n", "\n", FULL_TEXTS["BSD-3-Clause-text"])
+#: (name, text) of every template.
+TEMPLATES = sorted([(n, f"Licensed under {x}") for n, names in NAMES.items() for x in names] + [*HEADERS.items(), *FULL_TEXTS.items()])
 
-#: Whole licence texts (the folder ``licenses``, with no one's copyright line); compared by windows only.
-FULL_TEXTS = {p.stem: re.sub(r"(?m)^Copyright \(c\).*$", "", p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
-_TOKEN = r"[\p{L}\p{N}]+"
+class Template(NamedTuple):
+    """A template's bigrams, and the bounds of its windows: distinct bigrams, places, and the first run."""
+
+    name: str
+    bigrams: list[str]
+    least: int
+    most: int
+    span: int
+    seed: int
 
 
-def template_bigrams(text: str) -> list[str]:
-    words = re.findall(r"[^\W_]+", text.lower())
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+def template_words(text: str) -> list[str]:
+    text = text.lower().replace("licence", "license")
+    return re.findall(r"[^\W_]+", re.sub(rf"(?:{VERBS})([\W_]+under)", r"licensed\1", text))
 
 
 def bounds(n: int, threshold: float) -> tuple[int, int]:
@@ -75,124 +108,127 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return least, most
 
 
-def all_bigrams(text: Column) -> Column:
-    """The word bigrams of a text in order, repeats too."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 0)
-    pair = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return let(words, lambda w: F.when(F.size(w) >= 2, pair(w)).otherwise(F.array().cast("array<string>")))
+def prepared(templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[Template]:
+    found = []
+    for name, text in templates:
+        words = template_words(text)
+        pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+        if pairs:
+            found.append(Template(name, pairs, *bounds(len(pairs), threshold), 2 * (len(words) - 1), 1 if len(pairs) <= EXACT else SEED))
+    return found
 
 
-def bigrams(unit: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(unit), F.lit(_TOKEN), 0)
-    pair = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
-    return let(words, lambda w: F.when(F.size(w) >= 2, F.array_distinct(pair(w))).otherwise(F.array().cast("array<string>")))
+def words(text: Column) -> Column:
+    text = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("licence"), F.lit("license"))
+    return F.regexp_extract_all(F.regexp_replace(text, rf"(?:{VERBS})([^\p{{L}}\p{{N}}]+under)", "licensed$1"), F.lit(_TOKEN), 0)
 
 
-def needed_words(bigrams: list[str], threshold: float) -> set[str]:
-    """Words one of which stands in every window that reaches the threshold: fewer of the template's
-    bigrams than such a window shares are without them."""
-    left, found = [set(b.split()) for b in bigrams], set()
-    least = bounds(len(bigrams), threshold)[0]
-    while len(left) >= least:
-        count = Counter(w for b in left for w in b)
-        word = max(sorted(count), key=lambda w: count[w] * (len(w) > 4) + len(w) / 100)
-        found.add(word)
-        left = [b for b in left if word not in b]
-    return found
+def _is_one_of(x: str, items: list[str]) -> str:
+    return f"{x} IN ({', '.join(repr(i) for i in items)})"
+
+
+def _previous(b: Column) -> Column:
+    """For each place, the last place before it with the same bigram, or -1."""
+    ordered = F.sort_array(F.transform(b, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+
+    def before(o: Column) -> Column:
+        at = F.transform(o, lambda y, j: F.struct(y["i"].alias("i"), F.when((j > 0) & (F.get(o, j - 1)["x"] == y["x"]), F.get(o, j - 1)["i"]).otherwise(-1).alias("p")))
+        return F.transform(F.sort_array(at), lambda y: y["p"])
 
+    return let(ordered, before)
 
-def window_hits(text: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
-    """array<struct<line int, license string, dice double>>: each template's likest window of words, if it
-    reaches the threshold. Line is -2."""
-    sets = {name: template_bigrams(t) for name, t in sorted(templates.items())}
-    needed = sorted(set().union(*(needed_words(s, threshold) for s in sets.values())))
-    none = F.array().cast("array<struct<line:int,license:string,dice:double>>")
 
-    def against(name: str, b: Column) -> Column:
-        n, (least, most) = len(sets[name]), bounds(len(sets[name]), threshold)
-        own = F.split(F.lit("\n".join(sets[name])), "\n")
-        step = 1 if n <= EXACT else max(1, n // GRID)
+def _best(places: Column, codes: Column, t: Column, threshold: float) -> Column:
+    """struct<dice, back, short> of the likest window. ``codes`` has for each place of the text twice its previous
+    place, and one more if its bigram is the template's; ``places`` are the latter."""
+    near = lambda k: F.get(places, k + t["least"] - 1) - F.get(places, k) < t["span"]
+    opens = lambda k: (k == 0) | (F.get(places, k - 1) < F.get(places, k) - 1)
+    runs = lambda k: F.get(places, k + t["seed"] - 1) == F.get(places, k) + t["seed"] - 1
+    starts = F.transform(F.filter(F.sequence(F.lit(0), F.size(places) - t["least"]), lambda k: opens(k) & near(k) & runs(k)), lambda k: F.get(places, k))
+    zero = F.lit(0)
 
-        # At least ``least`` places lie in a window that matches, and less than half of it are repeats.
-        near = lambda at, k, j: F.get(at, j) - F.get(at, k) < 2 * most
+    def from_start(s: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            new = F.when(F.shiftright(c, 1) < s, 1).otherwise(0)
+            now = F.struct((acc["at"] + 1).alias("at"), (acc["w"] + new).alias("w"), (acc["c"] + new * c.bitwiseAND(F.lit(1))).alias("c"))
 
-        def best(at: Column) -> Column:
-            marks = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda k: (k % step == 0) | (k == F.size(at) - 1))
-            starts = F.filter(marks, lambda k: near(at, k, k + least - 1))
+            def better(n: Column) -> Column:
+                dice = F.when(n["w"].between(t["least"], t["most"]), n["c"] * 2.0 / (n["w"] + t["n"])).otherwise(0.0)
+                best = F.struct(dice.alias("dice"), n["at"].alias("size"))
+                return F.struct(n["at"].alias("at"), n["w"].alias("w"), n["c"].alias("c"), F.when(dice > acc["best"]["dice"], best).otherwise(acc["best"]).alias("best"))
 
-            def from_start(k: Column) -> Column:
-                def dice(j: Column) -> Column:
-                    window = F.array_distinct(F.slice(b, F.get(at, k) + 1, F.get(at, j) - F.get(at, k) + 1))
-                    return let(window, lambda w: F.when(F.size(w).between(least, most), F.size(F.array_intersect(w, own)) * 2.0 / (F.size(w) + n)).otherwise(0.0))
+            return let(now, better)
 
-                return F.coalesce(F.array_max(F.transform(F.filter(marks, lambda j: (j >= k + least - 1) & near(at, k, j)), dice)), F.lit(0.0))
+        start = F.struct(zero.alias("at"), zero.alias("w"), zero.alias("c"), F.struct(F.lit(0.0).alias("dice"), zero.alias("size")).alias("best"))
+        found = F.aggregate(F.slice(codes, s + 1, t["span"]), start, step)["best"]
+        return F.struct(found["dice"].alias("dice"), (-s).alias("back"), found["size"].alias("size"))
 
-            return F.coalesce(F.array_max(F.transform(starts, from_start)), F.lit(0.0))
+    best = F.array_max(F.transform(starts, from_start))
+    return F.when((F.size(places) >= t["least"]) & (best["dice"] >= threshold), best)
 
-        places = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: F.array_contains(own, F.get(b, i)))
-        enough = (F.size(b) >= least) & (F.size(F.array_intersect(b, own)) >= least)
-        return F.when(enough, let(places, best)).otherwise(0.0)
 
-    def all_of(b: Column) -> Column:
-        found = F.array(*[F.struct(F.lit(-2).alias("line"), F.lit(name).alias("license"), against(name, b).alias("dice")) for name in sets])
-        return F.filter(found, lambda x: x["dice"] >= threshold)
+def _flags(places: Column, size: Column) -> Column:
+    """An array of 1 at the (ascending) places and 0 elsewhere."""
+    after = F.transform(places, lambda x, k: F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), F.coalesce(F.get(places, k + 1), size) - x - 1)))
+    return F.concat(F.array_repeat(F.lit(0), F.get(places, 0)), F.flatten(after))
 
-    return F.when(F.lower(text).rlike(f"(?<![a-z])(?:{'|'.join(needed)})"), let(all_bigrams(text), all_of)).otherwise(none)
 
+def _unhidden(hits: Column) -> Column:
+    """The hits, without those that a likelier one covers by half, in the order of the text."""
+    rank = lambda h: F.struct(h["dice"], h["size"], -h["k"])
+    end = lambda h: h["first_word"] + h["n_words"]
+    covers = lambda g, h: (F.least(end(g), end(h)) - F.greatest(g["first_word"], h["first_word"])) * 2 >= h["n_words"]
+    kept = F.filter(hits, lambda h: ~F.exists(hits, lambda g: (rank(g) > rank(h)) & covers(g, h)))
+    return F.array_sort(kept, lambda a, b: F.when(a["first_word"] != b["first_word"], a["first_word"] - b["first_word"]).otherwise(a["k"] - b["k"]))
 
-def hits(text: Column, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> Column:
-    """array<struct<line int, license string, dice double>>: the likest template of each unit that
-    reaches the threshold (ties: the first name). Line -1 is the whole text."""
-    sets = {name: template_bigrams(t) for name, t in sorted((templates or TEMPLATES).items())}
-    limits = {name: bounds(len(s), threshold) for name, s in sets.items()}
-    low, most = min(a for a, _ in limits.values()), max(b for _, b in limits.values())
-    empty = F.array().cast("array<struct<n:int,unit:string>>")
-    # n words have n - 1 bigrams, and no more distinct ones.
-    n_bigrams = lambda u: F.regexp_count(u, F.lit(_TOKEN)) - 1
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    numbered = F.filter(F.transform(lines, lambda u, i: F.struct(i.alias("n"), u.alias("unit"))), lambda u: n_bigrams(u["unit"]) >= low)
-    whole = F.when((F.instr(text, "\n") > 0) & n_bigrams(text).between(low, most), F.array(F.struct(F.lit(-1).alias("n"), text.alias("unit")))).otherwise(empty)
 
-    def match(u: Column) -> Column:
-        def best(s: Column) -> Column:
-            def against(name: str) -> Column:
-                a, b = limits[name]
-                size = len(sets[name])
-                dice = F.size(F.array_intersect(s, F.array(*map(F.lit, sets[name])))) * 2.0 / (F.size(s) + size)
-                return F.when(F.size(s).between(a, b), F.struct(dice.alias("dice"), F.lit(name).alias("license")))
+_HIT = "array<struct<license:string,dice:double,first_word:int,n_words:int,size:int,k:int>>"
 
-            found = F.filter(F.array(*[against(name) for name in sets]), lambda x: x.isNotNull() & (x["dice"] >= threshold))
-            return F.aggregate(found, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")), lambda acc, x: F.when(x["dice"] > acc["dice"], x).otherwise(acc))
 
-        return let(bigrams(u["unit"]), lambda s: let(best(s), lambda x: F.struct(u["n"].alias("line"), x["license"].alias("license"), x["dice"].alias("dice"))))
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows with ``license_hits``, array<struct<license, dice, first_word, n_words, size, k>> by first word:
+    a template's name, its likest window's coefficient and place, its number of bigrams and its own number."""
+    of = prepared(TEMPLATES if templates is None else templates, threshold)
+    own = [c for c in docs.columns if c != "license_hits"]
+    rows = docs.select(F.struct(*own).alias("_row"), words(F.col("text")).alias("_w"))
+    rows = rows.select("_row", F.expr("transform(_w, (x, i) -> concat_ws(' ', x, get(_w, i + 1)))").alias("_b"))
+    known = sorted(set().union(*(t.bigrams for t in of)))
+    if not known:
+        return rows.select("_row.*", F.array().cast(_HIT).alias("license_hits"))
+    # Places of any template's bigrams; most texts have too few for any.
+    rows = rows.select("_row", "_b", F.expr(f"filter(sequence(0, size(_b) - 1), i -> size(_b) > 1 AND {_is_one_of('_b[i]', known)})").alias("_m"))
 
-    units = F.concat(numbered, whole)
-    return F.filter(F.transform(units, match), lambda x: x["dice"] > 0)
+    def against(k: int, t: Template) -> str:
+        places = f"filter(_m, i -> {_is_one_of('get(_b, i)', t.bigrams)})"
+        fields = f"'k', {k}, 'n', {len(t.bigrams)}, 'least', {t.least}, 'most', {t.most}, 'span', {t.span}, 'seed', {t.seed}, 'places', p"
+        return f"get(transform(array({places}), p -> CASE WHEN size(array_distinct(transform(p, i -> get(_b, i)))) >= {t.least} THEN named_struct({fields}) END), 0)"
 
+    least = min(t.least for t in of)
+    every = ", ".join(against(k, t) for k, t in enumerate(of))
+    rows = rows.select("_row", "_b", F.expr(f"CASE WHEN size(_m) >= {least} THEN filter(array({every}), t -> t IS NOT NULL) END").alias("_t"))
+    names = F.array(*[F.lit(t.name) for t in of])
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with ``license_hits``: those of units, then those of windows. Whole licence texts are looked
-    for in the whole text, beside whatever notices are in it; not if ``templates`` are given."""
-    text, notices = F.coalesce("text", F.lit("")), templates or TEMPLATES
+    def hits(previous: Column) -> Column:
+        def one(t: Column) -> Column:
+            codes = F.zip_with(previous, _flags(t["places"], F.size(previous)), lambda p, flag: p * 2 + flag)
+            best = lambda c: _best(t["places"], c, t, threshold)
+            return let(let(codes, best), lambda w: F.when(w.isNotNull(), F.struct(F.get(names, t["k"]).alias("license"), w["dice"].alias("dice"), (-w["back"]).alias("first_word"), (w["size"] + 1).alias("n_words"), t["n"].alias("size"), t["k"].alias("k"))))
 
-    def with_windows(units: Column) -> Column:
-        gone = F.transform(units, lambda h: h["line"])
-        lines = F.transform(F.split(text, "\n"), lambda line, i: F.when(F.array_contains(gone, i), F.lit(_GONE)).otherwise(line))
-        rest = F.when(F.size(units) > 0, F.array_join(lines, "\n")).otherwise(text)
-        return F.when(F.array_contains(gone, -1), units).otherwise(F.concat(units, window_hits(rest, notices, threshold)))
+        return F.filter(F.transform(F.col("_t"), one), lambda h: h.isNotNull())
 
-    found = let(hits(F.col("text"), notices, threshold), with_windows)
-    full = FULL_TEXTS if templates is None else {}
-    return docs.withColumn("license_hits", F.concat(found, window_hits(text, {f"{n}-text": t for n, t in full.items()}, threshold)) if full else found)
+    found = F.when(F.size("_t") > 0, let(_previous(F.col("_b")), hits))
+    return rows.select("_row", found.alias("_h")).select("_row.*", F.coalesce(_unhidden(F.col("_h")), F.array()).cast(_HIT).alias("license_hits"))
 
 
 def summary(scanned: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_hits, licenses (names, joined), best_dice."""
+    """doc_id, n_hits, licenses (names, joined), best_dice, and place and length in words of the likest hit."""
     h = F.col("license_hits")
+    best = F.array_max(F.transform(h, lambda x: F.struct(x["dice"], (-x["first_word"]).alias("back"), x["n_words"].alias("n"))))
     return scanned.select(
         "doc_id",
-        F.when(F.coalesce("text", F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
         F.size(h).cast("long").alias("n_hits"),
         F.array_join(F.array_sort(F.array_distinct(h["license"])), ",").alias("licenses"),
-        F.coalesce(F.array_max(h["dice"]), F.lit(0.0)).alias("best_dice"),
+        F.coalesce(best["dice"], F.lit(0.0)).alias("best_dice"),
+        (-best["back"]).cast("long").alias("first_word"),
+        best["n"].cast("long").alias("hit_words"),
     )

@@ -123,3 +123,39 @@ def order_minhash_samples(text, k=3):
         out.append((x, seen[x]))
         seen[x] += 1
     return out
+
+
+def license_hits(text, templates, threshold=0.8, exact=64, seed=4):
+    """(name, dice, first word, words) of every hit, every window tried; templates are (name, text)."""
+    verbs = ("released", "distributed", "published", "available")
+
+    def spelt(t):
+        t = re.sub(r"licence", "license", (t or "").lower())
+        for v in verbs:
+            t = re.sub(v + r"([\W_]+under)", r"licensed\1", t)
+        w = re.findall(r"[^\W_]+", t)
+        return list(zip(w, w[1:]))
+
+    b, found = spelt(text), []
+    for k, (name, t) in enumerate(templates):
+        of = spelt(t)
+        own, n, best = set(of), len(set(of)), None
+        for i in range(len(b)):
+            run = 1 if n <= exact else seed
+            if any(x not in own for x in b[i : i + run]) or len(b[i : i + run]) < run or (n > exact and i and b[i - 1] in own):
+                continue
+            seen, common = set(), 0
+            for j in range(i, min(len(b), i + 2 * len(of))):
+                if b[j] not in seen:
+                    seen.add(b[j])
+                    common += b[j] in own
+                w = len(seen)
+                dice = 2 * common / (w + n)
+                # The same bounds as whole numbers: 2 * smaller >= threshold * (smaller + larger).
+                if 2 * min(w, n) >= threshold * (w + n) - 1e-9 and dice >= threshold and (best is None or dice > best[0]):
+                    best = (dice, i, j - i + 2)
+        if best:
+            found.append((best[0], n, -k, name, best[1], best[2]))
+    shared = lambda g, h: min(g[4] + g[5], h[4] + h[5]) - max(g[4], h[4])
+    kept = [h for h in found if not any(g[:3] > h[:3] and 2 * shared(g, h) >= h[5] for g in found)]
+    return [(name, dice, i, w) for dice, _, _, name, i, w in sorted(kept, key=lambda h: (h[4], -h[2]))]

@@ -418,34 +418,63 @@ def test_hysteresis_segments():
     assert audio.hysteresis(energy).tolist() == [[3, 6], [10, 12]]
 
 
-def test_license_scan(spark, none):
-    grant = license_scan.TEMPLATES["MIT-grant"]
-    rows = [(1, "Intro.\nReleased under the MIT License.\nMore"), (2, grant.upper().replace(",", "")), (3, None), (4, ""), (5, "\n".join(grant.split(", "))), (6, "licensed under nothing at all " * 50)]
-    got = {r.doc_id: r for r in license_scan.summary(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert (got[1].licenses, got[1].n_hits, got[1].best_dice, got[1].n_lines) == ("MIT", 2, 1.0, 3)  # the line, and the whole short text
-    assert got[2].licenses == "MIT-grant" and got[5].licenses == "MIT-grant"
-    assert all(got[i].n_hits == 0 for i in (3, 4, 6)) and got[3].n_lines == 0
+def license_documents():
+    """Notices wrapped, in comments, within a line, misspelt, shortened, doubled, and texts that only look like one."""
+    t = dict(license_scan.HEADERS)
+    code = "x = compute(y, z)  # of the house and in any garden\n" * 30
+    wrap = lambda x, width, mark="": "\n".join(mark + line for line in textwrap.wrap(x, width))
+    rows = [
+        wrap(t["Apache-2.0-header"], 76, "# ") + "\n" + code, code + wrap(t["GPL-3.0-header"], 70, " * ") + "\n" + prose(100), wrap(t["MIT-grant"], 70) + "\n" + prose(60),
+        prose(50) + " " + t["BSD-clause"] + " " + prose(50), "This work is available\nunder the MIT licence, see there.", "Distributed under the GNU GPL v2.", "Published under CC BY-SA 4.0",
+        "Not under any license of the software, the License or the public.", "Released under the MIT License.\n" * 3 + "Licensed under the ISC License", t["GPL-2.0-header"].replace("version 2", "version 3"),
+        t["ISC-grant"] + " " + t["MIT-grant"] + " " + t["BSD-clause"], None, "", "license", " \n ", prose(2000) + " Licensed under CC BY 4.0",
+    ]
+    for text in t.values():
+        for share in (0.05, 0.15, 0.3):
+            w = text.split()
+            for i in rng.sample(range(len(w)), int(share * len(w))):
+                w[i] = rng.choice(["", "some words", w[i - 1]])
+            rows.append(prose(9) + " " + " ".join(w) + " " + prose(9))
+    return [(i, x) for i, x in enumerate(rows)]
+
+
+def test_license_hits_are_those_of_every_window(spark, none):
+    small = [x for x in license_scan.TEMPLATES if len(x[1]) < 600]
+    rows = license_documents()
+    got = {r.doc_id: [(h.license, h.dice, h.first_word, h.n_words) for h in r.license_hits] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), small).collect()}
+    assert got == {i: brute.license_hits(x, small) for i, x in rows}
+    names = [[h[0] for h in got[i]] for i in range(len(rows))]
+    assert names[:10] == [["Apache-2.0-header"], ["GPL-3.0-header"], ["MIT-grant"], ["BSD-clause"], ["MIT"], ["GPL-2.0"], ["CC-BY-SA-4.0"], [], ["MIT", "ISC"], ["GPL-3.0-header"]]
+    assert sum(map(bool, names)) > 20
     assert license_scan.summary(license_scan.scan(none)).count() == 0
 
 
-def test_license_notices_across_lines_and_within_prose(spark):
-    t = license_scan.TEMPLATES
-    wrap = lambda name, width=60: "\n * ".join(textwrap.wrap(t[name], width))
-    long = "some words about other things " * 60
-    rows = {1: ("MIT-grant", wrap("MIT-grant")), 2: ("GPL-3.0-header", wrap("GPL-3.0-header", 70)), 3: ("BSD-clause", wrap("BSD-clause")), 4: ("MIT", "Thanks for reading this short page. Released under the MIT License.")}
-    df = spark.createDataFrame([(i, f"{long}\n{x} {long}\n{long}") for i, (_, x) in rows.items()] + [(9, long + "licensed work, version of the license " * 9)], "doc_id long, text string")
-    got = {r.doc_id: r for r in license_scan.summary(license_scan.scan(df)).collect()}
-    assert {i: got[i].licenses for i in rows} == {i: name for i, (name, _) in rows.items()} and got[9].n_hits == 0
-    assert all(got[i].n_hits == 1 and got[i].best_dice > 0.9 for i in rows)
-
-
 def test_whole_license_texts(spark):
-    rows = [(i, n, f"A page of prose.\n\n{t}\nMore prose.") for i, (n, t) in enumerate(sorted(license_scan.FULL_TEXTS.items()))]
-    mit = license_scan.FULL_TEXTS["MIT"]
-    rows.append((99, "MIT", "Copyright (c) 2020 Someone Else\n\n" + " ".join(mit.split())))
-    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").repartition(8)
-    got = {r.doc_id: r for r in license_scan.summary(license_scan.scan(df)).collect()}
-    assert len(rows) == 10 and all(f"{n}-text" in got[i].licenses.split(",") and got[i].best_dice > 0.95 for i, n, _ in rows)
+    """Among prose, shortened and with words changed; a seeded run begins them, as in the brute version."""
+    whole = sorted(license_scan.FULL_TEXTS.items())
+    rows = []
+    for n, text in whole:
+        w = text.split()
+        for i in rng.sample(range(len(w)), len(w) // 25):
+            w[i] = "changed"
+        rows += [(f"A page of prose.\n\n{text}\nMore prose."), " ".join(w), " ".join(w[: int(len(w) * 0.9)])]
+    df = spark.createDataFrame([(i, x, 7, [i]) for i, x in enumerate(rows)], "doc_id long, text string, _b int, license_hits array<int>")
+    scanned = license_scan.scan(df)
+    assert scanned.columns == ["doc_id", "text", "_b", "license_hits"]
+    got = {r.doc_id: {h.license: (h.dice, h.first_word, h.n_words) for h in r.license_hits} for r in scanned.collect()}
+    for i in got:
+        n = whole[i // 3][0]
+        assert n in got[i] and got[i][n][0] > (0.99 if i % 3 == 0 else 0.8)
+    short = [x for x in whole if len(x[1]) < 2000]
+    for i in (k for k in got if len(rows[k]) < 2000):
+        for name, dice, first, words in brute.license_hits(rows[i], short):
+            assert got[i][name] == (dice, first, words)
+
+
+def test_license_scan_of_odd_rows(spark):
+    rows = [(None, "Released under the MIT License."), (None, None), (1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, "word " * 250_000 + "Released under the MIT License.")]
+    got = license_scan.summary(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted((r.doc_id or 0, r.licenses, r.first_word) for r in got if r.licenses) == [(0, "MIT", 0), (1, "MIT", 0), (1, "MIT", 0), (2, "MIT", 250_000)] and len(got) == 5
 
 
 def test_shards_hold_the_mixture(docs, none):

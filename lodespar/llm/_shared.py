@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Buckets (a power of two) that are summed up together.
+STRETCH = 10
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -103,6 +107,11 @@ def seeded_hash(seed: int, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def row_hash(seed: int) -> Column:
+    """A seeded hash of a document's id and text: rows that share a null id do not share it."""
+    return seeded_hash(seed, F.col("doc_id"), F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+
+
 def bucket_bits(rows: int, per_bucket: int = 512, most: int = 30) -> int:
     """How many leading bits of a 60-bit hash cut ``rows`` into buckets of about ``per_bucket``."""
     return min(most, max(0, (max(rows, 1) // per_bucket).bit_length()))
@@ -111,17 +120,23 @@ def bucket_bits(rows: int, per_bucket: int = 512, most: int = 30) -> int:
 def running(df: DataFrame, group: list[str], bucket: str, order: list[Column], rank: str, weight: str | None = None, start: str | None = None) -> DataFrame:
     """Rank (from 0) and exclusive running weight of each row in its group, without a task per group.
 
-    ``bucket`` must be monotone in ``order``. Rows are ordered inside (group, bucket) only; what
-    precedes a bucket comes from one row per (group, bucket), so a group may hold any share of the
-    rows. ``group`` columns must not be null.
+    ``bucket`` (whole numbers) must be monotone in ``order``. Rows are ordered inside (group, bucket) only;
+    what precedes a bucket comes from one row per (group, bucket), summed up in stretches of 2**STRETCH
+    buckets and then over those, so a group may hold any share of the rows. ``group`` columns must not
+    be null.
     """
     sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    per = df.groupBy(*group, bucket).agg(*sums)
-    outs = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0")]
-    if weight:
-        outs.append(F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w0"))
-    offsets = materialize(per.select(*group, bucket, *outs), "offsets")
+    per = df.groupBy(*group, bucket).agg(*sums).withColumn("_s", F.shiftright(F.col(bucket).cast("long"), STRETCH))
+    exclusive = lambda c, by: F.coalesce(F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ["n", "w"] if weight else ["n"]
+    # Two levels: buckets within a stretch of buckets, then the stretches.
+    within, whole = Window.partitionBy(*group, "_s").orderBy(bucket), Window.partitionBy(*group, "_s")
+    per = per.select(*group, bucket, "_s", *[exclusive(f"_{c}", within).alias(f"_{c}i") for c in parts], *[F.sum(f"_{c}").over(whole).alias(f"_{c}t") for c in parts])
+    over = Window.partitionBy(*group).orderBy("_s")
+    tops = per.groupBy(*group, "_s").agg(*[F.max(f"_{c}t").alias(f"_{c}t") for c in parts])
+    tops = tops.select(*group, "_s", *[exclusive(f"_{c}t", over).alias(f"_{c}o") for c in parts])
+    offsets = per.join(tops, [*group, "_s"]).select(*group, bucket, *[(F.col(f"_{c}i") + F.col(f"_{c}o")).alias(f"_{c}0") for c in parts])
+    offsets = materialize(offsets, "offsets")
     inside = Window.partitionBy(*group, bucket).orderBy(*order)
     df = df.withColumn("_r", F.row_number().over(inside))
     if weight:

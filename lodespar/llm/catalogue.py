@@ -79,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _KEYED = "CASE WHEN source IS NULL THEN '1' ELSE '0' || source END"
-_SHUFFLE = "CAST('0x' || substr(md5('17' || chr(31) || doc_id), 1, 15) AS BIGINT)"
+_SHUFFLE = "CAST('0x' || substr(md5('17' || chr(31) || doc_id || chr(31) || md5(coalesce(text, ''))), 1, 15) AS BIGINT)"
 
 
 def _op1_sql() -> str:
@@ -88,9 +88,16 @@ s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, [{', '.join(map(str, W
 l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER b, 0) AS DOUBLE) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level
   FROM s WINDOW b AS (ORDER BY source_size * 3 / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT k, source_size, least(CAST(source_size * 3 AS DOUBLE), max(level) OVER () * w) AS target FROM l),
-q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
-x AS (SELECT d.*, source_size, target, quota, CAST(coalesce(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM d JOIN q USING (k))
-SELECT doc_id, size, source_size, target, {' + '.join(f'greatest(0, least(size, quota - {e} * source_size - a))' for e in range(3))} AS taken FROM x"""
+q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota, coalesce(sum(target) OVER (ORDER BY k) / nullif(sum(target) OVER (), 0), 0) AS hi FROM t),
+x AS (SELECT d.*, source_size, target, quota, row_number() OVER () AS id, CAST(coalesce(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM d JOIN q USING (k)),
+n AS (SELECT CAST(ceil(sum(size) / {mixing.BLOCK}) AS BIGINT) AS n FROM d),
+p AS (SELECT i, (i % {mixing.TURN} * {mixing.GOLDEN}) % {mixing.TURN} / {mixing.TURN}::DOUBLE AS p FROM (SELECT unnest(range(n)) AS i FROM n)),
+m AS (SELECT k, i AS slot, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS rank FROM p JOIN (SELECT k, coalesce(lag(hi) OVER (ORDER BY k), 0) AS lo, hi FROM q) ON p >= lo AND p < hi),
+y AS (SELECT k, unnest(range((quota + {mixing.BLOCK - 1}) // {mixing.BLOCK})) AS rank FROM q),
+z AS (SELECT k, rank, coalesce(slot, n + rank) AS slot FROM y LEFT JOIN m USING (k, rank), n),
+e AS (SELECT id, k, a + e * source_size AS a, least(a + e * source_size + size, quota) AS z FROM x, range(3) r(e) WHERE size > 0 AND a + e * source_size < quota),
+f AS (SELECT id, z.slot, least(e.z, (z.rank + 1) * {mixing.BLOCK}) - greatest(e.a, z.rank * {mixing.BLOCK}) AS words FROM e JOIN z ON z.k = e.k AND z.rank BETWEEN e.a // {mixing.BLOCK} AND (e.z - 1) // {mixing.BLOCK})
+SELECT doc_id, size, source_size, target, CAST(coalesce(sum(words), 0) AS BIGINT) AS taken, min(slot) AS first_slot, count(slot) AS n_slots FROM x LEFT JOIN f USING (id) GROUP BY id, doc_id, size, source_size, target"""
 
 
 _OP3_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

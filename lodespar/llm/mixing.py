@@ -15,8 +15,10 @@ per-source table has a row per source and is written as a table, so Catalyst bro
 it is small.
 
 Nulls and ties: a null source is a source of its own (last); a null or blank text has size 0, is in
-no block and takes 0; repeated rows are separate documents. No rows, or no words at all, give
-targets of 0. Columns beyond doc_id, text and source are ignored.
+no block and takes 0; a null doc_id is shuffled by its text. Repeated rows are separate documents, and
+rows that are equal in id and text interchangeable. A very long text lies in as many blocks as it fills.
+No rows, or no words at all, give targets of 0. Columns beyond doc_id, text and source, whatever their
+names, are ignored by ``mix`` and kept by ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespar.llm._shared import WORD, bucket_bits, materialize, running, seeded_hash, source_key
+from lodespar.llm._shared import WORD, bucket_bits, materialize, row_hash, running, source_key
 
 #: frac(n * GOLDEN / 2**32) is the golden-ratio sequence (its mirror image), in exact integers.
 GOLDEN, TURN, CELLS = 1640531527, 1 << 32, 4096
+#: Words of a block.
+BLOCK = 2048
 #: Copies of a row that one task writes after another.
 RUN = 1000
 
@@ -41,7 +45,7 @@ def _text_hash() -> Column:
 def sized(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, _k (source key), size in words, _h (the shuffle), _t (the text's hash)."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    return materialize(docs.select("doc_id", source_key().alias("_k"), size.alias("size"), seeded_hash(seed, F.col("doc_id")).alias("_h"), _text_hash().alias("_t")), "mix-sizes")
+    return materialize(docs.select("doc_id", source_key().alias("_k"), size.alias("size"), row_hash(seed).alias("_h"), _text_hash().alias("_t")), "mix-sizes")
 
 
 def targets(rows: DataFrame, weights: list[int], most: int) -> DataFrame:
@@ -79,7 +83,7 @@ def schedule(sources: DataFrame, n_slots: int, block_words: int) -> DataFrame:
     return ranked.join(needed, "_k").where("rank < _need").select("slot", "_k", "rank").unionByName(rest)
 
 
-def mix(docs: DataFrame, weights: list[int], most: int = 3, block_words: int = 2048, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: list[int], most: int = 3, block_words: int = BLOCK, seed: int = 17) -> DataFrame:
     """The mixture, a row for each stretch of a document in a slot.
 
     slot, epoch, doc_id, source key ``_k``, text hash ``_t`` and ``_rank`` (which row of the input), size,
@@ -103,11 +107,13 @@ def mix(docs: DataFrame, weights: list[int], most: int = 3, block_words: int = 2
 
 
 def taken(parts: DataFrame) -> DataFrame:
-    """Per document of ``mix``: doc_id, size, source_size, target, taken."""
-    return parts.groupBy("_k", "_rank", "doc_id", "size", "source_size", "target").agg(F.sum("n_words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    """Per document of ``mix``: doc_id, size, source_size, target, taken, and which slots of the schedule took
+    it: first_slot (null: none) and n_slots."""
+    of = parts.groupBy("_k", "_rank", "doc_id", "size", "source_size", "target").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
+    return of.drop("_k", "_rank")
 
 
-def mix_documents(docs: DataFrame, weights: list[int], most: int = 3, block_words: int = 2048, seed: int = 17) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: list[int], most: int = 3, block_words: int = BLOCK, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes at least half of its words.
 
     Documents without words weigh nothing in a mixture of words and are kept once. Of rows equal in id and

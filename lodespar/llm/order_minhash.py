@@ -1,22 +1,31 @@
 """Order MinHash fingerprints, entirely in DataFrame functions.
 
 The k-mers of a text are its runs of ``KMER`` words, each numbered by how often it has occurred
-before, so that repeats count. Each numbered k-mer is hashed; the hash's leading bits deal it to one
-of ``BINS`` samples (one-permutation hashing), in which the ``PICK`` least hashes are kept. Those are
-put back into the order in which they stand in the text, and the tuple is hashed. Two texts agree in
-a sample only if they share the same least k-mers in the same order, which is what makes the
-likeness follow edit distance rather than mere overlap.
-
-All per-text work is array functions over packed 64-bit keys (hash, position), so sorting is a sort
-of primitive longs and nothing is exploded: fingerprints are a narrow projection of the scan.
-
-Nulls: a null text is the empty text. A text of fewer words than ``KMER`` is one k-mer; one without
-words has an empty fingerprint, alike (1.0) only to another empty one.
+before, so that repeats count. A fingerprint has ``BINS`` samples. In round after round each numbered k-mer
+is hashed anew; the hash's leading bits deal it to a sample. A sample keeps the ``PICK`` least hashes of
+its earliest rounds. Those are put back into the order in which they stand in the text, and the tuple is
+hashed. Two texts agree in a sample only if they share the same least k-mers in the same order, which is
+what makes the likeness follow edit distance rather than mere overlap.
+
+There are as many rounds as give ``DEALT`` hashes: one for texts of that many k-mers, more for short ones
+(``ROUNDS`` at most), so that their samples hold tuples too and not single k-mers. As a sample only falls
+back on a later round for what earlier ones lack, texts of different lengths stay comparable.
+
+All per-text work is array functions over packed 64-bit keys (sample, round, hash, position), so sorting is
+a sort of primitive longs and nothing is exploded: fingerprints are a narrow projection of the scan. A
+position has 28 bits; Spark's arrays cannot hold a text of more words.
+
+Nulls: a null text is the empty text, a null doc_id comes after all others. A text of fewer words than
+``KMER`` is one k-mer; one without words has an empty fingerprint, alike (1.0) only to another empty one.
+Rows of equal doc_id follow one another by a hash of their texts; rows that are equal in both are
+interchangeable, and each has another of them as its next. Long texts are fingerprinted whole. An empty table
+gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +34,11 @@ from lodespar.llm._shared import WORD, let
 
 KMER, PICK, BIN_BITS = 3, 2, 6
 BINS = 1 << BIN_BITS
-#: Low bits of a packed key hold the k-mer's position; a text may have this many before they wrap.
-POSITION_BITS = 24
+#: Hashes that are dealt to the samples of a short text, and rounds at most.
+DEALT, ROUND_BITS = 6 * BINS, 5
+ROUNDS = 1 << ROUND_BITS
+#: Low bits of a packed key hold the k-mer's position.
+POSITION_BITS = 28
 _LOW = (1 << POSITION_BITS) - 1
 
 
@@ -56,17 +68,25 @@ def _kmers(words: Column) -> Column:
     return F.sort_array(F.when(F.size(words) >= KMER, many).when(F.size(words) > 0, few).otherwise(none))
 
 
-def _numbered(keys: Column) -> Column:
-    """From sorted keys of k-mers, sorted keys of (k-mer, occurrence)."""
+def _dealt(keys: Column) -> Column:
+    """From sorted keys of k-mers, sorted keys (sample, round, hash, position) of numbered k-mers."""
     kmer = lambda x: F.shiftright(x, POSITION_BITS)
 
-    def one(x: Column, i: Column) -> Column:
+    def number(x: Column, i: Column) -> Column:
         again = (i > 0) & (kmer(F.get(keys, i - 1)) == kmer(x))
         first = _lower_bound(keys, F.size(keys), F.shiftleft(kmer(x), POSITION_BITS))
-        occurrence = F.when(again, i - first).otherwise(F.lit(0))
-        return _pack(F.xxhash64(kmer(x), occurrence), x)
+        return F.when(again, i - first).otherwise(F.lit(0))
+
+    def deal(x: Column, occurrence: Column, r: Column) -> Column:
+        h = F.xxhash64(kmer(x), occurrence, r)
+        rest = F.shiftrightunsigned(F.shiftleft(h, BIN_BITS), BIN_BITS + ROUND_BITS)
+        ordered = F.shiftleft(F.shiftrightunsigned(h, 64 - BIN_BITS), 64 - BIN_BITS).bitwiseOR(F.shiftleft(r.cast("long"), 64 - BIN_BITS - ROUND_BITS)).bitwiseOR(rest)
+        return _pack(ordered, x)
 
-    return F.sort_array(F.transform(keys, one))
+    rounds = F.least(F.lit(ROUNDS), F.ceil(F.lit(DEALT) / F.size(keys))).cast("int")
+    one = F.transform(keys, lambda x, i: deal(x, number(x, i), F.lit(0)))
+    many = F.flatten(F.transform(keys, lambda x, i: let(number(x, i), lambda n: F.transform(F.sequence(F.lit(0), rounds - 1), lambda r: deal(x, n, r)))))
+    return F.sort_array(F.when(F.size(keys) >= DEALT, one).when(F.size(keys) > 0, many).otherwise(F.array().cast("array<bigint>")))
 
 
 def _tuples(keys: Column) -> Column:
@@ -86,7 +106,7 @@ def _tuples(keys: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """array<int>, sparse by sample, in the order of samples."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
-    return let(words, lambda w: let(_kmers(w), lambda k: let(_numbered(k), _tuples)))
+    return let(words, lambda w: let(_kmers(w), lambda k: let(_dealt(k), _tuples)))
 
 
 def as_string(fp: Column) -> Column:
@@ -100,30 +120,47 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], per_bucket: int = 2000, most_buckets: int = 65536) -> DataFrame:
-    """Each row with ``next_<column>`` of the row after it in descending order of ``key`` (null last),
-    and of the first row after the last.
-
-    The rows are dealt to ranges of the key of about equal depth, whose upper bounds are keys of the
-    table; the row that opens a range is also sent, as a ghost, to the end of the range before it.
-    Each row moves once, and a range is one window group. Equal keys are ordered by the columns.
-    """
-    at = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    n, highest = docs.agg(F.count(F.lit(1)), F.max(at)).first()
-    k = max(1, min(most_buckets, -(-n // per_bucket)))
+def _ranges(rows: DataFrame) -> list[tuple[int, int]]:
+    """Greatest keys (at, tie) of ranges of about equal depth, half the root of the number of rows. An ``at`` of
+    more rows than a range is cut by ``tie``."""
+    n, last = rows.agg(F.count(F.lit(1)), F.max(F.struct("_at", "_tie"))).first()
+    if not n:
+        return [(0, 0)]
+    k = math.ceil(math.sqrt(n) / 2)
     cuts = [i / k for i in range(1, k)] or [1.0]
-    bounds = docs.agg(F.percentile_approx(at, cuts, max(10_000, 20 * k)).alias("b")).first()["b"] or []
-    bounds = sorted({*bounds, highest}) if n else [0]
-    table = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
-    last = len(bounds) - 1
-    rows = docs.withColumn("_at", at).withColumn("_bucket", _lower_bound(table, F.lit(last + 1), F.col("_at")))
-    opens = F.get(table, F.col("_bucket")) == F.col("_at")
+    ids = sorted({*rows.agg(F.percentile_approx("_at", cuts, max(10_000, 20 * k)).alias("b")).first()["b"], last["_at"]})
+    table = F.from_json(F.lit(json.dumps(ids)), "array<bigint>")
+    known = rows.where(F.get(table, _lower_bound(table, F.lit(len(ids)), F.col("_at"))) == F.col("_at"))
+    found = known.groupBy("_at").agg(F.max("_tie").alias("tie"), F.count(F.lit(1)).alias("n")).collect()  # at most a row a range
+    hot = {r["_at"]: math.ceil(r["n"] * k / n) for r in found if r["n"] * k > 2 * n}
+    bounds = {(r["_at"], r["tie"]) for r in found}
+    if hot:
+        parts = F.element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col("_at"))
+        cell = F.floor((F.shiftright("_tie", 32) + (1 << 31)) * parts / (1 << 32))
+        bounds |= {(r["_at"], r["tie"]) for r in known.where(F.col("_at").isin(list(hot))).groupBy("_at", cell).agg(F.max("_tie").alias("tie")).collect()}  # likewise
+    return sorted(bounds)
+
+
+def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Each row with ``next_<column>`` of the row after it in descending order of ``key`` (null last), and of the
+    first row after the last. Equal keys are ordered by a hash of the first of the columns.
+
+    The rows are dealt to ranges of key and hash, whose bounds are those of rows of the table; the row that
+    opens a range is also sent, as a ghost, to the end of the range before it. Each row moves once, and a
+    range is one window group, which spills.
+    """
+    rows = docs.withColumns({"_at": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "_tie": F.xxhash64(columns[0])})
+    bounds = _ranges(rows.select("_at", "_tie"))
+    table = F.from_json(F.lit(json.dumps([{"a": a, "t": t} for a, t in bounds])), "array<struct<a:bigint,t:bigint>>")
+    last, own = len(bounds) - 1, F.struct(F.col("_at").alias("a"), F.col("_tie").alias("t"))
+    rows = rows.withColumn("_bucket", _lower_bound(table, F.lit(last + 1), own))
+    opens = F.get(table, F.col("_bucket")) == own
     here = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("ghost"))
     before = F.struct(F.when(F.col("_bucket") == last, F.lit(0)).otherwise(F.col("_bucket") + 1).alias("b"), F.lit(1).alias("ghost"))
     rows = rows.withColumn("_to", F.explode(F.when(opens, F.array(here, before)).otherwise(F.array(here)))).withColumns({"_bucket": F.col("_to.b"), "_ghost": F.col("_to.ghost")})
-    by = Window.partitionBy("_bucket").orderBy("_ghost", F.desc("_at"), *columns)
+    by = Window.partitionBy("_bucket").orderBy("_ghost", F.desc("_at"), F.desc("_tie"))
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(by) for c in columns})
-    return rows.where("_ghost = 0").drop("_at", "_bucket", "_to", "_ghost")
+    return rows.where("_ghost = 0").drop("_at", "_tie", "_bucket", "_to", "_ghost")
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -9,9 +9,11 @@ leading bits of the shuffle hash and of the place, about 512 rows each, and only
 is summed up centrally. A source with a third of all rows is therefore spread over as many tasks as
 its share asks for. The text is read once and never shuffled.
 
-Nulls: a null source is a source of its own, a null id sorts by its other columns, a null text has
-no bytes. Repeated rows are kept and numbered like any other; they are interchangeable. An empty
-table gives an empty result. Other columns of the input are ignored.
+Nulls: a null source is a source of its own, a null id is shuffled by its text, a null text has no bytes.
+Repeated rows are kept and numbered like any other; they are interchangeable. Groups of equal texts are
+not kept together: under the law of equal row counts each copy is dealt by its own hash, and ``text_crc32``
+tells which rows they are. Very long texts count as one row. An empty table gives an empty result. Other
+columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespar.llm._shared import bucket_bits, materialize, running, seeded_hash, source_key
+from lodespar.llm._shared import bucket_bits, materialize, row_hash, running, source_key
 
 
 def interleave(docs: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
@@ -31,7 +33,8 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
             source_key().alias("_k"),
             F.octet_length(text).cast("long").alias("_bytes"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-        ).withColumn("_h", seeded_hash(seed, F.col("doc_id"))),
+            row_hash(seed).alias("_h"),
+        ),
         "shard-rows",
     )
     totals = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_of"))

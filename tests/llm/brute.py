@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import math
 import re
+import struct
 import zlib
 
+import xxhash
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -125,6 +129,26 @@ def order_minhash_samples(text, k=3):
     return out
 
 
+def order_minhash(text, bins=64, dealt=384, rounds=32):
+    """sample -> tuple, by the definition: two least (round, hash) of each sample, in text order."""
+    chain = lambda parts: functools.reduce(lambda seed, b: xxhash.xxh64_intdigest(b, seed), parts, 42)
+    kmers = order_minhash_samples(text)
+    held = collections.defaultdict(list)
+    for r in range(min(rounds, math.ceil(dealt / len(kmers))) if kmers else 0):
+        for at, (kmer, n) in enumerate(kmers):
+            k = chain([w.encode() for w in kmer])
+            k = (k - (1 << 64) if k >> 63 else k) >> 28
+            h = chain([struct.pack("<q", k), struct.pack("<i", n), struct.pack("<i", r)])
+            held[h >> 58].append((r, (h >> 28) % (1 << 30) >> 5, at))
+    return {b: tuple(x[:2] for x in sorted(sorted(xs)[:2], key=lambda x: (x[2], x[:2]))) for b, xs in held.items()}
+
+
+def order_minhash_likeness(a, b):
+    a, b = order_minhash(a), order_minhash(b)
+    either = a.keys() | b.keys()
+    return sum(a.get(k) == b.get(k) for k in either) / len(either) if either else 1.0
+
+
 def license_hits(text, templates, threshold=0.8, exact=64, seed=4):
     """(name, dice, first word, words) of every hit, every window tried; templates are (name, text)."""
     verbs = ("released", "distributed", "published", "available")

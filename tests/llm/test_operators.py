@@ -330,7 +330,8 @@ def test_order_minhash_contract(docs, none):
         edited = t[: len(t) - half] + n[:half]
         assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert got[d].fingerprint == again[t]
-        assert 0 <= got[d].near_edited <= 1 and 0 <= got[d].near_next <= 1
+        assert got[d].near_edited == pytest.approx(brute.order_minhash_likeness(t, edited))
+        assert got[d].near_next == pytest.approx(brute.order_minhash_likeness(t, n))
         if t == n:
             assert got[d].near_next == 1
     long = [r for r in got.values() if r.n_chars > 500]
@@ -348,12 +349,39 @@ def test_order_minhash_sees_order_and_repeats(spark):
     assert like[0] == 1 and like[2] < 0.1 and like[2] < like[1] < 1 and like[3] < 1
 
 
-def test_next_rows_over_many_buckets(spark):
+def test_order_minhash_sees_order_in_short_texts(spark):
+    rows = []
+    for n in (20, 40, 80, 160, 640):
+        for i in range(12):
+            w = [f"{rng.random()}" for _ in range(n)]
+            rows.append((n, i, " ".join(w), " ".join(w[n // 2 :] + w[: n // 2])))
+    df = spark.createDataFrame(rows, "n int, i int, a string, b string")
+    df = df.select("n", order_minhash.likeness(order_minhash.fingerprint(F.col("a")), order_minhash.fingerprint(F.col("b"))).alias("x"))
+    assert all(0.3 < r.x < 0.6 for r in df.groupBy("n").agg(F.avg("x").alias("x")).collect())
+
+
+def test_next_rows_over_many_ranges(spark):
     df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 7).cast("string").alias("v"))
-    got = {r.k: r.next_v for r in order_minhash.with_next(df, "k", ["v"], per_bucket=30).collect()}
+    got = {r.k: r.next_v for r in order_minhash.with_next(df, "k", ["v"]).collect()}
     assert got == {k: str(((k - 1) % 500) * 7) for k in range(500)}
 
 
+def test_next_rows_of_equal_and_null_keys(spark):
+    """A third of the rows without key and a third with one key are dealt to many ranges, in one ring."""
+    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(5)).otherwise(F.col("id") + 10).cast("long").alias("k"), F.col("id").cast("string").alias("v"))
+    rows = order_minhash.with_next(df, "k", ["v"]).collect()
+    after = {r.v: r.next_v for r in rows}
+    assert len(rows) == 900 and sorted(after.values()) == sorted(after)
+    keys, at, ring = {r.v: r.k for r in rows}, max(after, key=lambda v: int(v) * (int(v) % 3 == 2)), []
+    for _ in range(900):
+        ring.append(keys[at])
+        at = after[at]
+    assert at == max(after, key=lambda v: int(v) * (int(v) % 3 == 2))
+    assert ring == sorted(ring, key=lambda k: -1e9 if k is None else k, reverse=True)
+    bounds = order_minhash._ranges(df.select(F.coalesce("k", F.lit(-(1 << 63))).alias("_at"), F.xxhash64("v").alias("_tie")))
+    assert len(bounds) >= 10 and sum(a == 5 for a, _ in bounds) > 3
+
+
 def test_quality_model_learns_shapes_and_pairs():
     r = np.random.default_rng(3)
     x = r.random((4000, len(quality.FEATURES))).astype(np.float32)

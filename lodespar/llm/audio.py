@@ -6,19 +6,23 @@ everything after that starts from the stored bytes:
 - polyphase resampling from 16 kHz to 10 kHz (up 5, down 8): each of the five phases of a windowed-sinc
   filter is one strided matrix product;
 - overlapped Hann frames, power spectra, a bank of triangular mel filters, logarithms;
-- the frames pooled to a tensor of fixed shape (``SLOTS`` time slots by ``BANDS`` bands), held in an
-  Arrow fixed-shape tensor, each slot with its time span;
+- the frames pooled to a tensor of fixed shape (``SLOTS`` time slots by ``BANDS`` bands), stored as an
+  Arrow tensor (Spark has no tensor type: the column holds Arrow's tensor messages, and ``tensor_column``
+  makes a collected one a fixed-shape tensor column), each slot with its time span;
 - segments by hysteresis on frame energy: one begins above the upper level and lasts until the energy
   falls below the lower.
 
 A text is handled in a projection without shuffle, frames of long audio in bounded runs. Nulls are
-empty payloads; equal payloads give equal values; repeated rows stay.
+empty payloads, one block of padding; a null doc_id stays null. Equal payloads give equal values; repeated
+rows stay, each with its own. A very long text is one media value, whole. An empty table gives an empty
+result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import re
 import wave
 import zlib
 from collections.abc import Iterator
@@ -131,60 +135,57 @@ def features(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[float, float]]
     return payload, pooled(mel), spans, [(round(a * step, 4), round(b * step, 4)) for a, b in hysteresis(energy).tolist()]
 
 
-def tensors(rows: list[np.ndarray]) -> pa.FixedShapeTensorArray:
-    stacked = np.stack(rows) if rows else np.zeros((0, SLOTS, BANDS))
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(stacked, np.float32))
+def as_message(x: np.ndarray) -> bytes:
+    """An Arrow tensor message: shape, type and values, read by any Arrow library."""
+    out = pa.BufferOutputStream()
+    pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(x, np.float32)), out)
+    return out.getvalue().to_pybytes()
 
 
 def tensor_column(table: pa.Table, column: str = "tensor") -> pa.Table:
-    """A collected or reread table with its list column as Arrow fixed-shape tensors again."""
-    flat = table[column].combine_chunks().flatten().cast(pa.float32())
-    kind = pa.fixed_shape_tensor(pa.float32(), (SLOTS, BANDS))
-    values = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, SLOTS * BANDS))
-    return table.set_column(table.schema.get_field_index(column), column, values)
+    """A collected or reread table with its tensors as one Arrow fixed-shape tensor column."""
+    rows = [pa.ipc.read_tensor(pa.BufferReader(m)).to_numpy() for m in table[column].to_pylist()]
+    stacked = np.ascontiguousarray(np.stack(rows) if rows else np.zeros((0, SLOTS, BANDS)), np.float32)
+    return table.set_column(table.schema.get_field_index(column), column, pa.FixedShapeTensorArray.from_numpy_ndarray(stacked))
 
 
 _SPAN = "array<struct<start: double, end: double>>"
-SCHEMA = f"doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, tensor array<float>, slots {_SPAN}, segments {_SPAN}"
+SCHEMA = f"doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, tensor binary, feature string, slots {_SPAN}, segments {_SPAN}"
 
 
-def _columns(keep_media: bool):
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
-    as_spans = lambda rows: pa.array([[{"start": a, "end": b} for a, b in r] for r in rows], span)
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), span, span]
+    names = [c.split()[0] for c in re.split(r", (?![^<]*>)", SCHEMA)]
+    as_spans = lambda rows: [{"start": a, "end": b} for a, b in rows]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        ids, n, media, size, sha, crc, tensor, slots, segments = (list(x) for x in zip(*rows))
-        values = tensors(tensor).storage.cast(pa.list_(pa.float32()))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(size, pa.int64()), pa.array(sha), pa.array(crc, pa.int64()), values, as_spans(slots), as_spans(segments)], ["doc_id", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "tensor", "slots", "segments"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, held = [], 0
-            for key, raw in zip(batch.column(0), texts(batch.column(1))):
-                raw = raw.as_py()
-                media = encode(raw + bytes(-len(raw) % PAD or (0 if raw else PAD)))
-                payload, tensor, slots, segments = features(media)
-                digest = media if keep_media else len(media).to_bytes(8, "little") + hashlib.sha256(media).digest()
-                rows.append((key.as_py(), len(raw), digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), tensor, slots, segments))
-                held += len(digest)
-                if len(rows) == 1024 or held > 8 << 20:
-                    yield out(rows)
-                    rows, held = [], 0
-            if rows:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names)
+
+    for batch in batches:
+        rows, held = [], 0
+        for key, raw in zip(batch.column(0), texts(batch.column(1))):
+            raw = raw.as_py()
+            media = encode(raw + bytes(-len(raw) % PAD or (0 if raw else PAD)))
+            payload, tensor, slots, segments = features(media)
+            feature = " ".join(map(str, np.round(tensor.ravel() * 8).astype(int))) + f";{len(segments)}"
+            rows.append((key.as_py(), len(raw), media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), as_message(tensor), feature, as_spans(slots), as_spans(segments)))
+            held += len(media)
+            if len(rows) == 1024 or held > 8 << 20:
                 yield out(rows)
+                rows, held = [], 0
+        if rows:
+            yield out(rows)
 
-    return work
 
-
-def audio_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """The media and features of every text. Without ``keep_media``, ``media`` has only the stored
-    form's length (8 bytes, little-endian) and SHA-256."""
+def audio_columns(docs: DataFrame) -> DataFrame:
+    """The media and features of every text: ``media`` (WAV), digests of the payload read back from it, ``tensor``
+    (Arrow tensor message), ``feature`` (the tensor in eighths, and the number of segments), ``slots`` (time
+    spans of the tensor's rows) and ``segments``, in seconds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(bounded(_columns(keep_media)), SCHEMA)
+    return rows.mapInArrow(bounded(_columns), SCHEMA)
 
 
 def summary(audio: DataFrame) -> DataFrame:
-    """The digest columns of ``audio_columns(docs, keep_media=False)``; ``feature`` is the tensor in
-    eighths, and the number of segments."""
-    eighths = F.array_join(F.transform("tensor", lambda x: F.bround(x * 8).cast("int").cast("string")), " ")
-    return audio.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.conv(F.array_join(F.transform(F.sequence(F.lit(8), F.lit(1), F.lit(-1)), lambda i: F.hex(F.substring(F.col("media"), i, F.lit(1)))), ""), 16, 10).cast("long").alias("media_bytes"), F.lower(F.hex(F.substring("media", 9, 32))).alias("media_sha256"), F.concat(eighths, F.lit(";"), F.size("segments").cast("string")).alias("feature"))
+    """``audio_columns`` with the media's length and SHA-256 in its place."""
+    return audio.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}).drop("media")

@@ -19,7 +19,7 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.summary(audio.audio_columns(documents(spark, sf_dir), keep_media=False))
+    return audio.summary(audio.audio_columns(documents(spark, sf_dir)))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,16 +419,26 @@ def test_audio_round_trip(docs, none):
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
         assert audio.decode(bytes(r.media)) == payload
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert len(r.tensor) == audio.SLOTS * audio.BANDS and len(r.slots) == audio.SLOTS
-        assert all(a.end <= b.start for a, b in zip(r.segments, r.segments[1:]))
-    table = audio.tensor_column(pa.table({"tensor": pa.array([r.tensor for r in rows[:3]], pa.list_(pa.float32()))}))
+        assert len(r.slots) == audio.SLOTS and all(a.end <= b.start for a, b in zip(r.segments, r.segments[1:]))
+        tensor, feature = brute.audio_features(payload)
+        got = pa.ipc.read_tensor(pa.BufferReader(bytes(r.tensor))).to_numpy()
+        assert got.shape == (audio.SLOTS, audio.BANDS) and np.allclose(got, tensor, atol=2e-3)
+        assert np.abs(np.array(r.feature.split(";")[0].split(), int) - feature).max() <= 1
+    table = audio.tensor_column(pa.table({"tensor": pa.array([bytes(r.tensor) for r in rows[:3]])}))
     assert table["tensor"].type == pa.fixed_shape_tensor(pa.float32(), (audio.SLOTS, audio.BANDS))
-    digest = {r.doc_id: r for r in audio.summary(audio.audio_columns(docs, keep_media=False)).collect()}
+    digest = {r.doc_id: r for r in audio.summary(audio.audio_columns(docs)).collect()}
     for r in rows:
-        assert (digest[r.doc_id].media_bytes, digest[r.doc_id].media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
+        assert (digest[r.doc_id].media_bytes, digest[r.doc_id].media_sha256, digest[r.doc_id].tensor) == (len(r.media), hashlib.sha256(r.media).hexdigest(), r.tensor)
     assert audio.audio_columns(none).count() == 0
 
 
+def test_audio_of_odd_rows(spark):
+    rows = [(None, "a b"), (None, None), (1, "a b"), (1, "a b"), (2, "word " * 300_000)]
+    got = audio.summary(audio.audio_columns(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, media int"))).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.payload_bytes) for r in got) == [(0, 0, 64), (0, 3, 64), (1, 3, 64), (1, 3, 64), (2, 1_500_000, 1_500_032)]
+    assert len({r.feature for r in got if r.n_bytes == 3}) == 1
+
+
 def test_resampling_equals_direct_convolution():
     x = np.random.default_rng(4).random(1000).astype(np.float32)
     got, phases = audio.resample(x), audio._filter(audio.UP, audio.DOWN, audio.TAPS)

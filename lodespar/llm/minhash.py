@@ -50,7 +50,7 @@ PERCENT = 75
 _P = 2.0**-B + (1 - 2.0**-B) * PERCENT / 100
 LEAST = PERCENT / 100 - 6 * (_P * (1 - _P) / MINIMA) ** 0.5 / (1 - 2.0**-B)
 #: Nodes of a block whose signatures are compared; nodes and shingles of a block whose sets are.
-BLOCK, FULL_BLOCK, FULL_SHINGLES = 512, 256, 1 << 21
+BLOCK, FULL_BLOCK, FULL_SHINGLES = 512, 512, 1 << 21
 _FACTORS = (mix(np.arange(1, MINIMA + 1, dtype=U)) | U(1)).astype(np.uint32)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=U) * U(0xA24BAED4963EE407))
 _STEP = 1 << 14
@@ -184,9 +184,11 @@ def _confirm(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def _reach(table: pa.Table) -> pa.RecordBatch:
     """Runs of ``g``: which node may be linked to which other component, by size and estimate; the
     smaller component's node is tied to the larger component. A pair speaks in the group of its two
-    blocks, in each band that it shares."""
-    g, node, comp, n, of, block, i, j = (table[c].to_numpy() for c in ("g", "node", "component", "n_shingles", "members", "block", "i", "j"))
+    blocks, in the first two bands that it shares: bands are compared by 31 bits of their keys, and two false
+    agreements before a true one are a chance of 4e-16, one only would be 3e-8."""
+    g, node, comp, n, of, band, block, i, j = (table[c].to_numpy() for c in ("g", "node", "component", "n_shingles", "members", "band", "block", "i", "j"))
     sig = table["sig"].combine_chunks().flatten().to_numpy().view(U).reshape(-1, LONGS)
+    keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     found = []
     cut = borders(g)
     for lo, hi in zip(cut[:-1], cut[1:]):
@@ -197,7 +199,10 @@ def _reach(table: pa.Table) -> pa.RecordBatch:
             may &= at[None, :] != at[:, None]
         if may.any():
             x, y = np.nonzero(may & (_estimates(sig[lo:hi]) >= LEAST))
-            found.append(np.unique(np.stack([node[lo + x], comp[lo + y]], 1), axis=0))
+            for part in range(0, len(x), _STEP):
+                a, b = x[part : part + _STEP], y[part : part + _STEP]
+                new = (keys[lo + a, : band[lo]] == keys[lo + b, : band[lo]]).sum(1) < 2
+                found.append(np.unique(np.stack([node[lo + a[new]], comp[lo + b[new]]], 1), axis=0))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "target"])
 
@@ -229,13 +234,18 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     nodes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "_t")).alias("_f"), F.min_by(F.struct("n_shingles", "sig", "bands"), F.struct("doc_id", "_t")).alias("_s"))
     # The number of a node is fixed by the table that it is written to.
     nodes = materialize(nodes.select("digest", F.monotonically_increasing_id().alias("node"), "_f.doc_id", "_f._t", "_s.n_shingles", "_s.sig", "_s.bands"), "near-nodes")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "lead")
     members = materialize(keys.join(materialize(shared, "near-shared"), "key"), "near-members")
-    sigs = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "_t", "n_shingles", "sig"), "near-sigs")
-    # One row stands for a node; rows that repeat it whole are made one before their sets.
-    need = materialize(sigs.select("doc_id", "_t", "node"), "near-need")
-    sets = _texts(docs).join(need, ["doc_id", "_t"]).dropDuplicates(["node"]).select("node", "text")
+    sigs = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "_t", "n_shingles", "sig", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys")), "near-sigs")
+    # One row stands for a node. Where other rows repeat it whole, they are made one before their sets.
+    need = sigs.select("doc_id", "_t", "node")
+    again = materialize(real.groupBy("doc_id", "_t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "_t"), "near-again")
+    once = materialize(need.join(again, ["doc_id", "_t"], "left_anti"), "near-once")
+    sets = _texts(docs).join(once, ["doc_id", "_t"]).select("node", "text")
+    if again.limit(1).count():
+        several = materialize(need.join(again, ["doc_id", "_t"], "left_semi"), "near-several")
+        sets = sets.unionByName(_texts(docs).join(several, ["doc_id", "_t"]).groupBy("node").agg(F.first("text").alias("text")))
     sets = materialize(sets.mapInArrow(bounded(_sets), "node long, set binary"), "near-sets")
     sigs = sigs.drop("doc_id", "_t")
 
@@ -256,10 +266,10 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     sized = held.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("_all"))
     held = materialize(held.join(sized.drop("_all"), "component"), "near-held")
     mixed = members.join(held.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z"), F.count(F.lit(1)).alias("_n")).where("_a <> _z")
-    left = members.select("key", "node").join(materialize(mixed.select("key", _blocks(F.col("_n")).alias("_of")), "near-mixed"), "key")
+    left = members.select("key", "band", "node").join(materialize(mixed.select("key", _blocks(F.col("_n")).alias("_of")), "near-mixed"), "key")
     both = F.explode(F.expr("transform(sequence(0, _of - 1), j -> struct(least(_b, j) as i, greatest(_b, j) as j))"))
-    left = left.withColumn("_b", _block_of("node", F.col("_of"))).select(both.alias("_p"), "key", "node", F.col("_b").alias("block"))
-    left = left.select(F.xxhash64("key", "_p.i", "_p.j").alias("g"), "node", "block", "_p.i", "_p.j").join(held, "node")
+    left = left.withColumn("_b", _block_of("node", F.col("_of"))).select(both.alias("_p"), "key", "band", "node", F.col("_b").alias("block"))
+    left = left.select(F.xxhash64("key", "_p.i", "_p.j").alias("g"), "band", "node", "block", "_p.i", "_p.j").join(held, "node")
     ties = materialize(over_runs(left, "g", [], _reach, "node long, target long").distinct(), "near-ties")
     ties = ties.join(sigs.select("node", "n_shingles"), "node")
     ones = ties.groupBy("target").agg(_full_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("_ones"))

@@ -238,11 +238,12 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "lead")
     members = materialize(keys.join(materialize(shared, "near-shared"), "key"), "near-members")
     sigs = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "_t", "n_shingles", "sig", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys")), "near-sigs")
-    # One row stands for a node. Where other rows repeat it whole, they are made one before their sets.
+    # One row stands for a node. Where other rows repeat it whole, they are made one before their sets. Texts meet
+    # their nodes by a shuffle at every size, as nodes that share a band grow with the documents.
     need = sigs.select("doc_id", "_t", "node")
     again = materialize(real.groupBy("doc_id", "_t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "_t"), "near-again")
     once = materialize(need.join(again, ["doc_id", "_t"], "left_anti"), "near-once")
-    sets = _texts(docs).join(once, ["doc_id", "_t"]).select("node", "text")
+    sets = _texts(docs).join(once.hint("merge"), ["doc_id", "_t"]).select("node", "text")
     if again.limit(1).count():
         several = materialize(need.join(again, ["doc_id", "_t"], "left_semi"), "near-several")
         sets = sets.unionByName(_texts(docs).join(several, ["doc_id", "_t"]).groupBy("node").agg(F.first("text").alias("text")))

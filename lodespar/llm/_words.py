@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-#: Bytes of text handled at once (a longer single text makes a slice of its own).
-SLICE = 2 << 20
+#: Bytes of text and texts handled at once (a longer single text makes a slice of its own).
+SLICE, ROWS = 2 << 20, 4096
+#: Arrays of as many bytes are given back to the system when they are freed.
+MAPPED = 4 << 20
 #: Bytes of an Arrow batch.
 BATCH, _BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPACE = np.zeros(256, bool)
@@ -27,13 +29,17 @@ U = np.uint64
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 
 
+def _libc(name: str, *args: int) -> None:
+    function = getattr(ctypes.CDLL(None), name, None)
+    if function is not None:
+        function(*args)
+
+
 def release() -> None:
     """Give freed memory back to the system: a worker is reused, and what it keeps counts against its
     executor while other stages run."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    _libc("malloc_trim", 0)
 
 
 def bounded(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -47,6 +53,7 @@ def bounded(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         session.conf.set(_BATCH_SETTING, str(BATCH))
 
     def run(batches: Iterator) -> Iterator:
+        _libc("mallopt", -3, MAPPED)  # M_MMAP_THRESHOLD, which would grow with what is freed
         try:
             yield from work(batches)
         finally:
@@ -71,13 +78,13 @@ def texts(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 
 
 def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows with about ``limit`` bytes."""
+    """(first row, end row, bytes, offsets) of runs of at most ``ROWS`` rows with about ``limit`` bytes."""
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1), i + ROWS)
         yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 

@@ -235,11 +235,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, seed:
 
 def score(text: Column, model: Model) -> Column:
     """Scores of texts, 0 to 1."""
-    bounded(iter)  # a batch of long texts is bounded as elsewhere
+    work = bounded(lambda columns: (pa.array(model.score(measure(c))) for c in columns))
 
     @F.arrow_udf("double")
-    def scores(column: pa.Array) -> pa.Array:
-        return pa.array(model.score(measure(column)))
+    def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return work(columns)
 
     return scores(text.cast("binary"))
 

@@ -34,11 +34,20 @@ def vocabulary_pattern(term: str) -> str:
     return r"(?U)(?<![\w.+#])" + "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in term) + r"(?![\w+#])"
 
 
-def in_text(text: Column, vocabulary: list[str] | None = None) -> Column:
-    """Canonical names of the vocabulary's terms that occur in a free text."""
+def terms(text: Column, vocabulary: list[str] | None = None) -> Column:
+    """The vocabulary's terms that occur in a free text, in the vocabulary's order."""
     low = F.lower(F.coalesce(text, F.lit("")))
     found = F.array(*[F.when(low.rlike(vocabulary_pattern(s)), F.lit(s)) for s in (vocabulary or SKILLS)])
-    return canonical(F.filter(found, lambda s: s.isNotNull()))
+    return F.filter(found, lambda s: s.isNotNull())
+
+
+def name_of(term: Column) -> Column:
+    return _lookup(SYNONYMS, term)
+
+
+def in_text(text: Column, vocabulary: list[str] | None = None) -> Column:
+    """Canonical names of the vocabulary's terms that occur in a free text."""
+    return canonical(terms(text, vocabulary))
 
 
 def in_text_local(text: str | None, vocabulary: list[str] | None = None) -> list[str]:
@@ -58,9 +67,23 @@ def to_annual(amount: Column, period: Column) -> Column:
     return amount * F.element_at(rate, period)
 
 
+_KNOWN = {*SKILLS, *SYNONYMS.values()}
+_REASONS = ("empty term", "not in the vocabulary: only if the post clearly names it as a technology")
+
+
 def canonical_skill(term: Column) -> Column:
-    """struct<known, canonical>: whether the vocabulary has the term, under which name."""
+    """struct<known, canonical, reason>: whether the vocabulary has the term, under which name, or why not."""
     key = F.lower(F.trim(F.coalesce(term, F.lit(""))))
     name = _lookup(SYNONYMS, key)
-    known = name.isin(SKILLS + sorted(set(SYNONYMS.values())))
-    return F.struct((known & (key != "")).alias("known"), F.when(known & (key != ""), name).alias("canonical"))
+    known = (key != "") & name.isin(sorted(_KNOWN))
+    reason = F.when(key == "", _REASONS[0]).when(~known, _REASONS[1])
+    return F.struct(known.alias("known"), F.when(known, name).alias("canonical"), reason.alias("reason"))
+
+
+def canonical_local(term: str | None) -> dict:
+    """The same for a model's tool; no reason where the term is known."""
+    key = " ".join((term or "").lower().split(" ")).strip()
+    name = SYNONYMS.get(key, key)
+    if name in _KNOWN:
+        return {"known": True, "canonical": name}
+    return {"known": False, "canonical": None, "reason": _REASONS[bool(key)]}

@@ -1,23 +1,33 @@
-"""Text as native columns: HTML to text, headers, dates, strata, slices, string likeness."""
+"""Text as native columns: HTML to text, headers, dates, strata, slices, string likeness.
+
+Only HTML's character references (over two thousand names, and any number) are decoded outside of Spark's own
+functions, a batch of texts at a time.
+"""
 
 from __future__ import annotations
 
+import html as markup
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodespar.functions.vocabulary import MONTHS
 
-#: Entities decoded natively; ``&amp;`` comes last so that nothing is decoded twice.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "'", "&#39;": "'", "&#x2F;": "/", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
 LONG_POST = 1200
 
 
+@F.arrow_udf(StringType())
+def _decoded(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None or "&" not in t else markup.unescape(t) for t in texts.to_pylist()], pa.string())
+
+
 def html_to_text(html: Column) -> Column:
-    """Paragraph marks become blank lines, other tags go, entities are decoded, ends are trimmed."""
+    """Paragraph marks become blank lines, other tags go, character references of any kind are decoded (once),
+    ends are trimmed."""
     text = F.regexp_replace(F.replace(F.coalesce(html, F.lit("")), F.lit("<p>"), F.lit("\n\n")), "<[^>]+>", "")
-    for entity, plain in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_decoded(text), r"(?U)^\s+|\s+$", "")
 
 
 def header(text: Column) -> Column:
@@ -55,19 +65,26 @@ def slice_name(text: Column) -> Column:
     return F.when(is_piped(text), "pipe").when(is_long(text), "long_prose").otherwise("prose")
 
 
-def bigram_counts(s: Column) -> Column:
-    """array<string> of a string's bigrams, each with its occurrence, so that set operations on such
-    arrays are multiset operations. Quadratic in the string; for short fields."""
-    pairs = F.when(F.char_length(s) >= 2, F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(pairs), lambda p: F.transform(p, lambda x, i: F.concat(x, F.size(F.filter(F.slice(p, 1, i + 1), lambda y: y == x)).cast("string"))))[0]
+def shared_bigrams(a: Column, b: Column) -> Column:
+    """How many character bigrams two strings share, repeats counted: one pass over the sorted bigrams of both."""
+    none = F.array().cast("array<struct<x:string,mine:int>>")
+    pairs = lambda s, mine: F.when(F.char_length(s) >= 2, F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda i: F.struct(F.substring(s, i, F.lit(2)).alias("x"), F.lit(mine).alias("mine")))).otherwise(none)
+    start = F.struct(F.lit("").alias("x"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+
+    def step(s: Column, p: Column) -> Column:
+        # Sorted, a run's bigrams of b come before those of a: each of a's takes one of b's.
+        b_left = F.when(s["x"] == p["x"], s["b"]).otherwise(0)
+        mine = p["mine"] == 1
+        return F.struct(p["x"].alias("x"), F.when(mine, F.greatest(b_left - 1, F.lit(0))).otherwise(b_left + 1).alias("b"), F.when(mine & (b_left > 0), s["n"] + 1).otherwise(s["n"]).alias("n"))
+
+    return F.aggregate(F.sort_array(F.concat(pairs(a, 1), pairs(b, 0))), start, step)["n"]
 
 
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of character bigrams after trimming and lower-casing: 1 for equal strings, 0
     if either is shorter than two."""
     a, b = (F.lower(F.trim(F.coalesce(x, F.lit("")))) for x in (a, b))
-    shared = F.size(F.array_intersect(bigram_counts(a), bigram_counts(b)))
-    return F.when(a == b, F.lit(1.0)).when((F.char_length(a) < 2) | (F.char_length(b) < 2), F.lit(0.0)).otherwise(2.0 * shared / (F.char_length(a) + F.char_length(b) - 2))
+    return F.when(a == b, F.lit(1.0)).when((F.char_length(a) < 2) | (F.char_length(b) < 2), F.lit(0.0)).otherwise(2.0 * shared_bigrams(a, b) / (F.char_length(a) + F.char_length(b) - 2))
 
 
 def same_location(a: Column, b: Column, threshold: float = 0.9) -> Column:
@@ -79,6 +96,16 @@ def run_date(ts: Column, zone: str = "America/Toronto") -> Column:
     return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), zone), "yyyy-MM-dd")
 
 
+def local_time(ts: Column, zone: str = "America/Toronto") -> Column:
+    """Local date and time of a UTC timestamp, as "2026-07-01, 09:30:00"."""
+    return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), zone), "yyyy-MM-dd, HH:mm:ss")
+
+
+def share_text(n: Column, total: Column) -> Column:
+    """A share as "12.5%"; a dash without a total."""
+    return F.when(F.coalesce(total, F.lit(0)) == 0, "—").otherwise(percent(n / total))
+
+
 def short_hash(text: Column, length: int = 8) -> Column:
     return F.substring(F.sha2(text, 256), 1, length)
 

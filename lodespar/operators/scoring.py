@@ -142,6 +142,11 @@ def agrees(field: str) -> Column:
     return F.col(field).isin("extracted", "abstained")
 
 
+def outcomes(rows: DataFrame, by: list[str], column: str = "outcome") -> DataFrame:
+    """How often each outcome occurs per group."""
+    return rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+
+
 def disagreements(rows: DataFrame, configs: list[str] | None = None) -> DataFrame:
     """field, and for each config how many rows disagree. ``rows`` are judged, with ``config``."""
     marks = F.array(*[F.struct(F.lit(f).alias("field"), (~agrees(f)).cast("int").alias("off")) for f in FIELDS])
@@ -235,6 +240,34 @@ def comparison(scores_of: DataFrame, key: str = "config", field: str = "field",
     return scores_of.groupBy(key).pivot(field, fields).agg(F.first(value))
 
 
+def sorted_rungs(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """A comparison sorted by one column, unknown values last in both directions; ties by config."""
+    c = F.col(column)
+    return rows.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), "config")
+
+
+def disagreement_groups(rows: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """field, configs, comment_id: which posts each field is off in, grouped by the configs that are off together."""
+    off = F.explode(F.array(*[F.when(~agrees(f), F.lit(f)) for f in fields or FIELDS])).alias("field")
+    long = rows.select("comment_id", "config", off).where("field is not null")
+    return long.groupBy("field", "comment_id").agg(F.array_join(F.array_sort(F.collect_set("config")), ",").alias("configs")).select("field", "configs", "comment_id")
+
+
+def write_ladder(spark, folder: str, records: list[dict], off: DataFrame, groups: DataFrame | None = None) -> None:
+    """A ladder's report as Markdown and JSON beside one another: records, disagreement counts and, if given, the
+    posts of each group. Reports are a row a rung or a field."""
+    from lodespar.sources.logs import write_json, write_text
+
+    counts = [r.asDict() for r in off.collect()]
+    columns = [c for c in records[0] if c != "scores"] if records else []
+    parts = ["# Ladder", report_table(records, columns), "## Disagreements", report_table(counts, off.columns)]
+    if groups is not None:
+        listed = groups.groupBy("field", "configs").agg(F.count(F.lit(1)).alias("n")).orderBy("field", F.desc("n"), "configs")
+        parts += ["## Posts off together", report_table([r.asDict() for r in listed.collect()], listed.columns)]
+    write_text(spark, f"{folder}/ladder.md", "\n\n".join(parts) + "\n")
+    write_json(spark, {"records": records, "disagreements": counts}, f"{folder}/ladder.json")
+
+
 def trajectories(rows: DataFrame, by: list[str]) -> DataFrame:
     """What runs did: steps, model calls, tool calls, failed verifications, errors."""
     t = F.col("trace")

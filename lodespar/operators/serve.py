@@ -29,6 +29,16 @@ def status(read, source: str) -> dict:
         return {"status": "degraded", "reason": str(e), "source": source}
 
 
+def postings_per_month(postings: DataFrame, month: str = "thread_month") -> DataFrame:
+    return postings.groupBy(month).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_month_total(postings: DataFrame, month: str = "thread_month") -> DataFrame:
+    """Each posting with ``n``, its month's number of postings: the counts (a row a month) are joined back, so that
+    no month is one task's."""
+    return postings.join(postings_per_month(postings, month), month)
+
+
 def in_latest_month(postings: DataFrame, month: str = "thread_month") -> DataFrame:
     """The rows of the greatest month: one pass for its name, which then prunes the scan's partitions."""
     newest = postings.agg(F.max(month).alias(month))

@@ -118,7 +118,7 @@ def j16_trend_grid(spark, sf_dir):
 
 @query(f"WITH {p_sql()} SELECT comment_id, thread_month, count(*) OVER (PARTITION BY thread_month) AS n FROM p")
 def w1_window_total(spark, sf_dir):
-    return postings(spark, sf_dir).select("comment_id", "thread_month", F.count(F.lit(1)).over(Window.partitionBy("thread_month")).alias("n"))
+    return serve.with_month_total(postings(spark, sf_dir)).select("comment_id", "thread_month", "n")
 
 
 @query(f"WITH {p_sql()} SELECT thread_month, skill, count(*) AS n FROM (SELECT thread_month, unnest(skills) AS skill FROM p) GROUP BY 1, 2 ORDER BY n DESC, thread_month, skill LIMIT 20")
@@ -198,7 +198,7 @@ def a9_nonnull_counts(spark, sf_dir):
 
 @query(f"WITH {_SCORED} SELECT lang, outcome, count(*) AS n FROM s GROUP BY 1, 2")
 def a10_outcomes(spark, sf_dir):
-    return _scored(spark, sf_dir).groupBy("lang", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return scoring.outcomes(_scored(spark, sf_dir), ["lang"])
 
 
 _WILSON = """CASE WHEN attempts = 0 THEN {0}.0 ELSE {1}({0}.0, ((p + 1.959963984540054 * 1.959963984540054 / (2 * attempts)) {2} 1.959963984540054 * sqrt(p * (1 - p) / attempts + 1.959963984540054 * 1.959963984540054 / (4 * attempts * attempts))) / (1 + 1.959963984540054 * 1.959963984540054 / attempts)) END"""
@@ -260,14 +260,6 @@ def a19_p95_nearest(spark, sf_dir):
     return scoring.latencies(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", "p95_nearest")
 
 
-@query("""WITH j AS (SELECT lang, quality, toxic, n_chars > 400 AS a, n_chars > 1500 AS b FROM documents JOIN labels USING (doc_id))
-SELECT lang, CAST(count_if(a <> (quality = 1)) AS BIGINT) AS A, CAST(count_if(b <> (quality = 1)) AS BIGINT) AS B FROM j GROUP BY 1""")
-def a23_disagreements(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    both = F.array(*[F.struct(F.lit(c).alias("config"), ((F.col("n_chars") > cut) != (F.col("quality") == 1)).cast("int").alias("off")) for c, cut in (("A", 400), ("B", 1500))])
-    return rows.select("lang", F.explode(both).alias("x")).select("lang", "x.*").groupBy("lang").pivot("config", ["A", "B"]).agg(F.sum("off"))
-
-
 @query("""SELECT lang, 'mean_chars' AS field, round(avg(n_chars), 6) AS score FROM documents GROUP BY 1
 UNION ALL SELECT lang, 'n' AS field, CAST(count(*) AS DOUBLE) AS score FROM documents GROUP BY 1""")
 def s28_unpivot_scores(spark, sf_dir):
@@ -314,16 +306,25 @@ def a30_slice_power(spark, sf_dir):
     return sampling.slice_power(w4_stratified_pick(spark, sf_dir), ["lang"]).select("value", "n", F.round("margin", 9).alias("margin"))
 
 
-def _entities_sql() -> str:
-    out = r"regexp_replace(replace(html, '<p>', chr(10) || chr(10)), '<[^>]+>', '', 'g')"
-    for entity, plain in T.ENTITIES.items():
-        out = f"replace({out}, '{entity}', '{plain.replace(chr(39), chr(39) * 2)}')"
-    return out
+#: References that the made-up pages below have, by themselves and as the text of another.
+_REFERENCES = {"&eacute;": "é", "&rsquo;": "’", "&#8211;": "–", "&#x20AC;": "€", "&frac12;": "½", "&AMP;": "&", "&NotEqualTilde;": "≂̸"}
+_PAGE = "html || '<p>" + " ".join(_REFERENCES) + " &amp;lt;p&amp;gt; <b>&'"
+
+
+def _decoded_sql(text: str, references: dict[str, str]) -> str:
+    # One reference at a time, the ampersand's last, is right for these pages.
+    for written, plain in references.items():
+        text = f"replace({text}, '{written}', '{plain}')"
+    return text
+
 
+_PLAIN_REFERENCES = _REFERENCES | {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "''", "&#39;": "''", "&nbsp;": "\xa0", "&copy;": "©", "&middot;": "·", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
 
-@query(rf"SELECT page_id, md5(regexp_replace(regexp_replace({_entities_sql()}, '^\s+', ''), '\s+$', '')) AS hash FROM pages")
+
+@query(rf"SELECT page_id, md5(regexp_replace(regexp_replace({_decoded_sql(f"regexp_replace(replace({_PAGE}, '<p>', chr(10) || chr(10)), '<[^>]+>', '', 'g')", _PLAIN_REFERENCES)}, '^\s+', ''), '\s+$', '')) AS hash FROM pages")
 def f1_html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_to_text(F.col("html"))).alias("hash"))
+    page = F.concat("html", F.lit("<p>" + " ".join(_REFERENCES) + " &amp;lt;p&amp;gt; <b>&"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_to_text(page)).alias("hash"))
 
 
 @query("""WITH x AS (SELECT p_partkey, lower(trim(p_name)) AS a, lower(trim(p_type)) AS b FROM part),
@@ -334,10 +335,17 @@ def f24_dice(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(T.dice(F.col("p_name"), F.col("p_type")), 9).alias("dice"))
 
 
-@query(r"SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), '(^|[^\w.+#])(gear)($|[^\w+#])') OR regexp_matches(lower(p_type), '(^|[^\w.+#])(gear)($|[^\w+#])')")
-def f30_boundary_match(spark, sf_dir):
-    hit = F.lower(F.concat_ws("\n", "p_name", "p_type")).rlike(S.vocabulary_pattern("gear"))
-    return table(spark, sf_dir, "part").where(hit).select("p_partkey")
+_TERMS = ["go", "c++", "next.js", "python", "rust", "k8s"]
+_RESUME = "['Five years of Go; C++, rust.', 'next.js and Python3', 'python, K8S and node.next.js', 'let us go', 'C+++ rusty'][p_partkey % 5 + 1]"
+_AROUND = lambda t: "(^|[^\\w.+#])" + "".join("\\" + c if c in ".+" else c for c in t) + "($|[^\\w+#])"
+_NAMED = {"k8s": "kubernetes"}
+
+
+@query(f"""WITH x AS (SELECT p_partkey, lower({_RESUME}) AS t FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '{_AROUND(t)}') THEN '{_NAMED.get(t, t)}' END" for t in _TERMS)}], lambda s: s IS NOT NULL)), ',') AS skills FROM x""")
+def f30_skills_in_text(spark, sf_dir):
+    resume = F.get(F.array(*map(F.lit, ["Five years of Go; C++, rust.", "next.js and Python3", "python, K8S and node.next.js", "let us go", "C+++ rusty"])), (F.col("p_partkey") % 5).cast("int"))
+    return _plain(table(spark, sf_dir, "part").select("p_partkey", S.in_text(resume, _TERMS).alias("skills")), "skills")
 
 
 _WORDS = "CASE (p_partkey % 5) WHEN 0 THEN ['K8s', ' postgres ', 'Python'] WHEN 1 THEN ['golang', 'go', 'TS'] WHEN 2 THEN [lower(p_brand)] WHEN 3 THEN ['rails', 'JS', 'js'] ELSE [] END"
@@ -367,8 +375,9 @@ def f20_annualise(spark, sf_dir):
 @query("SELECT conv_id, turn, role, md5(text) AS hash FROM conversations")
 def s7_flatten_thread(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    nested = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("comments"))
-    return nested.select("conv_id", F.explode("comments").alias("c")).select("conv_id", "c.turn", "c.role", F.md5("c.text").alias("hash"))
+    nested = turns.groupBy(F.col("conv_id").alias("thread_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("comments"))
+    posts = threads.posts(nested.withColumn("thread_date", F.lit("2026-07-01")), "2026-07-01")
+    return posts.select(F.col("thread_id").alias("conv_id"), "turn", "role", F.md5("text").alias("hash"))
 
 
 _MONTHS = "(list_position(['january','february','march','april','may','june','july','august','september','october','november','december'], lower(regexp_extract(t, '\\(([A-Za-z]+)\\s+(\\d{4})\\)', 1))))"
@@ -388,7 +397,7 @@ def j1_lookup_ordered(spark, sf_dir):
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def j3_semi(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return logs.covered(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -475,17 +484,21 @@ def f17_extract(spark, sf_dir):
     return docs.select("doc_id", extraction(F.col("text")).alias("e")).select("doc_id", "e.company", "e.location", "e.remote", "e.salary_min", "e.salary_max", F.array_join("e.skills", ",").alias("skills"), "e.seniority", "e.visa_sponsor", is_confident(F.col("e.confidence")).alias("confident"))
 
 
-@query()
+@query(f"""WITH {p_sql('%Y')}, r AS (SELECT *, row_number() OVER (PARTITION BY thread_month, seniority ORDER BY salary_min DESC, comment_id) AS r FROM p),
+g AS (SELECT thread_month, seniority, count(*) AS n, max(salary_min) AS top FROM r WHERE r <= 3 GROUP BY 1, 2)
+SELECT thread_month, seniority, unnest(['money', 'number', 'skill']) AS kind, unnest(['$' || format('{{:,}}', top) || ' ', '3', 'python']) AS text, unnest([true, n >= 2, false]) AS grounded FROM g""")
 def x5_claims(spark, sf_dir):
-    """Claims of made-up summaries of orders, checked against the orders (offset logic; no SQL form)."""
-    rows = postings(spark, sf_dir, "yyyy").groupBy("thread_month", "seniority").agg(F.slice(F.sort_array(F.collect_list(F.struct("salary_min", "salary_max", "skills"))), 1, 3).alias("rows"), F.max("salary_min").alias("top"))
+    """Claims of made-up summaries of a group's three best paid orders. The rank bounds the rows of a list."""
+    by = Window.partitionBy("thread_month", "seniority").orderBy(F.desc("salary_min"), "comment_id")
+    best = postings(spark, sf_dir, "yyyy").withColumn("r", F.row_number().over(by)).where("r <= 3")
+    rows = best.groupBy("thread_month", "seniority").agg(F.collect_list(F.struct("salary_min", "salary_max", "skills")).alias("rows"), F.max("salary_min").alias("top"))
     said = rows.withColumn("summary", F.concat(F.lit("About 3 roles pay up to $"), F.format_number("top", 0), F.lit(" and ask for Python")))
     return C.claims(said, "summary", "rows").select("thread_month", "seniority", "kind", "text", "grounded")
 
 
 @query(f"WITH {p_sql()} SELECT thread_month, count(*) AS n FROM p GROUP BY 1")
 def a3_postings_per_month(spark, sf_dir):
-    return postings(spark, sf_dir).groupBy("thread_month").agg(F.count(F.lit(1)).alias("n"))
+    return serve.postings_per_month(postings(spark, sf_dir))
 
 
 @query(f"WITH {p_sql('%Y')} SELECT comment_id FROM p WHERE thread_month = (SELECT max(thread_month) FROM p)")
@@ -495,7 +508,9 @@ def a2_latest_only(spark, sf_dir):
 
 @query(f"WITH {p_sql()} SELECT count(DISTINCT thread_month) AS threads FROM p")
 def a7_distinct_threads(spark, sf_dir):
-    return postings(spark, sf_dir).agg(F.count_distinct("thread_month").alias("threads"))
+    from lodespar.plans.ingest import n_threads
+
+    return n_threads(postings(spark, sf_dir).withColumnRenamed("thread_month", "thread_date"))
 
 
 @query("SELECT o_orderpriority AS salary_period, count(*) AS n FROM orders WHERE NOT starts_with(o_orderpriority, '5') GROUP BY 1")
@@ -612,21 +627,168 @@ def f45_verdict(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT p_partkey, ['K8s', 'cobol', ' Rust ', '', 'py'][p_partkey % 5 + 1] AS term FROM part)
-SELECT p_partkey, term IN ('K8s', ' Rust ', 'py') AS known, CASE term WHEN 'K8s' THEN 'kubernetes' WHEN ' Rust ' THEN 'rust' WHEN 'py' THEN 'python' END AS canonical FROM t""")
+SELECT p_partkey, term IN ('K8s', ' Rust ', 'py') AS known, CASE term WHEN 'K8s' THEN 'kubernetes' WHEN ' Rust ' THEN 'rust' WHEN 'py' THEN 'python' END AS canonical,
+CASE term WHEN '' THEN 'empty term' WHEN 'cobol' THEN 'not in the vocabulary: only if the post clearly names it as a technology' END AS reason FROM t""")
 def f36_canonical_skill(spark, sf_dir):
     terms = F.array(*map(F.lit, ["K8s", "cobol", " Rust ", "", "py"]))
     found = S.canonical_skill(F.get(terms, (F.col("p_partkey") % 5).cast("int")))
     return table(spark, sf_dir, "part").select("p_partkey", found.alias("s")).select("p_partkey", "s.*")
 
 
-@query()
+_ROLES = "['Open roles' || chr(10) || '1. Engineer for ' || p_name || ' in every one of its sizes' || chr(10) || '2) Designer of ' || p_type || ' and whatever goes with it', 'role 1: Analyst of ' || p_name || ' who reads a great many tables' || chr(10) || 'role 2: none', 'We make ' || p_name][p_partkey % 3 + 1]"
+
+
+@query(f"""WITH x AS (SELECT p_partkey, p_partkey % 3 AS k, p_name, p_type, {_ROLES} AS t FROM part),
+y AS (SELECT p_partkey, CASE WHEN k = 0 THEN ['Engineer for ' || p_name || ' in every one of its sizes', 'Designer of ' || p_type || ' and whatever goes with it'] ELSE [t] END AS c FROM x)
+SELECT p_partkey, CAST(i - 1 AS INTEGER) AS n, md5(c[i]) AS hash FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM y)""")
 def x3_split_roles(spark, sf_dir):
-    """Role chunks of documents (marker offsets; no SQL form)."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.roles(F.col("text"))).alias("n", "chunk")).select("doc_id", "n", F.md5("chunk").alias("hash"))
+    """Role chunks: two roles, one that is too short to count, and no list."""
+    k, name, kind = F.col("p_partkey") % 3, F.col("p_name"), F.col("p_type")
+    two = F.concat(F.lit("Open roles\n1. Engineer for "), name, F.lit(" in every one of its sizes\n2) Designer of "), kind, F.lit(" and whatever goes with it"))
+    one = F.concat(F.lit("role 1: Analyst of "), name, F.lit(" who reads a great many tables\nrole 2: none"))
+    text = F.when(k == 0, two).when(k == 1, one).otherwise(F.concat(F.lit("We make "), name))
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(C.roles(text)).alias("n", "chunk")).select("p_partkey", "n", F.md5("chunk").alias("hash"))
 
 
-@query()
+@query("""WITH x AS (SELECT o_orderkey, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) AS a, format('{:,}', CAST(round_even(o_totalprice * 2, 0) AS BIGINT)) AS b FROM orders),
+y AS (SELECT *, 'We pay $' || a || ' or more, up to $' || b AS t FROM x) SELECT o_orderkey, unnest(['$' || a || ' ', '$' || b]) AS match, t AS context FROM y""")
 def x4_salary_candidates(spark, sf_dir):
-    """Salary-like strings of orders written as prose, with their surroundings (offsets; no SQL form)."""
+    """Salary-like strings of orders written as prose, with their surroundings."""
     said = F.concat(F.lit("We pay $"), F.format_number("o_totalprice", 0), F.lit(" or more, up to $"), F.format_number(F.col("o_totalprice") * 2, 0))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(C.candidates(said)).alias("c")).select("o_orderkey", "c.*")
+
+
+_PAID = "CAST(floor(o_totalprice) AS BIGINT)"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, o_orderkey % 7 AS k, {_PAID} AS a FROM orders),
+z AS (SELECT * REPLACE (CASE WHEN k = 0 AND a < 10000 THEN a + 5000 ELSE a END AS a), k = 0 AND a < 10000 AS upper FROM x),
+y AS (SELECT *, k = 4 OR a >= 10000 AS ok FROM z)
+SELECT o_orderkey, CASE WHEN k = 5 OR NOT ok THEN NULL WHEN k = 1 THEN a // 1000 * 1000 WHEN k = 2 THEN NULL WHEN k = 4 THEN a % 200 + 10 ELSE a END AS low,
+CASE WHEN k = 5 OR NOT ok THEN NULL WHEN k = 0 AND NOT upper THEN a + 5000 WHEN k = 1 THEN a // 1000 * 1000 + 9000 WHEN k = 3 THEN NULL WHEN k = 4 THEN a % 200 + 10 ELSE a END AS high,
+CASE WHEN k = 5 OR NOT ok THEN NULL WHEN k = 1 THEN 'EUR' WHEN k = 6 THEN 'GBP' ELSE 'USD' END AS currency, CASE WHEN k = 5 OR NOT ok THEN NULL WHEN k = 4 THEN 'hour' ELSE 'year' END AS period FROM y""")
+def f5_salary(spark, sf_dir):
+    """Orders' prices as pay in prose: two forms of ranges, bounds, a rate an hour, a bonus, a figure with separators. Of a range
+    whose low end is too low for a year's pay, the high end may still be a figure."""
+    k, a = F.col("o_orderkey") % 7, F.floor("o_totalprice").cast("long")
+    t, text = lambda c: c.cast("string"), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    thousands = F.floor(a / 1000).cast("long")
+    said = F.when(k == 0, text("Base $", t(a), "-$", t(a + 5000), " and stock")).when(k == 1, text("Pays ", t(thousands), " - ", t(thousands + 9), "k EUR"))
+    said = said.when(k == 2, text("up to $", t(a))).when(k == 3, text("starting at $", t(a), ", more later")).when(k == 4, text("$", t(a % 200 + 10), "/hour"))
+    said = said.when(k == 5, text("Signing bonus: $", t(a))).otherwise(text("We pay £", F.format_number(a, 0), " flat"))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", extraction(said).alias("e"))
+    return found.select("o_orderkey", F.col("e.salary_min").alias("low"), F.col("e.salary_max").alias("high"), F.col("e.salary_currency").alias("currency"), F.col("e.salary_period").alias("period"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_sort(list_filter([CASE WHEN p_partkey & 1 > 0 THEN 'node.js' END, CASE WHEN p_partkey & 2 > 0 THEN 'react native' END, CASE WHEN p_partkey & 4 > 0 THEN 'go' END,
+CASE WHEN p_partkey & 8 > 0 THEN 'c++' END, CASE WHEN p_partkey & 16 > 0 THEN 'react' END, CASE WHEN p_partkey & 128 > 0 THEN 'rails' END, CASE WHEN p_partkey & 256 > 0 THEN 'ruby' END], lambda x: x IS NOT NULL)), ',') AS skills FROM part""")
+def f8_skills(spark, sf_dir):
+    """Terms by the bits of the key, among text that only looks like them."""
+    parts = ["NodeJS", "React Native", "Go", "C++", "React!", "we go on", "https://rust.example", "Ruby on Rails", "Ruby scripts", "R&D"]
+    said = F.concat_ws("; ", *[F.when(F.col("p_partkey").bitwiseAND(1 << i) > 0, F.lit(x)) for i, x in enumerate(parts)])
+    return _plain(table(spark, sf_dir, "part").select("p_partkey", extraction(said)["skills"].alias("skills")), "skills")
+
+
+_HEADED = {
+    "title": ["Senior Engineer", "Staff Developer", "Analyst", "Junior Designer & Intern", "Senior Engineer + Engineer"],
+    "place": ["Berlin", "Remote (US)", "Toronto (hybrid)", "Oslo, NO / Remote"],
+    "visa": ["visa support available", "no visa", "we travel a lot"],
+}
+_PICKED = lambda x, k, values: f"[{', '.join('NULL' if v is None else repr(v) for v in values)}][{k} % {len(values)} + 1] AS {x}"
+
+
+@query(f"""SELECT c_custkey, c_name AS company, {_PICKED('location', 'c_custkey', ['Berlin', 'US', 'Toronto', 'Oslo, NO'])}, {_PICKED('remote', 'c_custkey', [None, 'remote', 'hybrid', 'remote'])},
+{_PICKED('seniority', 'c_custkey', ['senior', 'staff+', None, 'junior', None])}, {_PICKED('visa', 'c_custkey', [True, False, None])}, {_PICKED('title', 'c_custkey', _HEADED['title'])} FROM customer""")
+def f17_header(spark, sf_dir):
+    """Customers as piped headers: company, title, place with its arrangement; a line on visas below."""
+    part = lambda name: F.get(F.array(*map(F.lit, _HEADED[name])), (F.col("c_custkey") % len(_HEADED[name])).cast("int"))
+    said = F.concat(F.concat_ws(" | ", "c_name", part("title"), part("place"), F.lit("Full-time")), F.lit("\n\n"), part("visa"))
+    found = table(spark, sf_dir, "customer").select("c_custkey", extraction(said).alias("e"))
+    return found.select("c_custkey", "e.company", "e.location", "e.remote", "e.seniority", F.col("e.visa_sponsor").alias("visa"), F.get("e.role_titles", F.lit(0)).alias("title"))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, text, array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D\\xA0]+')[1:3], ' ') AS w FROM conversations)
+SELECT conv_id, turn, CASE WHEN w = '' OR turn % 3 = 1 THEN NULL WHEN turn % 3 = 0 THEN w ELSE lower(w) END AS span FROM x""".replace("\\\\", "\\"))
+def f37_source_span(spark, sf_dir):
+    """The first words of a turn as they are and in small letters, and words that are not there."""
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D\\xA0]+"), 0), 1, 3), " ")
+    k = F.col("turn") % 3
+    value = F.when(k == 0, F.concat(F.lit(" "), words)).when(k == 1, "no such words").otherwise(F.lower(words))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.source_span(value, F.col("text")).alias("span"))
+
+
+@query(f"""WITH {p_sql()} SELECT comment_id, array_to_string(list_filter([CASE WHEN comment_id % 2 = 0 THEN 'company' END, CASE WHEN comment_id % 3 = 0 AND NOT ends_with(salary_min::VARCHAR, '000') THEN 'salary_min' END,
+CASE WHEN salary_max IS NOT NULL AND comment_id % 5 = 0 THEN 'salary_max' END], lambda x: x IS NOT NULL), ',') AS fields FROM p WHERE salary_min >= 10000""")
+def f38_ungrounded(spark, sf_dir):
+    """Orders as predictions of a sentence about them: names and figures that the sentence does not have."""
+    rows, k = postings(spark, sf_dir).where("salary_min >= 10000").withColumn("company", F.lit("Quillon")), F.col("comment_id")
+    low = F.when(k % 3 == 0, F.concat(F.floor(F.col("salary_min") / 1000).cast("string"), F.lit("k"))).otherwise(F.format_number("salary_min", 0))
+    high = F.when(k % 5 == 0, "more").otherwise(F.coalesce(F.format_number("salary_max", 0), F.lit("none")))
+    said = F.concat(F.when(k % 2 == 0, "someone").otherwise("QUILLON"), F.lit(" pays $"), low, F.lit(" to $"), high)
+    return _plain(rows.select("comment_id", C.ungrounded(F.struct("company", "location", "salary_min", "salary_max"), said).alias("fields")), "fields")
+
+
+@query("""SELECT l_returnflag AS config, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS steps, CAST(sum(l_linenumber % 3) AS BIGINT) AS model_calls, CAST(sum(l_linenumber % 4) AS BIGINT) AS tool_calls,
+CAST(sum(l_linenumber % 2) AS BIGINT) AS verify_failures, CAST(count_if(l_linenumber = 7) AS BIGINT) AS errors FROM lineitem GROUP BY 1""")
+def a31_trajectories(spark, sf_dir):
+    i = F.col("l_linenumber").cast("int")
+    trace = F.struct(i.alias("steps"), (i % 3).alias("model_calls"), F.array_repeat(F.lit("verify_claim"), i % 4).alias("tool_calls"), (i % 2).alias("verify_failures"), F.when(i == 7, "timeout").alias("error"))
+    return scoring.trajectories(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("config"), trace.alias("trace")), ["config"])
+
+
+@query("""SELECT CAST(o_orderdate AS VARCHAR)[1:10] AS ts, o_orderpriority AS config, 'dev' AS split, o_custkey AS n, round(o_totalprice / 612347, 4) AS company_precision, NULL::DOUBLE AS salary_precision,
+round(o_totalprice / 712349, 4) AS location_precision, round(o_totalprice / 812347, 4) AS skills_f1, o_totalprice AS p50_ms, o_totalprice * 2 AS p95_ms FROM orders""")
+def f44_frontier(spark, sf_dir):
+    pay = F.col("o_totalprice")
+    scores = F.struct((pay / 612347).alias("company_precision"), F.lit(None).cast("double").alias("salary_precision"), (pay / 712349).alias("location_precision"), (pay / 812347).alias("skills_f1"))
+    return scoring.frontier(table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("ts"), F.col("o_orderpriority").alias("config"), F.lit("dev").alias("split"), F.col("o_custkey").alias("n"), scores.alias("scores"), pay.alias("p50_ms"), (pay * 2).alias("p95_ms")))
+
+
+@query("SELECT o_orderkey, o_totalprice / 1000000 AS share, o_custkey AS n, o_totalprice / 2000000 AS low, o_totalprice / 900000 AS high FROM orders WHERE o_totalprice < 900000")
+def f42_checked(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where("o_totalprice < 900000")
+    pay = F.col("o_totalprice")
+    rows = rows.select("o_orderkey", (pay / 1000000).alias("share"), F.col("o_custkey").alias("n"), (pay / 2000000).alias("low"), (pay / 900000).alias("high"))
+    return scoring.checked(rows, ["share"], ["n"], [("low", "high")])
+
+
+@query("SELECT doc_id AS comment_id, quality FROM labels WHERE doc_id % 3 = 1")
+def s15_labelled_split(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("comment_id"), "quality", F.lit(True).alias("done"))
+    splits = labels.select("comment_id", F.when(F.col("comment_id") % 3 == 1, "held-out").otherwise("tune").alias("split"))
+    return logs.labelled(labels, splits, "held-out").select("comment_id", "quality")
+
+
+@query("""WITH d AS (SELECT doc_id, ["remote", "salary", "remote"] AS u FROM documents WHERE n_chars > 500 UNION ALL SELECT doc_id, ["skills"] FROM documents WHERE n_chars <= 500)
+SELECT field, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(u)) AS field FROM d) GROUP BY 1""".replace('"', "'"))
+def a25_uncertain_fields(spark, sf_dir):
+    marks = F.when(F.col("n_chars") > 500, F.array(*map(F.lit, ["remote", "salary", "remote"]))).otherwise(F.array(F.lit("skills")))
+    return logs.uncertain_fields(table(spark, sf_dir, "documents").select("doc_id", marks.alias("uncertain")))
+
+
+@query("SELECT doc_id AS comment_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def j11_to_recheck(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("comment_id"), F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")).alias("uncertain"))
+    return logs.to_recheck(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("comment_id"), "lang"), labels)
+
+
+@query("SELECT event_id, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Toronto', '%Y-%m-%d, %H:%M:%S') AS at FROM events")
+def f41_toronto_time(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.local_time(F.col("ts")).alias("at"))
+
+
+DRAWN, BOOSTED, GOAL = 60, "pipe", 25
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_STRATUM} AS stratum FROM documents), s AS (SELECT stratum, count(*) AS c FROM d GROUP BY 1),
+f AS (SELECT *, sum(c) OVER () AS total, greatest(2, {DRAWN} // (3 * count(*) OVER ())) AS floor, list_contains(string_split(stratum, '/'), '{BOOSTED}') AS held FROM s),
+a AS (SELECT *, least(c, greatest(floor, CAST(round_even({DRAWN} * c / total, 0) AS BIGINT))) AS t0 FROM f),
+b AS (SELECT *, CASE WHEN held THEN least(greatest({GOAL} - sum(t0) OVER (PARTITION BY held) - coalesce(sum(c - t0) OVER (PARTITION BY held ORDER BY c DESC, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), c - t0) ELSE 0 END + t0 AS t1 FROM a),
+g AS (SELECT *, {DRAWN} - sum(t1) OVER () AS short, c - t1 AS room, CASE WHEN held THEN 0 ELSE greatest(t1 - floor, 0) END AS spare FROM b),
+h AS (SELECT *, t1 + least(greatest(short - coalesce(sum(room) OVER (ORDER BY c DESC, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), room)
+  - least(greatest(-short - coalesce(sum(spare) OVER (ORDER BY c, stratum DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), spare) AS wanted FROM g),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY stratum ORDER BY md5('20260801:' || doc_id), doc_id) AS r FROM d)
+SELECT doc_id, stratum FROM r JOIN h USING (stratum) WHERE r <= wanted""")
+def a29_draw(spark, sf_dir):
+    """A stratified sample: proportional, a floor for each stratum, piped posts brought up to a number."""
+    return sampling.draw(_strata(spark, sf_dir), DRAWN, "doc_id", oversample={BOOSTED: GOAL}).select("doc_id", "stratum")

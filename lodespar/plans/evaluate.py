@@ -6,7 +6,6 @@ import datetime as dt
 import hashlib
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from lodespar.functions import skills as S
 from lodespar.functions.text import slice_name
 from lodespar.operators import scoring
 from lodespar.plans.rungs import SYSTEM, predictor
+from lodespar.session import kept
 
 
 def with_labels(posts: DataFrame, labels: DataFrame, skip_missing: bool = False) -> tuple[DataFrame, list[str]]:
@@ -34,25 +34,23 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 
 def predicted(pairs: DataFrame, config: str, client: Callable | None = None) -> DataFrame:
-    """Judged rows of a config. Predictions are made once and kept, as every report reads them."""
+    """Judged rows of a config. Predictions are made once and written to the shared folder, as every report reads them
+    and answers of a model are paid for."""
     rows = normalised(predictor(config, client)(pairs)).withColumn("config", F.lit(config)).withColumn("slice", slice_name(F.col("text")))
-    return scoring.judged(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    return kept(scoring.judged(rows), "predicted")
 
 
 def run(pairs: DataFrame, config: str, split: str | None = None, client: Callable | None = None, source: str = "labels") -> dict:
     """One run's record: scores, slices and latencies, ready for the run log."""
     rows, now = predicted(pairs, config, client), dt.datetime.now(dt.UTC)
-    try:
-        wide = scoring.scores(rows).first().asDict()
-        slices = {r["slice"]: {"n": r["n"], "skills_f1": round(r["skills_f1"], 4)} for r in scoring.scores(rows, ["slice"]).collect()}
-        times = scoring.latencies(rows.select(F.col("trace.latency_ms").alias("ms")), "ms").first()
-        return {
-            "run_id": f"{config}-{now:%Y%m%dT%H%M%S}", "ts": now.isoformat(), "config": config, "split": split or "all", "labels_from": source,
-            "prompt_sha": hashlib.sha256(("" if config == "rules" else SYSTEM).encode()).hexdigest()[:8],
-            "n": wide["n"], "scores": wide, "slices": slices, "p50_ms": times["p50"] if times else None, "p95_ms": times["p95"] if times else None,
-        }
-    finally:
-        rows.unpersist()
+    wide = scoring.scores(rows).first().asDict()
+    slices = {r["slice"]: {"n": r["n"], "skills_f1": round(r["skills_f1"], 4)} for r in scoring.scores(rows, ["slice"]).collect()}
+    times = scoring.latencies(rows.select(F.col("trace.latency_ms").alias("ms")), "ms").first()
+    return {
+        "run_id": f"{config}-{now:%Y%m%dT%H%M%S}", "ts": now.isoformat(), "config": config, "split": split or "all", "labels_from": source,
+        "prompt_sha": hashlib.sha256(("" if config == "rules" else SYSTEM).encode()).hexdigest()[:8],
+        "n": wide["n"], "scores": wide, "slices": slices, "p50_ms": times["p50"] if times else None, "p95_ms": times["p95"] if times else None,
+    }
 
 
 def ladder(pairs: DataFrame, clients: dict[str, Callable], rates: dict[str, float], split: str = "dev") -> tuple[list[dict], DataFrame]:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +40,22 @@ def session(name: str = "lodespar", **settings: str) -> SparkSession:
     return reachable(builder.getOrCreate())
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df``, computed once and written to the folder that the cluster names in ``spark.checkpoint.dir``, so that no
+    lost executor takes it along. Only a local session may do without that setting, in a temporary folder."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        base = f"file://{tempfile.mkdtemp(prefix='lodespar-')}"
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/lodespar/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def reset() -> None:
     """Stop it, so that the next call starts anew."""
     active = SparkSession.getActiveSession()

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodespar.functions.vocabulary import PERIODS, REMOTE, SENIORITY
 from lodespar.sources.schemas import COUNTED, HISTORY, LABEL, parsed
 
 
@@ -30,6 +31,24 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(parsed(LABEL)).json(path)
 
 
+def checked_labels(df: DataFrame, strict: bool = True) -> DataFrame:
+    """Labels with an id, a done mark and values that their fields allow; others raise, or go if not ``strict``."""
+    rules = {
+        "comment_id": F.col("comment_id").cast("string").rlike(r"^\d+$"),
+        "done": F.col("done").isNotNull(),
+        "remote": F.col("remote").isNull() | F.col("remote").isin(*REMOTE),
+        "seniority": F.col("seniority").isNull() | F.col("seniority").isin(*SENIORITY),
+        "salary_period": F.col("salary_period").isNull() | F.col("salary_period").isin(*PERIODS),
+        "salary_min": F.col("salary_min").isNull() | (F.col("salary_min") >= 0),
+        "salary_max": F.col("salary_max").isNull() | (F.col("salary_max") >= F.coalesce("salary_min", F.lit(0))),
+    }
+    for name, ok in rules.items():
+        if name in df.columns:
+            ok = F.coalesce(ok, F.lit(False))
+            df = df.where(ok if not strict else F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit(f"bad {name} in label "), F.coalesce(F.col("comment_id").cast("string"), F.lit("?")))).cast("boolean")))
+    return df
+
+
 def done(df: DataFrame) -> DataFrame:
     return df.where(F.col("done"))
 
@@ -71,14 +90,28 @@ def remaining(sample: DataFrame, complete: DataFrame, key: str = "comment_id") -
     return sample.join(complete, key, "left_anti")
 
 
+def covered(sample: DataFrame, ids: DataFrame, key: str = "comment_id") -> DataFrame:
+    return sample.join(ids, key, "left_semi")
+
+
 def drafts_to_review(sample: DataFrame, drafts: DataFrame, complete: DataFrame, key: str = "comment_id") -> DataFrame:
-    return sample.join(drafts, key, "left_semi").join(complete, key, "left_anti")
+    return remaining(covered(sample, drafts, key), complete, key)
 
 
 def uncertain(df: DataFrame) -> DataFrame:
     return df.where(F.size("uncertain") > 0)
 
 
+def to_recheck(sample: DataFrame, complete: DataFrame, key: str = "comment_id") -> DataFrame:
+    """Rows of the sample whose finished labels leave a field uncertain."""
+    return covered(sample, uncertain(complete), key)
+
+
+def uncertain_fields(df: DataFrame) -> DataFrame:
+    """field, n: in how many labels each field is marked uncertain."""
+    return df.select(F.explode(F.array_distinct("uncertain")).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+
+
 def progress(sample: DataFrame, complete: DataFrame) -> DataFrame:
     """stratum, total, done."""
     marked = sample.join(complete.select("comment_id").distinct().withColumn("_done", F.lit(True)), "comment_id", "left")
@@ -145,7 +178,23 @@ def spliced(body: str, block: str, start: str = "<!-- tally:start -->", end: str
     return f"{body.rstrip()}\n\n{start}\n{block}\n{end}\n"
 
 
-def write_json(rows: list[dict], path: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small driver-side text, by the file system of its path, so that any node can read it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_json(spark: SparkSession, rows: list[dict] | dict, path: str) -> None:
     """A small driver-side result, such as a benchmark's."""
-    with open(path, "w") as f:
-        json.dump(rows, f, indent=2)
+    write_text(spark, path, json.dumps(rows, indent=2, default=str))
+
+
+def write_sample(sample: DataFrame, path: str, seed: int, rule: str, strata: dict[str, int]) -> None:
+    """A drawn sample with how it was drawn: seed, size, allocation rule and what each stratum gave. Samples are
+    what people label: a few hundred rows."""
+    rows = [r.asDict(recursive=True) for r in sample.collect()]
+    write_json(sample.sparkSession, {"seed": seed, "n": len(rows), "rule": rule, "strata": strata, "posts": rows}, path)

@@ -12,13 +12,13 @@ import time
 import urllib.parse
 import urllib.request
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodespar.functions.text import thread_date
 from lodespar.functions.vocabulary import MONTHS
+from lodespar.sources.logs import exists, write_text
 from lodespar.sources.schemas import THREAD
 
 TIMEOUT, RETRIES, PAGE, PAUSE = 30.0, 3, 100, 0.3
@@ -63,14 +63,13 @@ def title_month(title: str | None) -> str | None:
     return f"{int(m[2]):04d}-{MONTHS.index(m[1].lower()) + 1:02d}-01" if m and m[1].lower() in MONTHS else None
 
 
-def land(get: Get, folder: str, thread_id: str, title: str | None = None, created: str | None = None, pause: float = PAUSE) -> int:
+def land(spark: SparkSession, get: Get, folder: str, thread_id: str, title: str | None = None, created: str | None = None, pause: float = PAUSE) -> int:
     """Write a thread once; how many comments were new (0 if the thread is there already)."""
-    path = Path(folder) / f"{thread_id}.json"
-    if path.exists():
+    path = f"{folder}/{thread_id}.json"
+    if exists(spark, path):
         return 0
     comments = top_level_comments(get, thread_id, pause)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps({"thread_id": str(thread_id), "title": title, "created_at": created, "thread_date": title_month(title), "comments": comments}))
+    write_text(spark, path, json.dumps({"thread_id": str(thread_id), "title": title, "created_at": created, "thread_date": title_month(title), "comments": comments}))
     return len(comments)
 
 
@@ -108,6 +107,12 @@ def top_level(df: DataFrame, parent: str = "parent_id", thread: str = "thread_id
     return df.where(F.col(parent).cast("string") == F.col(thread).cast("string"))
 
 
+def example(df: DataFrame, wanted: int | str, key: str = "objectID", **expected) -> dict | None:
+    """The one row of an id as a dict, if its columns are as expected; None if it is missing, repeated or differs."""
+    rows = [r.asDict() for r in df.where(F.col(key) == F.lit(wanted)).limit(2).collect()]
+    return rows[0] if len(rows) == 1 and all(rows[0].get(c) == v for c, v in expected.items()) else None
+
+
 def first_posts(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("position") < n)
 
@@ -122,10 +127,14 @@ def by_id(df: DataFrame, ids: list, key: str = "objectID") -> DataFrame:
 
 
 def lookup(df: DataFrame, ids: list, key: str) -> DataFrame:
-    """One row for each id asked for (``position``, ``found``); the last of rows with equal ids wins."""
+    """One row for each id asked for (``position``, ``found``); the last of rows with equal ids, in the order of the
+    scan, wins."""
     spark = df.sparkSession
     wanted = spark.createDataFrame(list(enumerate(ids)), f"position int, {key} {df.schema[key].dataType.simpleString()}")
-    rows = df.drop("position").join(F.broadcast(wanted.select(key).distinct()), key, "left_semi")
+    placed = df.drop("position").withColumn("_at", F.monotonically_increasing_id())
+    rows = placed.join(F.broadcast(wanted.select(key).distinct()), key, "left_semi")  # as many as the request names
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "_at")]), "_at")
+    rows = rows.groupBy(key).agg(last.alias("_last")).select(key, "_last.*")
     return wanted.join(rows.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodespar.functions import claims as C
+from lodespar.functions import skills as S
+from lodespar.functions import text as T
 from lodespar.plans import evaluate, ingest, rungs
 from lodespar.sources import logs, postings, threads
 from lodespar.streaming import landing
@@ -58,12 +60,12 @@ def test_threads(spark, folder, tmp_path):
         threads.threads(spark, str(tmp_path))
 
 
-def test_landing_is_write_once(tmp_path):
+def test_landing_is_write_once(spark, tmp_path):
     pages = [{"nbPages": 2, "hits": [{"parent_id": 7, "objectID": "1"}, {"parent_id": 1, "objectID": "2"}]}, {"nbPages": 2, "hits": [{"parent_id": "7", "objectID": "3"}]}]
     get = lambda path, params: pages[params["page"]] if path == "/search" else {"hits": [{"title": "Freelancer?"}, {"title": "Who is Hiring? (May 2026)"}]}
     assert len(threads.hiring_threads(get, "someone", 3)) == 1
-    assert threads.land(get, str(tmp_path), "7", "Who is hiring? (May 2026)", pause=0) == 2
-    assert threads.land(get, str(tmp_path), "7", pause=0) == 0
+    assert threads.land(spark, get, str(tmp_path), "7", "Who is hiring? (May 2026)", pause=0) == 2
+    assert threads.land(spark, get, str(tmp_path), "7", pause=0) == 0
     assert json.loads((tmp_path / "7.json").read_text())["thread_date"] == "2026-05-01"
 
 
@@ -168,29 +170,93 @@ def test_ladder(pairs):
 
 
 def test_claims(spark):
-    rows = [{"salary_min": 180000, "salary_max": 230000, "skills": ["Python"]}]
-    check = lambda s, **k: {(kind, t): ok for kind, t, ok, _ in C.check_summary(s, rows, **k)}
-    assert check("1 role at $180,000 or $230k in Python") == {("money", "$180,000 "): True, ("money", "$230k"): True, ("number", "1"): True, ("skill", "python"): True}
-    assert check("$200k, 7 roles, Rust") == {("money", "$200k"): False, ("number", "7"): False, ("skill", "rust"): False}
-    assert check("about 2 roles")["number", "2"] and not check("2 roles")["number", "2"]
-    df = spark.createDataFrame([(1, "1 role, $5", [(180000, 230000, ["Python"])]), (2, "1 role", [(1, 2, [])])], "id int, summary string, rows array<struct<salary_min: long, salary_max: long, skills: array<string>>>")
-    found = C.claims(df, "summary", "rows")
-    assert {r.id: (r.grounded, r.n_ungrounded) for r in C.summary_grounded(found, ["id"]).collect()} == {1: (False, 1), 2: (True, 0)}
+    rows = [(61_000, 74_500, ["Kafka", "golang"]), (88_000, None, None)]
+    said = {
+        1: ("2 roles from £61,000 to £74,500, one with Kafka", [("money", "£61,000 ", True), ("money", "£74,500, ", True), ("number", "2", True), ("skill", "kafka", True)]),
+        2: ("88%? No: $88k, or $9k, for 5 people in Rust", [("money", "$88k", True), ("money", "$9k", False), ("number", "5", False), ("skill", "rust", False)]),
+        3: ("roughly 3 roles, over 12,000 others", [("number", "3", True), ("number", "12,000", False)]),
+        4: ("3 roles of 61 a day", [("number", "3", False), ("number", "61", True)]),
+        5: ("Go and golang", [("skill", "golang", True), ("skill", "go", True)]),
+        6: ("", []),
+        7: (None, []),
+    }
+    kind = "id int, summary string, rows array<struct<salary_min: long, salary_max: long, skills: array<string>>>, allowed array<int>, text string"
+    df = spark.createDataFrame([(i, t, rows, None, "own") for i, (t, _) in said.items()] + [(8, "7 of them, 2 more", rows, [7, 9], "own"), (9, "1 role", None, [], "own"), (10, "0 roles", None, None, "own")], kind)
+    found = {}
+    for r in C.claims(df.drop("text"), "summary", "rows", "allowed").collect():
+        found.setdefault(r.id, []).append((r.kind, r.text, r.grounded))
+        assert bool(r.reason) is not r.grounded
+    want = {i: x for i, (_, x) in said.items() if x} | {8: [("number", "7", True), ("number", "2", False)], 9: [("number", "1", False)], 10: [("number", "0", True)]}
+    assert {i: sorted(x) for i, x in found.items()} == {i: sorted(x) for i, x in want.items()}
+    every = C.claims(df.drop("text"), "summary", "rows")
+    sums = {r.id: (r.grounded, r.n_ungrounded) for r in C.summary_grounded(every, ["id"]).collect()}
+    assert sums[1] == (True, 0) and sums[2] == (False, 3)
+    assert {r.id for r in C.ungrounded_claims(every).collect()} == {i for i, (ok, _) in sums.items() if not ok}
     with pytest.raises(Exception, match="ungrounded"):
-        C.require_grounded(found).collect()
+        C.require_grounded(every).collect()
 
 
 def test_verification(spark):
-    df = spark.createDataFrame([("180000", "$180,000"), ("180000", "180k"), ("Acme", "at ACME"), ("7", "17"), ("", "x"), (None, "x"), ("Rust", "trust")], "v string, t string")
-    assert [r.x for r in df.select(C.verify_claim(F.col("v"), F.col("t"))["grounded"].alias("x")).collect()] == [True, True, True, True, True, True, True]
-    spans = spark.createDataFrame([("Meta", "the metaverse"), ("ｍeta ", "At META  now"), ("New  York", "in new york.")], "v string, t string")
-    assert [r.x for r in spans.select(C.source_span("v", "t").alias("x")).collect()] == [None, "ｍeta", "New  York"]
-
-
-def test_roles_and_candidates():
-    text = "Two positions:\n1. Backend Engineer building services in Go and more\n2. Data Scientist working on models and pipelines"
-    assert len(C.split_roles(text)) == 2 and C.split_roles("1. five years\n2. a degree") == ["1. five years\n2. a degree"]
-    assert [c["match"] for c in C.salary_candidates("raised $5M, pays $100k-$120k")] == ["$100k-$120k", "$5", "$120k"]
+    cases = [("95000", "£95,000", True), ("95000", "95K base", True), ("Quillon", "by QUILLON", True), ("7", "17", True), ("12", "9,1 23", True), ("95000", "96k", False), ("41", "4 of 2", False), ("", "x", True), (None, "x", True)]
+    df = spark.createDataFrame([c[:2] for c in cases], "v string, t string")
+    assert [r.x for r in df.select(C.verify_claim(F.col("v"), F.col("t"))["grounded"].alias("x")).collect()] == [ok for *_, ok in cases]
+    assert [C.is_grounded(v, t) for v, t, _ in cases] == [ok for *_, ok in cases]
+    spans = spark.createDataFrame([("Oslo", "the Oslofjord"), ("ｏslo ", "At OSLO  now"), ("Rio  Verde", "in rio verde.")], "v string, t string")
+    assert [r.x for r in spans.select(C.source_span("v", "t").alias("x")).collect()] == [None, "ｏslo", "Rio  Verde"]
+
+
+def test_roles_and_candidates(spark):
+    two = "We have two:\n1) Platform engineer who keeps our many clusters alive\n2) Product designer for maps, charts and other pictures"
+    texts = [two, "1. three years\n2. some patience", "no list at all", "", "Role 1: Researcher of weather models and their errors\n\nrole 2 - Manager of researchers, with a love of spreadsheets"]
+    assert [len(C.split_roles(t)) for t in texts] == [2, 1, 1, 1, 2] and C.split_roles(texts[1]) == [texts[1]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.x for r in df.select("i", C.roles(F.col("t")).alias("x")).orderBy("i").collect()] == [C.split_roles(t) for t in texts]
+    assert [c["match"] for c in C.salary_candidates("raised £3M, pays $66k-$72k")] == ["$66k-$72k", "£3", "$72k"]
+    assert C.salary_candidates("x" * 60 + "\n€50k") == [{"match": "€50k", "context": "x" * 44 + " €50k"}]
+
+
+def test_skill_names(spark):
+    terms = ["K8s", " py ", "cobol", "", None]
+    df = spark.createDataFrame([(t,) for t in terms], "t string")
+    for t, r in zip(terms, df.select(S.canonical_skill(F.col("t")).alias("s")).collect()):
+        assert {k: v for k, v in r.s.asDict().items() if k != "reason" or v} == S.canonical_local(t)
+
+
+def test_text_functions(spark):
+    pages = ["<p>Caf&eacute; &amp;amp; bar&#8217;s &#x1F600;<br>x &notit; &copy", " &lt;b&gt; ", None, ""]
+    df = spark.createDataFrame([(p,) for p in pages], "h string")
+    assert [r.x for r in df.select(T.html_to_text(F.col("h")).alias("x")).collect()] == ["Café &amp; bar’s 😀x ¬it; ©", "<b>", "", ""]
+    pairs = [("night", "nacht", 0.25), ("aaaa", "aaa", 0.8), ("ab ab", "ab", 2 / 5), ("a", "b", 0.0), ("Same ", "same", 1.0), ("abcabc", "bcbc", 2 * 2 / 8)]
+    df = spark.createDataFrame(pairs, "a string, b string, x double")
+    assert all(abs(r.y - r.x) < 1e-12 for r in df.select("x", T.dice(F.col("a"), F.col("b")).alias("y")).collect())
+    at = spark.createDataFrame([("2026-07-01 02:30:05",)], "t string").select(T.local_time(F.col("t")).alias("x"), T.share_text(F.lit(1), F.lit(8)).alias("s"), T.share_text(F.lit(1), F.lit(0)).alias("n")).first()
+    assert tuple(at) == ("2026-06-30, 22:30:05", "12.5%", "—")
+
+
+def test_last_row_of_an_id_wins(spark, tmp_path):
+    for i, v in enumerate(("old", "new")):
+        spark.createDataFrame([(1, v), (2 + i, v)], "k int, v string").coalesce(1).write.json(f"{tmp_path}/{i}")
+    df = spark.createDataFrame([(1, "old"), (2, "x"), (1, "new")], "k int, v string").coalesce(1)
+    assert [(r.k, r.v) for r in threads.by_id(df, [2, 1, 2], "k").collect()] == [(2, "x"), (1, "new"), (2, "x")]
+    assert threads.example(df, 2, "k", v="x") == {"k": 2, "v": "x"}
+    assert threads.example(df, 2, "k", v="y") is threads.example(df, 1, "k") is threads.example(df, 9, "k") is None
+
+
+def test_label_checks_and_samples(spark, tmp_path):
+    row = dict(comment_id="4", done=True, remote="onsite", seniority=None, salary_period="year", salary_min=5, salary_max=9, uncertain=["salary", "salary", "remote"])
+    frame = lambda *rows: spark.createDataFrame([{**row, **r} for r in rows], "comment_id string, done boolean, remote string, seniority string, salary_period string, salary_min long, salary_max long, uncertain array<string>")
+    good, bad = frame({}, {"comment_id": "5", "uncertain": []}), [{"remote": "sometimes"}, {"done": None}, {"comment_id": "x"}, {"salary_max": 4}, {"seniority": "boss"}, {"salary_period": "week"}]
+    assert logs.checked_labels(good).count() == 2
+    for b in bad:
+        with pytest.raises(Exception, match="bad "):
+            logs.checked_labels(frame(b)).collect()
+        assert logs.checked_labels(frame(b, {}), strict=False).count() == 1
+    assert {r.field: r.n for r in logs.uncertain_fields(good).collect()} == {"salary": 1, "remote": 1}
+    sample = spark.createDataFrame([("4", "a"), ("5", "b"), ("6", "b")], "comment_id string, stratum string")
+    assert [r.comment_id for r in logs.to_recheck(sample, good).collect()] == ["4"]
+    logs.write_sample(sample, f"{tmp_path}/s/sample.json", 7, "proportional", {"a": 1, "b": 2})
+    written = json.loads((tmp_path / "s/sample.json").read_text())
+    assert (written["seed"], written["n"], written["strata"]) == (7, 3, {"a": 1, "b": 2}) and written["posts"][0] == {"comment_id": "4", "stratum": "a"}
 
 
 def test_streaming_postings(spark, folder, tmp_path):

@@ -11,8 +11,16 @@ however common some are) and answers each document with the hashes it must remov
 documents. Answers are as many as there are removed windows. Texts meet their answers in one join, as
 zstd frames.
 
-Nulls: a null text has no words. A row without doc_id counts as the last document. Rows of equal
-doc_id are one document: neither removes words of the other. Other columns are ignored.
+Windows are told apart by 64-bit hashes alone. Among 1.5e13 windows (100 TB) some six million pairs of unlike
+ones share a hash, each a window removed by mistake; hashes twice as long would double what is shuffled. The
+hashes are counted by sorting in the workers: as rows of Spark each would be 16 bytes of payload for a word of
+six, with a row's overhead, more than the disk this operator may use.
+
+Nulls: a null text has no words. Rows without doc_id are one document, the last; they are told apart by a hash
+of their texts only to be spread over tasks. Rows of equal doc_id are one document: neither removes words of
+the other; repeated rows lose the same words. Very long texts are hashed and cut whole. An empty table gives an
+empty result. Other columns, whatever their names, are ignored by ``removal_digests`` and kept by
+``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._grouped import borders, over_runs
@@ -33,7 +41,8 @@ WINDOW = 13
 #: Bytes of text for a hash range and for a bucket of answered documents, and windows that a task holds
 #: before it sends them.
 RANGE_BYTES, BUCKET_BYTES, HELD = 6 << 20, 8 << 20, 1 << 20
-LAST = (1 << 63) - 1
+#: Documents without id have keys from here on; real ids are below.
+NO_ID, SPREAD = (1 << 63) - (1 << 21), 1 << 20
 _CODEC = pa.Codec("zstd", compression_level=3)
 
 
@@ -63,7 +72,8 @@ def _ask(ranges: int, buckets: int, window: int):
     def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         h, doc = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
         held.clear()
-        # By hash, then document: the first of each hash is asked about, the others are repeats.
+        # By hash, then document: the first of each hash is asked about, the others are repeats. Documents without
+        # id are no repeats of each other; all of them are asked about if they are the first.
         order = np.argsort(h)
         h, doc = h[order], doc[order]
         same = h[1:] == h[:-1]
@@ -74,7 +84,10 @@ def _ask(ranges: int, buckets: int, window: int):
         doc[some] = doc[some][np.lexsort((doc[some], h[some]))]
         first = np.append(True, ~same)
         new = np.append(True, ~same | (doc[1:] != doc[:-1]))
-        late = np.flatnonzero(new & ~first)
+        rank = np.minimum(doc, NO_ID)
+        starts = np.flatnonzero(first)
+        repeat = rank > np.repeat(rank[starts], np.diff(np.append(starts, len(h))))
+        late, first = np.flatnonzero(new & repeat), new & ~repeat
         if len(late):
             yield _answers(h[late], doc[late], buckets, int(h[late[0]] >> U(32)) % ranges)
         h, doc = h[first], doc[first]
@@ -86,7 +99,7 @@ def _ask(ranges: int, buckets: int, window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids = batch.column(0).fill_null(LAST).to_numpy()
+            ids = batch.column(0).to_numpy()
             for i, j, data, offsets in slices(texts(batch.column(1))):
                 words = Words(data, offsets)
                 h, _, per = windows(words.hashes(), words.first, window)
@@ -142,7 +155,7 @@ def _count(buckets: int):
         h, doc = h[order], doc[order]
         starts = borders(h)[:-1]
         least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
-        late = doc > least
+        late = np.minimum(doc, NO_ID) > np.minimum(least, NO_ID)
         found = _answers(h[late], doc[late], buckets)
         return pa.Table.from_batches([*known.to_batches(), found]).combine_chunks().to_batches()[0] if len(known) else found
 
@@ -196,11 +209,15 @@ def _remove(window: int, digest: bool):
     return work
 
 
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(F.col("text").cast("binary")), F.lit(SPREAD)))
+
+
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, gone): for each document with windows to remove, their hashes."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges, buckets = max(1, -(-size // RANGE_BYTES)), max(1, -(-size // BUCKET_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(_key().alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = "part long, bucket long, blob binary"
     answers = over_runs(rows.mapInArrow(bounded(_ask(ranges, buckets, window)), schema), "part", [], _count(buckets), schema)
     return over_runs(answers, "bucket", [], _gather, "doc long, gone binary")
@@ -222,7 +239,7 @@ def _whole(text: pa.Scalar) -> bytes | None:
 def _joined(docs: DataFrame, columns: list[str], window: int) -> DataFrame:
     """The columns, binary ``text`` squeezed, and ``gone`` of each row."""
     gone = materialize(repeated(docs, window), "sub-gone")
-    rows = docs.select(*columns, F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_key"))
+    rows = docs.select(*columns, F.col("text").cast("binary").alias("text"), _key().alias("_key"))
     return rows.mapInArrow(bounded(_squeeze), rows.schema).join(gone.withColumnRenamed("doc", "_key"), "_key", "left").drop("_key")
 
 

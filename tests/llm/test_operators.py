@@ -202,6 +202,18 @@ def test_removed_windows_in_small_runs(docs, monkeypatch):
     assert got == brute.removals(DOCS)
 
 
+def test_removed_windows_of_rows_without_id(spark, monkeypatch):
+    """They are the last document, wherever their rows lie: earlier documents cut them, they do not cut each other."""
+    passage, own = prose(30), prose(40)
+    rows = [(None, f"{own} {passage}"), (None, f"{passage} {own}"), (None, f"{own} {passage}"), (3, passage), (3, f"{passage} x"), (None, None)] + [(None, f"{own} {i}") for i in range(40)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _key int").repartition(7, "_key")
+    for held in (substrings.HELD, 50):
+        monkeypatch.setattr(substrings, "HELD", held)
+        got = substrings.remove_repeats(df).collect()
+        left = {r._key: r.text for r in got}
+        assert left == {i: own if i in (0, 1, 2) else t for i, (_, t) in enumerate(rows)}
+
+
 def test_remove_repeats_keeps_columns_and_untouched_texts(docs):
     out = substrings.remove_repeats(docs)
     assert out.columns == docs.columns

@@ -7,9 +7,21 @@ the next stage's documents; all but the last return the columns of ``documents``
 2. near_dedup: of each group of near-duplicates, the document of least id stays.
 3. substring_dedup: word windows that an earlier document has are cut out.
 4. mix: sources are brought to their target weights; documents are dropped or repeated.
-5. pack: documents become token pieces in sequences of 4096.
+5. pack: documents become token pieces in sequences of 4096; a row for each piece, with its token ids.
 
 Stages drop the scratch tables of the stage before, whose result has been written by then.
+
+Rows decide for themselves: one of two rows with the same doc_id may go while the other, with another text, stays.
+
+- Nulls: a null text is an empty one. Rows without doc_id are near-duplicates of nothing; in stage 3 they come
+  last, so earlier documents cut them; a null source is a source of its own.
+- Blank texts have no windows and no words: 1 scores them, 2 and 3 let them pass, 4 keeps them once, 5 packs
+  one end token for each.
+- Rows equal in doc_id and text are one document to 2 (one stays) and to 4 (written as often as the mixture takes
+  them together); 3 cuts them alike. What 4 repeats, 5 packs with a ``row`` of its own.
+- Ties: 2 keeps the least text hash among rows of one doc_id; 4 and 5 order by seeded hashes.
+- Very long texts are scored, compared, cut and tokenised whole; 5 cuts them into pieces of 4096 tokens.
+- An empty table gives empty tables all along. Other columns, whatever their names, stay until 5.
 """
 
 from __future__ import annotations

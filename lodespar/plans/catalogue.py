@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from lodespar.functions import claims as C
 from lodespar.functions import skills as S
 from lodespar.functions import text as T
-from lodespar.functions.extraction import extraction, is_confident
+from lodespar.functions.extraction import extraction, is_confident, normalized
 from lodespar.functions.vocabulary import DISPLAY, SYNONYMS
 from lodespar.operators import sampling, scoring, serve
-from lodespar.session import spread
+from lodespar.session import new_path, spread
 from lodespar.sources import logs, threads
+from lodespar.sources import postings as stored
+from lodespar.sources.schemas import POSTING, parsed
 
 FLAGSHIP = "a4_trends_share"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -792,3 +794,129 @@ SELECT doc_id, stratum FROM r JOIN h USING (stratum) WHERE r <= wanted""")
 def a29_draw(spark, sf_dir):
     """A stratified sample: proportional, a floor for each stratum, piped posts brought up to a number."""
     return sampling.draw(_strata(spark, sf_dir), DRAWN, "doc_id", oversample={BOOSTED: GOAL}).select("doc_id", "stratum")
+
+
+# Sources and sinks: what is written to the shared folder and read again.
+
+
+def _new_folder(spark: SparkSession, label: str) -> str:
+    return new_path(spark, f"query-{label}")
+
+
+def _threads_of(spark: SparkSession, sf_dir: str, label: str) -> str:
+    """Conversations landed as raw threads: a JSON file each, turns as comments, every fifth comment a reply."""
+    turns = table(spark, sf_dir, "conversations")
+    comment = F.struct(
+        F.concat_ws("-", "conv_id", "turn").alias("objectID"), F.col("role").alias("author"), F.concat(F.lit("<p>"), "text").alias("comment_text"),
+        F.when(F.col("turn") % 5 == 4, F.lit(-1)).otherwise(F.col("conv_id")).cast("long").alias("parent_id"), F.col("conv_id").cast("long").alias("story_id"), F.lit("2026-07-01").alias("created_at"),
+    )
+    month = F.get(F.array(*[F.lit(m) for m in ("May 2026", "June 2026", "July 2026")]), (F.col("conv_id") % 3).cast("int"))
+    title = F.when(F.col("conv_id") % 4 == 0, "Freelancers?").otherwise(F.concat(F.lit("Who is hiring? ("), month, F.lit(")")))
+    nested = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", comment.alias("c")))).alias("c"))
+    raw = nested.select(F.col("conv_id").cast("string").alias("thread_id"), title.alias("title"), F.lit("2026-07-01").alias("created_at"), F.lit(None).cast("string").alias("thread_date"), F.col("c.c").alias("comments"))
+    folder = _new_folder(spark, label)
+    raw.write.option("maxRecordsPerFile", 1).json(folder)  # a file holds one thread
+    return folder
+
+
+_THREADS = "h AS (SELECT conv_id, turn, role, text, conv_id % 4 <> 0 AS hiring, ['2026-05-01', '2026-06-01', '2026-07-01'][conv_id % 3 + 1] AS date FROM conversations)"
+
+
+@query(f"WITH {_THREADS} SELECT CAST(conv_id AS VARCHAR) AS thread_id, date AS thread_date, count(*) AS n FROM h WHERE hiring AND turn % 5 <> 4 GROUP BY 1, 2")
+def s5_landed_threads(spark, sf_dir):
+    """Threads scanned from JSON, hiring ones by title, dated by it, their top-level comments counted."""
+    found = threads.hiring(threads.dated(threads.threads(spark, _threads_of(spark, sf_dir, "threads"))))
+    return threads.top_level(threads.posts(found)).groupBy("thread_id", "thread_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_THREADS} SELECT DISTINCT CAST(conv_id AS VARCHAR) AS thread_id FROM h WHERE hiring AND date = (SELECT max(date) FROM h WHERE hiring)")
+def s6_latest_threads(spark, sf_dir):
+    found = threads.hiring(threads.dated(threads.threads(spark, _threads_of(spark, sf_dir, "threads"))))
+    return threads.latest(found).select("thread_id")
+
+
+@query(f"WITH {_THREADS} SELECT conv_id || '-' || turn AS id, md5(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS hash FROM h WHERE hiring AND date = '2026-06-01'")
+def p8_posts_of_month(spark, sf_dir):
+    found = threads.hiring(threads.dated(threads.threads(spark, _threads_of(spark, sf_dir, "threads"))))
+    return threads.posts(found, "2026-06-01").select(F.col("objectID").alias("id"), F.md5(T.html_to_text(F.col("comment_text"))).alias("hash"))
+
+
+@query("SELECT o_orderkey AS comment_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Kubernetes,Python' ELSE 'Go' END AS skills, strftime(o_orderdate, '%Y') || '-01' AS thread_month FROM orders WHERE strftime(o_orderdate, '%Y') = '1996'")
+def s9_postings_table(spark, sf_dir):
+    """Orders written as a partitioned table of postings, one month read back by SQL with a parameter."""
+    orders = table(spark, sf_dir, "orders")
+    kinds = {f.name: f.dataType for f in parsed(POSTING)}
+    known = {"comment_id": F.col("o_orderkey"), "thread_date": F.to_date(F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-01-01"))), "extracted_by": F.lit("rules"), "skills": F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("python"), F.lit("k8s"))).otherwise(F.array(F.lit("golang"))), "role_titles": F.array().cast("array<string>")}
+    rows = orders.select(*[known.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items() if c != "thread_month"])
+    folder = _new_folder(spark, "postings")
+    stored.write(rows, folder)
+    stored.read(spark, folder, "stored_postings")
+    return stored.query(spark, "SELECT comment_id, array_join(skills, ',') AS skills, thread_month FROM stored_postings WHERE thread_month = :month", month="1996-01")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS \"objectID\" FROM documents WHERE NOT (n_chars > 300 AND contains(text, '|'))")
+def s10_unsure_ids(spark, sf_dir):
+    folder = _new_folder(spark, "unsure")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("objectID"), is_confident(F.struct(F.col("text").contains("|").alias("salary"), (F.col("n_chars") > 300).alias("skills"))).alias("confident"))
+    stored.write_unsure(rows, folder)
+    return spark.read.schema("objectID string").json(folder)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS comment_id, quality = 1 AS done FROM labels WHERE quality = 1")
+def s16_label_store(spark, sf_dir):
+    """Labels written sorted by id and read again, the finished ones."""
+    folder = _new_folder(spark, "labels")
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("comment_id"), (F.col("quality") == 1).alias("done"))
+    logs.save_labels(rows, folder)
+    return logs.done(logs.checked_labels(logs.labels(spark, folder))).select("comment_id", "done")
+
+
+@query("SELECT lang AS config, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def s17_run_log(spark, sf_dir):
+    """Runs appended to a log twice and read whole; a log that is not there is none."""
+    folder, docs = _new_folder(spark, "runs"), table(spark, sf_dir, "documents")
+    if logs.runs(spark, folder) is not None:
+        raise ValueError("a new log has no runs")
+    logs.append(docs.groupBy(F.col("lang").alias("config")).agg(F.count(F.lit(1)).alias("n")), folder)
+    logs.append(docs.where("source is not null").groupBy(F.col("source").alias("config")).agg(F.count(F.lit(1)).alias("n")), folder)
+    return logs.runs(spark, folder).select("config", "n")
+
+
+@query("""WITH h AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date, CAST(o_orderkey AS VARCHAR) AS thread_id, o_custkey AS total_posts, o_custkey - o_orderkey % 13 + 2 AS company FROM orders)
+SELECT date, thread_id, total_posts FROM h WHERE date <> 'soon' AND company BETWEEN 0 AND total_posts""")
+def s27_valid_history(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.when(k % 11 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), k.cast("string").alias("thread_id"), F.col("o_custkey").alias("total_posts"), (F.col("o_custkey") - k % 13 + 2).alias("company"))
+    return logs.valid_history(rows).select("date", "thread_id", "total_posts")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'go,kubernetes' ELSE '' END AS skills, CAST(floor(o_totalprice) AS BIGINT) * CASE o_orderkey % 4 WHEN 1 THEN 12 WHEN 2 THEN 2080 ELSE 1 END AS salary_min,
+['year', 'month', 'hour', NULL][o_orderkey % 4 + 1] AS salary_period FROM orders""")
+def f21_normalized(spark, sf_dir):
+    k, pay = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
+    period = F.get(F.array(F.lit("year"), F.lit("month"), F.lit("hour"), F.lit(None)), (k % 4).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 2 == 0, F.array(F.lit(" K8s"), F.lit("golang"), F.lit("Go"))).alias("skills"), pay.alias("salary_min"), pay.alias("salary_max"), period.alias("salary_period"))
+    return _plain(normalized(rows).select("o_orderkey", "skills", "salary_min", "salary_period"), "skills")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_custkey % 5 AS t, c_custkey % 6 AS k FROM customer)
+SELECT count(*) AS n, CAST(count_if(k <> 1) AS BIGINT) AS company_extracted, CAST(count_if(k = 1) AS BIGINT) AS company_hallucinated, CAST(count_if(k = 2) AS BIGINT) AS location_wrong, CAST(count_if(k <> 2) AS BIGINT) AS location_extracted,
+CAST(count(*) AS BIGINT) AS salary_abstained, 1.0 AS remote_accuracy, 1.0 AS skills_f1 FROM c""")
+def x1_rules_judged(spark, sf_dir):
+    """The rules as a predictor of customers' headers, judged against labels: some without a company, some elsewhere."""
+    from lodespar.plans.evaluate import normalised, with_labels
+    from lodespar.plans.rungs import predictor
+
+    part = lambda name: F.get(F.array(*map(F.lit, _HEADED[name])), (F.col("c_custkey") % len(_HEADED[name])).cast("int"))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("c_custkey") % len(values)).cast("int"))
+    k, nothing = F.col("c_custkey") % 6, F.lit(None)
+    rows = table(spark, sf_dir, "customer")
+    posts = rows.select(F.col("c_custkey").cast("string").alias("objectID"), F.concat_ws(" | ", "c_name", part("title"), part("place"), F.lit("Full-time")).alias("text"))
+    labels = rows.select(
+        F.col("c_custkey").cast("string").alias("comment_id"), F.when(k != 1, F.col("c_name")).alias("company"), F.when(k == 2, "Lima").otherwise(pick(["Berlin", "US", "Toronto", "Oslo, NO"])).alias("location"),
+        pick([None, "remote", "hybrid", "remote"]).alias("remote"), nothing.cast("long").alias("salary_min"), nothing.cast("long").alias("salary_max"), nothing.cast("string").alias("salary_period"),
+        pick(["senior", "staff+", None, "junior", None]).alias("seniority"), F.array().cast("array<string>").alias("skills"),
+    )
+    pairs, _ = with_labels(posts, labels)
+    wide = scoring.scores(scoring.judged(normalised(predictor("rules")(pairs))))
+    return wide.select("n", "company_extracted", "company_hallucinated", "location_wrong", "location_extracted", "salary_abstained", "remote_accuracy", "skills_f1")

@@ -28,7 +28,7 @@ def spread(scan: DataFrame) -> DataFrame:
     """A plain scan that comes in fewer splits than there are cores, dealt over all of them before heavy
     per-row work. Larger scans stay as they are, without a shuffle."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    splits = scan.rdd.getNumPartitions()
     return scan if splits >= cores else scan.repartition(cores)
 
 
@@ -40,10 +40,9 @@ def session(name: str = "lodespar", **settings: str) -> SparkSession:
     return reachable(builder.getOrCreate())
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df``, computed once and written to the folder that the cluster names in ``spark.checkpoint.dir``, so that no
-    lost executor takes it along. Only a local session may do without that setting, in a temporary folder."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the folder that the cluster names in ``spark.checkpoint.dir``. Only a local session may do without
+    that setting, in a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -51,9 +50,14 @@ def kept(df: DataFrame, label: str) -> DataFrame:
         base = f"file://{tempfile.mkdtemp(prefix='lodespar-')}"
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lodespar/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lodespar/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df``, computed once and written to the shared folder, so that no lost executor takes it along."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reset() -> None:

@@ -9,6 +9,7 @@ broadcast it only when it really is under ``spark.sql.autoBroadcastJoinThreshold
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all nodes see. Only a local master may fall back to a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         folder = tempfile.mkdtemp(prefix="lodespar-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -185,6 +185,11 @@ def _unhidden(hits: Column) -> Column:
 _HIT = "array<struct<license:string,dice:double,first_word:int,n_words:int,size:int,k:int>>"
 
 
+def _with_hits(rows: DataFrame, hits: Column) -> DataFrame:
+    """The caller's columns (the struct ``_row``) and the hits, whatever the names of the former."""
+    return rows.select(F.col("_row").withField("license_hits", hits.cast(_HIT)).alias("_row")).select("_row.*")
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows with ``license_hits``, array<struct<license, dice, first_word, n_words, size, k>> by first word:
     a template's name, its likest window's coefficient and place, its number of bigrams and its own number."""
@@ -194,7 +199,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     rows = rows.select("_row", F.expr("transform(_w, (x, i) -> concat_ws(' ', x, get(_w, i + 1)))").alias("_b"))
     known = sorted(set().union(*(t.bigrams for t in of)))
     if not known:
-        return rows.select("_row.*", F.array().cast(_HIT).alias("license_hits"))
+        return _with_hits(rows, F.array())
     # Places of any template's bigrams; most texts have too few for any.
     rows = rows.select("_row", "_b", F.expr(f"filter(sequence(0, size(_b) - 1), i -> size(_b) > 1 AND {_is_one_of('_b[i]', known)})").alias("_m"))
 
@@ -217,7 +222,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         return F.filter(F.transform(F.col("_t"), one), lambda h: h.isNotNull())
 
     found = F.when(F.size("_t") > 0, let(_previous(F.col("_b")), hits))
-    return rows.select("_row", found.alias("_h")).select("_row.*", F.coalesce(_unhidden(F.col("_h")), F.array()).cast(_HIT).alias("license_hits"))
+    return _with_hits(rows.select("_row", found.alias("_h")), F.coalesce(_unhidden(F.col("_h")), F.array()))
 
 
 def summary(scanned: DataFrame) -> DataFrame:

@@ -24,12 +24,13 @@ Counting: the tokens of a pass over the training texts are counted in a worker b
 sent as packed blobs, one for each shard: sorted keys as differences of fewest bytes, and the counts
 above one. A reducer merges the blobs of a shard and leaves the counts that are kept; then ``GROUP`` shards at
 a time become one file of the trie. Shards hold about as many tokens each, whatever the words: their
-bounds are quantiles of a sample of pairs, drawn by hash in proportion to the number of shards. Texts
-are passed over four times (words, pairs, triples, scores) and never shuffled. Files are replaced
-whole, so a task can run again anywhere.
+bounds are quantiles of a sample of pairs, drawn by hash in proportion to the number of shards and sorted in
+Spark; the driver receives a bound a shard. Texts are passed over four times (words, pairs, triples, scores)
+and never shuffled. Files are replaced whole, so a task can run again anywhere.
 
-Nulls: a null text is one end token; a null doc_id hashes as the empty text. Repeated rows count each.
-Without training rows every token is unknown.
+Nulls: a null text is one end token; a null doc_id hashes as the empty text. Repeated rows count each, as do
+rows of one doc_id. Very long texts are counted and scored whole. Without training rows every token is unknown;
+an empty table gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._grouped import borders, over_runs
-from lodespar.llm._shared import delete, new_path
+from lodespar.llm._shared import delete, materialize, new_path
 from lodespar.llm._words import U, Words, mix, slices, texts, bounded
 from lodespar.llm.elias_fano import EliasFano, close_arrays, encode, read_arrays, write_arrays
 
@@ -254,7 +255,7 @@ def _inside(first: np.ndarray, n: int, order: int) -> np.ndarray:
 
 
 def _count_words(ranges: int, sample: int):
-    """Blobs of word counts by hash range; pairs of hashes whose hash falls in the sample (part -1)."""
+    """Blobs of word counts by hash range; pairs of hashes whose hash falls in the sample (negative parts)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, first in _training(batches):
@@ -266,7 +267,31 @@ def _count_words(ranges: int, sample: int):
             # Each token is drawn for its own place, so that a pair is drawn as often as it occurs.
             drawn = at[mix(h[at] ^ (h[at + 1] * U(0x9E3779B97F4A7C15)) ^ mix(at.astype(U))) < U(min(sample, (1 << 64) - 1))]
             if len(drawn):
-                yield _blobs([(-1, np.stack([h[drawn], h[drawn + 1]], 1).tobytes())])
+                yield _blobs([(-1 - int(h[drawn[0]] % U(ranges)), np.stack([h[drawn], h[drawn + 1]], 1).tobytes())])
+
+    return work
+
+
+def _sampled_keys(trie: Trie):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                pairs = np.frombuffer(blob.as_buffer(), U).reshape(-1, 2)
+                u, v = trie.text_ids(pairs[:, 0])[0], trie.text_ids(pairs[:, 1])[0]
+                yield pa.RecordBatch.from_arrays([pa.array(trie.key(u, v).view(np.int64))], ["key"])
+
+    return work
+
+
+def _every(n: int):
+    """Each n-th key of a sorted partition."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            first = -(seen + 1) % n
+            yield batch.slice(first).take(pa.array(np.arange(0, max(batch.num_rows - first, 0), n))) if first < batch.num_rows else batch.slice(0, 0)
+            seen += batch.num_rows
 
     return work
 
@@ -279,13 +304,13 @@ def _keep_words(root: str):
         cut = borders(part)
         for lo, hi in zip(cut[:-1], cut[1:]):
             if part[lo] < 0:
-                out += [(-1, 0, 0, b) for b in blobs[lo:hi]]
+                out += [(-1, 0, b) for b in blobs[lo:hi]]
                 continue
             keys, counts = merge(blobs[lo:hi])
             write_arrays(f"{root}/counts/words-{part[lo]}", {"key": keys, "count": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64)})
-            out.append((int(part[lo]), len(keys), int(counts.sum()), None))
-        part, n, total, blob = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(blob, pa.binary())], ["part", "n", "total", "blob"])
+            out.append((int(part[lo]), int(counts.sum()), None))
+        part, total, blob = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total, pa.int64()), pa.array(blob, pa.binary())], ["part", "total", "blob"])
 
     return work
 
@@ -560,19 +585,19 @@ def train(docs: DataFrame, least: int = LEAST_COUNT) -> Trie:
     # About a token for six bytes; SAMPLE pairs for each shard.
     sample = int((1 << 64) * min(1.0, SAMPLE * shards * 6 / max(size, 1)))
     blobs = rows.mapInArrow(bounded(_count_words(shards, sample)), "part long, blob binary")
-    told = over_runs(blobs, "part", [], _keep_words(trie.root), "part long, n long, total long, blob binary").collect()  # three numbers and SAMPLE pairs a shard
-    trie.n_tokens = sum(r["total"] for r in told)
+    told = materialize(over_runs(blobs, "part", [], _keep_words(trie.root), "part long, total long, blob binary"), "lm-told")
+    trie.n_tokens = told.agg(F.sum("total")).first()[0] or 0
     files = -(-shards // GROUP)
     sizes = dict(map(tuple, _per_file(spark, files, _join_words(trie.root, shards), "file long, n long").collect()))
     trie.word_starts = np.concatenate([[0], np.cumsum([sizes[f] for f in range(files)])])
     trie.n_words = int(trie.word_starts[-1])
     if not trie.n_words:
         return trie
-    pairs = np.frombuffer(b"".join(r["blob"] for r in told if r["part"] < 0), U).reshape(-1, 2)
-    u, v = trie.text_ids(pairs[:, 0])[0], trie.text_ids(pairs[:, 1])[0]
-    keys = np.sort(trie.key(u, v))
-    cuts = keys[(np.arange(1, shards) * len(keys)) // shards] if len(keys) else np.zeros(0, U)
-    trie.bounds = np.unique(np.concatenate([np.zeros(1, U), cuts]))
+    keys = materialize(told.where("part < 0").select("blob").mapInArrow(bounded(_sampled_keys(trie)), "key long"), "lm-keys")
+    every = max(1, -(-keys.count() // shards))
+    ordered = keys.repartitionByRange(-(-shards // GROUP), "key").sortWithinPartitions("key")
+    cuts = [r["key"] for r in ordered.mapInArrow(bounded(_every(every)), "key long").collect()]  # about one a shard
+    trie.bounds = np.unique(np.array([0, *cuts], U))
     over_runs(rows.mapInArrow(bounded(_count_pairs(trie)), "part long, blob binary"), "part", [], _keep_counts(trie.root, "pairs", least), "part long").collect()  # a number a shard
     ends = _per_file(spark, trie.files, _join_pairs(trie), "file long, word long, kept double, total long").collect()  # two words a file
     delete(spark, f"{trie.root}/counts")

@@ -23,6 +23,7 @@ table gives an empty result. Other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -70,11 +71,26 @@ class _Known(dict):
         return ids
 
 
+#: The steps of a tokenizer that works word by word: it lower-cases, drops white space, never joins across it, and
+#: cuts between letters, digits and marks.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordTokens:
-    """Ids of texts by a tokenizer that lower-cases, drops white space and never joins across it.
+    """Ids of texts by any tokenizer.
 
-    Words repeat far more often than texts do, so ids are looked up by word. A plain new word goes
-    straight to the tokenizer's model, any other through all of the tokenizer.
+    Words repeat far more often than texts do, so with a tokenizer that works word by word (``_BY_WORDS``, which the
+    file is compared with) ids are looked up by word: a plain new word goes straight to the tokenizer's model, any
+    other through all of the tokenizer. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -83,6 +99,8 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known = _Known(self.make, {})
+        own = json.loads(self.tokenizer.to_str())
+        self.by_words = all(own[k] == v for k, v in _BY_WORDS.items()) and all(t["content"].startswith("<|") for t in own["added_tokens"])
 
     def make(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word)
@@ -121,6 +139,11 @@ class WordTokens:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, each with ``END``, and where each begins (and the last ends)."""
+        if not self.by_words:
+            raw = data.tobytes()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            found = [np.array([*e.ids, END], np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
         if len(self.known) > CACHE:
             self.known = _Known(self.make, dict(self.known))
         words = self.words(data, offsets)

@@ -218,3 +218,76 @@ def audio_features(payload, rate=16000, up=5, down=8, taps=16, size=256, hop=128
     cut = [frames * i / slots for i in range(slots + 1)]
     pooled = np.array([np.mean(rows[int(a) : max(math.ceil(b), int(a) + 1)], axis=0) for a, b in zip(cut, cut[1:])])
     return pooled, np.round(pooled.ravel() * 8).astype(int)
+
+
+def additive_model(x, y, bins, pair_bins, pairs, rounds, pair_rounds, rate, ridge):
+    """Cyclic boosting by trying every tree on every row. Returns the scores of rows."""
+    n = len(x[0])
+    cuts = lambda f, b: sorted({float(np.float32(v)) for v in np.quantile([r[f] for r in x], np.arange(1, b) / b)})
+    edges, coarse = [cuts(f, bins) for f in range(n)], [cuts(f, pair_bins) for f in range(n)]
+    bin_of = lambda v, e: sum(v >= c for c in e)
+    p = (sum(y) + 1) / (len(y) + 2)
+    start = math.log(p / (1 - p))
+    total, steps = [start] * len(x), []
+
+    def gradient():
+        q = [1 / (1 + math.exp(-t)) for t in total]
+        return [b - a for a, b in zip(q, y)], [a * (1 - a) for a in q]
+
+    value = lambda rows, g, h: sum(g[i] for i in rows) / (sum(h[i] for i in rows) + ridge)
+    gain = lambda rows, g, h: sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + ridge)
+
+    def best_cut(rows, key, lo, hi, g, h, least=1e-12):
+        """The bin in (lo, hi) at which a split of the rows gains most, or None."""
+        tried = [(gain([i for i in rows if key(i) < c], g, h) + gain([i for i in rows if key(i) >= c], g, h) - gain(rows, g, h), -c) for c in range(lo + 1, hi)]
+        top = max(tried, default=(0, 0))
+        return -top[1] if top[0] > least else None
+
+    def apply(leaves):
+        """leaves: (test of a row of bins, step)."""
+        steps.append(leaves)
+        for i, r in enumerate(x):
+            total[i] += next(s for test, s in leaves if test(r))
+
+    for _ in range(rounds):
+        for f in range(n):
+            g, h = gradient()
+            e, rows = edges[f], list(range(len(x)))
+            key = lambda i, f=f, e=e: bin_of(x[i][f], e)
+            size = len(e) + 1
+            middle = best_cut(rows, key, 0, size, g, h)
+            marks = [0, size]
+            if middle is not None:
+                marks.append(middle)
+                for lo, hi in ((0, middle), (middle, size)):
+                    at = best_cut([i for i in rows if lo <= key(i) < hi], key, lo, hi, g, h)
+                    marks += [at] if at is not None else []
+            marks.sort()
+            apply([(lambda r, f=f, e=e, lo=lo, hi=hi: lo <= bin_of(r[f], e) < hi, rate * value([i for i in rows if lo <= key(i) < hi], g, h)) for lo, hi in zip(marks, marks[1:])])
+
+    def pair_tree(a, b, g, h):
+        rows, best = range(len(x)), None
+        for first, second in ((a, b), (b, a)):
+            k1 = lambda i, f=first: bin_of(x[i][f], coarse[f])
+            k2 = lambda i, f=second: bin_of(x[i][f], coarse[f])
+            for at in range(1, len(coarse[first]) + 1):
+                leaves, sum_of = [], 0.0
+                for lo, hi in ((0, at), (at, len(coarse[first]) + 1)):
+                    side = [i for i in rows if lo <= k1(i) < hi]
+                    cut = best_cut(side, k2, 0, len(coarse[second]) + 1, g, h, -math.inf) or 0
+                    for c, d in ((0, cut), (cut, len(coarse[second]) + 1)):
+                        own = [i for i in side if c <= k2(i) < d]
+                        sum_of += gain(own, g, h)
+                        leaves.append((lambda r, f=first, s=second, lo=lo, hi=hi, c=c, d=d: lo <= bin_of(r[f], coarse[f]) < hi and c <= bin_of(r[s], coarse[s]) < d, rate * value(own, g, h)))
+                if best is None or sum_of > best[0] + 1e-12:
+                    best = (sum_of, leaves)
+        return best[0] - gain(rows, g, h), best[1]
+
+    every = [(a, b) for a in range(n) for b in range(a + 1, n)]
+    g, h = gradient()
+    gains = {p: pair_tree(*p, g, h)[0] for p in every}
+    chosen = sorted(every, key=gains.get, reverse=True)[:pairs]
+    for _ in range(pair_rounds):
+        for p in chosen:
+            apply(pair_tree(*p, *gradient())[1])
+    return chosen, lambda r: 1 / (1 + math.exp(-(start + sum(next(s for test, s in leaves if test(r)) for leaves in steps))))

@@ -265,6 +265,20 @@ def test_word_tokens_equal_whole_text_tokens(text):
     assert ids[:-1].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = catalogue.tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
+    texts = ["  Two words", "", "naïve—Yes  12ab\n\n x"]
+    raw = [t.encode() for t in texts]
+    tokens = packing.WordTokens(path)
+    ids, first = tokens.ids(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert not tokens.by_words and packing.WordTokens(catalogue.tokenizer_path()).by_words
+    whole = Tokenizer.from_file(path)
+    for t, a, b in zip(texts, first, first[1:]):
+        assert ids[a:b].tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_sweep_is_best_fit_decreasing():
     for seed in range(30):
         r = random.Random(seed)
@@ -403,6 +417,19 @@ def test_quality_model_learns_shapes_and_pairs():
     assert np.mean((model.score(x[3000:]) > 0.5) == y[3000:]) > 0.9
 
 
+def test_quality_boosting_equals_the_plain_version(monkeypatch):
+    for name, value in dict(BINS=7, PAIR_BINS=4, PAIRS=2, ROUNDS=3, PAIR_ROUNDS=2).items():
+        monkeypatch.setattr(quality, name, value)
+    r = np.random.default_rng(8)
+    x = r.random((90, 3)).astype(np.float32)
+    x[:, 2] = np.round(x[:, 2] * 3)  # few values
+    y = ((x[:, 0] > 0.4) ^ (x[:, 1] > 0.6)).astype(float)
+    model = quality.fit(x[:70], y[:70])
+    pairs, score = brute.additive_model(x[:70].tolist(), y[:70].tolist(), 7, 4, 2, 3, 2, quality.RATE, quality.RIDGE)
+    assert model.pairs == pairs
+    assert np.allclose(model.score(x), [score(row) for row in x.tolist()], atol=1e-9)
+
+
 def test_quality_scores_every_row(spark, docs, none, sf):
     labels = spark.createDataFrame([(d, int(d % 2), 0) for d, _ in DOCS[:40]] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.classify(docs, labels).collect()
@@ -543,3 +570,65 @@ def test_shards_hold_the_mixture(docs, none):
     assert all(max(c.values()) - min(c.get(i, 0) for i in range(4)) <= 2 for c in by.values())
     assert sorted(map(tuple, rows)) == sorted(map(tuple, sharding.interleave(docs.repartition(9), 4).collect()))
     assert sharding.interleave(none, 4).count() == 0
+
+
+#: Null ids and texts, one id with two texts, a row twice, a blank, a text of 1.3 MB; columns whose names operators use.
+ODD = [(None, None), (None, "alpha beta gamma"), (5, "one two three four five six"), (5, "seven eight nine"), (7, "Released under the MIT License."), (7, "Released under the MIT License."), (8, ""), (9, "long words of a text " * 65_000)]
+CLASHING = "size _k _h _t _b _w _m _row slot taken target media tensor node component sig score held_out license_hits piece row length shard fp text_crc32 _at _tie gone n_words n_removed kept x quality _near_t".split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(d, t, "s" if d in (5, 7) else None, *[i] * len(CLASHING)) for i, (d, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in CLASHING)).repartition(3)
+
+
+OPERATORS = {
+    "op1": lambda df, _: mixing.taken(mixing.mix(df, [5, 2, 1])),
+    "op2": lambda df, _: audio.summary(audio.audio_columns(df)),
+    "op3": lambda df, _: minhash.near_duplicates(df),
+    "op4": lambda df, _: substrings.removal_digests(df),
+    "op5": lambda df, _: packing.pack(packing.pieces(df, catalogue.tokenizer_path(), with_ids=True)).where("piece = 0"),
+    "op6": lambda df, _: lm.score_corpus(df, least=1),
+    "op7": lambda df, _: order_minhash.fingerprint_documents(df),
+    "op8": lambda df, labels: quality.classify(df, labels),
+    "op9": lambda df, _: license_scan.summary(license_scan.scan(df)),
+    "op10": lambda df, _: sharding.interleave(df, 3),
+}
+#: What two equal rows need not share: where they went.
+PLACES = {"taken", "first_slot", "n_slots", "row", "sequence_id", "offset", "edited_sha256", "edited_fingerprint", "near_edited", "near_next", "shard", "slot"}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows(spark, odd, name):
+    labels = spark.createDataFrame([(5, 1), (7, 0), (None, 1), (8, None), (9, 1), (9, 0)], "doc_id long, quality int")
+    rows = [r.asDict() for r in OPERATORS[name](odd, labels).collect()]
+    assert sorted(r["doc_id"] or 0 for r in rows) == sorted(d or 0 for d, _ in ODD)
+    a, b = ({k: v for k, v in r.items() if k not in PLACES} for r in rows if r["doc_id"] == 7)
+    assert a == b
+    empty = OPERATORS[name](odd.where("false"), labels.where("false"))
+    assert empty.count() == 0
+
+
+def test_odd_rows_in_stages(spark, odd):
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, quality int")
+    kept = {"near": minhash.drop_near_duplicates(odd), "cut": substrings.remove_repeats(odd), "mix": mixing.mix_documents(odd, [5, 2, 1]), "good": quality.keep_good(odd, labels)}
+    for df in kept.values():
+        assert df.columns == odd.columns
+        assert all(ODD[r.size] == (r.doc_id, r.text) or df is kept["cut"] for r in df.collect())
+    assert sorted(r.size for r in kept["near"].collect())[:4] == [0, 1, 2, 3] and kept["near"].where("doc_id = 7").count() == 1
+    assert kept["cut"].count() == len(ODD)
+
+
+def test_rows_without_id_are_spread(spark):
+    """20,000 of them: no bucket, range or key of an operator holds more than a few."""
+    df = spark.range(20_000, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    from lodespar.llm._shared import bucket_bits, row_hash
+
+    largest = lambda c: df.groupBy(c.alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest(F.shiftright(row_hash(17), 60 - bucket_bits(20_000))) < 1500
+    assert largest(substrings._key()) < 5
+    bounds = order_minhash._ranges(df.select(F.lit(-(1 << 63)).alias("_at"), F.xxhash64("text").alias("_tie")))
+    assert len(bounds) > 30
+    got = sharding.interleave(df, 7)
+    assert {r["count"] for r in got.groupBy("shard").count().collect()} <= {2857, 2858}

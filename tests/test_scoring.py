@@ -95,3 +95,41 @@ def test_drawing_is_reproducible(spark):
     assert {r.split: r["count"] for r in sampling.split(a, "id").groupBy("split").count().collect()} == {"dev": 40, "held-out": 20}
     power = {r.value: r for r in sampling.slice_power(a, ["stratum"]).collect()}
     assert power["pipe"].verdict == "usable" and math.isclose(sum(r.n for r in power.values()), 60)
+
+
+def test_allocation_by_cases():
+    """Small strata whose shares are worked out by hand."""
+    assert sampling.allocate({}, 10) == {}
+    assert sampling.allocate({"a": 50, "b": 50}, 10) == {"a": 5, "b": 5}
+    assert sampling.allocate({"a": 97, "b": 3}, 10) == {"a": 8, "b": 2}  # the floor of two, paid for by the largest that may shrink
+    assert sampling.allocate({"a": 3, "b": 1}, 10) == {"a": 3, "b": 1}  # all there is
+    boosted = sampling.allocate({"x/a": 90, "y/a": 30, "x/b": 12, "y/b": 8}, 20, {"b": 15})
+    assert boosted["x/b"] + boosted["y/b"] == 15 and boosted["x/b"] == 12 and sum(boosted.values()) == 20
+
+
+def test_split_at_any_share(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).alias("split_before"))
+    ranked = [r.id for r in df.orderBy(sampling.shuffle_key(sampling.SEED + 1, "id"), "id").collect()]
+    for share in (0, 0.001, 0.5, 1):
+        got = {r.id for r in sampling.split(df, "id", share).where("split = 'dev'").collect()}
+        assert got == set(ranked[: round(3000 * share)])
+    assert sampling.split(df.where("false"), "id").count() == 0
+
+
+def test_ladder_reports(spark, tmp_path):
+    rows = [("1", "B", "wrong", "extracted", 1.0, "a", "a"), ("1", "C", "wrong", "missed", 1.0, "a", "a"), ("2", "B", "extracted", "abstained", 0.5, "a", None), ("2", "C", "extracted", "abstained", 1.0, "a", "a")]
+    df = spark.createDataFrame(rows, "comment_id string, config string, company string, salary string, f1 double, t string, p string")
+    enum = F.struct(F.col("t").alias("truth"), F.col("p").alias("predicted"))
+    df = df.select("comment_id", "config", "company", "salary", F.lit("extracted").alias("location"), F.struct("f1").alias("skills"), enum.alias("remote"), F.struct(F.col("t").alias("truth"), F.col("t").alias("predicted")).alias("seniority"))
+    groups = scoring.disagreement_groups(df)
+    assert sorted(tuple(r) for r in groups.collect()) == [("company", "B,C", "1"), ("remote", "B", "2"), ("salary", "C", "1"), ("skills", "B", "2")]
+    off = scoring.disagreements(df, ["B", "C"])
+    scoring.write_ladder(spark, f"{tmp_path}/out", [{"config": "B", "cost_usd": 0.5, "scores": {}}, {"config": "C", "cost_usd": None, "scores": {}}], off, groups)
+    text = (tmp_path / "out/ladder.md").read_text()
+    assert "| B | 0.5 |" in text and "| company | B,C | 1 |" in text
+    import json
+
+    assert {r["field"]: (r["B"], r["C"]) for r in json.loads((tmp_path / "out/ladder.json").read_text())["disagreements"]}["salary"] == (0, 1)
+    table = spark.createDataFrame([("B", 0.4), ("C", None), ("D", 0.9)], "config string, p double")
+    assert [r.config for r in scoring.sorted_rungs(table, "p").collect()] == ["B", "D", "C"]
+    assert [r.config for r in scoring.sorted_rungs(table, "p", True).collect()] == ["D", "B", "C"]

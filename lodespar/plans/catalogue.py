@@ -920,3 +920,59 @@ def x1_rules_judged(spark, sf_dir):
     pairs, _ = with_labels(posts, labels)
     wide = scoring.scores(scoring.judged(normalised(predictor("rules")(pairs))))
     return wide.select("n", "company_extracted", "company_hallucinated", "location_wrong", "location_extracted", "salary_abstained", "remote_accuracy", "skills_f1")
+
+
+# Model-backed rungs, with a client that answers by rule.
+
+
+def _says_quillon(prompt, schema) -> dict:
+    """A model that claims one company of every post, and gives it up when told that the post does not name it."""
+    return {"usage": {"input_tokens": 100, "output_tokens": 10}, **({} if "not in the post" in prompt else {"company": "Quillon"})}
+
+
+def _asks_first(messages, tools, system) -> dict:
+    """A model that has its claim verified, and answers by what the tool says."""
+    last = messages[-1]
+    if last["role"] != "tool":
+        return {"usage": {"input_tokens": 50, "output_tokens": 5}, "tool_calls": [{"name": "verify_claim", "args": {"value": "Quillon"}}, {"name": "canonical_skill", "args": {"term": "K8s"}}]}
+    grounded = any('"grounded": true' in m["content"] for m in messages if m["role"] == "tool")
+    return {"usage": {"input_tokens": 70, "output_tokens": 7}, "output": {"company": "Quillon" if grounded else None, "skills": ["kubernetes"]}}
+
+
+def _copies_quillon(prompt, missing) -> dict:
+    return {"company": " Quillon ", "usage": {"input_tokens": 30, "output_tokens": 3}}
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as prose: a third names the company, a third another one that the rules find, a third none."""
+    k = F.col("c_custkey") % 3
+    text = F.when(k == 0, "Some of us at QUILLON make maps, in Oslo or elsewhere.").when(k == 1, F.concat("c_name", F.lit(" | Engineer | Berlin"))).otherwise("We make maps, wherever we are.")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Quillon' END AS company, c_custkey % 3 <> 0 AS revised, CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS failures,
+CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS calls, CASE WHEN c_custkey % 3 = 0 THEN 100 ELSE 200 END AS tokens FROM customer""")
+def x11_workflow(spark, sf_dir):
+    from lodespar.plans.rungs import predictor
+
+    got = predictor("W", _says_quillon)(_posts(spark, sf_dir))
+    return got.select("c_custkey", "prediction.company", "trace.revised", F.col("trace.verify_failures").alias("failures"), F.col("trace.model_calls").alias("calls"), F.col("trace.input_tokens").alias("tokens"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Quillon' END AS company, 'kubernetes' AS skills, 'verify_claim,canonical_skill' AS tools, CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS failures,
+CAST(4 AS INTEGER) AS steps, 12 AS tokens FROM customer""")
+def x10_agent(spark, sf_dir):
+    from lodespar.plans.rungs import predictor
+
+    got = predictor("agent:C", _asks_first)(_posts(spark, sf_dir))
+    return got.select("c_custkey", "prediction.company", F.array_join("prediction.skills", ",").alias("skills"), F.array_join("trace.tool_calls", ",").alias("tools"), F.col("trace.verify_failures").alias("failures"), "trace.steps", F.col("trace.output_tokens").alias("tokens"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Quillon' WHEN 1 THEN c_name END AS company, CASE WHEN c_custkey % 3 = 1 THEN 'Berlin' END AS location,
+CAST(CASE WHEN c_custkey % 3 = 2 THEN 1 ELSE 0 END AS INTEGER) AS failures, CAST(CASE WHEN c_custkey % 3 = 1 THEN 0 ELSE 1 END AS INTEGER) AS calls FROM customer""")
+def x13_fallback(spark, sf_dir):
+    """The rules, and a model only for posts without company or place, believed only if the post has its words."""
+    from lodespar.plans.rungs import predictor
+
+    got = predictor("F", _copies_quillon)(_posts(spark, sf_dir))
+    return got.select("c_custkey", "prediction.company", "prediction.location", F.col("trace.verify_failures").alias("failures"), F.col("trace.model_calls").alias("calls"))

@@ -9,6 +9,7 @@ broadcast it only when it really is under ``spark.sql.autoBroadcastJoinThreshold
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -74,6 +75,7 @@ def forget(spark: SparkSession, *scopes: str) -> None:
     Only the caller knows when no DataFrame over them will be read again; a pipeline calls this
     once a stage's result has been written.
     """
+    free_shuffles(spark)
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -91,13 +93,25 @@ def delete(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more. It does so when the driver's
+    garbage is collected, which a driver with little to do may put off for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def own(df: DataFrame, *without: str) -> list[Column]:
+    """The caller's columns, whatever signs are in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in without]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def source_key(column: str = "source") -> Column:
-    """A non-null key that sorts sources by code point, null last."""
+    """A non-null key that sorts sources (or tells ids apart) by code point, null last."""
     c = F.col(column).cast("string")
     return F.when(c.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), c))
 

@@ -33,7 +33,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodespar.llm._shared import let
+from lodespar.llm._shared import let, own
 
 THRESHOLD = 0.8
 #: Largest template whose windows begin at any of its bigrams; the run that windows of larger ones begin with.
@@ -194,8 +194,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     """The rows with ``license_hits``, array<struct<license, dice, first_word, n_words, size, k>> by first word:
     a template's name, its likest window's coefficient and place, its number of bigrams and its own number."""
     of = prepared(TEMPLATES if templates is None else templates, threshold)
-    own = [c for c in docs.columns if c != "license_hits"]
-    rows = docs.select(F.struct(*own).alias("_row"), words(F.col("text")).alias("_w"))
+    rows = docs.select(F.struct(*own(docs, "license_hits")).alias("_row"), words(F.col("text")).alias("_w"))
     rows = rows.select("_row", F.expr("transform(_w, (x, i) -> concat_ws(' ', x, get(_w, i + 1)))").alias("_b"))
     known = sorted(set().union(*(t.bigrams for t in of)))
     if not known:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._grouped import borders, over_runs
-from lodespar.llm._shared import delete, materialize, new_path
+from lodespar.llm._shared import delete, free_shuffles, materialize, new_path
 from lodespar.llm._words import U, Words, mix, slices, texts, bounded
 from lodespar.llm.elias_fano import EliasFano, close_arrays, encode, read_arrays, write_arrays
 
@@ -589,6 +589,8 @@ def train(docs: DataFrame, least: int = LEAST_COUNT) -> Trie:
     trie.n_tokens = told.agg(F.sum("total")).first()[0] or 0
     files = -(-shards // GROUP)
     sizes = dict(map(tuple, _per_file(spark, files, _join_words(trie.root, shards), "file long, n long").collect()))
+    delete(spark, f"{trie.root}/counts")
+    free_shuffles(spark)
     trie.word_starts = np.concatenate([[0], np.cumsum([sizes[f] for f in range(files)])])
     trie.n_words = int(trie.word_starts[-1])
     if not trie.n_words:
@@ -601,6 +603,7 @@ def train(docs: DataFrame, least: int = LEAST_COUNT) -> Trie:
     over_runs(rows.mapInArrow(bounded(_count_pairs(trie)), "part long, blob binary"), "part", [], _keep_counts(trie.root, "pairs", least), "part long").collect()  # a number a shard
     ends = _per_file(spark, trie.files, _join_pairs(trie), "file long, word long, kept double, total long").collect()  # two words a file
     delete(spark, f"{trie.root}/counts")
+    free_shuffles(spark)
     parts: dict[int, dict[int, float]] = {}
     totals = {}
     for r in ends:
@@ -610,6 +613,7 @@ def train(docs: DataFrame, least: int = LEAST_COUNT) -> Trie:
     over_runs(rows.mapInArrow(bounded(_count_triples(trie)), "part long, blob binary"), "part", [], _keep_counts(trie.root, "triples", least), "part long").collect()
     _per_file(spark, trie.files, _join_triples(trie), "file long, n long").collect()
     delete(spark, f"{trie.root}/counts", f"{trie.root}/pairs")
+    free_shuffles(spark)
     return trie
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._grouped import borders, over_runs
-from lodespar.llm._shared import materialize
+from lodespar.llm._shared import free_shuffles, materialize, own
 from lodespar.llm._words import U, Words, mix, slices, texts, windows, bounded
 from lodespar.llm.components import components
 
@@ -248,6 +248,7 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
         several = materialize(need.join(again, ["doc_id", "_t"], "left_semi"), "near-several")
         sets = sets.unionByName(_texts(docs).join(several, ["doc_id", "_t"]).groupBy("node").agg(F.first("text").alias("text")))
     sets = materialize(sets.mapInArrow(bounded(_sets), "node long, set binary"), "near-sets")
+    free_shuffles(docs.sparkSession)
     sigs = sigs.drop("doc_id", "_t")
 
     # Stars: every member of a band with its least node.
@@ -319,7 +320,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_stays", F.struct("doc_id", "_t") == F.col("_f")).where("_n > 1 or not _stays")
     marked = materialize(rows.select("doc_id", "_t", "_stays"), "near-marked")
     # The caller's columns in one, whatever their names.
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("_t"))
+    keyed = docs.select(F.struct(*own(docs)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("binary")).alias("_t"))
     rest = keyed.join(marked, ["doc_id", "_t"], "left_anti").select("_row.*")
     if not marked.where("_stays").limit(1).count():
         return rest

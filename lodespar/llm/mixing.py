@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespar.llm._shared import WORD, bucket_bits, materialize, row_hash, running, source_key
+from lodespar.llm._shared import WORD, bucket_bits, materialize, own, row_hash, running, source_key
 
 #: frac(n * GOLDEN / 2**32) is the golden-ratio sequence (its mirror image), in exact integers.
 GOLDEN, TURN, CELLS = 1640531527, 1 << 32, 4096
@@ -121,15 +121,15 @@ def mix_documents(docs: DataFrame, weights: list[int], most: int = 3, block_word
     """
     parts = mix(docs, weights, most, block_words, seed)
     copies = parts.groupBy("_k", "_rank", "doc_id", "_t", "epoch", "size").agg(F.sum("n_words").alias("_words")).withColumn("_one", F.when((F.col("size") == 0) | (F.col("_words") * 2 >= F.col("size")), 1).otherwise(0))
-    copies = copies.groupBy(F.xxhash64("doc_id", "_t").alias("_row")).agg(F.sum("_one").alias("_copies"), F.count_distinct("_k", "_rank").alias("_m"))
+    copies = copies.groupBy(source_key("doc_id").alias("_d"), "_t").agg(F.sum("_one").alias("_copies"), F.count_distinct("_k", "_rank").alias("_m"))
     copies = materialize(copies.where("_copies > 0"), "mix-copies")
-    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.xxhash64(F.col("doc_id"), _text_hash()).alias("_row"))
-    one = keyed.join(copies.where("_m = 1").drop("_m"), "_row").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select("_all.*")
+    keyed = docs.select(F.struct(*own(docs)).alias("_all"), source_key("doc_id").alias("_d"), _text_hash().alias("_t"))
+    one = keyed.join(copies.where("_m = 1").drop("_m"), ["_d", "_t"]).withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select("_all.*")
     again = copies.where("_m > 1").drop("_m")
     if not again.limit(1).count():
         return one
     # Many equal rows may be written many times: in runs of a bounded length, dealt anew.
-    several = keyed.join(again, "_row").groupBy("_row", "_copies").agg(F.min_by("_all", F.xxhash64(F.to_json("_all"))).alias("_all"))
-    several = several.withColumn("_run", F.explode(F.expr(f"sequence(0, (_copies - 1) div {RUN})"))).repartition("_row", "_run")
+    several = keyed.join(again, ["_d", "_t"]).groupBy("_d", "_t", "_copies").agg(F.min_by("_all", F.xxhash64(F.to_json("_all"))).alias("_all"))
+    several = several.withColumn("_run", F.explode(F.expr(f"sequence(0, (_copies - 1) div {RUN})"))).repartition("_d", "_t", "_run")
     several = several.withColumn("_copy", F.explode(F.expr(f"sequence(1, least({RUN}, _copies - _run * {RUN}))")))
     return one.unionByName(several.select("_all.*"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._grouped import borders, over_runs
-from lodespar.llm._shared import materialize
+from lodespar.llm._shared import free_shuffles, materialize, own
 from lodespar.llm._words import SLICE, U, Words, mix, slices, texts, windows, bounded
 
 WINDOW = 13
@@ -239,6 +239,7 @@ def _whole(text: pa.Scalar) -> bytes | None:
 def _joined(docs: DataFrame, columns: list[str], window: int) -> DataFrame:
     """The columns, binary ``text`` squeezed, and ``gone`` of each row."""
     gone = materialize(repeated(docs, window), "sub-gone")
+    free_shuffles(docs.sparkSession)
     rows = docs.select(*columns, F.col("text").cast("binary").alias("text"), _key().alias("_key"))
     return rows.mapInArrow(bounded(_squeeze), rows.schema).join(gone.withColumnRenamed("doc", "_key"), "_key", "left").drop("_key")
 
@@ -253,7 +254,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``; texts that lose words become their kept words joined by a space, other
     texts stay as they are. Rows that lose all their words go."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    rows = _joined(docs.select("text", "doc_id", *[F.col(c).alias(n) for c, n in names.items()]), list(names.values()), window)
+    rows = _joined(docs.select("text", "doc_id", *[c.alias(n) for c, n in zip(own(docs, "text"), names.values())]), list(names.values()), window)
     kinds = "".join(f"{names[f.name]} {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
     out = rows.mapInArrow(bounded(_remove(window, False)), f"{kinds}n_words long, n_removed long, kept binary").where("n_removed = 0 or n_removed < n_words")
     return out.select(*[(F.col("kept").cast("string") if c == "text" else F.col(names[c])).alias(c) for c in docs.columns])

@@ -574,13 +574,13 @@ def test_shards_hold_the_mixture(docs, none):
 
 #: Null ids and texts, one id with two texts, a row twice, a blank, a text of 1.3 MB; columns whose names operators use.
 ODD = [(None, None), (None, "alpha beta gamma"), (5, "one two three four five six"), (5, "seven eight nine"), (7, "Released under the MIT License."), (7, "Released under the MIT License."), (8, ""), (9, "long words of a text " * 65_000)]
-CLASHING = "size _k _h _t _b _w _m _row slot taken target media tensor node component sig score held_out license_hits piece row length shard fp text_crc32 _at _tie gone n_words n_removed kept x quality _near_t".split()
+CLASHING = "size _k _h _t _b _w _m _row slot taken target media tensor node component sig score held_out license_hits piece row length shard fp text_crc32 _at _tie gone n_words n_removed kept x quality _near_t a.b c`d".split()
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = [(d, t, "s" if d in (5, 7) else None, *[i] * len(CLASHING)) for i, (d, t) in enumerate(ODD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in CLASHING)).repartition(3)
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c.replace('`', '``')}` int" for c in CLASHING)).repartition(3)
 
 
 OPERATORS = {

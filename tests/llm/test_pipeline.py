@@ -92,11 +92,26 @@ def test_run_is_its_stages(spark, sf, steps):
 
 
 def test_empty_and_odd_documents(spark, sf):
-    rows = [(None, None, None, None, None, 1), (5, "", "en", "s", 0, 2), (5, "", "en", "s", 0, 2), (7, "one two three", "en", None, 13, 3)]
-    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra int")
-    for docs in (odd, odd.where("false")):
-        for _, stage in pipeline.STAGES:
-            out = stage(spark, docs, sf)
-            assert out.count() >= 0
-            if stage is not pipeline.pack:
-                assert out.columns == odd.columns
+    rows = [(None, None, None, None, None, 1), (5, "", "en", "s", 0, 2), (5, "", "en", "s", 0, 2), (7, "one two three", "en", None, 13, 3), (7, "four five", "en", None, 9, 4)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int")
+    docs = odd
+    for name, stage in pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == odd.columns
+        # Blank texts, rows without id and short texts pass all of these stages, each row as itself.
+        assert sorted(map(tuple, docs.collect()), key=str) == sorted(rows, key=str), name
+    packed = pipeline.pack(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in packed) == [(0, 1), (5, 1), (5, 1), (7, 3), (7, 4)] and len({r.row for r in packed}) == 5
+    judged = pipeline.quality(spark, odd, sf)
+    assert judged.columns == odd.columns and set(map(tuple, judged.collect())) <= set(rows)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, odd.where("false"), sf).count() == 0
+
+
+def test_stages_decide_by_row(spark, sf):
+    """Rows of one doc_id with different texts: no text goes because of the other row."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    near = text("b").replace("b17", "x")
+    rows = [(3, text("a"), "s", 1), (5, text("a"), "s", 2), (5, text("b"), "s", 3), (7, near, "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    assert sorted(r.n for r in pipeline.near_dedup(spark, docs, sf).collect()) == [1, 3]

@@ -16,8 +16,8 @@ from pyspark.sql import SparkSession
 
 #: Bytes of text and texts handled at once (a longer single text makes a slice of its own).
 SLICE, ROWS = 2 << 20, 4096
-#: Arrays of as many bytes are given back to the system when they are freed.
-MAPPED = 4 << 20
+#: Arrays of as many bytes are given back to the system when they are freed, smaller ones once so many bytes are.
+MAPPED, TRIMMED = 8 << 20, 64 << 20
 #: Bytes of an Arrow batch.
 BATCH, _BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPACE = np.zeros(256, bool)
@@ -54,6 +54,7 @@ def bounded(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
 
     def run(batches: Iterator) -> Iterator:
         _libc("mallopt", -3, MAPPED)  # M_MMAP_THRESHOLD, which would grow with what is freed
+        _libc("mallopt", -1, TRIMMED)  # M_TRIM_THRESHOLD, which would stay at 128 kB now
         try:
             yield from work(batches)
         finally:

@@ -4,11 +4,11 @@ Order 3. Words are numbered by the order of their 64-bit hashes. The trie's leve
 files in the shared folder, which workers map into memory:
 
 - words: hash ranges, the sorted hashes of a range as an Elias-Fano sequence, with their counts;
-- pairs and triples: ranges of the pair (u, v). A file has its first words u, monotone pointers to
-  their pairs, the second words (each range continuing after the last, so that all are one monotone
-  sequence), pointers from pairs to their third words, and those. Beside each pair and triple stands
-  its quantised discounted probability, beside each context the quantised weight it leaves to the
-  shorter context.
+- pairs and triples: ranges of the pair (u, v), a file of each for a range. One has its first words u,
+  monotone pointers to their pairs, and the second words (each range continuing after the last, so that all
+  are one monotone sequence); the other pointers from those pairs to their third words, and these. Beside each
+  pair and triple stands its quantised discounted probability, beside each context the quantised weight it
+  leaves to the shorter context.
 
 A query narrows to the context's range by the pointers, then looks its word up relative to it. Queries
 are made many at once, sorted, one file after the other.
@@ -495,10 +495,9 @@ def _join_triples(trie: Trie):
             kept[index[starts]] = np.add.reduceat(counts - DISCOUNT, starts)
             sizes[index[starts]] = np.diff(starts, append=len(w))
             at += len(w)
-        arrays = {k: a for k, a in old.items() if k not in ("count", "shards")} | {"left_v": quantise(1 - kept / of), "triple": triple}
-        arrays |= encode(np.concatenate([[0], np.cumsum(sizes)]), "v_to") | encode(link.values, "w")
-        write_arrays(f"{trie.root}/trie/{file}", arrays)
-        close_arrays(f"{trie.root}/pairs/{file}", *(f"{trie.root}/counts/triples-{part}" for part, _ in parts))
+        arrays = {"left_v": quantise(1 - kept / of), "triple": triple} | encode(np.concatenate([[0], np.cumsum(sizes)]), "v_to") | encode(link.values, "w")
+        write_arrays(f"{trie.root}/triples/{file}", arrays)
+        close_arrays(*(f"{trie.root}/counts/triples-{part}" for part, _ in parts))
         return [(file, n)]
 
     return make
@@ -525,14 +524,14 @@ def _score(trie: Trie):
             a2, b2, place, index = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
             left = np.ones(len(keys))
             for some, file in _files_of(trie, shard_keys):
-                path = f"{trie.root}/trie/{file}"
-                arrays = read_arrays(path)
+                path = f"{trie.root}/pairs/{file}"
+                arrays, below = read_arrays(path), read_arrays(f"{trie.root}/triples/{file}")
                 i, j = find_pair(path, u[some], v[some])
                 j = np.where(v[some] < unknown, j, -1)
                 place[some], index[some] = file, j
                 if len(arrays["pair"]):
                     a2[some] = np.where(j >= 0, restore(arrays["pair"][np.maximum(j, 0)]), 0.0)
-                    b2[some] = np.where(j >= 0, restore(arrays["left_v"][np.maximum(j, 0)]), 1.0)
+                    b2[some] = np.where(j >= 0, restore(below["left_v"][np.maximum(j, 0)]), 1.0)
                     left[some] = np.where(i >= 0, restore(arrays["left_u"][np.maximum(i, 0)]), 1.0)
             for word, value in trie.split.items():
                 lo, hi = np.searchsorted(u, [word, word + 1])
@@ -550,7 +549,7 @@ def _score(trie: Trie):
             cut = borders(place[pair[order]])
             for lo, hi in zip(cut[:-1], cut[1:]):
                 mine = order[lo:hi]
-                path = f"{trie.root}/trie/{place[pair[mine[0]]]}"
+                path = f"{trie.root}/triples/{place[pair[mine[0]]]}"
                 mine = mine[w[mine] >= 0]
                 if not len(mine) or not len(sequence(path, "w")):
                     continue
@@ -612,7 +611,7 @@ def train(docs: DataFrame, least: int = LEAST_COUNT) -> Trie:
     trie.split = {w: 1 - sum(k.values()) / totals[w] for w, k in parts.items() if len(k) > 1}
     over_runs(rows.mapInArrow(bounded(_count_triples(trie)), "part long, blob binary"), "part", [], _keep_counts(trie.root, "triples", least), "part long").collect()
     _per_file(spark, trie.files, _join_triples(trie), "file long, n long").collect()
-    delete(spark, f"{trie.root}/counts", f"{trie.root}/pairs")
+    delete(spark, f"{trie.root}/counts")
     free_shuffles(spark)
     return trie
 

@@ -426,7 +426,8 @@ def _join_pairs(trie: Trie):
         firsts, to, of = words[once], np.append(begins[once], ends[-1]), totals[once]
         kept = np.add.reduceat(sums, once) if len(once) else np.zeros(0)
         arrays = encode(firsts, "u") | encode(to, "u_to") | encode(link.values, "v")
-        arrays |= {"pair": pair, "left_u": quantise(1 - kept / np.maximum(of, 1)), "count": all_counts, "shards": ends}
+        more = np.flatnonzero(all_counts > 1)
+        arrays |= {"pair": pair, "left_u": quantise(1 - kept / np.maximum(of, 1)), "more": more.astype(np.uint32), "above": all_counts[more], "shards": ends}
         write_arrays(f"{trie.root}/pairs/{file}", arrays)
         close_arrays(*(f"{trie.root}/counts/pairs-{part}" for part, _ in parts))
         return [(file, int(firsts[i]), float(kept[i]), int(of[i])) for i in sorted({0, len(firsts) - 1})] if len(firsts) else []
@@ -481,7 +482,8 @@ def _count_triples(trie: Trie):
 def _join_triples(trie: Trie):
     def make(file: int) -> list[tuple]:
         old = read_arrays(f"{trie.root}/pairs/{file}")
-        of = old["count"]
+        of = np.ones(len(old["pair"]), old["above"].dtype)
+        of[old["more"]] = old["above"]
         parts = _shards_of(trie.root, "triples", file, len(trie.bounds))
         n, at = sum(int(a["key.head"][0]) for _, a in parts), 0
         link, triple, kept, sizes = Chain(n), np.zeros(n, np.uint16), np.zeros(len(of)), np.zeros(len(of), np.int64)

@@ -83,7 +83,7 @@ def test_mix_schedule_follows_the_weights_all_along(docs):
 
 def test_mix_of_nothing_but_blanks(spark):
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None), (3, " ", "a")], "doc_id long, text string, source string")
-    assert sorted(map(tuple, mixing.taken(mixing.mix(blank, [5, 2, 1])).collect())) == [(i, 0, 0, 0.0, 0) for i in (1, 2, 3)]
+    assert sorted(map(tuple, mixing.taken(mixing.mix(blank, [5, 2, 1])).collect())) == [(i, 0, 0, 0.0, 0, None, 0) for i in (1, 2, 3)]
 
 
 def test_mixed_documents_keep_rows_whole(docs):

@@ -29,6 +29,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespar.llm._shared import bucket_bits, materialize, running, seeded_hash
-from lodespar.llm._words import SLICE, Words, bounded, slices, texts
+from lodespar.llm._words import Words, bounded, slices, texts
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker keeps, in each of two generations.
@@ -71,6 +72,19 @@ class _Known(dict):
         return ids
 
 
+def _ids_of(tokenizer, model, word: str) -> bytes:
+    plain = _PLAIN.fullmatch(word)
+    if plain:
+        ids = []
+        for part in plain.groups():
+            if part:
+                part = part.lower() if part.isascii() else part.lower().encode().decode("latin-1").translate(_SPELT)
+                ids += [t.id for t in model.tokenize(part)]
+    else:
+        ids = tokenizer.encode(word, add_special_tokens=False).ids
+    return array("I", ids).tobytes()
+
+
 #: The steps of a tokenizer that works word by word: it lower-cases, drops white space, never joins across it, and
 #: cuts between letters, digits and marks.
 _BY_WORDS = {
@@ -97,23 +111,12 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        # Nothing that ``known`` holds refers back to it: it goes with its task, not with some later collection of cycles.
+        self.make = partial(_ids_of, self.tokenizer, self.tokenizer.model)
         self.known = _Known(self.make, {})
         own = json.loads(self.tokenizer.to_str())
         self.by_words = all(own[k] == v for k, v in _BY_WORDS.items()) and all(t["content"].startswith("<|") for t in own["added_tokens"])
 
-    def make(self, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word)
-        if plain:
-            ids = []
-            for part in plain.groups():
-                if part:
-                    part = part.lower() if part.isascii() else part.lower().encode().decode("latin-1").translate(_SPELT)
-                    ids += [t.id for t in self.model.tokenize(part)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
-
     @staticmethod
     def words(data: np.ndarray, offsets: np.ndarray) -> Words:
         """Words in lower case (of A to Z), marks at their ends as words of their own: the tokenizer
@@ -167,7 +170,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(path)
         for batch in batches:
-            for lo, hi, data, offsets in slices(texts(batch.column(1)), 2 * SLICE):
+            for lo, hi, data, offsets in slices(texts(batch.column(1))):
                 every, first = tokens.ids(data, offsets)
                 owner, piece, start, length, crc, kept = [], [], [], [], [], []
                 for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
@@ -231,7 +234,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, seed: int = 17) -> DataFrame:
     narrow = cut.select("doc_id", "row", "piece", "start", "length", "ids_crc32")
     counts = {r["length"]: r["n"] for r in narrow.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     spark = cut.sparkSession
-    stretches = spark.createDataFrame(sweep(counts, capacity), "length long, _r0 long, _n long, _first long, _from long, _each long")
+    # From an Arrow table: rows of Python would start a daemon and workers of their own on every executor.
+    names = ["length", "_r0", "_n", "_first", "_from", "_each"]
+    columns = np.array(sweep(counts, capacity), np.int64).reshape(-1, len(names)).T
+    stretches = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names))
     bits = bucket_bits(sum(counts.values()))
     hashed = narrow.withColumn("_h", seeded_hash(seed, F.col("doc_id"), F.col("row"), F.col("piece")))
     ranked = running(hashed.withColumn("_b", F.shiftright("_h", 60 - bits)), ["length"], "_b", [F.col("_h"), F.col("row"), F.col("piece")], "_rank")

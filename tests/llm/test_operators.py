@@ -1,7 +1,10 @@
+import gc
 import hashlib
 import random
 import sys
 import textwrap
+import tracemalloc
+import weakref
 import zlib
 from pathlib import Path
 
@@ -279,6 +282,43 @@ def test_other_tokenizers_encode_whole_texts():
         assert ids[a:b].tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_word_tokens_go_with_their_task():
+    """Without a collection of cycles, which comes after the worker has given its memory back."""
+    gc.disable()
+    try:
+        tokens = packing.WordTokens(catalogue.tokenizer_path())
+        tokens.ids(np.frombuffer(b"one two", np.uint8), np.array([0, 7]))
+        gone = weakref.ref(tokens)
+        del tokens
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_pieces_hold_little_of_a_batch():
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    rows = [" ".join(rng.choices(words, k=2000)) for _ in range(700)]
+    batch = pa.record_batch([pa.array(range(len(rows))), pa.array([r.encode() for r in rows]), pa.array(range(len(rows)))], ["doc_id", "text", "row"])
+    work = packing._pieces(catalogue.tokenizer_path(), 4096, True)
+    tracemalloc.start()
+    try:
+        made = work([batch])
+        found = next(made).num_rows
+        tracemalloc.reset_peak()  # without what reading the tokenizer took
+        found += sum(b.num_rows for b in made)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found >= len(rows)
+    assert peak < 70e6
+
+
+def test_packing_starts_no_workers_for_its_stretches(spark, docs, monkeypatch):
+    cut = packing.pieces(docs, catalogue.tokenizer_path(), 64)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)  # whose rows Python workers would serialize
+    assert packing.pack(cut, 64).count() >= docs.count()
+
+
 def test_sweep_is_best_fit_decreasing():
     for seed in range(30):
         r = random.Random(seed)
